@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, embedding_dedup, html_extract, language_id, ngram_join, packing, suffix_dedup
+from . import chat_format, decontaminate, embedding_dedup, html_extract, language_id, lm_score, ngram_join, packing, suffix_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,4 +54,10 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs.select("doc_id", held, "text"), model, keep=["doc_id", "held_out"])
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_embedding_dedup, op2_suffix_dedup, op3_chat_format, op4_html_extract, op6_ngram_jaccard, op7_decontamination, op8_packing, op9_language_id)}
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", lm_score.held_out().alias("held_out"), "text")
+    model, _ = lm_score.train(docs.where(~F.col("held_out")))
+    return lm_score.score(docs, model, ["doc_id", "held_out"])
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_embedding_dedup, op2_suffix_dedup, op3_chat_format, op4_html_extract, op6_ngram_jaccard, op7_decontamination, op8_packing, op9_language_id, op10_lm_score)}
