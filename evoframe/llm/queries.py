@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, embedding_dedup, html_extract, language_id, lm_score, ngram_join, packing, suffix_dedup
+from . import chat_format, decontaminate, embedding_dedup, html_extract, language_id, lm_score, ngram_join, packing, sharding, suffix_dedup
+from .common import Scratch
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +34,20 @@ def op4_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_main_text(_table(spark, sf_dir, "pages"))
 
 
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents in 24 arrivals of different sizes, appended in three steps with a compaction after each."""
+    docs = _table(spark, sf_dir, "documents")
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(36))
+    docs = docs.withColumn("arrival", F.when(place < 12, place).otherwise(F.lit(12) + F.floor((place - 12) / 2)).cast("int"))
+    store = sharding.ShardStore(spark, Scratch(spark, "shards").root)
+    for first in (0, 8, 16):
+        store.append_arrivals(docs.where(F.col("arrival").between(first, first + 7)), "arrival")
+        store.compact()
+        store.vacuum()
+    text = F.coalesce("text", F.lit(""))
+    return store.read().select("doc_id", "shard_run", "shard_part", "shard_tier", F.octet_length(text).cast("long").alias("n_bytes"), F.crc32(text.cast("binary")).alias("text_crc32"))
+
+
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(_table(spark, sf_dir, "documents"), k=5, percent=80)
 
@@ -60,4 +75,4 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score(docs, model, ["doc_id", "held_out"])
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_embedding_dedup, op2_suffix_dedup, op3_chat_format, op4_html_extract, op6_ngram_jaccard, op7_decontamination, op8_packing, op9_language_id, op10_lm_score)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_embedding_dedup, op2_suffix_dedup, op3_chat_format, op4_html_extract, op5_sharding, op6_ngram_jaccard, op7_decontamination, op8_packing, op9_language_id, op10_lm_score)}
