@@ -32,25 +32,26 @@ class LanguageModel:
         self.grams = {g: self._logs(c, gram_sums[len(g)]) for g, c in grams.items()}
 
     @staticmethod
-    def _logs(counts: list[int], sums: list[int]) -> np.ndarray:
-        return np.array([math.log((c + 0.1) / (s + 1.0)) for c, s in zip(counts, sums)], np.float32)
+    def _logs(counts: list[int], sums: list[int]) -> tuple[float, ...]:
+        return tuple(math.log((c + 0.1) / (s + 1.0)) for c, s in zip(counts, sums))
 
-    def word(self, w: str) -> np.ndarray:
+    def word(self, w: str) -> list[float]:
         """Log score of a word in each language, relative to the mean over languages."""
         got = self.words.get(w)
         if got is None:
-            marked = f"^{w}$"
+            marked, find = f"^{w}$", self.grams.get
             for n in range(min(self.longest, len(marked)), 0, -1):
-                known = [g for i in range(len(marked) - n + 1) if (g := self.grams.get(marked[i : i + n])) is not None]
+                known = [g for i in range(len(marked) - n + 1) if (g := find(marked[i : i + n])) is not None]
                 if known:
-                    got = np.mean(known, axis=0)
+                    got = [sum(column) / len(known) for column in zip(*known)]
                     break
             else:
-                got = np.zeros(len(self.languages), np.float32)
-        return got - got.mean()
+                return [0.0] * len(self.languages)
+        mean = sum(got) / len(got)
+        return [x - mean for x in got]
 
 
-def train(df: DataFrame, text_col: str = "text", label_col: str = "lang", id_col: str = "doc_id", max_rows: int = 20_000, max_words: int = 40_000, max_grams: int = 20_000, longest: int = 5) -> LanguageModel:
+def train(df: DataFrame, text_col: str = "text", label_col: str = "lang", id_col: str = "doc_id", max_rows: int = 4_000, max_words: int = 40_000, max_grams: int = 20_000, longest: int = 5) -> LanguageModel:
     rows = df.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(label_col).alias("l"), F.lower(text_col).alias("t"), F.xxhash64(F.col(id_col)).alias("h"))
     total = rows.count()
     if total > max_rows:  # about max_rows rows, chosen by the hash of the id alone
