@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from evoframe.plans import fixtures, queries
+
+QUERIES: dict = queries.QUERIES | fixtures.QUERIES
+ORACLE: dict[str, str] = queries.ORACLE | fixtures.ORACLE
