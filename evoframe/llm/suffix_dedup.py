@@ -6,8 +6,9 @@ text) is removed. Strings never cross texts and are judged on the input.
 1. Dealing. In each string of `length` bytes the `gram`-byte piece of least hash (leftmost on ties) is its anchor. Equal
    strings have equal anchors at equal offsets, so occurrences of an anchor, each with the region that strings with that
    anchor can reach, hold every repeat; an anchor that occurs once has none.
-2. Of equal regions (one more hash) all but the first are removed whole. Where an anchor has different regions, one of
-   each kind goes on with its bytes.
+2. Of equal regions (one more hash) all but the first are removed whole; each task does so with its own texts first, so a
+   region of a third of all texts is one row per slice of text. Where an anchor has different regions, one of each kind
+   goes on with its bytes.
 3. Shards of such regions, cut between anchors, are suffix-sorted by external induced sorting (see induced_sort), and
    runs of suffixes whose common prefixes reach `length` give the strings that occur twice; all but the earliest
    occurrence are removed.
@@ -112,6 +113,8 @@ def repeats(docs: np.ndarray, starts: np.ndarray, regions: list[bytes], length:
 def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by anchor, region, doc, start: later rows of a region (kind 0) and the regions of an anchor with several (kind 1).
 
+    Rows that come as kind 0 are told as they are.
+
     The first row of the last region seen is carried over from batch to batch.
     """
     carry = None
@@ -119,6 +122,12 @@ def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not b.num_rows:
             continue
         cols = [np.asarray(b.column(i)) for i in range(5)]
+        given = np.asarray(b.column(5)) == 0
+        if given.any():
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0][given]), *(pa.array(c[given]) for c in cols[2:]), pa.array(np.zeros(int(given.sum()), np.int32))], ["anchor", "doc", "start", "end", "kind"])
+            cols = [c[~given] for c in cols]
+            if not len(cols[0]):
+                continue
         old, told = carry is not None, False
         if old:
             told = carry[1]
@@ -149,9 +158,17 @@ def repeated_ranges(df: DataFrame, scratch: Scratch, id_col: str, text_col: str,
         for b in text_slices(batches, 1):
             anchor, region, row, start, end = anchors(*utf8(b.column(1)), length, gram)
             doc = np.asarray(b.column(0))[row]
-            yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(region.view(np.int64)), pa.array(doc), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))], ["anchor", "region", "doc", "start", "end"])
-
-    dealt = docs.mapInArrow(deal, "anchor long, region long, doc long, start int, end int").repartition("anchor").sortWithinPartitions("anchor", "region", "doc", "start")
+            order = np.lexsort((start, doc, region, anchor))
+            anchor, region, doc, start, end = (x[order] for x in (anchor, region, doc, start, end))
+            first = np.ones(len(anchor), bool)
+            first[1:] = (anchor[1:] != anchor[:-1]) | (region[1:] != region[:-1])
+            later = _merge(doc[~first], start[~first], end[~first])
+            spread = mix(later[0].astype(U64) * U64(31) + later[1].astype(U64))  # any key: these rows meet no others
+            columns = [np.concatenate(p) for p in zip((anchor[first].view(np.int64), region[first].view(np.int64), doc[first], start[first], end[first]), (spread.view(np.int64), spread.view(np.int64), *later))]
+            kind = np.concatenate([np.ones(int(first.sum()), np.int32), np.zeros(len(later[0]), np.int32)])
+            yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in columns[:3]), *(pa.array(c.astype(np.int32)) for c in columns[3:]), pa.array(kind)], ["anchor", "region", "doc", "start", "end", "kind"])
+
+    dealt = docs.mapInArrow(deal, "anchor long, region long, doc long, start int, end int, kind int").repartition("anchor").sortWithinPartitions("anchor", "region", "doc", "start")
     classes = scratch.save(dealt.mapInArrow(_classes, "anchor long, doc long, start int, end int, kind int"), "classes")
     wanted = classes.where("kind = 1").groupBy("doc").agg(F.collect_list(F.struct("anchor", "start", "end")).alias("wanted"))
 
