@@ -50,6 +50,11 @@ class Scratch:
             at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def sized(ids: DataFrame, most: int = 200_000) -> DataFrame:
+    """A stored table of ids for the right side of a join: broadcast while it has at most `most` rows, else as it is."""
+    return F.broadcast(ids) if ids.limit(most + 1).count() <= most else ids
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column and the offsets of its rows; null counts as empty."""
     if column.null_count:

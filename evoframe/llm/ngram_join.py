@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, Scratch, connected_components, mix, text_slices, utf8
+from .common import Rolling, Scratch, connected_components, mix, sized, text_slices, utf8
 
 U64 = np.uint64
 TOP = U64(1 << 63)
@@ -141,11 +141,15 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     signed = scratch.save(docs.mapInArrow(sign, "doc long, key1 long, key2 long, n long, prefix array<long>"), "signed")
     real = signed.where("n > 0 and doc is not null")
     first = scratch.save(real.groupBy("key1", "key2").agg(F.min("doc").alias("rep")), "first")
-    kept = real.select("doc", "n", "prefix").join(first.select(F.col("rep").alias("doc")), "doc", "left_semi")
-    cells = kept.select("doc", "n", F.posexplode("prefix").alias("pos", "token"))
-    window = "over (partition by token order by n, doc)"
-    cells = cells.selectExpr("token", "doc", "n", "pos", f"lag(struct(doc, n, pos)) {window} as prev", f"lead(doc) {window} as next", f"first(struct(doc, n, pos)) {window} as head")
-    shared = scratch.save(cells.where("prev is not null or next is not null").drop("next"), "shared")
+    # texts and prefixes stay where they are while the ids that choose among them can be sent to every task
+    copies = scratch.save(real.select("doc", "key1", "key2").join(first, ["key1", "key2"]).where("doc <> rep").select("doc").distinct(), "copies")
+    kept = real.select("doc", "n", "prefix").join(sized(copies), "doc", "left_anti")
+    cells = kept.select("doc", "n", F.posexplode("prefix").alias("pos", "token")).selectExpr("token", "doc", "shiftleft(n, 32) | pos as np")
+    window = "over (partition by token order by np, doc)"
+    cells = cells.selectExpr("token", "doc", "np", f"lag(struct(doc, np)) {window} as prev", f"lead(doc) {window} as next", f"first(struct(doc, np)) {window} as head").where("prev is not null or next is not null")
+    whole = lambda x: f"named_struct('doc', {x}.doc, 'n', shiftright({x}.np, 32), 'pos', cast({x}.np & 4294967295L as int))"
+    cells = cells.selectExpr("token", "doc", "shiftright(np, 32) as n", "cast(np & 4294967295L as int) as pos", f"if(prev is null, null, {whole('prev')}) as prev", f"{whole('head')} as head")
+    shared = scratch.save(cells, "shared")
 
     def fits(an: str, bn: str, ap: str, bp: str) -> str:
         """Sizes, and the overlap that is left after this shingle, allow a link."""
@@ -155,7 +159,9 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     near = near.where(fits("o.n", "n", "o.pos", "pos")).where("o.doc <> doc").selectExpr("o.doc as a", "doc as b").distinct()
     pairs = scratch.save(near, "pairs")
 
-    def sets(who: DataFrame, name: str) -> DataFrame:
+    def sets(who: DataFrame, name: str, have: DataFrame | None = None) -> DataFrame:
+        """(doc, set) of all documents of the pairs; those in `have` are not made again."""
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             heavy, rank = sent.value
             for b in text_slices(batches, 1):
@@ -164,9 +170,14 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.binary())], ["doc", "set"])
 
         wanted = who.selectExpr("explode(array(a, b)) as doc").distinct()
-        return scratch.save(docs.join(wanted, "doc", "left_semi").mapInArrow(run, "doc long, set binary"), name)
-
-    links = scratch.save(verify(pairs, sets(pairs, "sets-1"), percent), "links-1")
+        if have is not None:
+            wanted = wanted.join(have.select("doc"), "doc", "left_anti")
+        wanted = scratch.save(wanted, f"{name}-ids")
+        made = scratch.save(docs.join(sized(wanted), "doc", "left_semi").mapInArrow(run, "doc long, set binary"), name)
+        return made if have is None else made.unionByName(have)
+
+    made = sets(pairs, "sets-1")
+    links = scratch.save(verify(pairs, made, percent), "links-1")
     label = scratch.save(connected_components(links, scratch, "cc-1"), "label")
     placed = shared.select("token", "doc", "n", "pos").join(label.withColumnRenamed("id", "doc"), "doc", "left").withColumn("c", F.coalesce("component", "doc")).drop("component")
     mixed = placed.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("token")
@@ -176,8 +187,9 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     tried = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = scratch.save(across.join(tried, ["a", "b"], "left_anti"), "pairs-2")
     if not more.isEmpty():
-        links = links.unionByName(verify(more, sets(more, "sets-2"), percent))
+        links = links.unionByName(verify(more, sets(more, "sets-2", made), percent))
         label = connected_components(links, scratch, "cc-2")
+    scratch.drop("shared", "mixed", "sets-1", "pairs")
     label = label.withColumnRenamed("id", "rep")
     whole = first.join(label, "rep", "left").select("key1", "key2", F.coalesce("component", "rep").alias("component_id"))
     result = signed.drop("prefix").join(whole, ["key1", "key2"], "left")
