@@ -19,14 +19,17 @@ def undirected(edges: DataFrame) -> DataFrame:
 
 
 def k_hop(edges: DataFrame, seeds: DataFrame, k: int) -> DataFrame:
-    """(graph_id, node_id, hops): nodes within k undirected steps of any seed, with the fewest steps."""
+    """(graph_id, node_id, hops): nodes within k undirected steps of any seed, with the fewest steps.
+
+    Each step reads the front that the last one made: the plan grows by one join a step and is run once.
+    """
     around = undirected(edges)
     found = seeds.select(G, "node_id").distinct().withColumn("hops", F.lit(0))
-    front = found
     for step in range(1, k + 1):
-        new = front.select(G, F.col("node_id").alias("a")).join(around, [G, "a"]).select(G, F.col("b").alias("node_id")).distinct()
-        front = new.join(found.select(G, "node_id"), [G, "node_id"], "left_anti").withColumn("hops", F.lit(step))
-        found = found.unionByName(front)
+        front = found.where(F.col("hops") == step - 1).select(G, F.col("node_id").alias("a")).join(around, [G, "a"])
+        reached = front.select(G, F.col("b").alias("node_id"), F.lit(step).alias("hops"))
+        # one aggregation adds the new nodes and keeps the fewest steps of those known
+        found = found.unionByName(reached).groupBy(G, "node_id").agg(F.min("hops").alias("hops")).persist()
     return found
 
 

@@ -2,5 +2,146 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from evoframe.functions import code, similarity
+from evoframe.operators import graph, graph_build, rollup
+
+from .queries import ORACLE as _ALL
+from .queries import QUERIES as _OTHERS
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+
+PYTHON_SIGNATURES = ["async def f(self, a: dict[str, int] = {}, *args, **kw) -> bool:", "def g(x: int, /, y: str = \"a,b\", *, z=None) -> list[tuple[int, str]]", "f(a, b, ...)", "f(...)", "h(x) — returns the behaviour text", ""]
+RUST_SIGNATURES = ["pub struct S<T>", "unsafe impl<T> A<T> for B<T> where T: C + Send", "pub const fn g(&mut self) -> Option<u8>", "pub fn parse<T: Into<String>, F>(input: &str, f: F) -> Result<T, E> where F: Fn(&str) -> T", "enum Kind<'a> { A, B }", "pub const MAX: usize = 3;", "type Pair<T> = (T, T);"]
+RESPONSES = [
+    ("python", "Here:\n```python\nimport os\n\ndef f(x):\n    return os.path.join(x, 'a')\n```\nDone."),
+    ("python", "def g(a):\n    return a.removeprefix('x')\n"),
+    ("rust", "```rust\nuse std::fs;\nuse tokio_util::io::{self, Reader};\n\npub fn read(p: &str) -> String {\n    fs::read_to_string(p).unwrap()\n}\n```\n```\nshort\n```"),
+    ("rust", "fn main() { println!(\"hi\"); }"),
+    ("rust", ""),
+]
+RECORDS = [
+    (1, "pkg.load", "pkg", "signature", "def load(path: str, mode: str = 'r', *, strict: bool = False) -> dict", "def load(path, flag: int) -> list", "import pkg\n\ndef read(path):\n    return pkg.load(path, mode='r')\n"),
+    (2, "removeprefix", "str", "stabilized", "def removeprefix(prefix: str) -> str", "", "def cut(s):\n    return s.removeprefix('a')\n"),
+    (3, "old_call", "pkg", "deprecated", "old_call(x): use `new_call` instead", None, "def f(x):\n    return old_call(x)\n"),
+    (4, "sum", "math", "implicit", "sum(x) — now skips null values", None, "broken(:\n  sum(1)"),
+    (5, "x", None, None, None, None, None),
+]
+RUST_CODE = [(1, "use std::os::fd::AsFd;\n\npub fn run<T: AsFd>(x: &T, n: usize) -> i32 {\n    let y = x.as_fd();\n    println!(\"{}\", n);\n    helper::<u8>(n as u8)\n}\n")]
+VERSIONS = ["1.60.0", "1.84.3", "1.99.0", "0.3.1", "", "1.x.0", "1.71"]
+OUTPUTS = ["2 passed, 1 failed in 0.1s", "test result: FAILED. 3 passed; 1 failed; 0 ignored", "", "4 passed, 2 errors in 1s", "no tests ran"]
+
+
+def query(sql: str | None = None):
+    def add(f: Callable) -> Callable:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _rows(spark: SparkSession, values: list, schema: str) -> DataFrame:
+    return spark.createDataFrame([(i, *v) if isinstance(v, tuple) else (i, v) for i, v in enumerate(values)], f"i long, {schema}")
+
+
+def _sql_values(values: list[str]) -> str:
+    return ", ".join(f"({i}, '{v}')" for i, v in enumerate(values))
+
+
+def records(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(RECORDS, "graph_id long, name string, module string, change_type string, signature string, old_signature string, code string")
+
+
+@query(f"select i::bigint as i, v, case when not regexp_matches(v, '^1\\.[0-9]{{1,2}}(\\.|$)') then '1.84.0' else '1.' || least(greatest(split_part(v, '.', 2)::int, 71), 91) || '.0' end as version, starts_with(v, '0.') as is_crate from (values {_sql_values(VERSIONS)}) t(i, v)")
+def rust_versions(spark: SparkSession, d: str) -> DataFrame:
+    rows = _rows(spark, VERSIONS, "v string")
+    return rows.select("i", "v", code.rust_version(F.col("v")).alias("version"), code.is_crate_version(F.col("v")).alias("is_crate"))
+
+
+_N = "coalesce(nullif(regexp_extract(v, '([0-9]+) {w}', 1), '')::int, 0)"
+_LIB = "coalesce(nullif(regexp_extract(v, 'test result:.*?([0-9]+) passed; ([0-9]+) failed', {i}), '')::int, 0)"
+
+
+@query(f"select i::bigint as i, {_N.format(w='passed')} as py_passed, {_N.format(w='passed')} + {_N.format(w='failed')} + {_N.format(w='error')} as py_total, {_LIB.format(i=1)} as rust_passed, {_LIB.format(i=1)} + {_LIB.format(i=2)} as rust_total from (values {_sql_values(OUTPUTS)}) t(i, v)")
+def output_counts(spark: SparkSession, d: str) -> DataFrame:
+    rows = _rows(spark, OUTPUTS, "v string").select("i", code.pytest_counts(F.col("v")).alias("p"), code.libtest_counts(F.col("v")).alias("r"))
+    return rows.select("i", F.col("p.passed").alias("py_passed"), F.col("p.total").alias("py_total"), F.col("r.passed").alias("rust_passed"), F.col("r.total").alias("rust_total"))
+
+
+@query("select n, c, k, round(case when n = 0 or c = 0 then 0.0 when c > n or n - c < k then 1.0 else 1 - list_reduce(list_prepend(1.0::double, list_transform(range(n - c + 1, n + 1), lambda i: 1 - k::double / i)), lambda x, y: x * y) end, 6) as p from range(0, 11) a(n), range(0, 12) b(c), range(1, 6) d(k)")
+def pass_at_k_grid(spark: SparkSession, d: str) -> DataFrame:
+    grid = spark.range(11).select(F.col("id").alias("n"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(11).cast("long"))).alias("c")).select("n", "c", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(5).cast("long"))).alias("k"))
+    return grid.select("n", "c", "k", F.round(rollup.pass_at_k(F.col("n"), F.col("c"), F.col("k")), 6).alias("p"))
+
+
+@query()
+def python_signatures(spark: SparkSession, d: str) -> DataFrame:
+    rows = _rows(spark, PYTHON_SIGNATURES, "v string").select("i", code.clean_signature(F.col("v")).alias("clean"), code.behaviour(F.col("v")).alias("behaviour"), code.parse_python_signature(F.col("v")).alias("s"))
+    return rows.select("i", "clean", "behaviour", F.to_json("s").alias("parsed"))
+
+
+@query()
+def rust_signatures(spark: SparkSession, d: str) -> DataFrame:
+    return _rows(spark, RUST_SIGNATURES, "v string").select("i", F.to_json(code.parse_rust_signature(F.col("v"))).alias("parsed"))
+
+
+@query()
+def code_extract(spark: SparkSession, d: str) -> DataFrame:
+    rows = _rows(spark, RESPONSES, "language string, response string")
+    found = F.when(F.col("language") == "rust", code.rust_code(F.col("response"))).otherwise(code.python_code(F.col("response")))
+    rows = rows.select("i", "language", found.alias("found"))
+    return rows.select("i", "language", "found", code.too_short(F.col("found")).alias("too_short"), F.array_join(code.crate_names(F.col("found")), ",").alias("crates"), F.array_join(code.use_imports(F.col("found")), ",").alias("uses"))
+
+
+@query()
+def usage_check(spark: SparkSession, d: str) -> DataFrame:
+    rows = _rows(spark, RESPONSES, "language string, response string")
+    none = F.lit("")
+    return rows.select("i", code.has_python_signature(F.col("response"), F.lit("def f(x)")).alias("py_signature"), code.has_rust_signature(F.col("response"), F.lit("pub fn read(p: &str)")).alias("rust_signature"), code.uses_python_api(F.col("response"), F.lit("str.removeprefix"), none).alias("py_api"), code.uses_rust_api(F.col("response"), F.lit("read_to_string"), none, F.lit("std::fs"), none).alias("rust_api"))
+
+
+@query()
+def code_similarity(spark: SparkSession, d: str) -> DataFrame:
+    pairs = [("def f(x):\n    y = x + 1\n    return y\n", "def f(x):\n    z = x + 1\n    return z\n"), ("x = 1", "x = 1"), ("not python (", "x = 1"), ("", "")]
+    made = similarity.code_bleu(_rows(spark, pairs, "a string, b string"), "a", "b")
+    return made.select("i", *[F.round(c, 4).alias(c) for c in ("bleu", "ngram", "syntax", "flow", "code_bleu")])
+
+
+@query()
+def graph_build_nodes(spark: SparkSession, d: str) -> DataFrame:
+    nodes, _ = graph_build.build(records(spark))
+    return nodes.select("graph_id", "node_id", "type", "name", graph_build.node_text().alias("text"))
+
+
+@query()
+def graph_build_edges(spark: SparkSession, d: str) -> DataFrame:
+    _, edges = graph_build.build(records(spark))
+    return graph.reversed_edges(edges, ["uses"])
+
+
+@query()
+def graph_build_rust(spark: SparkSession, d: str) -> DataFrame:
+    rows = spark.createDataFrame(RUST_CODE, "graph_id long, code string")
+    return graph_build.code_rows(rows, "rust").select("graph_id", "row_kind", "id", "dst", "type", "name")
+
+
+@query()
+def sample_project(spark: SparkSession, d: str) -> DataFrame:
+    rows = records(spark)
+    return rows.select("graph_id", code.api_path(F.col("name"), F.col("module")).alias("path"), code.chat(F.lit("Llama-3"), F.col("name")).alias("llama"), code.chat(F.lit("Qwen2"), F.col("name")).alias("qwen"), code.code_prompt(F.col("name"), F.col("signature"), F.col("module")).alias("prompt"), code.usable_signature(F.col("signature")).alias("signature"))
+
+
+@query()
+def change_coverage(spark: SparkSession, d: str) -> DataFrame:
+    rows = records(spark).select("change_type", F.col("old_signature").alias("old_source_code"), F.col("signature").alias("source_code"), F.lit(None).cast("string").alias("replacement_api"))
+    return rollup.coverage_of_changes(rows)
+
+
+assert not set(QUERIES) & set(_OTHERS) and not set(ORACLE) & set(_ALL)
