@@ -10,7 +10,7 @@ looks, so common passages make no candidates. Documents of equal word sequences
    walk of their trie. Overlaps of shared path starts are kept, and a subtree is left where the overlap so far plus what
    can follow is below what the sizes ask for.
 4. Connected components of the links. Cells whose members are in one component need nothing more; in the others, all
-   pairs of different components that pass the length and position bounds are verified too. So every two sets that link
+   pairs of different components that pass the bounds on length, position and number of shared cells are verified too. So every two sets that link
    are in one component in the end, without all pairs of a group of copies ever being made.
 
 Cases: null, empty or blank texts have no shingle and link with nothing; fewer than k words make one shingle, the whole
@@ -151,12 +151,23 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     cells = cells.selectExpr("token", "doc", "shiftright(np, 32) as n", "cast(np & 4294967295L as int) as pos", f"if(prev is null, null, {whole('prev')}) as prev", f"{whole('head')} as head")
     shared = scratch.save(cells, "shared")
 
-    def fits(an: str, bn: str, ap: str, bp: str) -> str:
-        """Sizes, and the overlap that is left after this shingle, allow a link."""
-        return f"100 * least({an}, {bn}) >= {percent} * greatest({an}, {bn}) and {100 + percent} * (least({an} - {ap}, {bn} - {bp})) >= {percent} * ({an} + {bn})"
+    def sized_alike(an: str, bn: str) -> str:
+        return f"100 * least({an}, {bn}) >= {percent} * greatest({an}, {bn})"
 
-    near = shared.where("prev is not null").selectExpr("explode(array(prev, head)) as o", "doc", "n", "pos")
-    near = near.where(fits("o.n", "n", "o.pos", "pos")).where("o.doc <> doc").selectExpr("o.doc as a", "doc as b").distinct()
+    def room(an: str, bn: str, ap: str, bp: str) -> str:
+        """The overlap that is left from the first shared shingle on allows a link."""
+        return f"{100 + percent} * least({an} - {ap}, {bn} - {bp}) >= {percent} * ({an} + {bn})"
+
+    def least_shared(an: str, bn: str) -> str:
+        """Two sets that link share this many prefix shingles at least: all those common to both within the prefix that
+        ends first, which lacks at most what its set has alone."""
+        overlap = f"(({percent} * ({an} + {bn}) + {99 + percent}) div {100 + percent})"
+        return f"({overlap} + 1 - (({percent} * greatest({an}, {bn}) + 99) div 100))"
+
+    near = shared.where("prev is not null").selectExpr("explode(array_distinct(array(prev, head))) as o", "doc", "n", "pos")
+    near = near.where(sized_alike("o.n", "n")).where("o.doc <> doc").selectExpr("struct(o.n as n, o.doc as doc) as x", "struct(n, doc) as y").selectExpr("least(x, y) as x", "greatest(x, y) as y")
+    # neighbours in few cells for their size are left to the pairs across components below
+    near = near.groupBy("x", "y").agg(F.count(F.lit(1)).alias("met")).where(f"4 * met >= {least_shared('x.n', 'y.n')}").selectExpr("x.doc as a", "y.doc as b")
     pairs = scratch.save(near, "pairs")
 
     def sets(who: DataFrame, name: str, have: DataFrame | None = None) -> DataFrame:
@@ -183,7 +194,9 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     mixed = placed.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("token")
     mixed = scratch.save(placed.join(mixed, "token", "left_semi"), "mixed")
     x, y = mixed.alias("x"), mixed.alias("y")
-    across = x.join(y, F.expr(f"x.token = y.token and x.doc < y.doc and x.c <> y.c and {fits('x.n', 'y.n', 'x.pos', 'y.pos')}")).selectExpr("x.doc as a", "y.doc as b").distinct()
+    across = x.join(y, F.expr(f"x.token = y.token and x.doc < y.doc and x.c <> y.c and {sized_alike('x.n', 'y.n')}"))
+    across = across.groupBy(F.expr("x.doc").alias("a"), F.expr("y.doc").alias("b")).agg(F.count(F.lit(1)).alias("met"), F.max("x.n").alias("an"), F.max("y.n").alias("bn"), F.min("x.pos").alias("ap"), F.min("y.pos").alias("bp"))
+    across = across.where(f"met >= {least_shared('an', 'bn')} and {room('an', 'bn', 'ap', 'bp')}").select("a", "b")
     tried = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = scratch.save(across.join(tried, ["a", "b"], "left_anti"), "pairs-2")
     if not more.isEmpty():
