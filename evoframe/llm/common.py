@@ -126,7 +126,7 @@ class Rolling:
 
 
 def connected_components(edges: DataFrame, scratch: Scratch, name: str = "cc") -> DataFrame:
-    """(id, component): component is the smallest id reachable over the undirected edges (a, b).
+    """(id, component): component is the smallest id reachable over the undirected edges (a, b), for all other ids than it.
 
     Alternating large-star and small-star rounds; every round is a min per node and a join back, so a hub is
     pre-aggregated and its side of the join can be split. Nothing but one checksum row comes to the driver.

@@ -244,10 +244,11 @@ def extract(root: Node, wrapper: list) -> str:
             blocks.append(text)
         part.clear()
 
-    def walk(node: Node, slot: list | None, inside: bool) -> None:
+    def walk(node: Node, slot: list | None, inside: bool, prose: bool) -> None:
         inside = inside or slot is not None and id(slot) in content
-        if slot is not None and _template(slot, pages):
+        if slot is not None and not prose and _template(slot, pages):
             return
+        prose = prose or node.tag in PROSE and node.tag not in ("article", "main")  # words in a paragraph are its own
         block = node.tag in BLOCK
         if block:
             flush()
@@ -271,20 +272,20 @@ def extract(root: Node, wrapper: list) -> str:
                 if c.tag == "header" and inside:  # an article's own header: its headings belong to the article
                     flush()
                     for h in headings(c):
-                        walk(h, None, True)
+                        walk(h, None, True, True)
                     flush()
                 elif c.tag == "header":
                     flush()
                 elif c.tag in ("br", "wbr") and inside:
                     part.append(" " if c.tag == "br" else "")
                 else:
-                    walk(c, to.get(id(c)), inside)
+                    walk(c, to.get(id(c)), inside, prose)
             elif c.tag in BLOCK:
                 flush()
         if block:
             flush()
 
-    walk(root, wrapper, False)
+    walk(root, wrapper, False, False)
     flush()
     return "\n".join(blocks)
 
