@@ -3,6 +3,9 @@ stable numpy hashing and distributed connected components."""
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -29,6 +32,17 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+@contextlib.contextmanager
+def returned_memory() -> Iterator[None]:
+    """Give a task's memory back to the system: Python workers go on to other tasks and would keep it."""
+    try:
+        yield
+    finally:
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 class Scratch:
     """Parquet tables in the shared folder; they cut lineage and survive lost executors."""
 

@@ -21,8 +21,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import returned_memory
+
 WORD = re.compile(r"[^\W\d_]+")
-CACHE = 300_000
+CACHE = 150_000
 
 
 class LanguageModel:
@@ -51,7 +53,7 @@ class LanguageModel:
         return [x - mean for x in got]
 
 
-def train(df: DataFrame, text_col: str = "text", label_col: str = "lang", id_col: str = "doc_id", max_rows: int = 4_000, max_words: int = 40_000, max_grams: int = 20_000, longest: int = 5) -> LanguageModel:
+def train(df: DataFrame, text_col: str = "text", label_col: str = "lang", id_col: str = "doc_id", max_rows: int = 4_000, max_words: int = 25_000, max_grams: int = 12_000, longest: int = 5) -> LanguageModel:
     rows = df.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(label_col).alias("l"), F.lower(text_col).alias("t"), F.xxhash64(F.col(id_col)).alias("h"))
     total = rows.count()
     if total > max_rows:  # about max_rows rows, chosen by the hash of the id alone
@@ -114,6 +116,10 @@ def predict(df: DataFrame, model: LanguageModel, text_col: str = "text", keep: l
     sent = df.sparkSession.sparkContext.broadcast(model)  # bounded by max_words and max_grams per language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with returned_memory():
+            yield from told(batches)
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         n = len(model.languages)
         index: dict[str, int] = {}

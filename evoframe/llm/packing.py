@@ -24,14 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, returned_memory
 
 #: The pre-token pattern of byte-level BPE vocabularies of this family (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long"
 _SPACED = re.compile(r"\s ")
 _CUT = re.compile(r"(?<=\S)(?= )")
-CACHE = 1_000_000
+CACHE = 500_000
 
 
 def _byte_chars() -> dict[str, int]:
@@ -126,6 +126,10 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 
 def _rows(path: str | Callable[[], str], end_id: int, max_length: int, crc: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with returned_memory():
+            yield from cut(batches)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = CachedEncoder(path if isinstance(path, str) else path())
         for b in batches:
             for s in range(0, b.num_rows, 256):

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, Scratch, mix, text_slices, utf8
+from .common import Rolling, Scratch, mix, returned_memory, text_slices, utf8
 from .induced_sort import SuffixSort
 
 U64 = np.uint64
@@ -155,6 +155,10 @@ def repeated_ranges(df: DataFrame, scratch: Scratch, id_col: str, text_col: str,
     docs = df.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).where("doc is not null and text is not null")
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with returned_memory():
+            yield from anchored(batches)
+
+    def anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_slices(batches, 1):
             anchor, region, row, start, end = anchors(*utf8(b.column(1)), length, gram)
             doc = np.asarray(b.column(0))[row]
@@ -191,6 +195,10 @@ def repeated_ranges(df: DataFrame, scratch: Scratch, id_col: str, text_col: str,
             ranges = repeats(np.array([h[1] for h in held]), np.array([h[2] for h in held]), [h[3] for h in held], length)
             return pa.RecordBatch.from_arrays([pa.array(x) for x in ranges], ["doc", "start", "end"])
 
+        with returned_memory():
+            yield from shards(batches, out)
+
+    def shards(batches: Iterator[pa.RecordBatch], out) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for b in batches:
             for row in zip(*(b.column(i).to_pylist() for i in range(4))):
