@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import chat_format, decontaminate, embedding_dedup, html_extract, language_id, lm_score, ngram_join, packing, sharding, suffix_dedup
 from .common import Scratch
+from .oracles import ORACLE as ORACLE
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
