@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, text_slices, utf8
+from .common import Scratch, returned_memory, text_slices, utf8
 from .ngram_join import word_hashes
 
 U64 = np.uint64
@@ -269,11 +269,18 @@ def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
     return keys[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
-def train(df: DataFrame, text_col: str = "text", shards: int = 64, flush: int = 1 << 21, alpha: float = 0.1, discount: float = 0.75, min_count: int = 2) -> tuple[Model, Scratch]:
-    """A model of all rows of df. `shards` should grow with the corpus: a shard's tokens and pairs are merged in memory."""
+def train(df: DataFrame, text_col: str = "text", shards: int | None = None, flush: int = 1 << 20, alpha: float = 0.1, discount: float = 0.75, min_count: int = 2) -> tuple[Model, Scratch]:
+    """A model of all rows of df. A shard's tokens and pairs are merged in memory, so unless `shards` is given there is
+    one for each 16 MB of text, and 64 at least."""
     scratch = Scratch(df.sparkSession, "lm")
+    if shards is None:
+        shards = max(64, -(-(df.agg(F.sum(F.octet_length(text_col).cast("long"))).first()[0] or 0) // (16 << 20)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with returned_memory():
+            yield from counted(batches)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_w, held_p, size = [], [], 0
 
         def out() -> Iterator[pa.RecordBatch]:
