@@ -66,10 +66,10 @@ def _label(tag: str, attrs: str) -> tuple[str, bool]:
         label, skip = tag, tag in SKIP
         for name, value in ATTR.findall(attrs):
             name, value = name.lower(), value.strip("\"'").lower()
-            words = re.split(r"[^a-z]+", value)
+            names = [re.split(r"[^a-z]+", n) for n in value.split()]
             if name == "class" or name == "id":
                 label += "." + re.sub(r"\d+", "0", value.split(" ")[0] if name == "class" else value)
-                skip |= tag not in ("body", "html", "article", "main") and any(w in SKIP_NAMES for w in words)
+                skip |= tag not in ("body", "html", "article", "main") and any(w in SKIP_NAMES for n in names if n[0] not in ("no", "with", "without", "has") for w in n)
             elif name == "role":
                 skip |= value in SKIP_ROLES
             elif name == "style":
