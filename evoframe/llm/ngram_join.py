@@ -145,11 +145,12 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     copies = scratch.save(real.select("doc", "key1", "key2").join(first, ["key1", "key2"]).where("doc <> rep").select("doc").distinct(), "copies")
     kept = real.select("doc", "n", "prefix").join(sized(copies), "doc", "left_anti")
     cells = kept.select("doc", "n", F.posexplode("prefix").alias("pos", "token")).selectExpr("token", "doc", "shiftleft(n, 32) | pos as np")
-    window = "over (partition by token order by np, doc)"
+    window = "over (partition by token order by shiftright(np, 32), doc)"  # neighbours are the same in all cells of a group
     cells = cells.selectExpr("token", "doc", "np", f"lag(struct(doc, np)) {window} as prev", f"lead(doc) {window} as next", f"first(struct(doc, np)) {window} as head").where("prev is not null or next is not null")
     whole = lambda x: f"named_struct('doc', {x}.doc, 'n', shiftright({x}.np, 32), 'pos', cast({x}.np & 4294967295L as int))"
     cells = cells.selectExpr("token", "doc", "shiftright(np, 32) as n", "cast(np & 4294967295L as int) as pos", f"if(prev is null, null, {whole('prev')}) as prev", f"{whole('head')} as head")
     shared = scratch.save(cells, "shared")
+    most = shared.groupBy("doc").agg(F.count(F.lit(1)).alias("s"))  # no pair meets in more cells than either has
 
     def sized_alike(an: str, bn: str) -> str:
         return f"100 * least({an}, {bn}) >= {percent} * greatest({an}, {bn})"
@@ -190,11 +191,11 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     made = sets(pairs, "sets-1")
     links = scratch.save(verify(pairs, made, percent), "links-1")
     label = scratch.save(connected_components(links, scratch, "cc-1"), "label")
-    placed = shared.select("token", "doc", "n", "pos").join(label.withColumnRenamed("id", "doc"), "doc", "left").withColumn("c", F.coalesce("component", "doc")).drop("component")
+    placed = shared.select("token", "doc", "n", "pos").join(most, "doc").join(label.withColumnRenamed("id", "doc"), "doc", "left").withColumn("c", F.coalesce("component", "doc")).drop("component")
     mixed = placed.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("token")
     mixed = scratch.save(placed.join(mixed, "token", "left_semi"), "mixed")
     x, y = mixed.alias("x"), mixed.alias("y")
-    across = x.join(y, F.expr(f"x.token = y.token and x.doc < y.doc and x.c <> y.c and {sized_alike('x.n', 'y.n')}"))
+    across = x.join(y, F.expr(f"x.token = y.token and x.doc < y.doc and x.c <> y.c and {sized_alike('x.n', 'y.n')} and least(x.s, y.s) >= {least_shared('x.n', 'y.n')}"))
     across = across.groupBy(F.expr("x.doc").alias("a"), F.expr("y.doc").alias("b")).agg(F.count(F.lit(1)).alias("met"), F.max("x.n").alias("an"), F.max("y.n").alias("bn"), F.min("x.pos").alias("ap"), F.min("y.pos").alias("bp"))
     across = across.where(f"met >= {least_shared('an', 'bn')} and {room('an', 'bn', 'ap', 'bp')}").select("a", "b")
     tried = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
