@@ -5,8 +5,9 @@ aligned by simple tree matching and merged into a wrapper that counts, per node,
 own text ever varies. Tasks merge all pages they hold first, so a host of a third of all pages sends one small partial
 wrapper per task. Then each page is aligned to its host's wrapper: nodes whose text is the same on (nearly) every page
 are template, as are subtrees that say so themselves (menus, forms, adverts, comments, ...); the varying slots of the
-content region are the content. The content region is `article` or `main`, or else the node that holds most varying
-text outside links.
+content region are the content. The content region is each page's own: its `article` or `main` elements that have text, or
+else its nodes that align to the host's node of most varying text outside links, or else the page's own part that holds
+most such text. So pages of one host may have different layouts.
 
 Text blocks: character references are decoded, white space inside a block becomes one space, blocks are trimmed, empty
 ones dropped, and the rest joined in page order by one newline.
@@ -204,36 +205,107 @@ def _template(slot: list, pages: int) -> bool:
 
 
 def region(wrapper: list) -> list:
-    """The wrapper nodes that hold the content."""
-    named: list = []
-
-    def find(x: list, names: tuple[str, ...]) -> None:
-        if x[LABEL].split(".")[0] in names:
-            named.append(x)
-        else:
-            for k in x[KIDS]:
-                find(k, names)
-
-    for names in (("article",), ("main",)):
-        find(wrapper, names)
-        if named:
-            return named
+    """The wrapper node that holds the content where pages do not name it: down while one child holds most varying text."""
 
     def mass(x: list) -> int:
-        constant = x[TEXT] is not None and wrapper[PAGES] >= 5 and x[PAGES] >= 0.8 * wrapper[PAGES]
-        return (0 if constant else x[CHARS] - x[LINKED]) + sum(mass(k) for k in x[KIDS])
+        return (0 if _constant(x, wrapper[PAGES]) else x[CHARS] - x[LINKED]) + sum(mass(k) for k in x[KIDS])
 
     total, now = mass(wrapper), wrapper
-    while True:  # down while one child holds most of the varying text
+    while True:
         deeper = [k for k in now[KIDS] if mass(k) >= 0.8 * total > 0 and k[KIDS]]
         if not deeper:
+            return now
+        now = deeper[0]
+
+
+def _constant(slot: list, pages: int) -> bool:
+    return slot[TEXT] is not None and pages >= 5 and slot[PAGES] >= 0.8 * pages
+
+
+def _slots(root: Node, wrapper: list) -> dict[int, list]:
+    """The wrapper node of each node of a page that has one, by the node's id()."""
+    to: dict[int, list] = {}
+
+    def put(node: Node, slot: list) -> None:
+        to[id(node)] = slot
+        runs: list[tuple[str, list[Node]]] = []
+        for c in _kids(node):
+            if runs and runs[-1][0] == c.label:
+                runs[-1][1].append(c)
+            else:
+                runs.append((c.label, [c]))
+        if runs:
+            for i, j in align([shape(r) for r in runs], slot[KIDS]):
+                for c in runs[i][1]:
+                    put(c, slot[KIDS][j])
+
+    put(root, wrapper)
+    return to
+
+
+def _chosen(root: Node, to: dict[int, list], wrapper: list) -> list[Node]:
+    """The nodes of one page that hold its content: its own articles, else its `main`, else what aligns to the host's region, else its own heaviest part."""
+    pages = wrapper[PAGES]
+    weight: dict[int, int] = {}  # characters outside links that the template does not have
+    named: dict[str, list[Node]] = {"article": [], "main": []}
+
+    def weigh(node: Node, linked: bool, within: frozenset) -> int:
+        if node.tag in named and node.tag not in within:  # only the outermost ones
+            named[node.tag].append(node)
+            within |= {node.tag}
+        linked = linked or node.tag == "a"
+        slot = to.get(id(node))
+        n = 0 if linked or slot is not None and _constant(slot, pages) else sum(len(c.strip()) for c in node.children if isinstance(c, str))
+        for c in _kids(node):
+            if c.tag == "header":  # of a header, only headings can be content
+                weight[id(c)] = sum(weigh(h, linked, within) for h in headings(c))
+            else:
+                weigh(c, linked, within)
+            n += weight[id(c)]
+        weight[id(node)] = n
+        return n
+
+    def texts(node: Node) -> bool:
+        own = any(c.strip() for c in node.children if isinstance(c, str))
+        return own or any(any(map(texts, headings(c))) if c.tag == "header" else texts(c) for c in _kids(node))
+
+    weigh(root, False, frozenset())
+    for nodes in named.values():
+        found = [x for x in nodes if texts(x)]
+        if found:
+            return found
+    total = weight[id(root)]
+    if not total:
+        return [root]
+    best = region(wrapper)
+    found = [x for x in _nodes(root) if to.get(id(x)) is best]
+    if sum(weight[id(x)] for x in found) > 0:
+        return found
+    now = root
+    while True:  # down while one part holds most of the text and no text or paragraph stands beside it
+        kids = _kids(now)
+        own = weight[id(now)] - sum(weight[id(c)] for c in kids)
+        deeper = [c for c in kids if c.tag in ("div", "section", "center", "table", "tbody", "tr", "td") and weight[id(c)] >= 0.8 * total]
+        if not deeper or own or any(c.tag in PROSE and c.tag not in ("td", "th") and weight[id(c)] for c in kids):
             return [now]
         now = deeper[0]
 
 
+def _nodes(node: Node) -> Iterator[Node]:
+    yield node
+    for c in _kids(node):
+        if c.tag != "header":
+            yield from _nodes(c)
+
+
+def _kids(node: Node) -> list[Node]:
+    return [c for c in node.children if isinstance(c, Node) and not c.skip]
+
+
 def extract(root: Node, wrapper: list) -> str:
     """The text of the content slots of a page, aligned to its host's wrapper."""
-    content = {id(x) for x in region(wrapper)}
+    to = _slots(root, wrapper)
+    content = {id(x) for x in _chosen(root, to, wrapper)}
     pages = wrapper[PAGES]
     blocks: list[str] = []
     part: list[str] = []
@@ -245,25 +317,13 @@ def extract(root: Node, wrapper: list) -> str:
         part.clear()
 
     def walk(node: Node, slot: list | None, inside: bool, prose: bool) -> None:
-        inside = inside or slot is not None and id(slot) in content
+        inside = inside or id(node) in content
         if slot is not None and not prose and _template(slot, pages):
             return
         prose = prose or node.tag in PROSE and node.tag not in ("article", "main")  # words in a paragraph are its own
         block = node.tag in BLOCK
         if block:
             flush()
-        kids = [c for c in node.children if isinstance(c, Node) and not c.skip]
-        to: dict[int, list] = {}
-        if slot is not None and kids:
-            runs: list[tuple[str, list[Node]]] = []
-            for c in kids:
-                if runs and runs[-1][0] == c.label:
-                    runs[-1][1].append(c)
-                else:
-                    runs.append((c.label, [c]))
-            for i, j in align([shape(r) for r in runs], slot[KIDS]):
-                for c in runs[i][1]:
-                    to[id(c)] = slot[KIDS][j]
         for c in node.children:
             if isinstance(c, str):
                 if inside:

@@ -176,6 +176,18 @@ def test_pages(spark):
     assert html_extract.extract_main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_pages_of_one_host_with_mixed_layouts(spark):
+    says = lambda i: f"<p>Long text number {i} of this page.</p><p>More of {i} follows.</p>"
+    want = lambda i: f"Long text number {i} of this page.\nMore of {i} follows."
+    menu = "<div class=links><a href=x>Home</a></div>"
+    layouts = ["<article>{}</article>", "<main>{}</main>", "<div id=content>{}</div>", "<article></article><div id=text>{}</div>", "<div><div><section><article>{}</article></section></div></div>"]
+    for url in ("http://mixed.example.com/", None, "odd"):
+        rows = [(i, url, f"<body>{menu}{layouts[i % 5].format(says(i))}</body>") for i in range(40)]
+        rows += [(40, url, "plain text &amp; no markup"), (41, url, "<p>only a paragraph"), (42, url, f"<body>{menu}<div id=other><h2>Head</h2>{says(42)}</div>")]
+        got = {r.page_id: r.text for r in html_extract.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+        assert got == {i: want(i) for i in range(40)} | {40: "plain text & no markup", 41: "only a paragraph", 42: "Head\n" + want(42)}
+
+
 # 5
 def test_shards(spark, docs, tmp_path):
     rows, df = docs
