@@ -4,8 +4,8 @@ Each page is parsed to a DOM tree; runs of equal siblings fold into one repeated
 aligned by simple tree matching and merged into a wrapper that counts, per node, the pages that have it and whether its
 own text ever varies. Tasks merge all pages they hold first, so a host of a third of all pages sends one small partial
 wrapper per task. Then each page is aligned to its host's wrapper: nodes whose text is the same on (nearly) every page
-are template, as are subtrees that say so themselves (menus, forms, adverts, comments, ...); the varying slots of the
-content region are the content. The content region is each page's own: its `article` or `main` elements that have text, or
+are template, as are subtrees that say so themselves by element, role, hidden attribute or a whole class or id (menus,
+forms, adverts, comments, ...); the varying slots of the content region are the content. The content region is each page's own: its `article` or `main` elements that have text, or
 else its nodes that align to the host's node of most varying text outside links, or else the page's own part that holds
 most such text. So pages of one host may have different layouts.
 
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*|[^>]*)(?:>|\Z)", re.DOTALL)
-ATTR = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.IGNORECASE)
+ATTR = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 SPACE = re.compile(r"\s+")
 # Element names of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -38,8 +38,9 @@ RAW = frozenset("script style textarea title iframe noembed noframes xmp templat
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
 CLOSES_P = BLOCK - frozenset("body html caption td th tr tbody thead tfoot option optgroup legend".split())
 SKIP = frozenset("head nav footer aside form menu dialog script style title template noscript iframe textarea select button input object svg math canvas audio video noembed noframes xmp label datalist".split())
-# What sites call the parts that are not the article.
-SKIP_NAMES = frozenset("ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion menu nav navbar navigation breadcrumb breadcrumbs pagination pager toolbar topbar header masthead footer sidebar side aside widget widgets related recommended recommendations comment comments disqus respond replies cookie cookies consent gdpr notice notices alert popup modal overlay share sharing social newsletter subscribe subscription signup login search skip hidden".split())
+# What sites call the parts that are not the article, as a whole class or id. Words that articles use of
+# themselves (side, share, search, related, notice, alert, header, skip, hidden, login, promo, ...) are not among them.
+SKIP_NAMES = frozenset("ad ads advert adverts advertisement advertising ad-slot ad-container ad-banner sponsored menu nav navbar navigation main-nav site-nav nav-menu main-menu breadcrumb breadcrumbs pagination pager masthead site-header footer site-footer page-footer sidebar comments comment-list comments-area disqus_thread cookie-notice cookie-banner cookie-consent share-buttons social-share related-posts newsletter-signup".split())
 SKIP_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 PROSE = HEADINGS | frozenset("p li blockquote pre td th dd dt figcaption article main".split())
@@ -67,15 +68,14 @@ def _label(tag: str, attrs: str) -> tuple[str, bool]:
         label, skip = tag, tag in SKIP
         for name, value in ATTR.findall(attrs):
             name, value = name.lower(), value.strip("\"'").lower()
-            names = [re.split(r"[^a-z]+", n) for n in value.split()]
             if name == "class" or name == "id":
                 label += "." + re.sub(r"\d+", "0", value.split(" ")[0] if name == "class" else value)
-                skip |= tag not in ("body", "html", "article", "main") and any(w in SKIP_NAMES for n in names if n[0] not in ("no", "with", "without", "has") for w in n)
+                skip |= tag not in ("body", "html", "article", "main") and any(n in SKIP_NAMES for n in value.split())
             elif name == "role":
                 skip |= value in SKIP_ROLES
             elif name == "style":
                 skip |= bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value))
-            elif name == "hidden" or value == "true":
+            elif name == "hidden" or name == "aria-hidden" and value == "true":
                 skip = True
         got = label, skip
         if len(_labels) > 50_000:

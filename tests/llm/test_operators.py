@@ -188,6 +188,18 @@ def test_pages_of_one_host_with_mixed_layouts(spark):
         assert got == {i: want(i) for i in range(40)} | {40: "plain text & no markup", 41: "only a paragraph", 42: "Head\n" + want(42)}
 
 
+def test_pages_keep_what_only_sounds_like_other_parts():
+    kept = [
+        "<section id='related-work'>{}</section>", "<h2 class='section-header'>{}</h2>", "<div class='side-by-side'>{}</div>", "<table><tr><td class='share-price'>{}</table>", "<p class=notice>{}</p>",
+        "<p><a href='/hidden-valley'>{}</a></p>", "<p title='a hidden gem'>{}</p>", "<p data-hidden=no>{}</p>", "<p data-class='ad'>{}</p>", "<p title='x class=ad'>{}</p>", "<p><a href=/a/hidden>{}</a></p>", "<div class='no-sidebar'>{}</div>",
+    ]
+    gone = ["<p hidden>{}</p>", "<p class=x hidden=''>{}</p>", "<div class='big sidebar'>{}</div>", "<div ID=Comments>{}</div>", "<div aria-hidden=true>{}</div>", "<div role=navigation>{}</div>", "<div class=ad>{}</div>", "<p style='display: none'>{}</p>"]
+    for part in kept + gone:
+        page = html_extract.parse(f"<article><p>before</p>{part.format('these words')}<p>after</p></article>")
+        text = html_extract.extract(page, html_extract.fold(page))
+        assert text.split("\n") == ["before", *["these words"] * (part in kept), "after"], part
+
+
 # 5
 def test_shards(spark, docs, tmp_path):
     rows, df = docs
