@@ -42,3 +42,15 @@ def test_matches_sql(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLE) - {"graph_build_edges", "graph_build_nodes"}))
 def test_runs(spark, name):
     assert registry.QUERIES[name](spark, DATA).count() > 0
+
+
+def test_gram_of_all_components(spark):
+    import numpy as np
+    import pyarrow.parquet as pq
+
+    x = np.array(pq.read_table(f"{DATA}/embeddings.parquet", columns=["embedding"]).column(0).drop_null().to_pylist(), np.float64)
+    got = np.full((x.shape[1],) * 2, np.nan)
+    rows = registry.QUERIES["stats_gram_whole"](spark, DATA).collect()
+    for r in rows:
+        got[r.i, r.j] = r.moment
+    assert x.shape[1] > 8 and len(rows) == got.size and np.allclose(got, x.T @ x / len(x), atol=1e-6)
