@@ -7,7 +7,13 @@ headers and contents are copied into one preallocated buffer; a conversation is
 
 Cases: null text or role is empty; turns sort by turn (null first), then role, then text, so ties and repeated rows have
 a fixed order and all stay; a null conversation id is a conversation of its own; an empty table gives an empty result;
-other columns are ignored. A conversation is one string, so it has to be under 2 GB.
+other columns are ignored.
+
+A conversation of more than `part_bytes` comes as numbered parts, ranges of its turns in order, each in its own row: the
+turns are dealt to tasks by range, so no task holds such a conversation, whatever its size. `part` counts from 0 to
+`parts` - 1, `start` is the code-point offset of the part in the conversation, and joining the parts in order gives the
+whole. Spans count from the start of the conversation. Digests are folded over the parts in order, one part at a time.
+A single turn has to be under 2 GB.
 """
 
 from __future__ import annotations
@@ -18,10 +24,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import utf8
+from .common import Scratch, sized, text_slices, utf8
 
 HEAD, MIDDLE, TAIL = b"### ", b": ", b" </turn>\n"
 FORMATTED = "conv_id long, n_turns long, formatted string, loss_spans array<struct<start: long, length: long>>"
@@ -76,19 +83,17 @@ def _format(table: pa.Table) -> pa.RecordBatch:
     spans = pa.StructArray.from_arrays([pa.array(points[start[spoken]] - points[at[first]][conv]), pa.array(points[end[spoken]] - points[start[spoken]])], ["start", "length"])
     lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(spoken, bounds).astype(np.int32)), spans)
     if at[-1] >= 1 << 31:
-        raise ValueError("a batch of conversations has over 2 GB of formatted text")
+        raise ValueError("a slice of turns has over 2 GB of formatted text")
     text = pa.Array.from_buffers(pa.string(), len(first), [None, pa.py_buffer(at[bounds].astype(np.int32)), pa.py_buffer(out)])
     return pa.RecordBatch.from_arrays([ids.take(pa.array(first)), pa.array(np.diff(bounds)), text, lists], ["conv_id", "n_turns", "formatted", "loss_spans"])
 
 
-def format_conversations(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """conv_id, n_turns, formatted, loss_spans (code-point start and length of each assistant text in `formatted`)."""
+def format_conversations(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", part_bytes: int = 256 << 10) -> DataFrame:
+    """conv_id, n_turns, formatted, loss_spans (code-point start and length of each assistant text), part, parts, start."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in text_slices(batches, 2):
             key = b.column(0)
             same = np.asarray(pa.compute.equal(key.fill_null(0), key[-1].as_py() or 0)) & (np.asarray(key.is_null()) == (not key[-1].is_valid))
             last = b.num_rows - int(np.argmin(same[::-1])) if not same.all() else 0
@@ -100,9 +105,32 @@ def format_conversations(df: DataFrame, conv_col: str = "conv_id", turn_col: str
         if held:
             yield _format(pa.Table.from_batches(held))
 
+    def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = TaskContext.get().partitionId() << 32  # tasks are in the order of the turns
+        for i, b in enumerate(text_slices(batches, 2, part_bytes)):
+            made = _format(pa.Table.from_batches([b]))
+            yield pa.RecordBatch.from_arrays([*made.columns, pa.array(np.full(made.num_rows, place + i))], [*made.schema.names, "place"])
+
     rows = df.select(F.col(conv_col).cast("long").alias("c"), F.col(role_col).alias("r"), F.col(text_col).alias("t"), F.col(turn_col).alias("n"))
-    rows = rows.repartition("c").sortWithinPartitions("c", "n", "r", "t").select("c", "r", "t")
-    return rows.mapInArrow(run, FORMATTED)
+    scratch = Scratch(df.sparkSession, "chat")
+    bytes_ = [F.coalesce(F.octet_length(x), F.lit(0)).cast("long") for x in ("r", "t")]
+    hot = scratch.save(rows.groupBy("c").agg(F.sum(bytes_[0] + bytes_[1] + 16).alias("size")).where(F.col("size") > part_bytes).select(F.col("c").alias("hot")), "hot")
+    split = not hot.isEmpty()
+    cold = rows.join(sized(hot), F.col("c").eqNullSafe(F.col("hot")), "left_anti") if split else rows
+    cold = cold.repartition("c").sortWithinPartitions("c", "n", "r", "t").select("c", "r", "t").mapInArrow(run, FORMATTED)
+    cold = cold.withColumns({"part": F.lit(0).cast("long"), "parts": F.lit(1).cast("long"), "start": F.lit(0).cast("long")})
+    if not split:
+        return cold
+    # The beginning of a text is enough to deal by, and agrees with the order of the whole.
+    warm = rows.join(sized(hot), F.col("c").eqNullSafe(F.col("hot")), "left_semi").repartitionByRange("c", "n", "r", F.substring("t", 1, 64))
+    made = scratch.save(warm.sortWithinPartitions("c", "n", "r", "t").select("c", "r", "t").mapInArrow(ranges, f"{FORMATTED}, place long"), "parts")
+    own = Window.partitionBy("id")
+    order = own.orderBy("place")
+    at = made.select(F.col("conv_id").alias("id"), "place", F.length("formatted").cast("long").alias("size"))
+    at = at.select("id", F.col("place").alias("at"), (F.row_number().over(order) - 1).cast("long").alias("part"), F.count(F.lit(1)).over(own).alias("parts"), (F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")).alias("start"))
+    placed = made.join(sized(scratch.save(at, "places")), F.col("conv_id").eqNullSafe(F.col("id")) & (F.col("place") == F.col("at")))
+    spans = F.transform("loss_spans", lambda x: F.struct((x["start"] + F.col("start")).alias("start"), x["length"].alias("length")))
+    return cold.unionByName(placed.select("conv_id", "n_turns", "formatted", spans.alias("loss_spans"), "part", "parts", "start"))
 
 
 _TURN = re.compile(r"### ((?:[^\\:]|\\.)*): (.*)", re.DOTALL)
@@ -126,19 +154,26 @@ def digest_conversations(formatted: DataFrame) -> DataFrame:
     """What can be read back from format_conversations()'s output: turns and the text under the loss mask."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turns, loss, n, read, size = hashlib.sha256(), hashlib.sha256(), 0, 0, 0
         for b in batches:
             rows = []
-            for text, spans in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-                turns, loss, n = hashlib.sha256(), hashlib.sha256(), 0
-                read = parse(text)
-                for role, said in read:
+            for conv, text, spans, part, parts, start in zip(*(b.column(i) for i in range(6))):
+                text, start = text.as_py(), start.as_py()
+                for role, said in parse(text):
                     turns.update(f"{role}\n{said}\n".encode())
-                for s in spans:
-                    said = unescape(text[s["start"] : s["start"] + s["length"]])
+                    read += 1
+                for s in spans.as_py():
+                    said = unescape(text[s["start"] - start : s["start"] - start + s["length"]])
                     loss.update(said.encode())
                     n += len(said)
-                rows.append((len(read), turns.hexdigest(), n, loss.hexdigest(), len(text)))
-            columns = list(zip(*rows)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())))], ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
-
-    return formatted.select("conv_id", "formatted", "loss_spans").mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+                size += len(text)
+                if part.as_py() + 1 == parts.as_py():  # the parts before have been added
+                    rows.append((conv.as_py(), read, turns.hexdigest(), n, loss.hexdigest(), size))
+                    turns, loss, n, read, size = hashlib.sha256(), hashlib.sha256(), 0, 0, 0
+            columns = list(zip(*rows)) or [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()))], ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
+
+    rows = formatted.select("conv_id", "formatted", "loss_spans", "part", "parts", "start")
+    several = rows.where("parts > 1").repartition("conv_id").sortWithinPartitions("conv_id", "part")
+    schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+    return rows.where("parts = 1").mapInArrow(run, schema).unionByName(several.mapInArrow(run, schema))

@@ -156,6 +156,27 @@ def test_chat(spark):
     assert chat_format.format_conversations(df.limit(0)).count() == 0
 
 
+def test_chat_in_parts(spark):
+    r = random.Random(3)
+    rows = [(c, r.choice([None, *range(40)]), r.choice(["user", "assistant", None]), "".join(r.choice("aé\\#<: \n") for _ in range(r.randint(0, 90)))) for c in (None, 7, 8) for _ in range(150)]
+    rows += [(7, 3, "assistant", "same é")] * 60 + [(9, 0, "user", "short"), (10, 0, "assistant", "x" * 5000)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+    whole = {r.conv_id: r for r in chat_format.format_conversations(df).collect()}
+    made = chat_format.format_conversations(df, part_bytes=700)
+    parts = {}
+    for r in made.collect():
+        parts.setdefault(r.conv_id, []).append(r)
+    assert len(whole) == 5 and len(parts) == 5 and len(parts[9]) == 1 and all(len(parts[c]) > 8 for c in (None, 7, 8))
+    assert all(len(r.formatted.encode()) < 5000 for c in (None, 7, 8) for r in parts[c])  # bounded, however long the conversation
+    for c, own in parts.items():
+        own.sort(key=lambda r: r.part)
+        assert [r.part for r in own] == list(range(own[0].parts)) and sum(r.n_turns for r in own) == whole[c].n_turns
+        assert "".join(r.formatted for r in own) == whole[c].formatted and [s for r in own for s in r.loss_spans] == whole[c].loss_spans
+        assert all(whole[c].formatted[r.start :].startswith(r.formatted) for r in own)
+    key = lambda d: sorted(map(str, chat_format.digest_conversations(d).collect()))
+    assert key(made) == key(chat_format.format_conversations(df))
+
+
 # 4
 PAGE = """<html><head><title>T</title><style>p{{}}</style></head><body><header>Site</header><nav><ul><li><a href=x>{a}</a></ul></nav>
 <div class="ad">{b}</div><article><header><h1>{t}</h1><span>by me</span></header><p>One &amp; {t}<br>two<p>  {b}  <b>bold</b> text
