@@ -1,10 +1,11 @@
-"""Suffix sorting by induction with disk-backed queues.
+"""Suffix sorting by induction, in memory but for its text and queues.
 
 In an alphabet of bytes the priority queue of external induced sorting, keyed by (first character, order of arrival), is
 one first-in-first-out queue per character: induction reaches characters in order and appends in order. Each entry is a
 suffix and its common-prefix value with the entry before it; entries move in whole arrays, and beyond a memory budget a
 queue's arrays go to an unnamed file of the task (private scratch: it has no name, no other task reads it, and it ends
-with the task). Text, types and results beyond the budget are memory-mapped from such files.
+with the task). A text beyond a quarter of the budget is memory-mapped from such a file. Types, run lengths, rolling
+hashes and results are plain arrays in memory, in proportion to the text: the caller bounds them by the size of its shards.
 
 Common-prefix values are induced too: two entries of one queue that come from sources u < v share one character more
 than the minimum over the sources in (u, v]. They stop at `cap`, the length that the caller asks about.
@@ -22,7 +23,7 @@ import numpy as np
 
 from .common import BYTE, Rolling, mix
 
-#: Bytes that one sort holds in memory before arrays and queues go to disk.
+#: Bytes that the queues of one sort hold in memory before they go to disk.
 BUDGET = 96 << 20
 
 

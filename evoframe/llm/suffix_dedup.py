@@ -9,9 +9,11 @@ text) is removed. Strings never cross texts and are judged on the input.
 2. Of equal regions (one more hash) all but the first are removed whole; each task does so with its own texts first, so a
    region of a third of all texts is one row per slice of text. Where an anchor has different regions, one of each kind
    goes on with its bytes.
-3. Shards of such regions, cut between anchors, are suffix-sorted by external induced sorting (see induced_sort), and
-   runs of suffixes whose common prefixes reach `length` give the strings that occur twice; all but the earliest
-   occurrence are removed.
+3. Shards of such regions, cut between anchors, are suffix-sorted by induced sorting (see induced_sort), and runs of
+   suffixes whose common prefixes reach `length` give the strings that occur twice; all but the earliest occurrence are
+   removed. The regions of an anchor that has more than `shard_bytes` of them are not held: slice by slice, their strings
+   are hashed (two hashes of 64 bits), the first of each kind goes to unnamed task-private files by hash, and each file
+   is settled alone. So a task holds two shards at most, however common an anchor is.
 
 Cases: a null text is empty; a text shorter than `length` loses nothing; a row with a null id loses nothing and removes
 nothing; ids are taken to be unique (rows that share one lose the same ranges); an empty table gives an empty result; a
@@ -21,6 +23,7 @@ character of which a byte is removed leaves the string output; other columns pas
 from __future__ import annotations
 
 import hashlib
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -110,6 +113,65 @@ def repeats(docs: np.ndarray, starts: np.ndarray, regions: list[bytes], length:
     return _merge(doc[later], start[later], start[later] + length)
 
 
+class Strings:
+    """The later occurrences of all strings of `length` bytes in regions that come slice by slice; memory is bounded by `most`."""
+
+    KIND = np.dtype([("a", U64), ("b", U64), ("doc", np.int64), ("start", np.int64)])
+
+    def __init__(self, length: int, most: int, shift: int = 56):
+        self.length, self.most, self.shift = length, most, shift
+        self.files: dict[int, object] = {}
+
+    def add(self, docs: np.ndarray, starts: np.ndarray, regions: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ranges of strings that start earlier in this same slice; the others are kept for settle()."""
+        size = np.array([len(r) for r in regions], np.int64)
+        data, n = np.frombuffer(b"".join(regions), np.uint8), np.maximum(size - self.length + 1, 0)
+        row = np.repeat(np.arange(len(size)), n)
+        inner = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+        pos = (np.cumsum(size) - size)[row] + inner
+        found = np.empty(len(row), self.KIND)
+        for name, bytes_ in (("a", data), ("b", data ^ np.uint8(0x5A))):
+            found[name] = Rolling(bytes_).spans(pos, pos + self.length)
+        found["doc"], found["start"] = docs[row], starts[row] + inner
+        first, later = self._split(found)
+        self._put(first)
+        return later
+
+    def _split(self, found: np.ndarray) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        found = found[np.lexsort((found["start"], found["doc"], found["b"], found["a"]))]
+        new = np.ones(len(found), bool)
+        new[1:] = (found["a"][1:] != found["a"][:-1]) | (found["b"][1:] != found["b"][:-1])
+        head = found[np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))]
+        later = found[(found["doc"] != head["doc"]) | (found["start"] != head["start"])]
+        return found[new], _merge(later["doc"], later["start"], later["start"] + self.length)
+
+    def _put(self, first: np.ndarray) -> None:
+        part = ((first["a"] >> U64(self.shift)) & U64(255)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        cuts = np.searchsorted(part[order], np.arange(257))
+        for k in range(256):
+            if cuts[k + 1] > cuts[k]:
+                if k not in self.files:
+                    self.files[k] = tempfile.TemporaryFile()
+                self.files[k].write(first[order[cuts[k] : cuts[k + 1]]].tobytes())
+
+    def settle(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Ranges of the rest, file by file; a file that is too large is dealt again by more bits of the hash."""
+        for k in list(self.files):
+            with self.files.pop(k) as file:
+                large = file.tell() > self.most and self.shift >= 8
+                file.seek(0)
+                if not large:
+                    yield self._split(np.frombuffer(file.read(), self.KIND))[1]
+                    continue
+                deeper = Strings(self.length, self.most, self.shift - 8)
+                while raw := file.read(max(self.most // self.KIND.itemsize, 1) * self.KIND.itemsize):
+                    first, later = self._split(np.frombuffer(raw, self.KIND))
+                    deeper._put(first)
+                    yield later
+            yield from deeper.settle()
+
+
 def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by anchor, region, doc, start: later rows of a region (kind 0) and the regions of an anchor with several (kind 1).
 
@@ -150,6 +212,42 @@ def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(anchor[rows]), *(pa.array(c[rows]) for c in cols[2:]), pa.array(np.full(len(rows), kind, np.int32))], ["anchor", "doc", "start", "end", "kind"])
 
 
+def sort_shards(rows: Iterator[tuple], length: int, shard_bytes: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The ranges of repeats in rows (anchor, doc, start, region) that are sorted by anchor."""
+
+    def columns(part: list[tuple]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+        return np.array([h[1] for h in part], np.int64), np.array([h[2] for h in part], np.int64), [h[3] for h in part]
+
+    held, size, first, own, hot = [], 0, 0, 0, None  # own: bytes of the last anchor's regions, which begin at held[first]
+    for row in rows:
+        if held and row[0] != held[-1][0]:
+            if hot is not None:
+                yield hot.add(*columns(held))
+                yield from hot.settle()
+                held, size, hot = [], 0, None
+            elif size > shard_bytes:  # a shard ends between anchors
+                yield repeats(*columns(held), length)
+                held, size = [], 0
+            first, own = len(held), 0
+        elif own > shard_bytes:
+            if hot is None:
+                if first:
+                    yield repeats(*columns(held[:first]), length)
+                hot = Strings(length, 4 * shard_bytes)
+            # one row stays, so that the next can be compared with it
+            yield hot.add(*columns(held[first:-1]))
+            held, first = held[-1:], 0
+            size = own = len(held[0][3])
+        held.append(row)
+        size += len(row[3])
+        own += len(row[3])
+    if hot is not None:
+        yield hot.add(*columns(held))
+        yield from hot.settle()
+    elif held:
+        yield repeats(*columns(held), length)
+
+
 def repeated_ranges(df: DataFrame, scratch: Scratch, id_col: str, text_col: str, length: int, gram: int, shard_bytes: int) -> DataFrame:
     """(doc, ranges array<struct<start, end>>): the ranges to remove; they may overlap."""
     docs = df.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).where("doc is not null and text is not null")
@@ -191,24 +289,13 @@ def repeated_ranges(df: DataFrame, scratch: Scratch, id_col: str, text_col: str,
                     yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(d, pa.int64()), pa.array(i, pa.int64()), pa.array(raw, pa.binary())], ["anchor", "doc", "start", "raw"])
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(held):
-            ranges = repeats(np.array([h[1] for h in held]), np.array([h[2] for h in held]), [h[3] for h in held], length)
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in ranges], ["doc", "start", "end"])
-
         with returned_memory():
-            yield from shards(batches, out)
+            for found in sort_shards(zipped(batches), length, shard_bytes):
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["doc", "start", "end"])
 
-    def shards(batches: Iterator[pa.RecordBatch], out) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+    def zipped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for b in batches:
-            for row in zip(*(b.column(i).to_pylist() for i in range(4))):
-                if size > shard_bytes and row[0] != held[-1][0]:  # a shard ends between anchors
-                    yield out(held)
-                    held, size = [], 0
-                held.append(row)
-                size += len(row[3])
-        if held:
-            yield out(held)
+            yield from zip(*(b.column(i).to_pylist() for i in range(4)))
 
     fetched = docs.join(wanted, "doc").select("doc", "text", "wanted").mapInArrow(fetch, "anchor long, doc long, start long, raw binary")
     sorted_ = fetched.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(sort, "doc long, start long, end long")

@@ -138,6 +138,43 @@ def test_repeats(spark, docs, length, gram, shard):
     assert suffix_dedup.remove_repeats(df.limit(0), digest=True).count() == 0
 
 
+def test_an_anchor_beyond_a_shard():
+    import tracemalloc
+
+    r = random.Random(2)
+    line, shard = b"x" * 5 + b"the licence of this page" + b"y" * 5, 1 << 15
+    near = lambda: b"".join(r.choice([b"ab", b"cd"]) for _ in range(4))
+
+    def rows(n, hot):
+        made = [(5, d, 7, near() + bytes(r.choices(b"pq", k=2)) + line + near()) for d in range(n if hot else 40)]
+        return [(1, d, 0, b"z" * 45) for d in range(5)] + made + [(9, d, 90, near() * 5) for d in range(60)]
+
+    def brute(given, length):
+        first, out = {}, set()
+        for anchor, d, s, raw in sorted(given, key=lambda x: (x[1], x[2])):
+            for k in range(len(raw) - length + 1):
+                w = raw[k : k + length]
+                if first.setdefault((anchor, w), (d, s + k)) != (d, s + k):
+                    out |= {(d, s + j) for j in range(k, k + length)}
+        return out
+
+    covered = lambda found: {(d, j) for part in found for d, s, e in zip(*(x.tolist() for x in part)) for j in range(s, e)}
+    for n, size in ((400, 300), (400, 2000), (3000, 900)):
+        given = rows(n, True)
+        assert covered(suffix_dedup.sort_shards(iter(given), 30, size)) == brute(given, 30)
+    settled = suffix_dedup.Strings(30, 64)  # files that are dealt again
+    assert covered([settled.add(*(np.array([x[i] for x in given]) for i in (1, 2)), [x[3] for x in given]), *settled.settle()]) >= brute(given, 30)
+    peak = {}
+    for times in (2, 16):  # the memory does not grow with the anchor
+        data = ((5, d, 7, r.randbytes(70) + line + r.randbytes(70)) for d in range(times * shard // 170))
+        tracemalloc.start()
+        for _ in suffix_dedup.sort_shards(data, 100, shard):
+            pass
+        peak[times] = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+    assert peak[16] < 1.5 * peak[2], peak
+
+
 # 3
 def test_chat(spark):
     said = "\\### Assistant: </turn> ok"
