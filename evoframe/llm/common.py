@@ -5,10 +5,12 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import functools
 import gc
+import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,18 +19,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
+Task = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 #: Bytes of text that a kernel handles at once; arrays of eight bytes for each stay small.
 SLICE_BYTES = 2 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one if that is unset (tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder all executors share: spark.checkpoint.dir. Unset, a session of one process (tests) gets a temporary one;
+    a cluster has to name one, as its machines do not see one another's temporary folders."""
+    context = spark.sparkContext
+    path = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not path:
-        made = spark.sparkContext.getCheckpointDir()
-        path = made or "file://" + tempfile.mkdtemp(prefix="evoframe-")
-        if not made:
-            spark.sparkContext.setCheckpointDir(path)
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir is not set: intermediate tables need a folder that all executors share")
+        path = "file://" + tempfile.mkdtemp(prefix="evoframe-")
+        context.setCheckpointDir(path)
     return path
 
 
@@ -38,11 +43,23 @@ def returned_memory() -> Iterator[None]:
     try:
         yield
     finally:
+        _powers.clear()
         gc.collect()
         with contextlib.suppress(OSError, AttributeError):
             ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
+def returning(task: Task) -> Task:
+    """A task function for mapInArrow that gives its memory back at its end."""
+
+    @functools.wraps(task)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with returned_memory():
+            yield from task(batches)
+
+    return run
+
+
 class Scratch:
     """Parquet tables in the shared folder; they cut lineage and survive lost executors."""
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, Scratch, connected_components, mix, sized, text_slices, utf8
+from .common import Rolling, Scratch, connected_components, mix, returning, sized, text_slices, utf8
 
 U64 = np.uint64
 TOP = U64(1 << 63)
@@ -112,7 +112,7 @@ def frequent(texts: DataFrame, k: int, most: int, least: int = 3, flush: int = 2
         if held:
             yield out(held)
 
-    found = texts.mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(most).toArrow()
+    found = texts.mapInArrow(returning(count), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(most).toArrow()
     token = found.column("token").to_numpy().view(U64)
     order = np.argsort(token)
     return token[order], order.astype(U64)
@@ -138,7 +138,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
             prefix = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(parts).view(np.int64)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s.key1.view(np.int64)), pa.array(s.key2.view(np.int64)), pa.array(size), prefix], ["doc", "key1", "key2", "n", "prefix"])
 
-    signed = scratch.save(docs.mapInArrow(sign, "doc long, key1 long, key2 long, n long, prefix array<long>"), "signed")
+    signed = scratch.save(docs.mapInArrow(returning(sign), "doc long, key1 long, key2 long, n long, prefix array<long>"), "signed")
     real = signed.where("n > 0 and doc is not null")
     first = scratch.save(real.groupBy("key1", "key2").agg(F.min("doc").alias("rep")), "first")
     # texts and prefixes stay where they are while the ids that choose among them can be sent to every task
@@ -150,8 +150,6 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     whole = lambda x: f"named_struct('doc', {x}.doc, 'n', shiftright({x}.np, 32), 'pos', cast({x}.np & 4294967295L as int))"
     cells = cells.selectExpr("token", "doc", "shiftright(np, 32) as n", "cast(np & 4294967295L as int) as pos", f"if(prev is null, null, {whole('prev')}) as prev", f"{whole('head')} as head")
     shared = scratch.save(cells, "shared")
-    most = shared.groupBy("doc").agg(F.count(F.lit(1)).alias("s"))  # no pair meets in more cells than either has
-
     def sized_alike(an: str, bn: str) -> str:
         return f"100 * least({an}, {bn}) >= {percent} * greatest({an}, {bn})"
 
@@ -185,13 +183,16 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
         if have is not None:
             wanted = wanted.join(have.select("doc"), "doc", "left_anti")
         wanted = scratch.save(wanted, f"{name}-ids")
-        made = scratch.save(docs.join(sized(wanted), "doc", "left_semi").mapInArrow(run, "doc long, set binary"), name)
+        made = scratch.save(docs.join(sized(wanted), "doc", "left_semi").mapInArrow(returning(run), "doc long, set binary"), name)
         return made if have is None else made.unionByName(have)
 
     made = sets(pairs, "sets-1")
     links = scratch.save(verify(pairs, made, percent), "links-1")
     label = scratch.save(connected_components(links, scratch, "cc-1"), "label")
-    placed = shared.select("token", "doc", "n", "pos").join(most, "doc").join(label.withColumnRenamed("id", "doc"), "doc", "left").withColumn("c", F.coalesce("component", "doc")).drop("component")
+    # per document its component and in how many cells it is: no pair meets in more cells than either is in
+    about = shared.groupBy("doc").agg(F.count(F.lit(1)).alias("s")).join(label.withColumnRenamed("id", "doc"), "doc", "left")
+    about = scratch.save(about.select("doc", "s", F.coalesce("component", "doc").alias("c")), "about")
+    placed = shared.select("token", "doc", "n", "pos").join(about, "doc")
     mixed = placed.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("token")
     mixed = scratch.save(placed.join(mixed, "token", "left_semi"), "mixed")
     x, y = mixed.alias("x"), mixed.alias("y")
@@ -214,34 +215,48 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def verify(pairs: DataFrame, sets: DataFrame, percent: int, salts: int = 16) -> DataFrame:
     """The pairs (a, b) that link: for each a, its partners' trie is walked with a's set."""
     dealt = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(salts)).cast("int"))  # a hub's partners go to several tasks
-    partners = dealt.join(sets.withColumnRenamed("doc", "b"), "b").select("a", "salt", F.lit(1).alias("role"), "b", "set")
-    leaders = dealt.select("a", "salt").distinct().join(sets.withColumnRenamed("doc", "a").dropDuplicates(["a"]), "a").select("a", "salt", F.lit(0).alias("role"), F.col("a").alias("b"), "set")
-    rows = partners.unionByName(leaders).repartition("a", "salt").sortWithinPartitions("a", "salt", "role", "set")
+    # the walks that a set takes part in: as the leader (role 0) or as a partner (role 1); a set moves once for each
+    walks = dealt.selectExpr("b as doc", "a", "salt", "1 as role").unionByName(dealt.selectExpr("a as doc", "a", "salt", "0 as role").distinct())
+    rows = walks.join(sets, "doc").repartition("a", "salt").select("a", "salt", "role", "doc", "set").sortWithinPartitions("a", "salt", "role", "set")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = path = overlap = None
+        walk, trees = None, []  # of the leader, or of each of its texts where rows share its id
         for b in batches:
-            found_a, found_b = [], []
-            for a, role, other, raw in zip(*(b.column(i).to_pylist() for i in (0, 2, 3, 4))):
-                tokens = np.frombuffer(raw, ">u8").astype(U64)
+            found: list[tuple[int, int]] = []
+            raw, at = utf8(b.column(4))
+            for i, (a, salt, role, other) in enumerate(zip(*(b.column(c).to_pylist() for c in range(4)))):
+                tokens = raw[at[i] : at[i + 1]].view(">u8").astype(U64)
+                if (a, salt) != walk:
+                    walk, trees = (a, salt), []
                 if role == 0:
-                    own, path, overlap = tokens, tokens[:0], np.zeros(1, np.int64)
-                    continue
-                need = -(-percent * (len(own) + len(tokens)) // (100 + percent))
-                m = min(len(path), len(tokens))
-                differ = path[:m] != tokens[:m]
-                shared = int(differ.argmax()) if differ.any() else m  # the depth where the walk leaves the last path
-                so_far = int(overlap[shared])
-                left = len(own) - int(np.searchsorted(own, tokens[shared - 1], "right")) if shared else len(own)
-                if so_far + min(len(tokens) - shared, left) < need:
-                    path, overlap = tokens[:shared], overlap[: shared + 1]
-                    continue
-                rest = tokens[shared:]
-                at = np.minimum(np.searchsorted(own, rest), len(own) - 1)
-                overlap = np.concatenate([overlap[: shared + 1], so_far + np.cumsum(own[at] == rest)])
-                path = tokens
-                if overlap[-1] >= need:
-                    found_a.append(a), found_b.append(other)
-            yield pa.RecordBatch.from_arrays([pa.array(found_a, pa.int64()), pa.array(found_b, pa.int64())], ["a", "b"])
-
-    return rows.mapInArrow(run, "a long, b long")
+                    trees.append(_Walk(tokens, percent))
+                elif any([t.links(tokens) for t in trees]):
+                    found.append((a, other))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    return rows.mapInArrow(returning(run), "a long, b long")
+
+
+class _Walk:
+    """A depth-first walk over the trie of a leader's partners, with the overlap at each node of the path."""
+
+    def __init__(self, own: np.ndarray, percent: int):
+        self.own, self.percent = own, percent
+        self.path, self.overlap = own[:0], np.zeros(1, np.int64)
+
+    def links(self, tokens: np.ndarray) -> bool:
+        own = self.own
+        need = -(-self.percent * (len(own) + len(tokens)) // (100 + self.percent))
+        m = min(len(self.path), len(tokens))
+        differ = self.path[:m] != tokens[:m]
+        shared = int(differ.argmax()) if differ.any() else m  # the depth where the walk leaves the last path
+        so_far = int(self.overlap[shared])
+        left = len(own) - int(np.searchsorted(own, tokens[shared - 1], "right")) if shared else len(own)
+        if so_far + min(len(tokens) - shared, left) < need:
+            self.path, self.overlap = tokens[:shared], self.overlap[: shared + 1]
+            return False
+        rest = tokens[shared:]
+        at = np.minimum(np.searchsorted(own, rest), len(own) - 1)
+        self.overlap = np.concatenate([self.overlap[: shared + 1], so_far + np.cumsum(own[at] == rest)])
+        self.path = tokens
+        return int(self.overlap[-1]) >= need
