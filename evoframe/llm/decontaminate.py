@@ -7,21 +7,23 @@ extended: all windows around it are compared word by word, and words in equal wi
 than a window are one window, found by their whole hash.
 
 Fingerprints of the corpus are only exploded and probed, never shuffled, while the items' side is under `broadcast_rows`
-rows; beyond that the join shuffles both sides.
+rows; beyond that the join shuffles both sides. Each hit is one row with the words around it, whatever the number of items
+that have it, and the hit words of a document are the union of ranges in order.
 
 A fingerprint is one long: 34 bits of hash over 30 bits of word position.
 
 Cases: null text has no words; an item without words, or a null item id, never occurs; equal items each count; a row
-with a null id is never hit; rows that share an id get the union of their hits; an empty table gives an empty result;
-other columns are ignored.
+with a null id is never hit; rows that share an id get the union of their hits; very long texts are one row of words each,
+with at most one fingerprint a word; among equal hashes the leftmost counts; an empty table gives an empty result; other
+columns, of whatever names, are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, sized
 
 BITS = 30
 LOW = (1 << BITS) - 1
@@ -54,21 +56,28 @@ def _prints(gram: int, window: int) -> str:
     return f"if(size(w) >= {window}, {_bind(grams, 'h', each)}, cast(array() as array<bigint>))"
 
 
-WORDS = _bind(f"split(lower(coalesce(text, '')), r'{BREAK}')", "s", "slice(s, if(s[0] = '', 2, 1), greatest(size(s) - if(s[0] = '', 1, 0) - if(element_at(s, -1) = '', 1, 0), 0))")
+def _split(text: str) -> str:
+    """The words of a text expression, as words()."""
+    return _bind(f"split({text}, r'{BREAK}')", "s", "slice(s, if(s[0] = '', 2, 1), greatest(size(s) - if(s[0] = '', 1, 0) - if(element_at(s, -1) = '', 1, 0), 0))")
+
+
+#: Words for hashing. A capital sigma's lower case depends on what stands around it, so it is replaced first: then equal words
+#: with A-Z lowered are equal here. Different words may be too; the extension compares words as they are with A-Z lowered.
+WORDS = _split("lower(replace(coalesce(text, ''), 'Σ', 'σ'))")
+AS_THEY_STAND = _split("coalesce(text, '')")
 
 
 def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = 10, gram: int = 5, broadcast_rows: int = 100_000) -> DataFrame:
     """One row per row of docs: id_col, n_words, n_hit, n_items, items (sorted item ids as strings), contaminated."""
     scratch = Scratch(docs.sparkSession, "winnowing")
-    prints = _prints(gram, window)
-    # Fingerprints are made of fully lower-cased words: words equal with A-Z lowered are equal there too.
+    prints, back = _prints(gram, window), window - gram
     test = items.select(F.col(item_col).cast("string").alias("item"), F.col(item_text).alias("text")).where("item is not null and text is not null")
     test = scratch.save(test.withColumn("plain", F.transform(words(F.col("text")), lambda x: F.translate(x, UPPER, LOWER))).where("size(plain) > 0"), "items")
     short = sorted(r.n for r in test.select(F.size("plain").alias("n")).where(f"n < {window}").distinct().collect())  # at most window - 1 numbers
     whole = f"case {' '.join(f'when size(w) = {m} then array({_hash('0', m)})' for m in range(1, window))} else {prints} end"
-    side = test.select("item", F.size("plain").alias("m"), F.explode(F.expr(_bind(WORDS, "w", whole))).alias("f"))
-    size = F.least("m", F.lit(window))
-    side = scratch.save(side.select("item", F.expr(f"cast(f & {LOW}L as int)").alias("j"), F.expr(f"shiftright(f, {BITS})").alias("key"), F.when(F.col("m") < window, F.col("m")).otherwise(0).alias("kind"), size.alias("m")), "side")
+    # an item's fingerprint with the item's words that windows around it can have; kind is the size of a short item, else 0
+    side = test.select("item", "plain", F.explode(F.expr(_bind(WORDS, "w", whole))).alias("f")).selectExpr("item", "plain", f"cast(f & {LOW}L as int) as j", f"shiftright(f, {BITS}) as key", f"if(size(plain) < {window}, size(plain), 0) as kind")
+    side = scratch.save(side.selectExpr("item", "kind", "key", "j", f"greatest(j - {back}, 0) as first", f"slice(plain, greatest(j - {back}, 0) + 1, j - greatest(j - {back}, 0) + {window}) as theirs"), "side")
 
     corpus = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
     # per document: the number of words (kind -1), fingerprints (0) and, for short items of m words, all hashes of m words (m)
@@ -79,29 +88,31 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     else:
         rows = corpus.select("doc", F.expr(f"posexplode({_bind(WORDS, 'w', f'concat(array(cast(size(w) as bigint)), {prints})')}) as (p, v)")).select("doc", F.expr("if(p = 0, -1, 0)").alias("kind"), "v")
     few = side.limit(broadcast_rows + 1).count() <= broadcast_rows
-    keyed = side.select("item", "j", F.col("key").alias("k"), F.col("kind").alias("item_kind"))
-    found = rows.join(F.broadcast(keyed) if few else keyed, F.expr(f"kind = item_kind and shiftright(v, {BITS}) = k"), "left").where("kind = -1 or item is not null")
-    found = scratch.save(found.select("doc", "kind", F.expr(f"if(kind = -1, v, v & {LOW}L)").cast("int").alias("i"), "item", "j"), "found")
+    keys = side.selectExpr("key as k", "kind as item_kind").distinct()
+    # the rows of kind -1 meet nothing; a key of their own keeps them from meeting in one task where this is shuffled
+    rows = rows.withColumn("key", F.expr(f"if(kind = -1, xxhash64(doc, v), shiftright(v, {BITS}))"))
+    found = rows.join(F.broadcast(keys) if few else keys, F.expr("kind = item_kind and key = k"), "left").where("kind = -1 or k is not null")
+    found = scratch.save(found.selectExpr("doc", "kind", f"cast(if(kind = -1, v, v & {LOW}L) as int) as i", "key"), "found")
     counts = found.where("kind = -1").select(F.col("doc").alias(id_col), F.col("i").cast("long").alias("n_words"))
 
-    # extension: the words around each hit against the item's
-    hits = found.where("kind >= 0 and doc is not null").groupBy("doc").agg(F.collect_set(F.struct("kind", "i", "item", "j")).alias("hits"))
-    back = window - gram
-    near = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).where("text is not null").join(hits, "doc")
+    # extension: the words around each hit against the items'; a document's hits are at most its words for each kind
+    hits = found.where("kind >= 0 and doc is not null")
+    near = corpus.where("text is not null").join(sized(scratch.save(hits.select("doc").distinct(), "hit-docs")), "doc", "left_semi")
+    near = near.join(hits.groupBy("doc").agg(F.collect_set(F.struct("kind", "i", "key")).alias("hits")), "doc")
     part = f"slice(w, greatest(x.i - {back}, 0) + 1, x.i - greatest(x.i - {back}, 0) + {window})"
-    cut = f"transform(hits, x -> struct(x.kind as kind, x.item as item, x.j as j, x.i as i, greatest(x.i - {back}, 0) as low, {part} as part))"
-    near = near.select("doc", F.expr(f"inline({_bind(WORDS.replace('lower(', '('), 'w', cut)})"))
-    near = near.withColumn("part", F.transform("part", lambda x: F.translate(x, UPPER, LOWER)))
-    plain = test.select("item", "plain")
-    pairs = near.join(F.broadcast(plain) if few else plain, "item")
-    # start s of a window in the item, and p = i - j + s in the document
-    spans = pairs.select("doc", "item", F.expr(
-        f"if(kind > 0, if(slice(part, i - low + 1, kind) = plain, array(struct(i as p, kind as n)), array()),"
-        f" transform(filter(sequence(greatest(j - {back}, 0), j), s -> s + {window} <= size(plain) and i - j + s >= low and i - j + s + {window} <= low + size(part)"
-        f" and slice(part, i - j + s - low + 1, {window}) = slice(plain, s + 1, {window})), s -> struct(i - j + s as p, {window} as n)))"
-    ).alias("spans")).where("size(spans) > 0")
-    each = spans.groupBy("doc").agg(F.flatten(F.collect_set("spans")).alias("spans"), F.collect_set("item").alias("items"))
-    hit = each.select(F.col("doc").alias(id_col), F.size(F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s.p, s.p + s.n - 1))))).cast("long").alias("n_hit"), F.array_sort("items").alias("items"))
-    result = counts.join(hit, id_col, "left")
+    cut = f"transform(hits, x -> struct(x.kind as kind, x.i as i, x.key as key, greatest(x.i - {back}, 0) as low, {part} as ours))"
+    near = near.select("doc", F.expr(f"inline({_bind(AS_THEY_STAND, 'w', cut)})")).withColumn("ours", F.transform("ours", lambda x: F.translate(x, UPPER, LOWER)))
+    pairs = near.join(F.broadcast(side) if few else side, ["kind", "key"])
+    # starts s of equal windows in the item; all have the fingerprint in them, so their union is one range
+    starts = f"""filter(sequence(first, j), s -> s - first + {window} <= size(theirs) and i - j + s >= low and i - j + s - low + {window} <= size(ours)
+        and slice(ours, i - j + s - low + 1, {window}) = slice(theirs, s - first + 1, {window}))"""
+    pairs = pairs.withColumn("s", F.expr(f"if(kind > 0, if(slice(ours, i - low + 1, kind) = theirs, array(j), array()), {starts})")).where("size(s) > 0")
+    spans = scratch.save(pairs.selectExpr("doc", "item", "i - j + s[0] as low", f"i - j + element_at(s, -1) + if(kind > 0, kind, {window}) as high").distinct(), "spans")
+    before = Window.partitionBy("doc").orderBy("low", "high").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = spans.select("doc", "low", "high").distinct().withColumn("reach", F.coalesce(F.max("high").over(before), F.lit(0)))
+    hit = ranges.groupBy("doc").agg(F.sum(F.expr("greatest(high - greatest(low, reach), 0)")).cast("long").alias("n_hit"))
+    met = spans.select("doc", "item").distinct().groupBy("doc").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    both = hit.join(met, "doc").select(F.col("doc").alias(id_col), "n_hit", "items")
+    result = counts.join(both, id_col, "left")
     items_ = F.coalesce("items", F.array().cast("array<string>"))
-    return result.select(id_col, "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.size(items_).cast("long").alias("n_items"), items_.alias("items"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"))
+    return result.select(id_col, "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.size(items_).cast("long").alias("n_items"), items_.alias("items"), F.col("n_hit").isNotNull().alias("contaminated"))
