@@ -1,20 +1,26 @@
 """Main text of web pages by wrapper induction.
 
-Each page is parsed to a DOM tree; runs of equal siblings fold into one repeated node. The trees of a host's pages are
-aligned by simple tree matching and merged into a wrapper that counts, per node, the pages that have it and whether its
-own text ever varies. Tasks merge all pages they hold first, so a host of a third of all pages sends one small partial
-wrapper per task. Then each page is aligned to its host's wrapper: nodes whose text is the same on (nearly) every page
-are template, as are subtrees that say so themselves by element, role, hidden attribute or a whole class or id (menus,
-forms, adverts, comments, ...); the varying slots of the content region are the content. The content region is each page's own: its `article` or `main` elements that have text, or
-else its nodes that align to the host's node of most varying text outside links, or else the page's own part that holds
-most such text. So pages of one host may have different layouts.
+Each page is parsed to a DOM tree and reduced to its block elements; inline elements are part of the text around them, and
+runs of equal siblings fold into one repeated node. The trees of a host's pages are aligned by simple tree matching and
+merged into a wrapper that counts, per node, the pages that have it and those that have each text in it. Tasks merge all
+pages they hold first, so a host of a third of all pages sends one wrapper per task; copies of a page weigh one page
+together. Then each page is aligned to its host's wrapper: a text that nearly all pages have in the same slot is template,
+whatever its element; what varies is content. A page of which next to nothing would be left is a near copy of the host's
+other pages and keeps its texts. With one or two different pages a host has no template.
+
+The content region is each page's own: its `article` or `main` elements that have text, or else its nodes that align to
+the host's node of most varying text outside links, or else the page's own part that holds most such text; so pages of one
+host may have different layouts. Subtrees that say themselves what they are by element, role, hidden attribute or a whole
+class or id (menus, forms, adverts, comments, ...) are left out too, as a hosts' pages may each have menus of their own.
 
 Text blocks: character references are decoded, white space inside a block becomes one space, blocks are trimmed, empty
 ones dropped, and the rest joined in page order by one newline.
 
 Cases: null or empty html gives an empty text; a page with a null or odd URL belongs to the host ``''``; unclosed,
-crossed or cut tags are repaired as browsers do for paragraphs, lists and tables; pages without markup are one block;
-repeated rows each get their row; an empty table gives an empty result. Whole pages are read, whatever their length.
+crossed or cut tags are repaired as browsers do for paragraphs, lists and tables; elements nested deeper than 512 go on
+beside the deepest one, as in browsers, so no text is lost; pages without markup are one block; repeated rows and null ids
+each get their row; an empty table gives an empty result; other columns, of whatever names, are ignored. Whole pages are
+read, whatever their length.
 """
 
 from __future__ import annotations
@@ -22,6 +28,7 @@ from __future__ import annotations
 import html as _html
 import pickle
 import re
+import sys
 import zlib
 from collections.abc import Iterator
 
@@ -29,6 +36,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import Scratch, returning, sized
+
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*|[^>]*)(?:>|\Z)", re.DOTALL)
 ATTR = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 SPACE = re.compile(r"\s+")
@@ -43,7 +52,17 @@ SKIP = frozenset("head nav footer aside form menu dialog script style title temp
 SKIP_NAMES = frozenset("ad ads advert adverts advertisement advertising ad-slot ad-container ad-banner sponsored menu nav navbar navigation main-nav site-nav nav-menu main-menu breadcrumb breadcrumbs pagination pager masthead site-header footer site-footer page-footer sidebar comments comment-list comments-area disqus_thread cookie-notice cookie-banner cookie-consent share-buttons social-share related-posts newsletter-signup".split())
 SKIP_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-PROSE = HEADINGS | frozenset("p li blockquote pre td th dd dt figcaption article main".split())
+PROSE = HEADINGS | frozenset("p li blockquote pre dd dt figcaption article main".split())
+#: Depth of nesting from which elements become siblings, as in browsers.
+DEEPEST = 512
+#: A text is template where this share of a host's pages, and so many of them at least, have it in the same slot.
+SHARE, LEAST_PAGES = 0.8, 3
+#: Texts that a slot counts; rarer ones are summed out, which errs by 1 / MOST_TEXTS of the pages at most.
+MOST_TEXTS = 64
+#: A page that would lose more than this share of its content to the template is a near copy and loses nothing.
+COPY = 0.9
+#: Characters of html that a task folds before it sends its hosts' wrappers.
+FLUSH = 64 << 20
 #: Elements that end the reach of a tag that is implied.
 SCOPE = frozenset("html body article section div td th table ul ol dl main aside nav header footer form blockquote button".split())
 IMPLIED = {"li": ("li", frozenset("ul ol menu".split())), "dt": ("dt dd", frozenset(["dl"])), "dd": ("dt dd", frozenset(["dl"])), "tr": ("tr td th", frozenset("table tbody thead tfoot".split())), "td": ("td th", frozenset(["tr", "table"])), "th": ("td th", frozenset(["tr", "table"])), "option": ("option", frozenset(["select", "datalist", "optgroup"]))}
@@ -58,6 +77,15 @@ class Node:
         self.tag, self.label, self.skip, self.children = tag, label, skip, []
 
 
+class Block:
+    """A block element of a page: its texts and inner blocks in page order, and how many of its characters are in links."""
+
+    __slots__ = ("tag", "label", "items", "linked")
+
+    def __init__(self, tag: str, label: str):
+        self.tag, self.label, self.items, self.linked = tag, label, [], 0
+
+
 _labels: dict[tuple[str, str], tuple[str, bool]] = {}
 
 
@@ -124,6 +152,8 @@ def parse(page: str) -> Node:
                 close((name,), stop)
         if tag in ("html", "body"):  # one of each; what stands between them is read in place
             continue
+        if len(stack) > DEEPEST:  # what is nested deeper goes on beside the deepest element
+            stack.pop()
         node = Node(tag, *_label(tag, m[3]))
         stack[-1].children.append(node)
         if tag in VOID:
@@ -136,38 +166,113 @@ def parse(page: str) -> Node:
             stack.append(node)
 
 
-# A wrapper node is [label, pages, text hash or None where it varies, characters of text, of them in links, children, skip].
-LABEL, PAGES, TEXT, CHARS, LINKED, KIDS, SKIPPED = range(7)
+def blocks(root: Node) -> Block:
+    """The blocks of a page. Inline elements belong to the text around them; of a header only the headings count."""
+    top = Block(root.tag, root.label)
+    part: list[str] = []
+    linked = 0
+
+    def flush(to: Block) -> None:
+        nonlocal linked
+        text = SPACE.sub(" ", _html.unescape("".join(part))).strip()
+        if text:
+            to.items.append(text)
+            to.linked += min(linked, len(text))
+        part.clear()
+        linked = 0
+
+    def walk(node: Node, into: Block, link: bool) -> None:
+        nonlocal linked
+        for c in node.children:
+            if isinstance(c, str):
+                part.append(c)
+                linked += len(c.strip()) if link else 0
+            elif c.skip:
+                if c.tag in BLOCK:
+                    flush(into)
+            elif c.tag == "br":
+                part.append(" ")
+            elif c.tag in BLOCK:
+                flush(into)
+                made = Block(c.tag, c.label)
+                into.items.append(made)
+                if c.tag == "header":
+                    for h in headings(c):
+                        made.items.append(Block(h.tag, h.label))
+                        walk(h, made.items[-1], link)
+                        flush(made.items[-1])
+                else:
+                    walk(c, made, link)
+                    flush(made)
+            else:
+                walk(c, into, link or c.tag == "a")
+
+    walk(root, top, False)
+    flush(top)
+    return top
+
+
+def headings(node: Node) -> list[Node]:
+    found: list[Node] = []
+    for c in node.children:
+        if isinstance(c, Node) and not c.skip:
+            found += [c] if c.tag in HEADINGS else headings(c)
+    return found
+
+
+class Slot:
+    """A wrapper node: label, weight of the pages that have it, weight of each text in it, characters, those in links, children."""
+
+    __slots__ = ("label", "pages", "texts", "chars", "linked", "kids", "members")
+
+    def __init__(self, label: str, pages: float, texts: dict[int, float], chars: int, linked: int, kids: list[Slot], members: list[Block] | None = None):
+        self.label, self.pages, self.texts, self.chars, self.linked, self.kids, self.members = label, pages, texts, chars, linked, kids, members
 
+    def __reduce__(self):
+        return Slot, (self.label, self.pages, self.texts, self.chars, self.linked, self.kids)
 
-def fold(node: Node, linked: bool = False) -> list:
-    """The wrapper of one page: equal neighbours merged into one repeated node."""
-    linked = linked or node.tag == "a"
-    own = "".join(c.strip() for c in node.children if isinstance(c, str))
-    made = [node.label, 1, zlib.crc32(own.encode("utf-8", "surrogatepass")), len(own), len(own) if linked else 0, [], node.skip]
-    kids = made[KIDS]
-    for child in node.children:
-        if isinstance(child, Node) and not child.skip:  # what is marked as not content needs no slots
-            new = fold(child, linked)
-            if kids and kids[-1][LABEL] == new[LABEL]:
-                kids[-1] = merge(kids[-1], new)
-                kids[-1][PAGES] = 1
+
+def fold(block: Block, weight: float = 1.0, known: bool = False) -> Slot:
+    """The wrapper of one page: neighbours of one label are one repeated node. With `known` it knows its blocks."""
+    own = [x for x in block.items if isinstance(x, str)]
+    made = Slot(block.label, weight, {key(x): weight for x in own}, sum(map(len, own)), block.linked, [], [block] if known else None)
+    for x in block.items:
+        if isinstance(x, Block):
+            new = fold(x, weight, known)
+            if made.kids and made.kids[-1].label == new.label:
+                merge(made.kids[-1], new, True)
             else:
-                kids.append(new)
+                made.kids.append(new)
     return made
 
 
-def align(a: list, b: list) -> list[tuple[int, int]]:
+def _deep() -> None:
+    """Room for walks over trees of DEEPEST levels."""
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 16 * DEEPEST))
+
+
+def key(text: str) -> int:
+    return zlib.crc32(text.encode("utf-8", "surrogatepass")) << 32 | len(text)
+
+
+def align(a: list[Slot], b: list[Slot]) -> list[tuple[int, int]]:
     """Simple tree matching of two lists of children: pairs of an order-keeping matching of the most nodes."""
-    if [x[LABEL] for x in a] == [x[LABEL] for x in b]:
-        return [(i, i) for i in range(len(a))]
-    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    gain = [[0] * len(b) for _ in a]
-    for i, x in enumerate(a):
-        for j, y in enumerate(b):
-            gain[i][j] = matched(x, y)
-            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + gain[i][j])
-    pairs, i, j = [], len(a), len(b)
+    n, m = len(a), len(b)
+    low = 0
+    while low < min(n, m) and a[low].label == b[low].label:
+        low += 1
+    tail = 0
+    while tail < min(n, m) - low and a[n - 1 - tail].label == b[m - 1 - tail].label:
+        tail += 1
+    ends = [(n - k, m - k) for k in range(tail, 0, -1)]
+    x, y = a[low : n - tail], b[low : m - tail]
+    if not x or not y:
+        return [(i, i) for i in range(low)] + ends
+    best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+    for i, p in enumerate(x):
+        for j, q in enumerate(y):
+            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + matched(p, q))
+    pairs, i, j = [], len(x), len(y)
     while i and j:
         if best[i][j] == best[i - 1][j]:
             i -= 1
@@ -175,268 +280,234 @@ def align(a: list, b: list) -> list[tuple[int, int]]:
             j -= 1
         else:
             i, j = i - 1, j - 1
-            pairs.append((i, j))
-    return pairs[::-1]
+            pairs.append((low + i, low + j))
+    return [(i, i) for i in range(low)] + pairs[::-1] + ends
 
 
-def matched(a: list, b: list) -> int:
+def matched(a: Slot, b: Slot) -> int:
     """The number of nodes that match in two trees."""
-    if a[LABEL] != b[LABEL]:
+    if a.label != b.label:
         return 0
-    return 1 + sum(matched(a[KIDS][i], b[KIDS][j]) for i, j in align(a[KIDS], b[KIDS]))
+    n = 1
+    for i, j in align(a.kids, b.kids):
+        n += matched(a.kids[i], b.kids[j])
+    return n
 
 
-def merge(a: list, b: list) -> list:
-    """The wrapper of the pages of both."""
-    pairs = align(a[KIDS], b[KIDS])
+def merge(a: Slot, b: Slot, same_page: bool = False) -> Slot:
+    """a with the pages of b added; b is used up. Neighbours of one page count once."""
     kids, i, j = [], 0, 0
-    for p, q in [*pairs, (len(a[KIDS]), len(b[KIDS]))]:
-        kids += a[KIDS][i:p] + b[KIDS][j:q]
-        if p < len(a[KIDS]) and q < len(b[KIDS]):
-            kids.append(merge(a[KIDS][p], b[KIDS][q]))
+    for p, q in [*align(a.kids, b.kids), (len(a.kids), len(b.kids))]:
+        kids += a.kids[i:p] + b.kids[j:q]
+        if p < len(a.kids) and q < len(b.kids):
+            kids.append(merge(a.kids[p], b.kids[q], same_page))
         i, j = p + 1, q + 1
-    text = a[TEXT] if a[TEXT] == b[TEXT] else None
-    return [a[LABEL], a[PAGES] + b[PAGES], text, a[CHARS] + b[CHARS], a[LINKED] + b[LINKED], kids, a[SKIPPED]]
+    for text, weight in b.texts.items():
+        a.texts[text] = max(a.texts.get(text, 0.0), weight) if same_page else a.texts.get(text, 0.0) + weight
+    if not same_page and len(a.texts) > MOST_TEXTS:  # a frequent-items summary: what is on many pages stays
+        cut = sorted(a.texts.values(), reverse=True)[MOST_TEXTS]
+        a.texts = {t: w - cut for t, w in a.texts.items() if w > cut}
+    a.pages = max(a.pages, b.pages) if same_page else a.pages + b.pages
+    a.chars, a.linked, a.kids = a.chars + b.chars, a.linked + b.linked, kids
+    if same_page and a.members is not None:
+        a.members += b.members
+    return a
 
 
-def _template(slot: list, pages: int) -> bool:
-    """The same words on nearly all pages of the host, not in an element for prose."""
-    return slot[TEXT] is not None and pages >= 5 and slot[PAGES] >= 0.8 * pages and slot[LABEL].split(".")[0] not in PROSE and not slot[KIDS] and slot[CHARS] > 0
+def constant(slot: Slot | None, text: int, pages: float) -> bool:
+    """A text of a slot is on nearly all pages of the host. Two pages cannot tell a template from a copy."""
+    return slot is not None and pages > LEAST_PAGES - 0.5 and slot.texts.get(text, 0.0) + pages / MOST_TEXTS >= SHARE * pages
 
 
-def region(wrapper: list) -> list:
+def region(wrapper: Slot) -> Slot:
     """The wrapper node that holds the content where pages do not name it: down while one child holds most varying text."""
 
-    def mass(x: list) -> int:
-        return (0 if _constant(x, wrapper[PAGES]) else x[CHARS] - x[LINKED]) + sum(mass(k) for k in x[KIDS])
+    def weigh(x: Slot) -> float:
+        total = sum(x.texts.values())
+        fixed = sum([w for t, w in x.texts.items() if constant(x, t, wrapper.pages)])
+        mass[id(x)] = (x.chars - x.linked) * (1 - fixed / total) if total else 0.0
+        for k in x.kids:
+            mass[id(x)] += weigh(k)
+        return mass[id(x)]
 
-    total, now = mass(wrapper), wrapper
+    mass: dict[int, float] = {}
+    total, now = weigh(wrapper), wrapper
     while True:
-        deeper = [k for k in now[KIDS] if mass(k) >= 0.8 * total > 0 and k[KIDS]]
+        deeper = [k for k in now.kids if mass[id(k)] >= 0.8 * total > 0 and k.kids]
         if not deeper:
             return now
         now = deeper[0]
 
 
-def _constant(slot: list, pages: int) -> bool:
-    return slot[TEXT] is not None and pages >= 5 and slot[PAGES] >= 0.8 * pages
-
+def _slots(page: Slot, wrapper: Slot) -> dict[int, Slot]:
+    """The wrapper node of each block of a page that has one, by the block's id()."""
+    to: dict[int, Slot] = {}
 
-def _slots(root: Node, wrapper: list) -> dict[int, list]:
-    """The wrapper node of each node of a page that has one, by the node's id()."""
-    to: dict[int, list] = {}
-
-    def put(node: Node, slot: list) -> None:
-        to[id(node)] = slot
-        runs: list[tuple[str, list[Node]]] = []
-        for c in _kids(node):
-            if runs and runs[-1][0] == c.label:
-                runs[-1][1].append(c)
-            else:
-                runs.append((c.label, [c]))
-        if runs:
-            for i, j in align([shape(r) for r in runs], slot[KIDS]):
-                for c in runs[i][1]:
-                    put(c, slot[KIDS][j])
+    def put(own: Slot, slot: Slot) -> None:
+        for block in own.members:
+            to[id(block)] = slot
+        for i, j in align(own.kids, slot.kids):
+            put(own.kids[i], slot.kids[j])
 
-    put(root, wrapper)
+    put(page, wrapper)
     return to
 
 
-def _chosen(root: Node, to: dict[int, list], wrapper: list) -> list[Node]:
-    """The nodes of one page that hold its content: its own articles, else its `main`, else what aligns to the host's region, else its own heaviest part."""
-    pages = wrapper[PAGES]
+def _chosen(root: Block, to: dict[int, Slot], wrapper: Slot, best: Slot) -> list[Block]:
+    """The blocks of one page that hold its content: its own articles, else its `main`, else what aligns to the host's region, else its own heaviest part."""
+    pages = wrapper.pages
     weight: dict[int, int] = {}  # characters outside links that the template does not have
-    named: dict[str, list[Node]] = {"article": [], "main": []}
-
-    def weigh(node: Node, linked: bool, within: frozenset) -> int:
-        if node.tag in named and node.tag not in within:  # only the outermost ones
-            named[node.tag].append(node)
-            within |= {node.tag}
-        linked = linked or node.tag == "a"
-        slot = to.get(id(node))
-        n = 0 if linked or slot is not None and _constant(slot, pages) else sum(len(c.strip()) for c in node.children if isinstance(c, str))
-        for c in _kids(node):
-            if c.tag == "header":  # of a header, only headings can be content
-                weight[id(c)] = sum(weigh(h, linked, within) for h in headings(c))
-            else:
-                weigh(c, linked, within)
-            n += weight[id(c)]
-        weight[id(node)] = n
-        return n
-
-    def texts(node: Node) -> bool:
-        own = any(c.strip() for c in node.children if isinstance(c, str))
-        return own or any(any(map(texts, headings(c))) if c.tag == "header" else texts(c) for c in _kids(node))
-
-    weigh(root, False, frozenset())
-    for nodes in named.values():
-        found = [x for x in nodes if texts(x)]
-        if found:
+    full: dict[int, bool] = {}  # any text at all
+    named: dict[str, list[Block]] = {"article": [], "main": []}
+    every: list[Block] = []
+
+    def weigh(block: Block, within: frozenset, header: bool) -> None:
+        if block.tag in named and block.tag not in within:  # only the outermost ones
+            named[block.tag].append(block)
+            within |= {block.tag}
+        header = header or block.tag == "header"
+        if not header:
+            every.append(block)
+        slot = to.get(id(block))
+        own = [x for x in block.items if isinstance(x, str)]
+        n, text = max(0, sum([len(x) for x in own if not constant(slot, key(x), pages)]) - block.linked), bool(own)
+        for c in block.items:
+            if isinstance(c, Block):
+                weigh(c, within, header)
+                n, text = n + weight[id(c)], text or full[id(c)]
+        weight[id(block)], full[id(block)] = n, text
+
+    weigh(root, frozenset(), False)
+    for found in named.values():
+        if found := [x for x in found if full[id(x)]]:
             return found
     total = weight[id(root)]
     if not total:
         return [root]
-    best = region(wrapper)
-    found = [x for x in _nodes(root) if to.get(id(x)) is best]
-    if sum(weight[id(x)] for x in found) > 0:
+    found = [x for x in every if to.get(id(x)) is best]
+    if sum([weight[id(x)] for x in found]) > 0:
         return found
     now = root
     while True:  # down while one part holds most of the text and no text or paragraph stands beside it
-        kids = _kids(now)
-        own = weight[id(now)] - sum(weight[id(c)] for c in kids)
+        kids = [c for c in now.items if isinstance(c, Block)]
+        own = weight[id(now)] - sum([weight[id(c)] for c in kids])
         deeper = [c for c in kids if c.tag in ("div", "section", "center", "table", "tbody", "tr", "td") and weight[id(c)] >= 0.8 * total]
-        if not deeper or own or any(c.tag in PROSE and c.tag not in ("td", "th") and weight[id(c)] for c in kids):
+        if not deeper or own or any([c.tag in PROSE and weight[id(c)] for c in kids]):
             return [now]
         now = deeper[0]
 
 
-def _nodes(node: Node) -> Iterator[Node]:
-    yield node
-    for c in _kids(node):
-        if c.tag != "header":
-            yield from _nodes(c)
-
-
-def _kids(node: Node) -> list[Node]:
-    return [c for c in node.children if isinstance(c, Node) and not c.skip]
-
+def extract(root: Block, wrapper: Slot, best: Slot | None = None) -> str:
+    """The text of the content slots of a page, aligned to its host's wrapper; `best` is the wrapper's region()."""
+    to = _slots(fold(root, 1.0, True), wrapper)
+    told: list[tuple[str, bool]] = []  # a text and whether it is template
 
-def extract(root: Node, wrapper: list) -> str:
-    """The text of the content slots of a page, aligned to its host's wrapper."""
-    to = _slots(root, wrapper)
-    content = {id(x) for x in _chosen(root, to, wrapper)}
-    pages = wrapper[PAGES]
-    blocks: list[str] = []
-    part: list[str] = []
-
-    def flush() -> None:
-        text = SPACE.sub(" ", _html.unescape("".join(part)).replace("\x00", "")).strip()
-        if text:
-            blocks.append(text)
-        part.clear()
-
-    def walk(node: Node, slot: list | None, inside: bool, prose: bool) -> None:
-        inside = inside or id(node) in content
-        if slot is not None and not prose and _template(slot, pages):
-            return
-        prose = prose or node.tag in PROSE and node.tag not in ("article", "main")  # words in a paragraph are its own
-        block = node.tag in BLOCK
-        if block:
-            flush()
-        for c in node.children:
+    def walk(block: Block) -> None:
+        slot = to.get(id(block))
+        for c in block.items:
             if isinstance(c, str):
-                if inside:
-                    part.append(c)
-            elif not c.skip:
-                if c.tag == "header" and inside:  # an article's own header: its headings belong to the article
-                    flush()
-                    for h in headings(c):
-                        walk(h, None, True, True)
-                    flush()
-                elif c.tag == "header":
-                    flush()
-                elif c.tag in ("br", "wbr") and inside:
-                    part.append(" " if c.tag == "br" else "")
-                else:
-                    walk(c, to.get(id(c)), inside, prose)
-            elif c.tag in BLOCK:
-                flush()
-        if block:
-            flush()
-
-    walk(root, wrapper, False, False)
-    flush()
-    return "\n".join(blocks)
-
-
-def headings(node: Node) -> list[Node]:
-    found = []
-    for c in node.children:
-        if isinstance(c, Node) and not c.skip:
-            found += [c] if c.tag in HEADINGS else headings(c)
-    return found
-
+                told.append((c, constant(slot, key(c), wrapper.pages)))
+            else:
+                walk(c)
 
-def shape(run: tuple[str, list[Node]]) -> list:
-    """A run of equal siblings as a wrapper node, for matching."""
-    made = fold(run[1][0])
-    for more in run[1][1:]:
-        made = merge(made, fold(more))
-    return made
+    for block in _chosen(root, to, wrapper, best if best is not None else region(wrapper)):
+        walk(block)
+    fixed = sum([len(t) for t, template in told if template])
+    if fixed > COPY * sum([len(t) for t, _ in told]):  # next to nothing of its own: a near copy of the host's other pages
+        return "\n".join([t for t, _ in told])
+    return "\n".join([t for t, template in told if not template])
 
 
 def host_of(url: str = "url"):
     return F.coalesce(F.lower(F.regexp_extract(F.col(url), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
-def induce(df: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, wrapper binary): the merged tree of all pages of each host."""
+def induce(df: DataFrame, scratch: Scratch, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """(host, wrapper binary): the merged tree of all pages of each host. Copies of a page weigh one page together."""
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list] = {}
+        _deep()
+        held: dict[str, Slot] = {}
+        size = 0
         for b in batches:
-            hosts, pages = b.column(0), b.column(1)
-            for i in range(b.num_rows):
-                host, new = hosts[i].as_py(), fold(parse(pages[i].as_py()))
+            for host, page, n in zip(*(b.column(i) for i in range(3))):
+                host, page = host.as_py(), page.as_py()
+                new = fold(blocks(parse(page)), 1 / n.as_py())
                 held[host] = merge(held[host], new) if host in held else new
-            if len(held) > 20_000:
-                yield rows(held)
-                held = {}
+                size += len(page)
+                if size > FLUSH:
+                    yield rows(held)
+                    held, size = {}, 0
         yield rows(held)
 
-    def rows(held: dict[str, list]) -> pa.RecordBatch:
+    def rows(held: dict[str, Slot]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array([pickle.dumps(w) for w in held.values()], pa.binary())], ["host", "wrapper"])
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _deep()
         host, wrapper = None, None
         for b in batches:
-            done: dict[str, list] = {}
-            for h, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                new = pickle.loads(raw)
+            for h, raw in zip(b.column(0).to_pylist(), b.column(1)):
+                new = pickle.loads(raw.as_py())
                 if h == host:
                     wrapper = merge(wrapper, new)
-                else:
-                    if host is not None:
-                        done[host] = wrapper
-                    host, wrapper = h, new
-            yield rows(done)
+                    continue
+                if host is not None:
+                    yield rows({host: wrapper})
+                host, wrapper = h, new
         if host is not None:
             yield rows({host: wrapper})
 
-    pages = df.where(F.col(html_col).isNotNull()).select(host_of(url_col).alias("host"), F.col(html_col).alias("html"))
+    pages = df.where(F.col(html_col).isNotNull()).select(host_of(url_col).alias("host"), F.col(html_col).alias("html"), F.xxhash64(F.col(html_col)).alias("h"))
+    copies = scratch.save(pages.groupBy("host", "h").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "copies")
+    weighed = pages.join(sized(copies), ["host", "h"], "left").select("host", "html", F.coalesce("n", F.lit(1)).alias("n"))
     schema = "host string, wrapper binary"
-    return pages.mapInArrow(partial, schema).repartition("host").sortWithinPartitions("host", "wrapper").mapInArrow(whole, schema)
+    return weighed.mapInArrow(returning(partial), schema).repartition("host").sortWithinPartitions("host", "wrapper").mapInArrow(returning(whole), schema)
 
 
 def extract_main_text(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", broadcast_bytes: int = 16 << 20, salts: int = 32) -> DataFrame:
     """id_col, url_col, text, n_chars for every row."""
-    from .common import Scratch
-
-    wrappers = Scratch(df.sparkSession, "wrappers").save(induce(df, url_col, html_col), "wrappers")
+    spark = df.sparkSession
+    scratch = Scratch(spark, "wrappers")
+    wrappers = scratch.save(induce(df, scratch, url_col, html_col), "wrappers")
     size = wrappers.agg(F.sum(F.length("wrapper"))).first()[0] or 0
-    pages = df.select(F.col(id_col).alias("__id"), F.col(url_col).alias("__url"), F.col(html_col).alias("html"), host_of(url_col).alias("host"))
+    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    pages = df.select(host_of(url_col).alias("host"), F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
+    sent = None
     if size <= broadcast_bytes:
-        joined = pages.join(F.broadcast(wrappers), "host", "left")
-    else:  # each host's pages go to as many tasks as there are salts
-        dealt = wrappers.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        joined = pages.withColumn("salt", F.pmod(F.xxhash64("__id", "__url"), F.lit(salts)).cast("int")).join(dealt, ["host", "salt"], "left")
+        sent = spark.sparkContext.broadcast({r.host: bytes(r.wrapper) for r in wrappers.collect()})
+        rows = pages.withColumn("wrapper", F.lit(None).cast("binary"))
+    else:  # a host's wrapper goes once to each of as many tasks as there are salts, before the pages dealt to it
+        salt = F.pmod(F.xxhash64("id", "url", "html"), F.lit(salts)).cast("int")
+        first = wrappers.select("host", *(F.lit(None).cast(pages.schema[c].dataType).alias(c) for c in ("id", "url", "html")), "wrapper", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+        rows = pages.withColumns({"wrapper": F.lit(None).cast("binary"), "salt": salt}).unionByName(first)
+        rows = rows.repartition("host", "salt").sortWithinPartitions("host", "salt", F.col("wrapper").isNull()).drop("salt")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        read: dict[bytes, list] = {}
+        _deep()
+        read: dict[str, tuple[Slot, Slot]] = {}  # per host the wrapper and its region
+        held = 0
         for b in batches:
-            texts = []
-            for page, raw in zip(b.column(2), b.column(3)):
-                page, raw = page.as_py(), raw.as_py()
-                if not page or raw is None:
+            told, texts = [], []
+            for i, (host, page, raw) in enumerate(zip(b.column(0), b.column(3), b.column(4))):
+                host, page, raw = host.as_py(), page.as_py(), raw.as_py()
+                if raw is not None:
+                    wrapper = pickle.loads(raw)
+                    read = {host: (wrapper, region(wrapper))}
+                    continue
+                told.append(i)
+                if not page:
                     texts.append("")
                     continue
-                if raw not in read:
-                    if len(read) > 2000:
-                        read.clear()
-                    read[raw] = pickle.loads(raw)
-                texts.append(extract(parse(page), read[raw]))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [id_col, url_col, "text", "n_chars"])
-
-    types = dict(df.dtypes)
-    return joined.select("__id", "__url", "html", "wrapper").mapInArrow(run, f"`{id_col}` {types[id_col]}, `{url_col}` {types[url_col]}, text string, n_chars long")
+                if host not in read:
+                    raw = sent.value[host]
+                    held += len(raw)
+                    if held > 4 << 20:
+                        read, held = {}, len(raw)
+                    wrapper = pickle.loads(raw)
+                    read[host] = wrapper, region(wrapper)
+                texts.append(extract(blocks(parse(page)), *read[host]))
+            at = pa.array(told, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(1).take(at), b.column(2).take(at), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [id_col, url_col, "text", "n_chars"])
+
+    return rows.select("host", "id", "url", "html", "wrapper").mapInArrow(returning(run), f"`{id_col}` {types[id_col]}, `{url_col}` {types[url_col]}, text string, n_chars long")
