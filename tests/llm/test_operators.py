@@ -1,19 +1,22 @@
 """Each operator against a brute-force version on small tables with nulls, empty and long texts, ties and repeats."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
 from collections import Counter
+from html.parser import HTMLParser
 from math import log10
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from evoframe.llm import chat_format, decontaminate, embedding_dedup, html_extract, induced_sort, language_id, lm_score, ngram_join, packing, sharding, suffix_dedup
+from evoframe.llm import chat_format, decontaminate, embedding_dedup, html_extract, induced_sort, language_id, lm_score, ngram_join, packing, queries, sharding, suffix_dedup
 from evoframe.llm.common import Scratch, connected_components
 
+DATA = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, n_bytes string, score string"
 
 
@@ -253,12 +256,129 @@ def test_pages_keep_what_only_sounds_like_other_parts():
     ]
     gone = ["<p hidden>{}</p>", "<p class=x hidden=''>{}</p>", "<div class='big sidebar'>{}</div>", "<div ID=Comments>{}</div>", "<div aria-hidden=true>{}</div>", "<div role=navigation>{}</div>", "<div class=ad>{}</div>", "<p style='display: none'>{}</p>"]
     for part in kept + gone:
-        page = html_extract.parse(f"<article><p>before</p>{part.format('these words')}<p>after</p></article>")
+        page = html_extract.blocks(html_extract.parse(f"<article><p>before</p>{part.format('these words')}<p>after</p></article>"))
         text = html_extract.extract(page, html_extract.fold(page))
         assert text.split("\n") == ["before", *["these words"] * (part in kept), "after"], part
 
 
+PAGES = "page_id long, url string, html string, wrapper string, host string, n string"
+
+
+def texts_of(spark, rows, **options):
+    df = spark.createDataFrame([(*r, "w", "h", "n") for r in rows], PAGES).repartition(3)
+    return [(r.page_id, r.text) for r in html_extract.extract_main_text(df, **options).collect()]
+
+
+def test_what_all_pages_of_a_host_say_is_template(spark):
+    said = lambda i: f"Own paragraph number {i} of this page, {7 * i} words."
+    page = lambda i: f"<body><div class=links><a href=x>Home</a></div><div id=content><h1>The site</h1><p>Please enable cookies</p><ul><li><a href=a>One</a><li>Two</ul><p>{said(i)}</p><p>Subscribe <b>now</b></p></div></body>"
+    for n, left in ((10, True), (2, False)):  # two pages cannot tell
+        rows = [(i, "http://a.example.com/x", page(i)) for i in range(n)]
+        for options in ({}, {"broadcast_bytes": 0, "salts": 3}):
+            got = dict(texts_of(spark, rows, **options))
+            assert all((t == said(i)) == left for i, t in got.items()) and len(got) == n
+    # copies weigh one page: a host of two pages, one of them many times, has no template
+    rows = [(0, "http://b.example.com/", page(0))] * 30 + [(1, "http://b.example.com/", page(1))]
+    got = texts_of(spark, rows)
+    assert len(got) == 31 and all("The site" in t and said(i) in t for i, t in got)
+    # near copies lose nothing
+    long = [f"<p>{w} " + "words of the same article " * 5 + "</p>" for w in "abcdefghijklmn"]
+    rows = [(i, "http://c.example.com/", "<article>" + "".join([*long[:i], f"<p>edit {i}</p>", *long[i:]]) + "</article>") for i in range(8)]
+    assert all(t.count("\n") == 14 and f"edit {i}" in t for i, t in texts_of(spark, rows))
+
+
+def test_deep_and_long_pages(spark):
+    r = random.Random(4)
+    deep = lambda i: "".join(f"<div class={r.choice('abc')}>" for _ in range(3000)) + f"<p>deep {i}</p>" + "</div>" * 2500 + f"<p>after {i}"
+    rows = [(i, "http://d.example.com/", deep(i)) for i in range(5)] + [(9, "http://d.example.com/", "<p>" + "<font>" * 1200 + "in fonts")]
+    rows += [(20, "http://l.example.com/", "<article>" + "".join(f"<p class=c{chr(97 + k % 26)}>text {k}</p>" for k in range(20_000)) + "</article>"), (21, None, "x" * 1_000_000), (22, None, "a\x00b")]
+    got = dict(texts_of(spark, rows))
+    assert all(got[i] == f"deep {i}\nafter {i}" for i in range(5)) and got[9] == "in fonts" and got[21] == "x" * 1_000_000 and got[22] == "a\x00b"
+    assert got[20].split("\n") == [f"text {k}" for k in range(20_000)]
+
+
+def test_titles_in_headers():
+    for part in ("<header class='entry-header'><h1>Title</h1></header>", "<div class='page-header'><h1>Title</h1></div>", "<div class='side-by-side'>Title</div>"):
+        page = html_extract.blocks(html_extract.parse(f"<article>{part}<p>Text</p></article>"))
+        assert html_extract.extract(page, html_extract.fold(page)) == "Title\nText"
+
+
+class Article(HTMLParser):
+    """The texts of the blocks of a page's article, read plainly."""
+
+    GONE, LINES = {"script", "style", "form", "nav", "aside", "footer", "header"}, {"p", "h1", "h2", "h3", "li", "ul", "div", "blockquote", "section", "article", "table", "tr", "td"}
+
+    def __init__(self, page):
+        super().__init__(convert_charrefs=True)
+        self.inside, self.gone, self.parts = 0, 0, [""]
+        self.feed(page)
+        self.close()
+        self.text = "\n".join(t for p in self.parts if (t := re.sub(r"\s+", " ", p).strip()))
+
+    def handle_starttag(self, tag, attrs):
+        self.inside += tag == "article"
+        self.gone += tag in self.GONE
+        if tag in self.LINES:
+            self.parts.append("")
+        elif tag == "br":
+            self.parts[-1] += " "
+
+    def handle_endtag(self, tag):
+        self.inside -= tag == "article"
+        self.gone -= tag in self.GONE
+        if tag in self.LINES:
+            self.parts.append("")
+
+    def handle_data(self, data):
+        if self.inside and not self.gone:
+            self.parts[-1] += data
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+def test_pages_of_the_table(spark):
+    larger = DATA.replace("0.001", "0.01")
+    rows = spark.read.parquet(f"{larger}/pages.parquet").select("page_id", "url", "html").collect()
+    got = {r.page_id: r for r in queries.op4_html_extract(spark, larger).collect()}
+    assert len(got) == len(rows) > 100
+    plain = [r for r in rows if r.html and r.html.count("<article") == 1 and "<article>" in r.html]
+    same = sum(got[r.page_id].text == Article(r.html).text for r in plain)
+    assert len(plain) > 0.8 * len(rows) and same >= 0.98 * len(plain), (same, len(plain))
+
+
 # 5
+ODD = ["a b", "x%y", "c", "é", "", None, "p/q", "1+1", "z=1"]
+
+
+def test_shards_of_odd_arrivals(spark, tmp_path):
+    rows = [(i, f"t{i}", "f", i % 4, None, ODD[i % 9]) for i in range(90)]
+    df = spark.createDataFrame(rows, "doc_id long, folder string, run string, shard_part int, shard_run string, arrival string").repartition(3)
+    plain = lambda d: sorted((r.doc_id, r.folder, r.run, r.shard_part, r.shard_run) for r in d.collect())
+    store = sharding.ShardStore(spark, f"file://{tmp_path}/s s", target_bytes=1 << 20, least_bytes=1 << 10, fanout=4)
+    assert store.read().count() == 0  # a new store
+    store.append_arrivals(df.limit(0), "arrival")
+    assert store.read().columns == ["doc_id", "folder", "run", "shard_part", "shard_run", "shard_run_", "shard_part_", "shard_tier"] and store.read().count() == 0
+    store.append_arrivals(df, "arrival")
+    runs = store.manifest()["runs"]
+    assert {r["arrival"]: r["rows"] for r in runs} == {a: 10 for a in ODD}
+    assert plain(store.read()) == sorted(r[:5] for r in rows)
+    assert {r.doc_id % 9: r.shard_run_ for r in store.read().collect()} == {ODD.index(r["arrival"]): r["run"] for r in runs}
+    store.compact()
+    assert plain(store.read()) == sorted(r[:5] for r in rows) and sum(r["rows"] for r in store.manifest()["runs"]) == 90 and len(store.manifest()["runs"]) < 9
+    store.append(df.limit(2).select("doc_id", F.lit("more").alias("extra")))
+    assert store.read().where("extra = 'more' and folder is null").count() == 2 and store.read().count() == 92
+    with pytest.raises(ValueError):
+        store.append(df.select(F.lit("x").alias("doc_id")))
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+def test_sharding_query(spark, tmp_path):
+    want = sorted((r.doc_id, len((r.text or "").encode()), zlib.crc32((r.text or "").encode())) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect())
+    got = queries.op5_sharding(spark, DATA).collect()
+    assert sorted((r.doc_id, r.n_bytes, r.text_crc32) for r in got) == want and {type(r.shard_run) for r in got} == {int}
+    spark.read.parquet(f"{DATA}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+    assert queries.op5_sharding(spark, str(tmp_path)).count() == 0
+
+
 def test_shards(spark, docs, tmp_path):
     rows, df = docs
     store = sharding.ShardStore(spark, f"file://{tmp_path}/s", target_bytes=1 << 20, least_bytes=1 << 10, fanout=3)
@@ -342,6 +462,18 @@ def test_leaks(spark, docs, short):
     assert decontaminate.contamination(df, table.limit(0)).where("contaminated").count() == 0
 
 
+def test_leaks_of_words_with_odd_cases(spark):
+    say = lambda w, sep: sep.join([w] * 12)
+    docs = [(i, say(w, " ")) for i, w in enumerate(("ΑΣ", "İx", "\u212a1", "k1", "ασ"))] + [(9, say("ΑΣ", ".")), (10, "x " * 30_000 + say("ΑΣ", " "))]
+    items = [(1, say("ΑΣ", ".")), (2, say("İX", "-")), (3, say("\u212a1", " "))]
+    df = spark.createDataFrame([(*d, "w", "h") for d in docs], "doc_id long, text string, item string, hits string")
+    table = spark.createDataFrame([(*i, "p") for i in items], "item_id long, text string, plain string")
+    for most in (100_000, 0):
+        got = decontaminate.contamination(df, table, broadcast_rows=most).collect()
+        assert {r.doc_id: (r.n_words, r.n_hit, r["items"], r.contaminated) for r in got} == brute_leaks(docs, items)
+    assert {r.doc_id for r in got if r.contaminated} == {0, 1, 2, 9, 10}
+
+
 # 8
 def test_packing(spark, docs):
     from tokenizers import Tokenizer
