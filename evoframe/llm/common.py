@@ -22,6 +22,8 @@ U64 = np.uint64
 Task = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 #: Bytes of text that a kernel handles at once; arrays of eight bytes for each stay small.
 SLICE_BYTES = 2 << 20
+#: Rows of ids and numbers that a task writes to one file.
+FILE_ROWS = 200_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -70,8 +72,10 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.option("compression", "zstd").parquet(self.path(name))
+    def save(self, df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+        """df, written and read back. A narrow table of about `rows` rows gets no more files than one for each FILE_ROWS."""
+        made = df if rows is None else df.coalesce(1 + rows // FILE_ROWS)
+        made.write.option("compression", "zstd").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:
@@ -156,15 +160,16 @@ class Rolling:
         return mix((self.sums[k:] - self.sums[:n]) * powers(n, True))
 
 
-def connected_components(edges: DataFrame, scratch: Scratch, name: str = "cc") -> DataFrame:
+def connected_components(edges: DataFrame, scratch: Scratch, name: str = "cc", rows: int | None = None) -> DataFrame:
     """(id, component): component is the smallest id reachable over the undirected edges (a, b), for all other ids than it.
 
     Alternating large-star and small-star rounds; every round is a min per node and a join back, so a hub is
-    pre-aggregated and its side of the join can be split. Nothing but one checksum row comes to the driver.
+    pre-aggregated and its side of the join can be split. Nothing but one checksum row comes to the driver. `rows`: about
+    how many edges there are.
     """
     now = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    now, last, turn = scratch.save(now, f"{name}-0"), None, 0
-    if now.isEmpty():
+    now, last, turn = scratch.save(now, f"{name}-0", rows), None, 0
+    if not (size := now.count()):
         return now.select(F.col("u").alias("id"), F.col("v").alias("component"))
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -175,9 +180,10 @@ def connected_components(edges: DataFrame, scratch: Scratch, name: str = "cc") -
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         small = small.where("u <> v").distinct()
         turn += 1
-        now = scratch.save(small, f"{name}-{turn}")
+        now = scratch.save(small, f"{name}-{turn}", size)  # no round has more rows than twice those before
         scratch.drop(f"{name}-{turn - 1}")
         sign = now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
+        size = sign[0]
         if sign == last:
             return now.select(F.col("u").alias("id"), F.col("v").alias("component"))
         last = sign

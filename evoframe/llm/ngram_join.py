@@ -140,9 +140,10 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     signed = scratch.save(docs.mapInArrow(returning(sign), "doc long, key1 long, key2 long, n long, prefix array<long>"), "signed")
     real = signed.where("n > 0 and doc is not null")
-    first = scratch.save(real.groupBy("key1", "key2").agg(F.min("doc").alias("rep")), "first")
+    rows = signed.count()
+    first = scratch.save(real.groupBy("key1", "key2").agg(F.min("doc").alias("rep")), "first", rows)
     # texts and prefixes stay where they are while the ids that choose among them can be sent to every task
-    copies = scratch.save(real.select("doc", "key1", "key2").join(first, ["key1", "key2"]).where("doc <> rep").select("doc").distinct(), "copies")
+    copies = scratch.save(real.select("doc", "key1", "key2").join(first, ["key1", "key2"]).where("doc <> rep").select("doc").distinct(), "copies", rows)
     kept = real.select("doc", "n", "prefix").join(sized(copies), "doc", "left_anti")
     cells = kept.select("doc", "n", F.posexplode("prefix").alias("pos", "token")).selectExpr("token", "doc", "shiftleft(n, 32) | pos as np")
     window = "over (partition by token order by shiftright(np, 32), doc)"  # neighbours are the same in all cells of a group
@@ -167,7 +168,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     near = near.where(sized_alike("o.n", "n")).where("o.doc <> doc").selectExpr("struct(o.n as n, o.doc as doc) as x", "struct(n, doc) as y").selectExpr("least(x, y) as x", "greatest(x, y) as y")
     # neighbours in few cells for their size are left to the pairs across components below
     near = near.groupBy("x", "y").agg(F.count(F.lit(1)).alias("met")).where(f"4 * met >= {least_shared('x.n', 'y.n')}").selectExpr("x.doc as a", "y.doc as b")
-    pairs = scratch.save(near, "pairs")
+    pairs = scratch.save(near, "pairs", rows)
 
     def sets(who: DataFrame, name: str, have: DataFrame | None = None) -> DataFrame:
         """(doc, set) of all documents of the pairs; those in `have` are not made again."""
@@ -182,16 +183,16 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
         wanted = who.selectExpr("explode(array(a, b)) as doc").distinct()
         if have is not None:
             wanted = wanted.join(have.select("doc"), "doc", "left_anti")
-        wanted = scratch.save(wanted, f"{name}-ids")
+        wanted = scratch.save(wanted, f"{name}-ids", rows)
         made = scratch.save(docs.join(sized(wanted), "doc", "left_semi").mapInArrow(returning(run), "doc long, set binary"), name)
         return made if have is None else made.unionByName(have)
 
     made = sets(pairs, "sets-1")
     links = scratch.save(verify(pairs, made, percent), "links-1")
-    label = scratch.save(connected_components(links, scratch, "cc-1"), "label")
+    label = scratch.save(connected_components(links, scratch, "cc-1", rows), "label", rows)
     # per document its component and in how many cells it is: no pair meets in more cells than either is in
     about = shared.groupBy("doc").agg(F.count(F.lit(1)).alias("s")).join(label.withColumnRenamed("id", "doc"), "doc", "left")
-    about = scratch.save(about.select("doc", "s", F.coalesce("component", "doc").alias("c")), "about")
+    about = scratch.save(about.select("doc", "s", F.coalesce("component", "doc").alias("c")), "about", rows)
     placed = shared.select("token", "doc", "n", "pos").join(about, "doc")
     mixed = placed.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("token")
     mixed = scratch.save(placed.join(mixed, "token", "left_semi"), "mixed")
@@ -200,10 +201,10 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     across = across.groupBy(F.expr("x.doc").alias("a"), F.expr("y.doc").alias("b")).agg(F.count(F.lit(1)).alias("met"), F.max("x.n").alias("an"), F.max("y.n").alias("bn"), F.min("x.pos").alias("ap"), F.min("y.pos").alias("bp"))
     across = across.where(f"met >= {least_shared('an', 'bn')} and {room('an', 'bn', 'ap', 'bp')}").select("a", "b")
     tried = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = scratch.save(across.join(tried, ["a", "b"], "left_anti"), "pairs-2")
+    more = scratch.save(across.join(tried, ["a", "b"], "left_anti"), "pairs-2", rows)
     if not more.isEmpty():
         links = links.unionByName(verify(more, sets(more, "sets-2", made), percent))
-        label = connected_components(links, scratch, "cc-2")
+        label = connected_components(links, scratch, "cc-2", rows)
     scratch.drop("shared", "mixed", "sets-1", "pairs")
     label = label.withColumnRenamed("id", "rep")
     whole = first.join(label, "rep", "left").select("key1", "key2", F.coalesce("component", "rep").alias("component_id"))
