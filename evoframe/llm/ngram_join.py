@@ -190,12 +190,14 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     made = sets(pairs, "sets-1")
     links = scratch.save(verify(pairs, made, percent), "links-1")
     label = scratch.save(connected_components(links, scratch, "cc-1", rows), "label", rows)
-    # per document its component and in how many cells it is: no pair meets in more cells than either is in
-    about = shared.groupBy("doc").agg(F.count(F.lit(1)).alias("s")).join(label.withColumnRenamed("id", "doc"), "doc", "left")
-    about = scratch.save(about.select("doc", "s", F.coalesce("component", "doc").alias("c")), "about", rows)
-    placed = shared.select("token", "doc", "n", "pos").join(about, "doc")
-    mixed = placed.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("token")
-    mixed = scratch.save(placed.join(mixed, "token", "left_semi"), "mixed")
+    # cells whose members are of several components, and in how many of these a document is: a pair of different
+    # components meets in no more of them than either is in
+    label = label.withColumnRenamed("id", "doc")
+    placed = shared.select("token", "doc", "n", "pos").join(sized(label), "doc", "left").withColumn("c", F.coalesce("component", "doc")).drop("component")
+    several = placed.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("token")
+    mixed = scratch.save(placed.join(several, "token", "left_semi"), "mixed")
+    most = scratch.save(mixed.groupBy("doc").agg(F.count(F.lit(1)).alias("s")), "most", rows)
+    mixed = mixed.join(sized(most), "doc")
     x, y = mixed.alias("x"), mixed.alias("y")
     across = x.join(y, F.expr(f"x.token = y.token and x.doc < y.doc and x.c <> y.c and {sized_alike('x.n', 'y.n')} and least(x.s, y.s) >= {least_shared('x.n', 'y.n')}"))
     across = across.groupBy(F.expr("x.doc").alias("a"), F.expr("y.doc").alias("b")).agg(F.count(F.lit(1)).alias("met"), F.max("x.n").alias("an"), F.max("y.n").alias("bn"), F.min("x.pos").alias("ap"), F.min("y.pos").alias("bp"))
@@ -218,7 +220,7 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int, salts: int = 16) ->
     dealt = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(salts)).cast("int"))  # a hub's partners go to several tasks
     # the walks that a set takes part in: as the leader (role 0) or as a partner (role 1); a set moves once for each
     walks = dealt.selectExpr("b as doc", "a", "salt", "1 as role").unionByName(dealt.selectExpr("a as doc", "a", "salt", "0 as role").distinct())
-    rows = walks.join(sets, "doc").repartition("a", "salt").select("a", "salt", "role", "doc", "set").sortWithinPartitions("a", "salt", "role", "set")
+    rows = sets.join(sized(walks), "doc").repartition("a", "salt").select("a", "salt", "role", "doc", "set").sortWithinPartitions("a", "salt", "role", "set")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         walk, trees = None, []  # of the leader, or of each of its texts where rows share its id
