@@ -192,8 +192,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     label = scratch.save(connected_components(links, scratch, "cc-1", rows), "label", rows)
     # cells whose members are of several components, and in how many of these a document is: a pair of different
     # components meets in no more of them than either is in
-    label = label.withColumnRenamed("id", "doc")
-    placed = shared.select("token", "doc", "n", "pos").join(sized(label), "doc", "left").withColumn("c", F.coalesce("component", "doc")).drop("component")
+    placed = shared.select("token", "doc", "n", "pos").join(sized(label.withColumnRenamed("id", "doc")), "doc", "left").withColumn("c", F.coalesce("component", "doc")).drop("component")
     several = placed.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("token")
     mixed = scratch.save(placed.join(several, "token", "left_semi"), "mixed")
     most = scratch.save(mixed.groupBy("doc").agg(F.count(F.lit(1)).alias("s")), "most", rows)
