@@ -5,11 +5,14 @@ one Arrow function over whole batches, fed only the columns that it reads.
 """
 
 import ast
+import functools
 import io
+import operator
 import re
 import tokenize
 import unicodedata
-from collections.abc import Sequence
+from collections import Counter
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column
@@ -117,6 +120,17 @@ def python_code(response: Column) -> Column:
     return F.coalesce(_longest(fenced), F.nullif(F.regexp_replace(tail, r"^\n+|\s+$", ""), F.lit("")), r)
 
 
+def rust_code_lines(response: Column, lines: bool = True) -> Column:
+    """The longest fenced block, its language named or not; else, with `lines`, all from the first line that begins like
+    Rust, or the text; without, the text without stray fences."""
+    r = _text(response)
+    fenced = F.regexp_extract_all(r, F.lit(r"```(?:rust)?\s*([\s\S]*?)```"), F.lit(1))
+    if not lines:
+        return F.coalesce(_longest(fenced), F.regexp_replace(r, r"^[` \n\t]+|[` \n\t]+$", ""))
+    tail = F.regexp_extract(F.regexp_replace(r, r"^\s+|\s+$", ""), r"(?m)^([^\S\n]*(?:use|fn|pub|struct|impl|mod)[^\S\n]+[\s\S]*)", 1)
+    return F.coalesce(_longest(fenced), F.nullif(tail, F.lit("")), r)
+
+
 def too_short(code: Column, least: int = 10) -> Column:
     return F.length(F.trim(_text(code))) < least
 
@@ -207,11 +221,24 @@ def behaviour(signature: Column, most: int = 120) -> Column:
     return F.substring(F.trim(_text(F.try_element_at(F.split(_text(signature), " — "), F.lit(2)))), 1, most)
 
 
+# How the names of the model families are spelt, and the marks that end their answers.
+FAMILIES = {"llama": (("Llama3", "Llama-3", "llama3", "llama-3"), "<|eot_id|>"), "qwen": (("Qwen", "qwen"), "<|im_end|>")}
+
+
+def _family(model: Column, name: str) -> Column:
+    return functools.reduce(operator.or_, [_text(model).contains(x) for x in FAMILIES[name][0]])
+
+
 def chat(model: Column, question: Column) -> Column:
-    """A question in the model family's own chat template; as it stands for others."""
+    """A question in the model family's own chat template; as it stands for others. Spellings are case-sensitive."""
     llama = F.concat(F.lit("<|begin_of_text|><|start_header_id|>user<|end_header_id|>\n\n"), question, F.lit("<|eot_id|><|start_header_id|>assistant<|end_header_id|>\n\n"))
     qwen = F.concat(F.lit("<|im_start|>user\n"), question, F.lit("<|im_end|>\n<|im_start|>assistant\n"))
-    return F.when(model.rlike("(?i)llama"), llama).when(model.rlike("(?i)qwen"), qwen).otherwise(question)
+    return F.when(_family(model, "llama"), llama).when(_family(model, "qwen"), qwen).otherwise(question)
+
+
+def ended(model: Column, answer: Column) -> Column:
+    """An answer with the end mark of the model family."""
+    return F.when(_family(model, "llama"), F.concat(answer, F.lit(FAMILIES["llama"][1]))).when(_family(model, "qwen"), F.concat(answer, F.lit(FAMILIES["qwen"][1]))).otherwise(answer)
 
 
 def api_path(name: Column, module: Column, mark: str = ".") -> Column:
@@ -226,6 +253,80 @@ def code_prompt(question: Column, signature: Column, api: Column, docs: Column |
     return F.concat_ws("\n", *parts)
 
 
+# What marks a test module, and the module that is put around bare tests.
+TEST_MARK = "#[cfg(test)]"
+TEST_MODULE = ("\n#[cfg(test)]\nmod tests {\n    use super::*;\n    \n    ", "\n}\n")
+
+
+def stripped(c: Column) -> Column:
+    return F.regexp_replace(c, r"^\s+|\s+$", "")
+
+
+def without_repeated_uses(code: Column, tests: Column) -> Column:
+    """The tests without those `use` lines before the test module that the code has too; as they stand without such a module."""
+    line = lambda x: stripped(x).rlike(r"^use [\s\S]*;$")
+    own = F.transform(F.filter(F.split(_text(code), "\n"), line), stripped)
+    at = F.instr(_text(tests), TEST_MARK)
+    before, after = F.substr(tests, F.lit(1), at - 1), F.substr(tests, at)
+    kept = F.filter(F.split(before, "\n"), lambda x: ~(line(x) & F.array_contains(own, stripped(x))))
+    return F.when(at > 0, F.concat(F.array_join(kept, "\n"), after)).otherwise(tests)
+
+
+def rust_test_file(code: Column, tests: Column) -> Column:
+    """Code and tests as one file; bare tests get a test module around them."""
+    whole = F.when(_text(tests).contains(TEST_MARK), tests).otherwise(F.concat(F.lit(TEST_MODULE[0]), _text(tests), F.lit(TEST_MODULE[1])))
+    return F.concat(_text(code), F.lit("\n\n"), whole)
+
+
+def python_test_file(code: Column, tests: Column) -> Column:
+    """The tests, with an import of the code's functions before them if they import nothing of it."""
+    names = F.regexp_extract_all(_text(code), F.lit(r"(?U)def\s+(\w+)\s*\("), F.lit(1))
+    needed = ~_text(tests).contains("from solution import") & ~_text(tests).contains("import solution") & (F.size(names) > 0)
+    return F.when(needed, F.concat(F.lit("from solution import "), F.array_join(names, ", "), F.lit("\n"), _text(tests))).otherwise(tests)
+
+
+def rust_test_inputs(code: Column, tests: Column, to_version: Column) -> Column:
+    """struct<code, tests, rust_version, crate_version, third_party, crates>: third-party code is built by the default Rust."""
+    cleaned = without_repeated_uses(code, tests)
+    crates = F.array_sort(F.array_union(crate_names(code), crate_names(cleaned)))
+    third = F.size(crates) > 0
+    rust = F.when(third, rust_version(F.lit(RUST_DEFAULT))).otherwise(rust_version(to_version))
+    return F.struct(code.alias("code"), cleaned.alias("tests"), rust.alias("rust_version"), F.when(third & is_crate_version(to_version), to_version).alias("crate_version"), third.alias("third_party"), crates.alias("crates"))
+
+
+def same_set(a: Column, b: Column) -> Column:
+    """Two arrays hold the same members, whatever their order and repeats."""
+    return F.array_sort(F.array_distinct(a)) == F.array_sort(F.array_distinct(b))
+
+
+def behaviour_changes(old: Column, new: Column) -> Column:
+    """array<struct<kind, old, new>>: whether called methods or intrinsics differ, and whether `unsafe` came or went."""
+    calls = lambda c, p: F.regexp_extract_all(_text(c), F.lit(p), F.lit(1))
+    same = same_set(calls(old, r"\.([a-z_][a-z0-9_]*)\s*\("), calls(new, r"\.([a-z_][a-z0-9_]*)\s*\(")) & same_set(calls(old, r"intrinsics::([a-z0-9_]+)"), calls(new, r"intrinsics::([a-z0-9_]+)"))
+    a, b = _text(old).contains("unsafe"), _text(new).contains("unsafe")
+    none = F.lit(None).cast("boolean")
+    kinds = F.array(F.when(~same, F.struct(F.lit("behavior_changed").alias("kind"), none.alias("old"), none.alias("new"))), F.when(a != b, F.struct(F.lit("unsafe_changed").alias("kind"), a.alias("old"), b.alias("new"))))
+    return F.filter(kinds, lambda x: x.isNotNull())
+
+
+# Where a source text declares a name, in the order of asking.
+DECLARATIONS = (r"\b(?:pub\s+)?type\s+(\w+)\b", r"\b(?:pub\s+)?struct\s+(\w+)\b", r"\b(?:pub\s+)?enum\s+(\w+)\b", r"\b(?:pub\s+)?const\s+([A-Z_][A-Z0-9_]*)\b", r"\b(?:pub\s+)?fn\s+(\w+)\b")
+
+
+def declared_name(code: Column) -> Column:
+    """The name that a Rust text declares: a type, struct, enum, constant or function, what an impl is for, or what it uses; null if none."""
+    found = lambda p: F.nullif(F.regexp_extract(_text(code), p, 1), F.lit(""))
+    target = found(r"\bimpl\b[^\\n]*?\bfor\b\s*([^\s{]+)")
+    target = F.element_at(F.split(F.element_at(F.split(target, "<"), 1), "::"), -1)
+    return F.coalesce(*[found(p) for p in DECLARATIONS], target, found(r"\buse\s+[^;]+::(\w+)\s*;"))
+
+
+def renamed(documentation: Column) -> Column:
+    """struct<old, new> of a text that says what was renamed from what; nulls if it does not."""
+    part = lambda i: F.nullif(F.regexp_extract(_text(documentation), r"(?i)renamed from\s+`([^`]+)`.*?to\s+`([^`]+)`", i), F.lit(""))
+    return F.struct(part(1).alias("old"), part(2).alias("new"))
+
+
 # ---- brackets and parsers ----
 
 
@@ -260,22 +361,37 @@ def balanced(text: str, start: int, opening: str, closing: str) -> str | None:
     return None
 
 
+def _parameters(inside: str) -> Iterator[tuple[str, int, int]]:
+    """(text, place of its first =, of its first : before that; -1 where there is none) of each parameter, in one pass."""
+    depth, text, equal, colon = 0, "", -1, -1
+    for ch in inside + "\0":
+        depth += (ch in "([{") - (ch in ")]}")
+        if ch == "\0" or ch == "," and depth == 0:
+            if text.strip() not in ("", "/", "*", "..."):
+                yield text, equal, colon
+            text, equal, colon = "", -1, -1
+            continue
+        if ch == "=" and equal < 0:
+            equal = len(text)
+        elif ch == ":" and equal < 0 and colon < 0:
+            colon = len(text)
+        text += ch
+
+
 def python_signature(text: str | None) -> dict:
     """name, async_, params, return_type, is_method of a def line."""
-    s = (text or "").strip()
-    m = re.match(r"(async\s+)?(.*)", s, re.DOTALL)
-    body, params = m[2], []
-    name = re.search(r"\bdef\s+(\w+)\s*\(", body)
-    returned = re.search(r"\)\s*->\s*(.+?)\s*:?\s*$", body)
-    first, last = body.find("("), body.rfind(")")
-    for part in split_top(body[first + 1 : last]) if 0 <= first < last else []:
-        if part in ("/", "*", "..."):
-            continue
-        bare = part.lstrip("*")
-        head, eq, default = bare.partition("=")
-        label, colon, kind = head.partition(":")
-        params.append({"name": label.strip(), "type": kind.strip() if colon else None, "default": default.strip() if eq else None, "var_positional": part.startswith("*") and not part.startswith("**"), "var_keyword": part.startswith("**")})
-    return {"name": name[1] if name else "", "async_": bool(m[1]), "params": params, "return_type": returned[1].rstrip(":").strip() if returned else None, "is_method": bool(params) and params[0]["name"] in ("self", "cls")}
+    line = (text or "").strip()
+    _, *returned = re.split(r"\)\s*->", line, maxsplit=1)
+    params = []
+    for part, equal, colon in _parameters(line[line.find("(") + 1 : line.rfind(")")]) if 0 <= line.find("(") < line.rfind(")") else ():
+        stars = len(part.lstrip()) - len(part.lstrip().lstrip("*"))
+        label = part[: colon if colon >= 0 else equal if equal >= 0 else len(part)].strip().lstrip("*").strip()
+        kind = part[colon + 1 : equal if equal >= 0 else len(part)].strip() if colon >= 0 else None
+        params.append({"name": label, "type": kind, "default": part[equal + 1 :].strip() if equal >= 0 else None, "var_positional": stars == 1, "var_keyword": stars > 1})
+    words = re.findall(r"\w+|\(", line)
+    name = next((w for d, w, mark in zip(words, words[1:], words[2:]) if d == "def" and mark == "("), "")
+    result = returned[0].strip().rstrip(":").strip() if returned else ""
+    return {"name": name, "async_": line.startswith("async "), "params": params, "return_type": result or None, "is_method": bool(params) and params[0]["name"] in ("self", "cls")}
 
 
 def rust_signature(text: str | None) -> dict:
@@ -370,6 +486,104 @@ def strip_python_comments(code: str | None) -> str:
     return re.sub(r"\n{3,}", "\n\n", "\n".join(x.rstrip() for x in lines)).strip()
 
 
+def drop_tests(code: str, coroutines: bool = True) -> list[str]:
+    """The lines of imports and functions, without tests, calls of tests and comments on them. With `coroutines`, async
+    functions count as functions, and what stands at a function's level after it stays too."""
+    heads = ("def ", "async def ") if coroutines else ("def ",)
+    kept: list[str] = []
+    level, in_test = None, False  # the last function's indentation; whether it was a test
+    for line in code.split("\n"):
+        bare = line.strip()
+        depth = len(line) - len(line.lstrip())
+        if not bare:
+            stays = bool(kept) and not in_test
+        elif bare.startswith(tuple(h + "test_" for h in heads)):
+            stays, in_test = False, True
+        elif in_test and line[0] in " \t":
+            stays = False
+        else:
+            in_test = False
+            about_tests = bare.startswith("test_") and "(" in bare or bare.startswith("#") and "test" in bare.lower()
+            if not about_tests and bare.startswith(heads):
+                level = depth
+            stays = not about_tests and (bare.startswith(("import ", "from ")) or level is not None and (depth > level or depth == level and (coroutines or bare.startswith(heads))))
+        if stays:
+            kept.append(line)
+    while kept and not kept[-1].strip():
+        kept.pop()
+    return kept
+
+
+def _tagged(text: str) -> str | None:
+    """What stands between the first [PYTHON] and the first [/PYTHON]."""
+    low, high = text.find("[PYTHON]") + len("[PYTHON]"), text.find("[/PYTHON]")
+    return text[low:high].strip() if "[PYTHON]" in text and high > low else None
+
+
+def python_answer(text: str | None) -> str:
+    """Python code of an answer, without its tests: the longest block fenced as Python, else the longest bare one (those
+    that define or import something first), else what is tagged, else a text without fences."""
+    text = text or ""
+    named = re.findall(r"```(?:[Pp]ython[23]?|py)\b[^\n]*\n([\s\S]*?)```", text)
+    bare = [b.strip() for b in re.findall(r"```\s*\n([\s\S]*?)```", text) if b.strip()]
+    telling = [b for b in bare if "def " in b or "import " in b]
+    code = max(named, key=len).strip() if named else max(telling or bare, key=len) if bare else _tagged(text)
+    if code is None:
+        rest = re.sub(r"```\s*$", "", text.strip())
+        if not rest or "```" in rest:
+            return text.strip()
+        code = rest.strip()
+    return "\n".join(drop_tests(code)) or text.strip()
+
+
+def python_answer_tuned(text: str | None) -> str:
+    """As python_answer, for tuned models: the first block fenced as Python, else what is tagged, else a text that defines something."""
+    text = text or ""
+    start = text.find("```python")
+    end = text.find("```", start + len("```python\n")) if start >= 0 else -1
+    code = text[start + len("```python\n") : end].strip() if end >= 0 else _tagged(text)
+    if code is None:
+        if "def " not in text:
+            return text.strip()
+        code = text
+    return "\n".join(drop_tests(code, False)) or text.strip()
+
+
+# Words that are no API's name, types that all code uses, and methods that all code calls.
+NO_NAMES = frozenset("this that it the a an or".split())
+COMMON_TYPES = frozenset("Self String Vec Option Result Box Arc Rc Error".split())
+COMMON_METHODS = frozenset("new clone to_string map unwrap expect is_some is_none".split())
+# How a note and a documentation name a replacement.
+NOTE_SAYS = (r"superseded by `([\w:]+)`", r"[Uu]se `?([\w:]+)(?:\(\))?`?", r"use (?:the )?([\w:]+) (?:impl|instead)")
+DOCS_SAY = (r"[Uu]se `?([\w:]+)(?:\(\))?`? instead", r"replaced by `?([\w:]+)`?", r"superseded by `?([\w:]+)`?")
+
+
+def _most(words: list[str]) -> str | None:
+    """The most common word, the first in order among equals."""
+    return min(Counter(words).items(), key=lambda x: (-x[1], x[0]))[0] if words else None
+
+
+def rust_replacement(name: str | None, code: str | None, old_source: str | None, source: str | None, documentation: str | None) -> str | None:
+    """What replaces a deprecated Rust API: its type alias, what its note or documentation says, the one type that the code
+    imports, the method that the code calls most (for names in lower case), the type imported most."""
+    name, code, documentation = name or "", code or "", documentation or ""
+    if alias := re.search(r"pub type \w+[^=]*=\s*([^;{]+)", old_source or ""):
+        return alias[1].strip()
+    note = re.search(r'#\[deprecated[^\]]*note\s*=\s*"([^"]+)"', source or "") or re.search(r'note\s*=\s*"([^"]+)"', documentation)
+    for said, patterns in ((note[1] if note else "", NOTE_SAYS), (documentation, DOCS_SAY)):
+        for pattern in patterns:
+            if (m := re.search(pattern, said)) and m[1] not in NO_NAMES:
+                return m[1]
+    used = re.findall(r"use [^;{]+::(\w+)\s*;", code) + [t.strip() for group in re.findall(r"use [^;]+\{([^}]+)\}", code) for t in group.split(",")]
+    types = [u for u in used if u and u[0].isupper() and u not in COMMON_TYPES]
+    own = set(re.findall(r"(?:struct|enum|trait)\s+(\w+)", code))
+    types = [t for t in types if t not in own] or types
+    if len(set(types)) == 1:
+        return types[0]
+    called = [m for m in re.findall(r"\.(\w+)\(", code) if m not in COMMON_METHODS] if name[:1].islower() else []
+    return _most(called) or _most(types)
+
+
 def clean_generated(text: str | None) -> str:
     """Compatibility-normalised text without end-of-text marks."""
     return re.sub(r"<\|[^|>]*\|>", "", unicodedata.normalize("NFKD", text or "")).strip()
@@ -398,3 +612,14 @@ parse_rust_signature = _udf(rust_signature, "struct<kind: string, name: string,
 parse_python_imports = _udf(python_imports, "array<string>")
 strip_comments = _udf(strip_python_comments, "string")
 clean_text = _udf(clean_generated, "string")
+answer_code = _udf(python_answer, "string")
+tuned_answer_code = _udf(python_answer_tuned, "string")
+
+
+def replacement(name: Column, code: Column, old_source: Column, source: Column, documentation: Column) -> Column:
+    """rust_replacement over columns."""
+
+    def told(*parts: pd.Series) -> pd.Series:
+        return pd.Series([rust_replacement(*row) for row in zip(*parts)], dtype=object)
+
+    return F.pandas_udf(told, "string")(name, code, old_source, source, documentation)

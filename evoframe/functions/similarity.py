@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 
 def normalise(text: Column) -> Column:
-    """Trimmed, with \\n line ends."""
-    return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), "\r\n?", "\n"))
+    """Without white space around it, with \\n line ends."""
+    return F.regexp_replace(F.replace(F.coalesce(text, F.lit("")), F.lit("\r\n"), F.lit("\n")), r"(?U)^\s+|\s+$", "")
 
 
 def grams(tokens: Column | str, n: int) -> Column:
@@ -43,7 +43,8 @@ def gram_f1(df: DataFrame, key: Sequence[str], left: str, right: str, n: int, we
 
 # A token that is not a keyword counts for this much.
 PLAIN_WEIGHT = 0.2
-_TOKEN = re.compile(r"[A-Za-z_]\w*|\d+(?:\.\d+)?|\S")
+# Fixed value: the tokens of a text that Python's own tokenizer refuses.
+_TOKEN = re.compile(r"[A-Za-z_]\w*|\d+|==|!=|<=|>=|:=|->|[-+*/%<>{}()[\].,:=]")
 
 
 def python_tokens(code: str) -> list[str]:
@@ -51,7 +52,7 @@ def python_tokens(code: str) -> list[str]:
     skip = {tokenize.ENCODING, tokenize.NEWLINE, tokenize.NL, tokenize.INDENT, tokenize.DEDENT, tokenize.ENDMARKER, tokenize.COMMENT}
     try:
         return [t.string for t in tokenize.generate_tokens(io.StringIO(code).readline) if t.type not in skip]
-    except (tokenize.TokenError, SyntaxError, IndentationError):
+    except (tokenize.TokenError, SyntaxError):
         return _TOKEN.findall(code)
 
 
@@ -59,15 +60,18 @@ def _counts(tokens: list[str], n: int) -> Counter:
     return Counter(tuple(tokens[i : i + n]) for i in range(len(tokens) - n + 1))
 
 
+def _weight(gram: tuple[str, ...]) -> float:
+    """The mean weight of an n-gram's tokens: 1 for keywords, PLAIN_WEIGHT for the others."""
+    return sum(1.0 if keyword.iskeyword(t) else PLAIN_WEIGHT for t in gram) / len(gram)
+
+
 def weighted_ngram(candidate: list[str], reference: list[str]) -> float:
-    """Mean over n = 1..4 of the F1 of n-grams, weighted by whether they hold a keyword, times 100."""
+    """Mean over n = 1..4 of the F1 of n-grams by weight, times 100."""
     scores = []
     for n in range(1, 5):
         a, b = _counts(candidate, n), _counts(reference, n)
-        weight = lambda g: 1.0 if any(keyword.iskeyword(t) for t in g) else PLAIN_WEIGHT
-        shared = sum(weight(g) * min(c, b[g]) for g, c in a.items() if g in b)
-        whole = sum(weight(g) * c for g, c in a.items()) + sum(weight(g) * c for g, c in b.items())
-        scores.append(2 * shared / whole if whole else 0.0)
+        both, whole = (sum(c * _weight(g) for g, c in x.items()) for x in (a & b, a + b))
+        scores.append(2 * both / whole if a and b else 0.0)
     return 100 * sum(scores) / 4
 
 
@@ -91,33 +95,50 @@ def sentence_bleu(candidate: list[str], reference: list[str]) -> float:
     return brevity * math.exp(sum(logs) / len(logs))
 
 
+def _kinds(code: str) -> list[str]:
+    """Names of the syntax nodes, depth first, each before its children."""
+    found, open_ = [], [ast.parse(code)]
+    while open_:
+        node = open_.pop()
+        found.append(type(node).__name__)
+        open_ += reversed(list(ast.iter_child_nodes(node)))
+    return found
+
+
 def syntax_match(candidate: str, reference: str) -> float:
-    """Ratio of the sequences of syntax-node names, times 100; 0 where either is not Python."""
+    """Ratio of the sequences of syntax-node names, times 100; 0 where either is not Python. The matcher's ratio depends on
+    the order of its arguments; the reference comes first."""
     try:
-        a, b = ([type(x).__name__ for x in ast.walk(ast.parse(t))] for t in (candidate, reference))
+        a, b = _kinds(candidate), _kinds(reference)
     except (SyntaxError, ValueError):
         return 0.0
-    return 100 * difflib.SequenceMatcher(None, a, b).ratio()
-
-
-def data_flow(code: str) -> set[tuple[str, str]]:
-    """(from, to) names: what flows into assigned, looped, bound, returned and called names."""
-    names = lambda node: [x.id for x in ast.walk(node) if isinstance(x, ast.Name)]
-    edges: set[tuple[str, str]] = set()
-    for node in ast.walk(ast.parse(code)):
-        match node:
-            case ast.Assign(targets=targets, value=value):
-                edges |= {(s, t) for target in targets for t in names(target) for s in names(value)}
-            case ast.AugAssign(target=target, value=value):
-                edges |= {(s, t) for t in names(target) for s in [t, *names(value)]}
-            case ast.AnnAssign(target=target, value=value) if value is not None:
-                edges |= {(s, t) for t in names(target) for s in names(value)}
-            case ast.For(target=target, iter=value) | ast.AsyncFor(target=target, iter=value):
-                edges |= {(s, t) for t in names(target) for s in names(value)}
-            case ast.With(items=items) | ast.AsyncWith(items=items):
-                edges |= {(s, t) for i in items if i.optional_vars is not None for t in names(i.optional_vars) for s in names(i.context_expr)}
-            case ast.Return(value=value) if value is not None:
-                edges |= {(s, "return") for s in names(value)}
+    return 100 * difflib.SequenceMatcher(None, b, a).ratio()
+
+
+#: Per statement: the kind of its edges, and the parts that values come from and that names are bound in.
+_FLOWS = {
+    ast.Assign: ("assign", lambda n: [n.value], lambda n: [n]), ast.AnnAssign: ("ann_assign", lambda n: [n.value], lambda n: [n.target]),
+    ast.AugAssign: ("aug_assign", lambda n: [n.value, n.target], lambda n: [n.target]), ast.For: ("for", lambda n: [n.iter], lambda n: [n.target]),
+    ast.withitem: ("with", lambda n: [n.context_expr], lambda n: [n.optional_vars]),
+}
+
+
+def data_flow(code: str) -> set[tuple[str, str, str]]:
+    """(from, to, kind): names whose values flow into bound names, and into what is returned. Only names that are stored
+    are targets, so `a[i] = x` has none. Loops and contexts of coroutines are left out."""
+
+    def names(parts: list[ast.AST | None], stored: bool = False) -> set[str]:
+        return {x.id for p in parts if p is not None for x in ast.walk(p) if isinstance(x, ast.Name) and (not stored or isinstance(x.ctx, ast.Store))}
+
+    edges: set[tuple[str, str, str]] = set()
+    tree = ast.parse(code)
+    coroutine = {id(i) for n in ast.walk(tree) if isinstance(n, ast.AsyncWith) for i in n.items}
+    for node in ast.walk(tree):
+        if type(node) in _FLOWS and id(node) not in coroutine:
+            kind, sources, targets = _FLOWS[type(node)]
+            edges |= {(s, t, kind) for t in names(targets(node), True) for s in names(sources(node))}
+        elif isinstance(node, ast.Return):
+            edges |= {(s, "<return>", "return") for s in names([node.value])}
     return edges
 
 
@@ -150,6 +171,29 @@ def code_bleu(df: DataFrame, candidate: str, reference: str, weights: tuple[floa
     return made.withColumn("code_bleu", sum((F.col(p) * w for p, w in zip(parts, weights)), F.lit(0.0)))
 
 
+def corpus_code_bleu(df: DataFrame, candidate: str, reference: str, weights: tuple[float, float, float, float] = (0.25, 0.25, 0.25, 0.25)) -> DataFrame:
+    """One row: the means of the four scores over all pairs, 0 where there is none, and their weighted total."""
+    parts = ["bleu", "ngram", "syntax", "flow"]
+    means = code_bleu(df, candidate, reference, weights).agg(*[F.coalesce(F.avg(p), F.lit(0.0)).alias(p) for p in parts])
+    return means.withColumn("code_bleu", sum((F.col(p) * w for p, w in zip(parts, weights)), F.lit(0.0)))
+
+
+def _is_python(code: str) -> bool:
+    try:
+        ast.parse(code)
+    except (SyntaxError, ValueError):
+        return False
+    return True
+
+
+def detect_language(df: DataFrame, text: str, order: str, most: int = 10) -> DataFrame:
+    """One row, language: python if at least half (rounded down, one at least) of the first `most` texts that are not blank parse, else null."""
+    parses = F.pandas_udf(lambda s: s.map(_is_python), "boolean")
+    told = df.select(order, normalise(F.col(text)).alias("t")).orderBy(order).limit(most).where("t <> ''").select(parses("t").alias("ok"))
+    n, good = F.count(F.lit(1)), F.count_if("ok")
+    return told.agg(F.when((n > 0) & (good >= F.greatest(F.lit(1), F.floor(n / 2))), "python").alias("language"))
+
+
 def perplexity(logp: Column) -> Column:
     """exp(-sum log p / (n + 1)): all input tokens count, one more than are scored."""
     return F.exp(-F.sum(logp) / (F.count(F.lit(1)) + 1))

@@ -5,11 +5,14 @@ Every operator keeps graph_id in its keys, so one partitioning by graph serves a
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evoframe.sources.stored import stored
+
 G = "graph_id"
 
 
@@ -21,16 +24,17 @@ def undirected(edges: DataFrame) -> DataFrame:
 def k_hop(edges: DataFrame, seeds: DataFrame, k: int) -> DataFrame:
     """(graph_id, node_id, hops): nodes within k undirected steps of any seed, with the fewest steps.
 
-    Each step reads the front that the last one made: the plan grows by one join a step and is run once.
+    Edges are stored once, by node. Each step joins them with the last front, drops what is known and stores the new one.
     """
-    around = undirected(edges)
-    found = seeds.select(G, "node_id").distinct().withColumn("hops", F.lit(0))
+    around = stored(undirected(edges).repartition(G, "a"), "around")
+    front = stored(seeds.select(G, "node_id").distinct().withColumn("hops", F.lit(0)), "front")
+    fronts = [front]
     for step in range(1, k + 1):
-        front = found.where(F.col("hops") == step - 1).select(G, F.col("node_id").alias("a")).join(around, [G, "a"])
-        reached = front.select(G, F.col("b").alias("node_id"), F.lit(step).alias("hops"))
-        # one aggregation adds the new nodes and keeps the fewest steps of those known
-        found = found.unionByName(reached).groupBy(G, "node_id").agg(F.min("hops").alias("hops")).persist()
-    return found
+        known = functools.reduce(DataFrame.unionByName, fronts).select(G, "node_id")
+        reached = front.select(G, F.col("node_id").alias("a")).join(around, [G, "a"]).select(G, F.col("b").alias("node_id")).distinct()
+        front = stored(reached.join(known, [G, "node_id"], "left_anti").withColumn("hops", F.lit(step)), "front")
+        fronts.append(front)
+    return functools.reduce(DataFrame.unionByName, fronts)
 
 
 def prune(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, k: int, always: Column, keep_unseeded: bool) -> tuple[DataFrame, DataFrame]:
@@ -79,9 +83,9 @@ def attention(edges: DataFrame, score: Column, value: Column) -> DataFrame:
     return scored.join(top, [G, "dst"]).groupBy(G, "dst").agg((F.sum(weight * F.col("v")) / F.sum(weight)).alias("message"))
 
 
-def type_histogram(df: DataFrame, order: str = "first") -> DataFrame:
-    """(type, n) by count, then by the first place where the type is seen."""
-    return df.groupBy("type").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "type")
+def type_histogram(df: DataFrame, order: str) -> DataFrame:
+    """(type, n) by count, then by where the type is first seen in the column `order`."""
+    return df.groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first")).orderBy(F.desc("n"), "first", "type").drop("first")
 
 
 def sort_nodes(nodes: DataFrame, ranks: dict[str, int]) -> DataFrame:
@@ -92,11 +96,52 @@ def sort_nodes(nodes: DataFrame, ranks: dict[str, int]) -> DataFrame:
     return nodes.withColumn("type_rank", rank).orderBy(G, "type_rank", "node_id")
 
 
+def sort_edges(edges: DataFrame) -> DataFrame:
+    return edges.orderBy(G, "src", "dst", "type")
+
+
+# A node's shortest telling text, words that tell nothing, and what each category asks for one of.
+LEAST_TEXT = 3
+EMPTY_WORDS = ("unknown", "placeholder", "none", "empty", "null")
+REQUIRED = {"type_dependencies": ("kind", "name"), "api_evolution": ("kind", "type", "name")}
+
+
+def valid_node(category: str = "generic") -> Column:
+    """Whether a node of the columns node_id, type, name and the map attrs says something: one of its texts is long enough
+    and no empty word; a placeholder has a purpose or what it connects; a change of an API says what kind it is."""
+    of = lambda c: F.coalesce(F.col({"id": "node_id"}.get(c, c)) if c in ("id", "type", "name") else F.try_element_at("attrs", F.lit(c)), F.lit(""))
+    low = lambda c: F.trim(F.lower(of(c)))
+    told, kind = F.lit(False), F.lower(of("type"))
+    for c in ("value", "name", "kind", "type"):
+        told = told | (F.length(low(c)) >= LEAST_TEXT) & ~low(c).isin(*EMPTY_WORDS)
+    purpose = (F.length(F.trim(of("purpose"))) >= LEAST_TEXT) | (F.length(F.trim(of("connects_to"))) >= LEAST_TEXT)
+    known = F.lit(category not in REQUIRED)
+    for c in REQUIRED.get(category, ()):
+        known = known | (of(c) != "")
+    changed = ~kind.isin("change", "transition", "signature") | (of("kind") != "") | (of("changes") != "") if category == "api_evolution" else F.lit(True)
+    return (of("id") != "") & known & F.when(kind.contains("placeholder"), purpose).otherwise(told & changed)
+
+
+def valid_graph(nodes: DataFrame, edges: DataFrame, category: str = "generic") -> tuple[DataFrame, DataFrame]:
+    """The nodes that say something, and the edges between them."""
+    kept = nodes.where(valid_node(category))
+    return kept, endpoints_kept(edges, kept)
+
+
+def code_nodes(nodes: DataFrame) -> DataFrame:
+    return nodes.where(F.col("type").startswith("code_"))
+
+
 def drop_empty(attrs: Column) -> Column:
     """Map entries without null, '', '[]' or '{}' values."""
     return F.map_filter(attrs, lambda k, v: v.isNotNull() & ~v.isin("", "[]", "{}"))
 
 
+def drop_debug(attrs: Column) -> Column:
+    """Map entries without null and empty values, and without where a node comes from."""
+    return F.map_filter(drop_empty(attrs), lambda k, v: ~k.isin("source", "source_role"))
+
+
 def param_diff(old: DataFrame, new: DataFrame, key: Sequence[str], name: str = "name", kind: str = "type") -> DataFrame:
     """(key..., name, change, old_type, new_type): removed, added or retyped members, by kind and name; self and cls left out."""
     a = old.where(~F.col(name).isin("self", "cls")).select(*key, name, F.col(kind).alias("old_type"), F.lit(1).alias("in_old"))

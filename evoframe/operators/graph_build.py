@@ -11,11 +11,13 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evoframe.functions.code import clean_signature, parse_python_signature, rust_signature
 
+from evoframe.sources.stored import stored
+
 from .graph import drop_empty, endpoints_kept, first_match, prune
 
 ROWS = "graph_id long, row_kind string, id string, dst string, type string, name string, pos long, attrs map<string, string>"
@@ -53,12 +55,12 @@ def python_rows(graph_id: int, code: str | None) -> list[tuple]:
     def calls(owner: str, node: ast.AST) -> None:
         for call in [x for x in ast.walk(node) if isinstance(x, ast.Call)]:
             name = _dotted(call.func)
-            at = b.node(f"call_{name}", "code_api_call", name)
+            at = b.node(f"call_{name}", "code_api_call", name, api=name, call_repr=ast.unparse(call))
             b.edge(owner, at, "calls")
             for i, arg in enumerate(call.args):
-                b.edge(at, b.node(f"arg_{name}_{i}", "code_call_arg", ast.unparse(arg), position=str(i)), "has_arg")
+                b.edge(at, b.node(f"arg_{name}_{i}", "code_call_arg", ast.unparse(arg), value=ast.unparse(arg), position=str(i)), "has_arg")
             for kw in call.keywords:
-                b.edge(at, b.node(f"kwarg_{name}_{kw.arg}", "code_call_arg", kw.arg or "**", value=ast.unparse(kw.value)), "has_arg")
+                b.edge(at, b.node(f"kwarg_{name}_{kw.arg}", "code_call_arg", kw.arg or "**", value=ast.unparse(kw.value), keyword="true"), "has_arg")
 
     try:
         tree = ast.parse(code or "")
@@ -66,11 +68,11 @@ def python_rows(graph_id: int, code: str | None) -> list[tuple]:
         for name in re.findall(r"def\s+(\w+)\s*\(", code or ""):
             b.node(f"func_{name}", "code_function", name)
         for name in re.findall(r"(?<!def )\b([A-Za-z_][\w.]*)\s*\(", code or ""):
-            b.node(f"call_{name}", "code_api_call", name)
+            b.node(f"call_{name}", "code_api_call", name, api=name)
         return b.rows
     for node in ast.walk(tree):
         if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)):
-            at = b.node(f"func_{node.name}", "code_function", node.name, returns=ast.unparse(node.returns) if node.returns else None)
+            at = b.node(f"func_{node.name}", "code_function", node.name, return_annotation=ast.unparse(node.returns) if node.returns else None)
             for arg in [*node.args.posonlyargs, *node.args.args, *node.args.kwonlyargs]:
                 b.edge(at, b.node(f"param_{node.name}_{arg.arg}", "code_param", arg.arg, annotation=ast.unparse(arg.annotation) if arg.annotation else None), "has_param")
             for d in node.decorator_list:
@@ -90,22 +92,22 @@ def rust_rows(graph_id: int, code: str | None) -> list[tuple]:
     """Functions, parameters, receivers, calls, macros and imports of a Rust text."""
     b, text = _Build(graph_id), re.sub(r"//[^\n]*", "", code or "")
     for path in re.findall(r"\buse\s+([^;]+);", text)[:5]:
-        b.node(f"import_{path.split('::')[-1].strip('{} ')}", "code_import", path.strip())
+        b.node(f"import_{path.split('::')[-1].strip('{} ')}", "code_import", path.strip(), path=path.strip())
     heads = list(re.finditer(r"\bfn\s+\w+[^{;]*", text))
     for i, head in enumerate(heads):
         sig = rust_signature(head[0])
         at = b.node(f"func_{sig['name']}", "code_function", sig["name"])
         for p in sig["params"]:
-            b.edge(at, b.node(f"param_{sig['name']}_{p['name']}", "code_param", p["name"], annotation=p["type"]), "has_param")
+            b.edge(at, b.node(f"param_{sig['name']}_{p['name']}", "code_param", p["name"], param_type=p["type"], function=sig["name"]), "has_param")
         if sig["return_type"]:
-            b.edge(at, b.node(f"return_{sig['name']}", "code_return", sig["return_type"]), "returns")
+            b.edge(at, b.node(f"return_{sig['name']}", "code_return", sig["return_type"], value=sig["return_type"]), "returns")
         body = text[head.end() : heads[i + 1].start() if i + 1 < len(heads) else len(text)]
         for call in _CALL.finditer(body):
             receiver, name, macro = call[1], call[2], call[3]
             if name in _NOT_CALLS:
                 continue
             kind = "macro_call" if macro else "code_api_call"
-            made = b.node(f"call_{name}", kind, name)
+            made = b.node(f"call_{name}", kind, name, api=name, call_type="method_call" if receiver else None, receiver=receiver)
             b.edge(at, made, "calls")
             if receiver:
                 b.edge(made, b.node(f"recv_{receiver}", "code_receiver", receiver), "on")
@@ -131,18 +133,20 @@ def build(records: DataFrame, k: int = 3) -> tuple[DataFrame, DataFrame]:
     from the anchor to what changed, and from a changed parameter to the code's parameter (the first) and call arguments
     (all) of its name.
     """
-    parsed = code_rows(records).persist()  # parsed once for nodes and edges
+    parsed = stored(code_rows(records), "code")  # parsed once for nodes and edges
     nodes = parsed.where("row_kind = 'node'").select("graph_id", F.col("id").alias("node_id"), "type", "name", "pos", "attrs")
     edges = parsed.where("row_kind = 'edge'").select("graph_id", F.col("id").alias("src"), "dst", "type")
     sig = lambda c: parse_python_signature(clean_signature(F.coalesce(c, F.lit(""))))
     kind = F.when(F.col("change_type").isin("stabilized", "deprecated", "implicit"), F.col("change_type")).otherwise("signature")
-    s = records.select("graph_id", "name", kind.alias("kind"), "signature", "old_signature", sig(F.col("signature")).alias("new"), sig(F.col("old_signature")).alias("old"))
+    s = records.select("graph_id", "name", "module", "change_type", kind.alias("kind"), "signature", "old_signature", sig(F.col("signature")).alias("new"), sig(F.col("old_signature")).alias("old"))
     no_attrs = F.create_map().cast("map<string,string>")
     put = lambda df, node_id, kind, name, attrs=no_attrs: df.select("graph_id", node_id.alias("node_id"), kind.alias("type"), name.alias("name"), F.lit(1 << 20).cast("long").alias("pos"), attrs.alias("attrs"))
-    anchor = put(s, F.lit("api"), F.lit("api_updated"), F.col("name"))
-    sigs = put(s.where("signature <> ''"), F.lit("new_signature"), F.lit("new_signature"), F.col("signature")).unionByName(put(s.where("old_signature <> ''"), F.lit("old_signature"), F.lit("old_signature"), F.col("old_signature")))
+    told = lambda **x: F.map_from_arrays(F.array(*[F.lit(k) for k in x]), F.array(*[F.coalesce(v, F.lit("")) for v in x.values()]))
+    anchor = put(s, F.lit("api"), F.lit("api_updated"), F.col("name"), told(module=F.col("module"), change_type=F.col("change_type")))
+    signed = lambda text, of: put(s.where(F.col(text) != ""), F.lit(f"{of}_signature"), F.lit(f"{of}_signature"), F.coalesce(F.nullif(f"{of}.name", F.lit("")), "name"), told(signature=F.col(text), params=F.to_json(F.transform(f"{of}.params", lambda p: F.struct(p["name"].alias("name"), p["type"].alias("type")))), return_type=F.col(f"{of}.return_type")))
+    sigs = signed("signature", "new").unionByName(signed("old_signature", "old"))
     params = s.select("graph_id", F.posexplode("new.params").alias("at", "p"))
-    params = params.select("graph_id", F.concat(F.lit("func_param_"), "p.name").alias("node_id"), F.lit("func_param").alias("type"), F.col("p.name").alias("name"), F.col("at").cast("long").alias("pos"), F.map_from_entries(F.array(F.struct(F.lit("type"), F.coalesce("p.type", F.lit(""))))).alias("attrs"))
+    params = params.select("graph_id", F.concat(F.lit("func_param_"), "p.name").alias("node_id"), F.lit("func_param").alias("type"), F.col("p.name").alias("name"), F.col("at").cast("long").alias("pos"), told(annotation=F.col("p.type"), default=F.col("p.default")).alias("attrs"))
     live = s.where("kind = 'signature'")
     old = live.select("graph_id", F.inline("old.params")).select("graph_id", "name", F.col("type").alias("old_type"), F.lit(1).alias("a"))
     new = live.select("graph_id", F.inline("new.params")).select("graph_id", "name", F.col("type").alias("new_type"), F.lit(1).alias("b"))
@@ -158,7 +162,7 @@ def build(records: DataFrame, k: int = 3) -> tuple[DataFrame, DataFrame]:
     changes = changes.unionByName(change(other.where("kind = 'deprecated'"), F.lit("deprecated"), F.coalesce(F.nullif("word", F.lit("")), F.col("name"))))
     changes = changes.unionByName(change(other.where("kind = 'implicit'"), F.lit("behaviour"), F.coalesce(F.nullif("text", F.lit("")), F.col("name"))))
     evolved = anchor.unionByName(sigs).unionByName(params).unionByName(changes)
-    everything = nodes.unionByName(evolved).withColumn("attrs", drop_empty(F.col("attrs"))).dropDuplicates(["graph_id", "node_id"]).persist()
+    everything = stored(nodes.unionByName(evolved).withColumn("attrs", drop_empty(F.col("attrs"))).dropDuplicates(["graph_id", "node_id"]), "nodes")
     e = lambda df, src, dst, kind: df.select("graph_id", src.alias("src"), dst.alias("dst"), F.lit(kind).alias("type"))
     bridges = e(changes, F.lit("api"), F.col("node_id"), "has_change").unionByName(e(sigs, F.lit("api"), F.col("node_id"), "has_signature")).unionByName(e(params, F.lit("new_signature"), F.col("node_id"), "has_param"))
     called = nodes.where("type = 'code_api_call'").join(s.select("graph_id", F.element_at(F.split("name", r"\."), -1).alias("short")), "graph_id").where(F.element_at(F.split(F.col("name"), r"\."), -1) == F.col("short"))
@@ -168,17 +172,7 @@ def build(records: DataFrame, k: int = 3) -> tuple[DataFrame, DataFrame]:
     code_arg = nodes.where("type = 'code_call_arg'").select("graph_id", "name", F.col("node_id").alias("dst"))
     bridges = bridges.unionByName(e(first_match(named, code_param, ["graph_id", "name"], ["pos"], ["src"]), F.col("src"), F.col("dst"), "binds"))
     bridges = bridges.unionByName(e(named.join(code_arg, ["graph_id", "name"]), F.col("src"), F.col("dst"), "constrains"))
-    all_edges = endpoints_kept(edges.unionByName(bridges).dropDuplicates(["graph_id", "src", "dst", "type"]), everything).persist()
+    all_edges = stored(endpoints_kept(edges.unionByName(bridges).dropDuplicates(["graph_id", "src", "dst", "type"]), everything), "edges")
     seeds = everything.where("type in ('code_api_call', 'api_updated')").select("graph_id", "node_id")
     always = F.col("type").startswith("func_") | F.col("type").isin("old_signature", "new_signature")
     return prune(everything, all_edges, seeds, k, always, keep_unseeded=False)
-
-
-def node_text() -> Column:
-    """What a node says, by its type."""
-    t, n = F.col("type"), F.coalesce(F.col("name"), F.lit(""))
-    said = {"api_updated": "updated API ", "code_function": "function ", "code_param": "parameter ", "code_api_call": "call of ", "code_call_arg": "argument ", "func_param": "API parameter ", "new_signature": "new signature ", "old_signature": "old signature ", "change": "change ", "code_import": "import ", "code_receiver": "receiver ", "code_return": "returns ", "macro_call": "macro "}
-    out = F.concat(t, F.lit(" "), n)
-    for kind, words in said.items():
-        out = F.when(t == kind, F.concat(F.lit(words), n)).otherwise(out)
-    return out

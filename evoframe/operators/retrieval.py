@@ -1,14 +1,23 @@
-"""Text retrieval: BM25, tiered and keyword lookup, fixed chunks, nearest vectors."""
+"""Text retrieval: BM25, tiered and keyword lookup, formatted results, chunks, nearest vectors."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import functools
+import re
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
+from evoframe.sources.stored import stored
+
 # Words that keyword lookup leaves out.
-STOP_WORDS = ("a", "an", "the", "is", "are", "was", "were", "be", "been", "being", "to", "of", "in", "for", "on", "with", "at", "by", "from", "as", "and", "or", "that", "this", "it", "how")
+STOP_WORDS = ("a", "an", "the", "is", "are", "was", "were", "in", "on", "at", "to", "for", "of", "with", "by", "from", "how", "can", "you", "i", "we", "they", "that", "this", "what", "when")
 
 
 def tokens(text: Column) -> Column:
@@ -22,20 +31,24 @@ def bm25(docs: DataFrame, queries: DataFrame, doc_id: str, doc_text: Column, que
     Documents are exploded once; a semi-join with the queries' distinct terms prunes their postings before any shuffle
     by term. Repeated query tokens count repeatedly; documents of no score fill up a query's places.
     """
+    seen = Observation()
+    asked = stored(queries.select(F.col(query_id).alias("q"), F.explode(tokens(query_text)).alias("t")).groupBy("q", "t").agg(F.count(F.lit(1)).alias("times")), "asked")
     words = docs.select(F.col(doc_id).alias("d"), tokens(doc_text).alias("w")).withColumn("len", F.size("w"))
-    totals = words.agg(F.count(F.lit(1)).alias("docs"), F.avg("len").alias("mean_len"))
-    asked = queries.select(F.col(query_id).alias("q"), F.explode(tokens(query_text)).alias("t")).groupBy("q", "t").agg(F.count(F.lit(1)).alias("times"))
-    posts = words.select("d", "len", F.explode("w").alias("t")).join(asked.select("t").distinct(), "t", "left_semi").groupBy("t", "d", "len").agg(F.count(F.lit(1)).alias("tf"))
-    spread = posts.groupBy("t").agg(F.count(F.lit(1)).alias("df"))
-    one = spread.crossJoin(F.broadcast(totals))  # one row of totals
-    weight = one.select("t", "mean_len", F.ln((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1).alias("idf"))
-    part = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean_len")))
-    scored = asked.join(weight, "t").join(posts, "t").groupBy("q", "d").agg(F.sum(part).alias("score"))
-    # the first k documents are all that can be needed to fill up
+    words = words.observe(seen, F.count(F.lit(1)).alias("docs"), F.sum("len").alias("total"))
+    posts = words.select("d", "len", F.explode("w").alias("t")).join(asked.select("t").distinct(), "t", "left_semi")
+    posts = stored(posts.groupBy("t", "d", "len").agg(F.count(F.lit(1)).alias("tf")), "posts")  # the one pass over the texts
+    docs_n, mean_len = seen.get["docs"], (seen.get["total"] or 0) / max(1, seen.get["docs"])
+    weight = posts.groupBy("t").agg(F.count(F.lit(1)).alias("df")).select("t", F.ln((docs_n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1).alias("idf"))
+    part = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.lit(mean_len)))
+    scored = posts.join(asked.join(weight, "t"), "t").groupBy("q", "d").agg(F.sum(part).alias("score"))
+    place = F.row_number().over(Window.partitionBy("q").orderBy(F.desc(F.round("score", 9)), "d")).cast("long")
+    best = stored(scored.withColumn("place", place).where(F.col("place") <= k), "best")
+    # where fewer than k documents score, all that do are among the best, and the first k documents can fill up
     first = docs.select(F.col(doc_id).alias("d")).orderBy("d").limit(k)
-    fill = queries.select(F.col(query_id).alias("q")).crossJoin(F.broadcast(first)).join(scored.select("q", "d"), ["q", "d"], "left_anti").withColumn("score", F.lit(0.0))
-    place = F.row_number().over(Window.partitionBy("q").orderBy(F.desc(F.round("score", 9)), "d"))
-    return scored.unionByName(fill).withColumn("place", place.cast("long")).where(F.col("place") <= k).select(F.col("q").alias(query_id), F.col("d").alias(doc_id), "score", "place")
+    open_ = queries.select(F.col(query_id).alias("q")).join(best.where(F.col("place") == k).select("q"), "q", "left_anti")
+    fill = open_.crossJoin(F.broadcast(first)).join(best.select("q", "d"), ["q", "d"], "left_anti").withColumn("score", F.lit(0.0))
+    found = best.drop("place").unionByName(fill).withColumn("place", place).where(F.col("place") <= k)
+    return found.select(F.col("q").alias(query_id), F.col("d").alias(doc_id), "score", "place")
 
 
 def keywords(text: Column, stop: Sequence[str] = STOP_WORDS) -> Column:
@@ -49,33 +62,206 @@ def relevance(text: Column, words: Column) -> Column:
     return F.aggregate(words, F.lit(0), lambda n, w: n + F.when(low.contains(w), 1).otherwise(0))
 
 
-def keyword_top(docs: DataFrame, queries: DataFrame, doc_id: str, text: str, query_id: str, query: str, k: int = 3) -> DataFrame:
-    """(query_id, doc_id, hits, place): documents that contain most keywords, zero ones left out, ties by document id."""
-    asked = queries.select(F.col(query_id).alias("q"), keywords(F.col(query)).alias("kw")).where("size(kw) > 0")
-    docs = docs.select(F.col(doc_id).alias("d"), F.lower(F.coalesce(text, F.lit(""))).alias("low"))
-    # the stated queries, in blocks, meet each document; what leaves a document are its non-zero scores
-    one = asked.groupBy(F.pmod(F.xxhash64("q"), F.lit(16)).alias("blk")).agg(F.collect_list(F.struct("q", "kw")).alias("all")).drop("blk")
-    scored = docs.crossJoin(one).select("d", F.explode(F.transform("all", lambda a: F.struct(a.q.alias("q"), F.size(F.filter(a.kw, lambda w: F.col("low").contains(w))).cast("long").alias("hits")))).alias("x"))
-    scored = scored.select(F.col("x.q").alias("q"), "d", F.col("x.hits").alias("hits")).where("hits > 0")
+def keyword_top(docs: DataFrame, queries: DataFrame, doc_id: str, text: str, query_id: str, query: str, k: int = 3, block: int = 200_000) -> DataFrame:
+    """(query_id, doc_id, hits, place): documents that contain most keywords, zero ones left out, ties by document id.
+
+    The distinct keywords make one automaton that passes over each text once; a task keeps k documents for each query. The
+    queries go to the tasks in blocks of about `block` (query, keyword) rows. Rows with a null id are left out.
+    """
+    asked = queries.select(F.col(query_id).alias("q"), F.explode(keywords(F.col(query))).alias("w")).where("q is not null")
+    asked = stored(asked.groupBy("q", "w").agg(F.count(F.lit(1)).alias("times")), "asked")
+    rows = docs.select(F.col(doc_id).alias("d"), F.lower(F.coalesce(text, F.lit(""))).alias("low")).where("d is not null")
+    kinds = {f.name: f.dataType.simpleString() for f in [*asked.schema.fields, *rows.schema.fields]}
+    blocks = max(1, -(-asked.count() // block))
+    parts = []
+    for i in range(blocks):
+        own = asked.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == i).toArrow()
+        parts.append(rows.mapInArrow(_scan(docs.sparkSession.sparkContext.broadcast(own), k), f"q {kinds['q']}, d {kinds['d']}, hits long"))
+    scored = functools.reduce(DataFrame.unionByName, parts)
     place = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("hits"), "d"))
     return scored.withColumn("place", place.cast("long")).where(F.col("place") <= k).select(F.col("q").alias(query_id), F.col("d").alias(doc_id), "hits", "place")
 
 
-def tiered(docs: DataFrame, queries: DataFrame, k: int = 3) -> DataFrame:
-    """(query_id, idx, tier): for queries (query_id, name, module) the first tier that has documents (idx, name, module).
+def _scan(asked: Broadcast, k: int, slice_rows: int = 256):
+    """A task's function from (d, low) to the k best documents (q, d, hits) of each query."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        table = asked.value
+        names = table.column("q").unique()
+        at = np.asarray(pc.index_in(table.column("q"), names).combine_chunks())
+        times = np.asarray(table.column("times").combine_chunks())
+        held: dict[str, list[int]] = {}
+        for i, w in enumerate(table.column("w").to_pylist()):
+            held.setdefault(w, []).append(i)
+        find, posts = ahocorasick.Automaton(), [np.array(rows) for rows in held.values()]
+        for i, w in enumerate(held):
+            find.add_word(w, i)
+        if not held:
+            return
+        find.make_automaton()
+        n = len(names)
+        best_hits, best_ids = np.zeros((n, 0), np.int64), np.zeros((n, 0), object)
+        kind = pa.int64()
+        for b in batches:
+            kind = b.column(0).type
+            for s in range(0, b.num_rows, slice_rows):
+                part = b.slice(s, slice_rows)
+                hits = np.zeros((n, part.num_rows), np.int64)
+                for j, low in enumerate(part.column(1)):
+                    if met := {w for _, w in find.iter(low.as_py())}:
+                        rows = np.concatenate([posts[w] for w in met])
+                        hits[:, j] = np.bincount(at[rows], times[rows], n)
+                own = np.empty(part.num_rows, object)
+                own[:] = part.column(0).to_pylist()
+                order = {v: i for i, v in enumerate(sorted({*own, *best_ids.ravel()}))}
+                hits, ids = np.concatenate([best_hits, hits], 1), np.concatenate([best_ids, np.broadcast_to(own, (n, len(own)))], 1)
+                seat = np.array([order[v] for v in ids.ravel()]).reshape(ids.shape)
+                best = np.lexsort((seat, -hits), axis=1)[:, :k]
+                best_hits, best_ids = np.take_along_axis(hits, best, 1), np.take_along_axis(ids, best, 1)
+        q, place = np.nonzero(best_hits)
+        yield pa.RecordBatch.from_arrays([names.take(pa.array(q)), pa.array(best_ids[q, place].tolist(), kind), pa.array(best_hits[q, place])], ["q", "d", "hits"])
 
-    Tiers: 1 name and module, 2 name, 3 modules that start with the asked one. Each tier is an equi-join: the third
-    meets the prefixes of the documents' modules, so no pair is compared by nested loop.
+    return run
+
+
+def tiered(docs: DataFrame, queries: DataFrame, k: int = 3, text: str | None = None, query: str | None = None) -> DataFrame:
+    """(query_id, idx, tier, place): for queries (query_id, name, module) the first tier that has documents (idx, name, module).
+
+    Tiers: 1 name and module, 2 name, 3 modules that start with the first segment of the asked one, 4 most keywords of the
+    column `query` in the documents' column `text`, if both are named. The best k of a tier in the order of idx, in tier 4
+    by keywords first. Empty names and modules ask nothing. Each tier is an equi-join: the third meets the documents'
+    modules cut to the lengths that are asked, so no pair is compared by nested loop.
     """
-    d, q = docs.select("idx", "name", "module"), queries.select("query_id", F.col("name").alias("qn"), F.col("module").alias("qm"))
-    exact = q.join(d, (F.col("qn") == F.col("name")) & (F.col("qm") == F.col("module"))).select("query_id", "idx", F.lit(1).alias("tier"))
-    named = q.join(d, F.col("qn") == F.col("name")).select("query_id", "idx", F.lit(2).alias("tier"))
-    heads = d.select("idx", F.explode(F.transform(F.sequence(F.lit(1), F.length("module")), lambda n: F.substring("module", F.lit(1), n))).alias("head")).where("head <> ''")
-    prefix = q.where("qm <> ''").join(heads, F.col("qm") == F.col("head")).select("query_id", "idx", F.lit(3).alias("tier"))
-    found = exact.unionByName(named).unionByName(prefix)
-    best = found.withColumn("best", F.min("tier").over(Window.partitionBy("query_id"))).where("tier = best")
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy("idx"))
-    return best.withColumn("place", place.cast("long")).where(F.col("place") <= k).select("query_id", "idx", F.col("tier").cast("long").alias("tier"), "place")
+    d = docs.select("idx", "name", F.coalesce("module", F.lit("")).alias("module"))
+    q = queries.select("query_id", F.col("name").alias("qn"), F.col("module").alias("qm")).where("query_id is not null")
+    named = q.where("qn <> ''").join(d, F.col("qn") == F.col("name")).select("query_id", "idx", F.when((F.col("qm") != "") & (F.col("qm") == F.col("module")), 1).otherwise(2).alias("tier"))
+    asked = q.where("qm <> ''").select("query_id", F.element_at(F.split("qm", "::"), 1).alias("head"))
+    sizes = sorted(r.n for r in asked.select(F.length("head").alias("n")).distinct().collect())  # at most the longest name's length
+    heads = d.select("idx", "module", F.explode(F.array(*[F.lit(n) for n in sizes]) if sizes else F.array().cast("array<int>")).alias("n")).where("length(module) >= n")
+    heads = heads.select("idx", F.substring("module", F.lit(1), F.col("n")).alias("head"))
+    found = named.unionByName(heads.where("head <> ''").join(asked.where("head <> ''"), "head").select("query_id", "idx", F.lit(3).alias("tier")))
+    if 0 in sizes:  # a module that begins with :: has an empty first segment, with which every module starts
+        found = found.unionByName(asked.where("head = ''").select("query_id").crossJoin(F.broadcast(d.select("idx").orderBy("idx").limit(k))).select("query_id", "idx", F.lit(3).alias("tier")))
+    over = Window.partitionBy("query_id")
+    best = found.withColumn("best", F.min("tier").over(over)).where("tier = best")
+    best = best.withColumn("place", F.row_number().over(over.orderBy("idx")).cast("long")).where(F.col("place") <= k).select("query_id", "idx", F.col("tier").cast("long").alias("tier"), "place")
+    if text is None or query is None:
+        return best
+    best = stored(best, "tiers")
+    rest = queries.select("query_id", F.col(query).alias("asked")).join(best.select("query_id").distinct(), "query_id", "left_anti")
+    words = keyword_top(docs.select("idx", F.col(text).alias("said")), rest, "idx", "said", "query_id", "asked", k)
+    return best.unionByName(words.select("query_id", "idx", F.lit(4).cast("long").alias("tier"), "place"))
+
+
+def search_text(*parts: str) -> Column:
+    """What a document is searched in, or a query for: its parts with spaces between, null as empty."""
+    return F.concat_ws(" ", *[F.coalesce(F.col(p), F.lit("")) for p in parts])
+
+
+def _line(label: str, value: Column, end: str = "\n") -> Column:
+    """A labelled line, or nothing where the value is null or empty."""
+    return F.when(F.coalesce(value, F.lit("")) != "", F.concat(F.lit(label), value, F.lit(end))).otherwise("")
+
+
+def format_documents(found: DataFrame, query_id: str = "query_id", place: str = "place") -> DataFrame:
+    """(query_id, text): the documents of each query as numbered text; source code only under 500 characters."""
+    of = lambda c: F.coalesce(F.col(c), F.lit("N/A"))
+    versions = F.when((F.coalesce("from_version", F.lit("")) != "") & (F.coalesce("to_version", F.lit("")) != ""), F.concat(F.lit("Version: "), "from_version", F.lit(" → "), "to_version", F.lit("\n"))).otherwise("")
+    source = F.when(F.length("source_code") < 500, F.col("source_code"))
+    one = F.concat(
+        F.format_string("[Document %d]\n", F.row_number().over(Window.partitionBy(query_id).orderBy(place))), F.lit("API: "), of("name"), F.lit("\nModule: "), of("module"), F.lit("\nType: "), of("type"), F.lit("\n"),
+        _line("Signature: ", F.col("signature")), _line("Documentation: ", F.col("documentation")), _line("Source Code:\n", source), versions,
+    )
+    return _joined(found, one, query_id, place, "\n")
+
+
+def format_matches(found: DataFrame, query_id: str = "query_id", place: str = "place") -> DataFrame:
+    """(query_id, text): the documents of a ranked search as numbered sections; long parts are cut, two examples at most."""
+    of = lambda c: F.coalesce(F.col(c), F.lit(""))
+    is_list = dict(found.dtypes)["examples"].startswith("array")
+    bare = lambda c: F.regexp_replace(F.to_json(F.array(c)), r"^\[|\]$", "")  # noqa: E731  # JSON of one value
+    as_json = F.concat(F.lit("["), F.array_join(F.transform(F.slice("examples", 1, 2), bare), ", "), F.lit("]")) if is_list else bare(F.substring("examples", 1, 300))
+    some = F.size("examples") > 0 if is_list else F.length("examples") > 0
+    one = F.concat_ws(
+        "\n", F.format_string("### Retrieved API [%d]: %s (%s)", F.row_number().over(Window.partitionBy(query_id).orderBy(place)), of("name"), of("module")),
+        F.concat(F.lit("Signature: "), of("signature")), F.concat(F.lit("Version: "), of("from_version"), F.lit(" → "), of("to_version")), F.concat(F.lit("Change type: "), of("change_type")),
+        F.when(of("documentation") != "", F.concat(F.lit("Documentation: "), F.substring("documentation", 1, 400))), F.when(of("description") != "", F.concat(F.lit("Description: "), F.substring("description", 1, 200))),
+        F.when(some, F.concat(F.lit("Examples: "), F.substring(as_json, 1, 300))),
+    )
+    return _joined(found, one, query_id, place, "\n\n")
+
+
+def _joined(found: DataFrame, one: Column, query_id: str, place: str, between: str) -> DataFrame:
+    """A query's few texts in the order of their places."""
+    parts = found.select(query_id, F.struct(F.col(place).alias("at"), one.alias("text")).alias("x"))
+    return parts.groupBy(query_id).agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["text"]), between).alias("text"))
+
+
+def documents_for(docs: DataFrame, queries: DataFrame, k: int = 3, use_vectors: bool = False, **vectors: str) -> DataFrame:
+    """(query_id, text) for all queries: formatted documents by tiers, or the nearest by vector.
+
+    docs has idx, the parts that are formatted and those of search_text; queries have query_id, name, module and query. With
+    use_vectors, docs and queries have a column `vector` too. Queries without documents say so.
+    """
+    if use_vectors:
+        near = nearest(queries, docs, k, "query_id", "idx", vectors.get("query_vector", "vector"), vectors.get("vector", "vector"))
+        found = near.select("query_id", "idx", "place")
+    else:
+        told = docs.withColumn("said", search_text("name", "module", "documentation", "query"))
+        found = tiered(told, queries, k, "said", "query").select("query_id", "idx", "place")
+    text = format_documents(found.join(docs.select("idx", "name", "module", "type", "signature", "documentation", "source_code", "from_version", "to_version"), "idx"))
+    return queries.select("query_id").join(text, "query_id", "left").select("query_id", F.coalesce("text", F.lit("No relevant documentation found.")).alias("text"))
+
+
+SEPARATORS = ("\n\n", "\n", " ", "")
+
+
+def recursive_pieces(text: str, size: int, overlap: int, separators: Sequence[str] = SEPARATORS) -> list[tuple[int, str]]:
+    """(start, piece): the text cut at the first separator that it has, pieces that are still too long by the next one;
+    neighbours are joined again up to `size`, each new piece beginning with up to `overlap` characters of the one before."""
+    mark = next((m for m in separators if m == "" or m in text), "")
+    finer = separators[separators.index(mark) + 1 :] if mark else ()
+    spans: list[tuple[int, int]] = []  # pieces as ranges of the text; a separator begins its piece
+    if mark:
+        cuts = [m.start() for m in re.finditer(re.escape(mark), text) if m.start()]
+        spans = list(zip([0, *cuts], [*cuts, len(text)]))
+    else:
+        spans = [(i, i + 1) for i in range(len(text))]
+    out: list[tuple[int, str]] = []
+    held: list[tuple[int, int]] = []
+
+    def close() -> None:
+        if held:
+            whole = text[held[0][0] : held[-1][1]]
+            if piece := whole.strip():
+                out.append((held[0][0] + len(whole) - len(whole.lstrip()), piece))
+
+    for low, high in spans:
+        if high - low > size and finer:
+            close()
+            held = []
+            out += [(low + at, piece) for at, piece in recursive_pieces(text[low:high], size, overlap, finer)]
+            continue
+        if held and high - held[0][0] > size:
+            close()
+            while held and (held[-1][1] - held[0][0] > overlap or high - held[0][0] > size):
+                held.pop(0)
+        held.append((low, high))
+    close()
+    return out
+
+
+def recursive_chunks(df: DataFrame, text: str, size: int = 1000, overlap: int = 200) -> DataFrame:
+    """df's other columns with start and chunk: pieces of at most `size` characters, cut at paragraphs, lines, words, letters."""
+    rest = [c for c in df.columns if c != text]
+
+    @F.pandas_udf("array<struct<start: long, chunk: string>>")
+    def cut(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [{"start": i, "chunk": c} for i, c in recursive_pieces(t or "", size, overlap)])
+
+    return df.select(*rest, F.explode(cut(F.col(text))).alias("x")).select(*rest, "x.start", "x.chunk")
 
 
 def chunks(df: DataFrame, text: str, size: int = 1000, overlap: int = 200) -> DataFrame:

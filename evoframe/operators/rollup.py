@@ -21,10 +21,19 @@ def pass_table(df: DataFrame, by: Sequence[str], passed: Column, ks: Sequence[in
     return rows.select(*by, "k", "samples", "passes", pass_at_k(F.col("samples"), F.col("passes"), F.col("k")).alias("pass_at_k"))
 
 
+# Statuses that name their bucket as a whole, and words that name it as a part, in the order of asking.
+STATUS_BUCKETS = {"NO_TEST": "no_test", "SIGNATURE_ERROR": "signature_error", "API_ERROR": "api_error", "EXTRACTION_FAILED": "extraction_error"}
+STATUS_WORDS = {"COMPILE": "compilation_failed", "TIMEOUT": "timeout", "TEST": "test_failed"}
+
+
 def bucket(passed: Column, status: Column) -> Column:
-    """One exclusive bucket per result; the first that fits."""
-    up = F.upper(F.coalesce(status, F.lit("")))
-    return F.when(passed, "passed").when(up.contains("NO_TEST"), "no_test").when(up.contains("EXTRACTION"), "extraction_failed").when(up.contains("SIGNATURE"), "signature_error").when(up.contains("API"), "api_error").when(up.contains("COMPILE"), "compile_error").when(up.contains("TIMEOUT"), "timeout").when(up.contains("EXCEPTION"), "exception").otherwise("test_failed")
+    """One exclusive bucket per result; what no rule names, and no status at all, is other_error."""
+    found = F.when(F.coalesce(passed, F.lit(False)), "passed")
+    for whole, name in STATUS_BUCKETS.items():
+        found = found.when(status == whole, name)
+    for word, name in STATUS_WORDS.items():
+        found = found.when(F.upper(status).contains(word), name)
+    return found.when(status == "FAILED", "test_failed").otherwise("other_error")
 
 
 def legacy_buckets(df: DataFrame, error: Column, by: Sequence[str] = ()) -> DataFrame:
@@ -40,11 +49,12 @@ def rate(part: Column, whole: Column) -> Column:
 
 
 def summary(df: DataFrame, bucket_col: str = "bucket", cases_passed: str = "cases_passed", cases_total: str = "cases_total", by: Sequence[str] = (), denominator: str = "tested") -> DataFrame:
-    """tested, pass rate, usage accuracy (neither signature nor usage error) and test-case coverage."""
+    """tested, pass rate, usage accuracy (neither signature nor usage error) and coverage of the test cases of what had a test."""
     b = F.col(bucket_col)
+    cases = lambda c: F.coalesce(F.sum(F.when(b != "no_test", F.col(c))), F.lit(0))
     counts = df.groupBy(*by).agg(
         F.count(F.lit(1)).alias("total"), F.count_if(b != "no_test").alias("tested"), F.count_if(b == "passed").alias("passed"),
-        F.count_if(b.isin("signature_error", "api_error")).alias("misused"), F.coalesce(F.sum(cases_passed), F.lit(0)).alias("cp"), F.coalesce(F.sum(cases_total), F.lit(0)).alias("ct"),
+        F.count_if(b.isin("signature_error", "api_error")).alias("misused"), cases(cases_passed).alias("cp"), cases(cases_total).alias("ct"),
     )
     whole = F.col(denominator)
     return counts.select(*by, "total", "tested", "passed", rate(F.col("passed"), whole).alias("pass_rate"), rate(whole - F.col("misused"), whole).alias("usage_accuracy"), rate(F.col("cp"), F.col("ct")).alias("coverage"))
@@ -55,15 +65,19 @@ def remaining(samples: DataFrame, results: DataFrame, key: str) -> DataFrame:
     return samples.join(results.select(key).distinct(), key, "left_anti")
 
 
-def snapshots(df: DataFrame, order: str, passed: Column, every: int = 10) -> DataFrame:
-    """(done, passes) after each `every` rows in order and after the last one.
+def snapshots(df: DataFrame, order: str, passed: Column, every: int = 10, span: int = 10_000) -> DataFrame:
+    """(done, passes) after each `every` rows in order and after the last one; orders may have gaps.
 
-    The running sums are taken per block of rows and then over the blocks, so only one row per block meets in one task.
+    Rows are counted in ranges of `span` orders first, and the few ranges' running sums are joined back, so rows are only
+    numbered inside their range.
     """
-    numbered = df.select(F.floor(F.col(order) / every).alias("blk"), F.when(passed, 1).otherwise(0).alias("p"))
-    blocks = numbered.groupBy("blk").agg(F.count(F.lit(1)).alias("n"), F.sum("p").alias("p"))
-    over = Window.orderBy("blk").rowsBetween(Window.unboundedPreceding, 0)
-    return blocks.select(F.sum("n").over(over).alias("done"), F.sum("p").over(over).alias("passes"))
+    rows = df.select(F.col(order).alias("o"), F.when(passed, 1).otherwise(0).alias("p")).withColumn("r", F.floor(F.col("o") / span))
+    sums = rows.groupBy("r").agg(F.count(F.lit(1)).alias("n"), F.sum("p").alias("s"))
+    before = Window.orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("r", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"), F.coalesce(F.sum("s").over(before), F.lit(0)).alias("s0"), F.sum("n").over(Window.orderBy("r").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("all"))
+    inside = Window.partitionBy("r").orderBy("o").rowsBetween(Window.unboundedPreceding, 0)
+    numbered = rows.select("r", F.count(F.lit(1)).over(inside).alias("n"), F.sum("p").over(inside).alias("s")).join(sums, "r")
+    return numbered.select((F.col("n0") + F.col("n")).alias("done"), (F.col("s0") + F.col("s")).alias("passes"), "all").where((F.col("done") % every == 0) | (F.col("done") == F.col("all"))).drop("all")
 
 
 def top_values(df: DataFrame, value: str, order: str, k: int = 10) -> DataFrame:
@@ -94,3 +108,36 @@ def coverage_of_changes(df: DataFrame) -> DataFrame:
     """(change_type, n, has_old_source, has_source_diff, has_replacement)"""
     old, new = F.coalesce("old_source_code", F.lit("")), F.coalesce("source_code", F.lit(""))
     return df.groupBy("change_type").agg(F.count(F.lit(1)).alias("n"), F.count_if(old != "").alias("has_old_source"), F.count_if((old != "") & (old != new)).alias("has_source_diff"), F.count_if(F.coalesce("replacement_api", F.lit("")) != "").alias("has_replacement"))
+
+
+def built(df: DataFrame, by: str = "change_type", ok: str = "built", nodes: str = "nodes", edges: str = "edges") -> DataFrame:
+    """(by, total, built, failed, mean_nodes, mean_edges): graphs that were built, and their mean sizes; 0 where none was."""
+    n = F.count_if(ok)
+    mean = lambda c: F.coalesce(F.sum(F.when(F.col(ok), F.col(c))), F.lit(0)) / F.greatest(n, F.lit(1))
+    return df.groupBy(by).agg(F.count(F.lit(1)).alias("total"), n.alias("built"), F.count_if(~F.col(ok)).alias("failed"), mean(nodes).alias("mean_nodes"), mean(edges).alias("mean_edges"))
+
+
+def validation_report(df: DataFrame, version: str = "version", crates: str = "crates", status: str = "status", passed: str = "passed", top: int = 10) -> dict[str, DataFrame]:
+    """The tables of a validation report: total, by_kind (third party or standard library), by_version, crates, errors."""
+    ok = F.count_if(passed)
+    rates = [F.count(F.lit(1)).alias("total"), ok.alias("passed"), rate(ok, F.count(F.lit(1))).alias("pass_rate")]
+    return {
+        "total": df.agg(*rates),
+        "by_kind": df.groupBy(F.when(F.size(crates) > 0, "third_party").otherwise("stdlib").alias("kind")).agg(*rates),
+        "by_version": validation(df.withColumn("passed", F.col(passed)), version, top),
+        "crates": df.select(F.explode(crates).alias("crate")).groupBy("crate").agg(F.count(F.lit(1)).alias("n")),
+        "errors": df.where(~F.col(passed)).groupBy(F.coalesce(status, F.lit("UNKNOWN")).alias("status")).agg(F.count(F.lit(1)).alias("n")),
+    }
+
+
+def write_report(tables: dict[str, DataFrame], path: str) -> None:
+    """Each table of a report as Parquet under its name."""
+    for name, table in tables.items():
+        table.write.mode("overwrite").parquet(f"{path.rstrip('/')}/{name}")
+
+
+def most_frequent(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+    """(by..., value, n): the most common value of each group, ties by the value itself."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
+    best = F.min(F.struct((-F.col("n")).alias("m"), F.col(value).alias("v"))).alias("x")
+    return counts.groupBy(*by).agg(best).select(*by, F.col("x.v").alias(value), (-F.col("x.m")).alias("n"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evoframe.functions import code, similarity
-from evoframe.operators import graph, graph_build, rollup
+from evoframe.operators import graph, graph_build, node_text, rollup
 
 from .queries import ORACLE as _ALL
 from .queries import QUERIES as _OTHERS
@@ -116,8 +116,8 @@ def code_similarity(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def graph_build_nodes(spark: SparkSession, d: str) -> DataFrame:
-    nodes, _ = graph_build.build(records(spark))
-    return nodes.select("graph_id", "node_id", "type", "name", graph_build.node_text().alias("text"))
+    nodes, edges = graph_build.build(records(spark))
+    return node_text.with_parameters(nodes, edges).select("graph_id", "node_id", "type", "name", node_text.python_text().alias("text"))
 
 
 @query()

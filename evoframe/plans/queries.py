@@ -212,9 +212,10 @@ def pass_at_k(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(rollup.pass_table(rows, ["source"], F.col("quality") == 1), "pass_at_k")
 
 
-_STATUS = {"purchase": "PASSED", "view": "FAILED", "click": "API_ERROR", "signup": "SIGNATURE_ERROR", "error": "NO_TEST"}
-_STATUS_SQL = "case event_type " + " ".join(f"when '{k}' then '{v}'" for k, v in _STATUS.items()) + " end"
-_BUCKET = "case event_type when 'purchase' then 'passed' when 'view' then 'test_failed' when 'click' then 'api_error' when 'signup' then 'signature_error' when 'error' then 'no_test' end"
+# statuses by event_id, and the bucket of each written out for the SQL
+_STATUSES = ["PASSED", "FAILED", "API_ERROR", "SIGNATURE_ERROR", "NO_TEST", "EXTRACTION_FAILED", "COMPILE_ERROR", "TIMEOUT", "ERROR", "NO_CODE", "test crashed", "compile failed", "NO_API", "EXCEPTION"]
+_STATUS_SQL = "case event_id % 15 " + " ".join(f"when {i} then '{s}'" for i, s in enumerate(_STATUSES)) + " end"
+_BUCKET = "case event_id % 15 when 0 then 'passed' when 1 then 'test_failed' when 2 then 'api_error' when 3 then 'signature_error' when 4 then 'no_test' when 5 then 'extraction_error' when 6 then 'compilation_failed' when 7 then 'timeout' when 10 then 'test_failed' when 11 then 'compilation_failed' else 'other_error' end"
 
 
 def _results(spark: SparkSession, d: str) -> DataFrame:
@@ -228,7 +229,7 @@ def status_buckets(spark: SparkSession, d: str) -> DataFrame:
 
 
 _SUMMARY = f"""with r as (select user_id % 10 as grp, {_BUCKET} as b, event_id % 7 as ct, event_id % 5 as cp from events),
- s as (select grp, count(*) as total, count(*) filter (b <> 'no_test') as tested, count(*) filter (b = 'passed') as passed, count(*) filter (b in ('api_error', 'signature_error')) as misused, sum(cp) as cp, sum(ct) as ct from r group by 1)
+ s as (select grp, count(*) as total, count(*) filter (b <> 'no_test') as tested, count(*) filter (b = 'passed') as passed, count(*) filter (b in ('api_error', 'signature_error')) as misused, coalesce(sum(cp) filter (b <> 'no_test'), 0) as cp, coalesce(sum(ct) filter (b <> 'no_test'), 0) as ct from r group by 1)
  select grp::bigint as grp, total, tested, passed, round(coalesce(passed / nullif({{whole}}, 0), 0.0), 6) as pass_rate, round(coalesce(({{whole}} - misused) / nullif({{whole}}, 0), 0.0), 6) as usage_accuracy, round(coalesce(cp / nullif(ct, 0), 0.0), 6) as coverage from s"""
 
 
@@ -290,7 +291,7 @@ def bm25_top3(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(retrieval.bm25(_t(spark, d, "documents"), _t(spark, d, "benchmark").select("item_id", F.col("text").alias("question")), "doc_id", F.col("text"), "item_id", F.col("question")), "score", digits=5)
 
 
-_STOP = ", ".join(f"'{w}'" for w in retrieval.STOP_WORDS)
+_STOP = "'a', 'an', 'the', 'is', 'are', 'was', 'were', 'in', 'on', 'at', 'to', 'for', 'of', 'with', 'by', 'from', 'how', 'can', 'you', 'i', 'we', 'they', 'that', 'this', 'what', 'when'"
 
 
 @query(f"""with q as (select item_id, list_filter(regexp_split_to_array(trim(lower(coalesce(text, ''))), '\\s+'), lambda w: length(w) > 2 and w not in ({_STOP})) as kw from benchmark),
@@ -300,14 +301,17 @@ def keyword_top3(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.keyword_top(_t(spark, d, "documents"), _t(spark, d, "benchmark").select("item_id", F.col("text").alias("question")), "doc_id", "text", "item_id", "question")
 
 
-@query("""with d as (select p_partkey as idx, p_brand as name, p_type as module from part), q as (select p_partkey as query_id, case when p_partkey % 40 = 0 then p_brand when p_partkey % 40 = 20 then 'none' else p_brand end as qn, case when p_partkey % 40 = 0 then p_type else split_part(p_type, ' ', 1) end as qm from part where p_partkey % 20 = 0),
- a as (select query_id, idx, 1 as tier from q join d on qn = name and qm = module union all select query_id, idx, 2 from q join d on qn = name union all select query_id, idx, 3 from q join d on starts_with(module, qm) and qm <> ''),
- b as (select *, min(tier) over (partition by query_id) as best from a), r as (select *, row_number() over (partition by query_id order by idx) as place from b where tier = best)
+@query(f"""with d as (select p_partkey as idx, p_brand as name, replace(p_type, ' ', '::') as module, p_name as said from part),
+ q as (select idx as query_id, case when idx % 60 = 0 then name else 'none' end as qn, case when idx % 40 = 0 then module when idx % 60 = 20 then split_part(module, '::', 1) || '::other' else '' end as qm, said as asked from d where idx % 20 = 0),
+ k as (select query_id, unnest(list_filter(regexp_split_to_array(trim(lower(asked)), '\\s+'), lambda w: length(w) > 2 and w not in ({_STOP}))) as w from q),
+ h as (select query_id, idx, count(*) as hits from k join d on contains(lower(said), w) group by 1, 2),
+ a as (select query_id, idx, 1 as tier, 0 as hits from q join d on qn = name and qm = module union all select query_id, idx, 2, 0 from q join d on qn = name union all select query_id, idx, 3, 0 from q join d on qm <> '' and starts_with(module, split_part(qm, '::', 1)) union all select query_id, idx, 4, hits from h),
+ b as (select *, min(tier) over (partition by query_id) as best from a), r as (select *, row_number() over (partition by query_id order by hits desc, idx) as place from b where tier = best)
  select query_id, idx, tier::bigint as tier, place from r where place <= 3""")
 def tiered_lookup(spark: SparkSession, d: str) -> DataFrame:
-    part = _t(spark, d, "part")
-    asked = part.where("p_partkey % 20 = 0").selectExpr("p_partkey as query_id", "if(p_partkey % 40 = 20, 'none', p_brand) as name", "if(p_partkey % 40 = 0, p_type, split_part(p_type, ' ', 1)) as module")
-    return retrieval.tiered(part.selectExpr("p_partkey as idx", "p_brand as name", "p_type as module"), asked)
+    part = _t(spark, d, "part").selectExpr("p_partkey as idx", "p_brand as name", "replace(p_type, ' ', '::') as module", "p_name as said")
+    asked = part.where("idx % 20 = 0").selectExpr("idx as query_id", "if(idx % 60 = 0, name, 'none') as name", "case when idx % 40 = 0 then module when idx % 60 = 20 then concat(split_part(module, '::', 1), '::other') else '' end as module", "said as asked")
+    return retrieval.tiered(part, asked, text="said", query="asked")
 
 
 @query("""with d as (select doc_id, text, length(text) as n from documents where length(text) > 0), s as (select *, unnest(case when n > 1000 then range(0, (ceil((n - 1000) / 800.0) * 800)::bigint + 1, 800) else [0::bigint] end) as start from d)
@@ -402,7 +406,7 @@ def reverse_edges(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"with {_NODES} select type, count(*) as n from nodes group by 1")
 def node_type_histogram(spark: SparkSession, d: str) -> DataFrame:
-    return graph.type_histogram(_graph(spark, d)[0])
+    return graph.type_histogram(_graph(spark, d)[0], "node_id")
 
 
 @query(f"with {_NODES}, {_EDGES}, s as (select dst, v from edges join nodes on id = src), m as (select dst, max(v) as top from s group by 1) select dst, round(sum(exp(v - top) * v) / sum(exp(v - top)), 6) as message from s join m using (dst) group by 1")

@@ -42,7 +42,7 @@ def test_similarity():
     assert similarity.sentence_bleu(t, t) == pytest.approx(100)
     assert similarity.weighted_ngram(t, t) == pytest.approx(100)
     assert similarity.syntax_match("x = 1", "(") == 0
-    assert similarity.data_flow("y = x\nreturn_ = y + z") == {("x", "y"), ("y", "return_"), ("z", "return_")}
+    assert similarity.data_flow("y = x\nreturn_ = y + z") == {("x", "y", "assign"), ("y", "return_", "assign"), ("z", "return_", "assign")}
 
 
 def test_pass_at_k(spark):
