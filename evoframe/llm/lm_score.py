@@ -1,22 +1,29 @@
-"""Language-model scoring with an Elias-Fano n-gram trie.
-
-Level 1 holds every training token: its 64-bit hash in an Elias-Fano sequence, its exact count, its backoff weight (8
-bits) and the pointer to its successors (an Elias-Fano sequence too). Level 2 holds, per context, the successors that
-were seen `min_count` times or more: the 32-bit hashes of their words in an Elias-Fano sequence made monotone by the
-context's rank, and their probabilities in 8 bits. A pair is looked up by successor search inside its context's range.
-
-    p(w | c) = max(n(c, w) - d, 0) / n(c) if the pair is held, plus b(c) * p(w);  b(c) = 1 - the held share of c
-    p(w) = (n(w) + a) / (N + a (V + 1)), the base model
-
-Counting: each task counts the tokens and pairs of its texts, sorts them and sends one compressed block per shard of
-the context's hash; a shard merges its blocks, so a frequent pair is one entry per task and not one per occurrence.
-Each shard's levels are written as one file in the shared folder and memory-mapped by the tasks that score: memory
-use does not grow with the model, and a lost executor's work is written again under the same name. So the shared folder
-(spark.checkpoint.dir) has to be mounted on every machine; a folder that only Spark reaches raises an error.
-
-Cases: null text is empty and has only the end token; ties and repeated rows count as often as they stand; an empty
-table or training set gives N = V = 0; rows with a null id are held in training (the crc32 of null is null and counts as
-not held out); other columns are ignored.
+"""Language-model scoring with an Elias-Fano trie of words, pairs and triples.
+
+Level 1 holds every training token: its 64-bit hash in an Elias-Fano sequence, its exact count and its backoff weight.
+Level 2 holds the successors of each token, level 3 those of each pair. A level is one monotone sequence: the successors'
+hashes (32 bits, then 24) are sorted inside their context, and each context counts on from the last value of the one
+before. Pointers, an Elias-Fano sequence without low bits, give a context's range; a successor is searched in that range,
+relative to the value before it. Probabilities and backoff weights have 8 bits, rounded down.
+
+    p(w | u v) = max(n(u, v, w) - d, 0) / n(u, v) + b(u, v) * p(w | v)          interpolated absolute discounting
+    p(w | v)   = max(n(v, w) - d, 0) / n(v)       + b(v) * p(w)
+    p(w)       = (n(w) + a) / (N + a (V + 1)), the base model
+
+b is what the held probabilities of a context leave of 1, so the probabilities after any context add up to 1 at most.
+Nothing is cut: n-grams seen once are held. Two successors of one context whose hashes agree count as one.
+
+Counting: each task counts the triples of its texts (a text's end is padded, so that pairs and tokens are sums of triples)
+in sorted runs, and sends one compressed block for each shard of the first word's hash; a shard merges its blocks. So a
+frequent triple is one entry for each task. Each shard's levels are one file in the shared folder, memory-mapped by the
+tasks that score, a bounded number at a time: memory use does not grow with the model, and a lost executor's work is
+written again under the same name. The shared folder (spark.checkpoint.dir) has to be mounted on every machine; a folder
+that only Spark reaches raises an error.
+
+Cases: null text is empty and has only the end token; very long texts are scored in one piece; ties and repeated rows
+count as often as they stand; an empty table or training set gives N = V = 0; rows with a null id are held in training
+(the crc32 of null is null and counts as not held out); other columns are ignored, and kept ones that are named like
+results are replaced.
 """
 
 from __future__ import annotations
@@ -33,7 +40,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, returned_memory, text_slices, utf8
+from .common import Scratch, returning, text_slices, utf8
 from .ngram_join import word_hashes
 
 U64 = np.uint64
@@ -44,14 +51,15 @@ LOG_STEP = 1 / 24  # log10 units of a quantised probability or weight
 class EliasFano:
     """A monotone sequence of integers under `universe`: low bits packed in bytes, high bits unary with a rank directory."""
 
-    def __init__(self, low: np.ndarray, high: np.ndarray, ranks: np.ndarray, bits: int, n: int):
-        self.low, self.high, self.ranks, self.bits, self.n = low, high, ranks, bits, n
+    def __init__(self, low: np.ndarray, high: np.ndarray, ranks: np.ndarray, ones: np.ndarray, bits: int, n: int):
+        self.low, self.high, self.ranks, self.ones, self.bits, self.n = low, high, ranks, ones, bits, n
 
     @classmethod
-    def build(cls, values: np.ndarray, universe_bits: int) -> EliasFano:
+    def build(cls, values: np.ndarray, bits: int | None = None) -> EliasFano:
         n = len(values)
-        bits = max(0, universe_bits - max(1, n).bit_length() + 1) // 8 * 8  # whole bytes, for vectorised reads
         values = values.astype(U64)
+        if bits is None:  # whole bytes, for vectorised reads
+            bits = -(-max(0, int(values[-1]).bit_length() - n.bit_length()) // 8) * 8 if n else 0
         low = np.zeros((n, bits // 8), np.uint8)
         for i in range(bits // 8):
             low[:, i] = (values >> U64(8 * i)) & U64(255)
@@ -62,31 +70,47 @@ class EliasFano:
         np.bitwise_or.at(words, at >> 6, U64(1) << (at & 63).astype(U64))
         zeros = 64 - np.bitwise_count(words).astype(np.int64)
         ranks = np.concatenate([[0], np.cumsum(zeros)])  # zeros before each word
-        return cls(low, words, ranks, bits, n)
+        ones = 64 * np.arange(len(ranks)) - ranks
+        kind = np.int64 if 64 * len(ranks) >= 1 << 31 else np.int32
+        return cls(low, words, ranks.astype(kind), ones.astype(kind), bits, n)
 
     def parts(self) -> list[np.ndarray]:
-        return [np.array([self.bits, self.n], np.int64), self.low, self.high, self.ranks]
+        return [np.array([self.bits, self.n], np.int64), self.low, self.high, self.ranks, self.ones]
 
     @classmethod
     def read(cls, parts: list[np.ndarray]) -> EliasFano:
         bits, n = (int(x) for x in parts[0])
-        return cls(parts[1].reshape(n, bits // 8), parts[2], parts[3], bits, n)
+        return cls(parts[1].reshape(n, bits // 8), parts[2], parts[3], parts[4], bits, n)
 
-    def _select_zero(self, k: np.ndarray) -> np.ndarray:
-        """Position of the k-th zero (from 0)."""
-        word = np.searchsorted(self.ranks, k, "right") - 1
-        left = k - self.ranks[word]
-        x, at = ~self.high[word], np.zeros(len(k), np.int64)
+    @staticmethod
+    def _inside(x: np.ndarray, left: np.ndarray) -> np.ndarray:
+        """Place of the set bit number `left` (from 0) of each word."""
+        at = np.zeros(len(x), np.int64)
         for width in (32, 16, 8, 4, 2, 1):
             count = np.bitwise_count(x & ((U64(1) << U64(width)) - U64(1))).astype(np.int64)
             over = left >= count
             left = np.where(over, left - count, left)
             x = np.where(over, x >> U64(width), x)
             at += over * width
-        return (word << 6) + at
+        return at
+
+    def values(self, at: np.ndarray) -> np.ndarray:
+        """The values at the given places."""
+        word = np.searchsorted(self.ones, at, "right") - 1
+        top = (word << 6) + self._inside(self.high[word], at - self.ones[word]) - at
+        return (top.astype(U64) << U64(self.bits)) | self._low(at) if self.bits < 64 else self._low(at)
+
+    def ends(self, values: np.ndarray) -> np.ndarray:
+        """How many values are at most the given ones, in a sequence without low bits."""
+        return self._select_zero(values) - values
 
-    def find(self, values: np.ndarray) -> np.ndarray:
-        """The index of each value, or -1: a search among those of the same high bits."""
+    def _select_zero(self, k: np.ndarray) -> np.ndarray:
+        """Position of the k-th zero (from 0)."""
+        word = np.searchsorted(self.ranks, k, "right") - 1
+        return (word << 6) + self._inside(~self.high[word], k - self.ranks[word])
+
+    def find(self, values: np.ndarray, first: np.ndarray | int = 0, last: np.ndarray | None = None) -> np.ndarray:
+        """The index of each value, or -1: a search among those of the same high bits, between the places first and last."""
         if not self.n or not len(values):
             return np.full(len(values), -1, np.int64)
         top = (values >> U64(self.bits)).astype(np.int64) if self.bits < 64 else np.zeros(len(values), np.int64)
@@ -97,8 +121,9 @@ class EliasFano:
         start = np.where(top > 0, self._select_zero(np.maximum(top - 1, 0)) - top + 1, 0)
         mask = (U64(1) << U64(self.bits)) - U64(1) if self.bits < 64 else ~U64(0)
         want = values & mask
-        low, high = start, np.minimum(end, self.n)
-        high = np.where(inside, high, low)
+        low = np.maximum(start, first)
+        high = np.minimum(end, self.n if last is None else last)
+        high = np.where(inside, np.maximum(high, low), low)
         stop = high.copy()
         while True:
             open_ = np.flatnonzero(low < high)
@@ -154,31 +179,106 @@ def _quantise(p: np.ndarray) -> np.ndarray:
 QUANTA = np.append(10.0 ** (-np.arange(255) * LOG_STEP), 0.0)
 
 
-def build_shard(words: np.ndarray, counts: np.ndarray, contexts: np.ndarray, nexts: np.ndarray, pairs: np.ndarray, discount: float, min_count: int) -> bytes:
-    """The trie of one shard: sorted word hashes and counts, and pairs (context hash, 32-bit hash of the next) with counts."""
-    at = np.searchsorted(words, contexts)
-    total = np.bincount(at, pairs, len(words)).astype(np.float64)  # n(c) as a context
-    keep = pairs >= min_count
-    at, nexts, pairs = at[keep], nexts[keep], pairs[keep]
-    share = _quantise((pairs - discount) / total[at]) if len(at) else np.zeros(0, np.uint8)
-    held = np.bincount(at, QUANTA[share], len(words)) if len(at) else np.zeros(len(words))
-    back = _quantise(np.clip(1 - held, 1e-9, 1))
-    ends = np.cumsum(np.bincount(at, minlength=len(words)))
-    level = EliasFano.build((at.astype(U64) << U64(32)) | nexts.astype(U64), 32 + max(1, len(words)).bit_length())
-    # pointers: where a context's successors end; contexts of none share the one before
-    pointers = EliasFano.build(ends, max(1, len(at)).bit_length() + 1)
-    return _pack([*EliasFano.build(words, 64).parts(), counts.astype(np.uint32 if counts.max(initial=0) < 1 << 32 else np.int64), back, *pointers.parts(), *level.parts(), share])
+#: Bits of a successor's hash in the levels of pairs and triples.
+PAIR_BITS, TRIPLE_BITS = 32, 24
+
+
+def pair_hash(words: np.ndarray) -> np.ndarray:
+    """Hashes of second words; 0 stands for no word."""
+    return np.maximum(words >> U64(64 - PAIR_BITS), U64(1))
+
+
+def triple_hash(words: np.ndarray) -> np.ndarray:
+    return np.maximum(words >> U64(64 - TRIPLE_BITS), U64(1))
+
+
+class Level:
+    """The successors of all contexts: their hashes and quantised probabilities."""
+
+    def __init__(self, values: EliasFano, pointers: EliasFano, share: np.ndarray):
+        self.of, self.pointers, self.share = values, pointers, share
+
+    @classmethod
+    def build(cls, context: np.ndarray, hashes: np.ndarray, share: np.ndarray) -> Level:
+        """context: the number of each successor's context, ascending; hashes: ascending inside a context, 1 at least."""
+        if not len(context):
+            return cls(EliasFano.build(hashes), EliasFano.build(hashes, 0), share)
+        last = np.append(np.flatnonzero(np.diff(context)), len(context) - 1)  # of each context with successors
+        base = np.zeros(len(last), U64)  # each context counts on from the last value of the one before
+        np.cumsum(hashes[last][:-1], out=base[1:])
+        return cls(EliasFano.build(hashes + np.repeat(base, np.diff(last, prepend=-1))), EliasFano.build(context, 0), share)
+
+    def parts(self) -> list[np.ndarray]:
+        return [*self.of.parts(), *self.pointers.parts(), self.share]
+
+    @classmethod
+    def read(cls, parts: list[np.ndarray]) -> Level:
+        return cls(EliasFano.read(parts[:5]), EliasFano.read(parts[5:10]), parts[10])
+
+    def find(self, context: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        """The place of the successor of that hash in each context, or -1; a context of -1 has none."""
+        out = np.full(len(context), -1, np.int64)
+        if not self.of.n:
+            return out
+        known = np.flatnonzero((context >= 0) & (context <= self.last()))
+        if not len(known):
+            return out
+        each, at = np.unique(context[known], return_inverse=True)
+        end = np.minimum(self.pointers.ends(each), self.of.n)
+        start = np.where(each > 0, np.minimum(self.pointers.ends(np.maximum(each - 1, 0)), self.of.n), 0)
+        base = np.where(start > 0, self.of.values(np.maximum(start - 1, 0)), U64(0))
+        out[known] = self.of.find(base[at] + hashes[known], start[at], end[at])
+        return out
+
+    def last(self) -> int:
+        """The last context that has successors."""
+        return int(self.pointers.values(np.array([self.pointers.n - 1]))[0])
+
+
+def _shares(counts: np.ndarray, context: np.ndarray, contexts: int, discount: float) -> tuple[np.ndarray, np.ndarray]:
+    """Quantised probabilities of successors with their counts, and the backoff weights of all contexts."""
+    total = np.bincount(context, counts, contexts)
+    share = _quantise((counts - discount) / total[context]) if len(counts) else np.zeros(0, np.uint8)
+    return share, _quantise(np.clip(1 - np.bincount(context, QUANTA[share], contexts), 1e-9, 1))
+
+
+def _groups(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First places of the runs of equal keys, and the sums of the counts."""
+    first = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(1)])) if len(keys) else np.zeros(0, np.int64)
+    return first, np.add.reduceat(counts, first) if len(first) else counts
+
+
+def build_shard(keys: np.ndarray, counts: np.ndarray, discount: float) -> tuple[bytes, int, int]:
+    """The trie of one shard from sorted triples (hash of the first word; hashes of the second and third) with their
+    counts; its number of tokens and of words."""
+    mask = U64((1 << TRIPLE_BITS) - 1)
+    pairs = np.stack([keys[:, 0], keys[:, 1] >> U64(TRIPLE_BITS)], 1)
+    word_at, word_n = _groups(keys[:, :1], counts)
+    pair_at, pair_n = _groups(pairs, counts)
+    word = np.searchsorted(word_at, pair_at, "right") - 1
+    real = pairs[pair_at, 1] > 0
+    pair_at, pair_n, word = pair_at[real], pair_n[real], word[real]
+    inner = np.flatnonzero((pairs[:, 1] > 0) & ((keys[:, 1] & mask) > 0))
+    pair = np.searchsorted(pair_at, inner, "right") - 1
+    share2, back1 = _shares(pair_n, word, len(word_at), discount)
+    share3, back2 = _shares(counts[inner], pair, len(pair_at), discount)
+    two = Level.build(word, pairs[pair_at, 1], share2)
+    three = Level.build(pair, keys[inner, 1] & mask, share3)
+    narrow = word_n.astype(np.uint32 if word_n.max(initial=0) < 1 << 32 else np.int64)
+    return _pack([*EliasFano.build(keys[word_at, 0]).parts(), narrow, back1, *two.parts(), back2, *three.parts()]), int(word_n.sum()), len(word_at)
 
 
 class Shard:
     def __init__(self, raw):
         parts = _unpack(raw)
-        self.words, self.counts, self.back = EliasFano.read(parts[:4]), parts[4], parts[5]
-        self.level, self.share = EliasFano.read(parts[10:14]), parts[14]
+        self.words, self.counts, self.back = EliasFano.read(parts[:5]), parts[5], parts[6]
+        self.pairs, self.pair_back, self.triples = Level.read(parts[7:18]), parts[18], Level.read(parts[19:30])
 
 
 class Model:
-    """The shards of a trained model, opened when first asked."""
+    """The shards of a trained model, mapped when asked; a bounded number stays open."""
+
+    OPEN = 256
 
     def __init__(self, folder: str, shards: int, tokens: int, kinds: int, alpha: float):
         self.folder, self.shards, self.tokens, self.kinds, self.alpha = folder, shards, tokens, kinds, alpha
@@ -186,6 +286,8 @@ class Model:
 
     def shard(self, i: int) -> Shard | None:
         if i not in self._open:
+            if len(self._open) >= self.OPEN:
+                self._open.pop(next(iter(self._open)))
             path = os.path.join(self.folder, f"{i}.trie")
             if os.path.exists(path):
                 with open(path, "rb") as f:
@@ -194,36 +296,52 @@ class Model:
                 self._open[i] = None
         return self._open[i]
 
-    def lookup(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Count, backoff weight and rank in its shard of each word hash."""
-        count, back, rank = np.zeros(len(words), np.int64), np.ones(len(words)), np.full(len(words), -1, np.int64)
-        for i, who in self._by_shard(words):
+    def base(self, count: np.ndarray) -> np.ndarray:
+        return (count + self.alpha) / (self.tokens + self.alpha * (self.kinds + 1))
+
+    def probabilities(self, tokens: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each token of the texts that begin at `starts`: its count, its base probability and that after the two before."""
+        kind, place = np.unique(tokens, return_inverse=True)
+        n, m = len(kind), len(tokens)
+        turn = np.zeros(m, np.int64)  # 0 for a text's first token, 1 for its second, 2 for the others
+        turn[1:] = 2
+        second = starts[:-1] + 1
+        turn[second[second < m]] = 1
+        turn[starts[:-1]] = 0
+        # pairs and triples once each; sorted by their first word's hash, so each shard's are neighbours
+        at = np.flatnonzero(turn > 0)
+        pair_of = np.full(m, -1, np.int64)
+        codes, pair_of[at] = np.unique(place[at - 1] * n + place[at], return_inverse=True)
+        first, then = codes // max(n, 1), codes % max(n, 1)
+        at = np.flatnonzero(turn > 1)
+        codes, some, triple_of = np.unique(pair_of[at - 1] * n + place[at], return_index=True, return_inverse=True)
+        before, last, shorter = codes // max(n, 1), codes % max(n, 1), pair_of[at[some]]
+        count, back = np.zeros(n, np.int64), np.ones(n)
+        pair_share, pair_back, triple_share = np.zeros(len(first)), np.ones(len(first)), np.zeros(len(before))
+        shard = shard_of(kind, self.shards)
+        for i in np.unique(shard).tolist():
             s = self.shard(i)
-            if s is not None:
-                at = s.words.find(words[who])
-                ok = at >= 0
-                count[who[ok]], back[who[ok]], rank[who[ok]] = s.counts[at[ok]], QUANTA[s.back[at[ok]]], at[ok]
-        return count, back, rank
-
-    def share(self, contexts: np.ndarray, ranks: np.ndarray, nexts: np.ndarray) -> np.ndarray:
-        """The held share of each pair, 0 where none is held; ranks are the contexts' places in their shards."""
-        out = np.zeros(len(contexts))
-        for i, who in self._by_shard(contexts):
-            s = self.shard(i)
-            who = who[ranks[who] >= 0]
-            if s is not None and len(who):
-                at = s.level.find((ranks[who].astype(U64) << U64(32)) | (nexts[who] >> U64(32)))
-                ok = at >= 0
-                out[who[ok]] = QUANTA[s.share[at[ok]]]
-        return out
-
-    def _by_shard(self, words: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        to = shard_of(words, self.shards)
-        order = np.argsort(to, kind="stable")
-        cuts = np.flatnonzero(np.diff(to[order])) + 1
-        for part in np.split(order, cuts):
-            if len(part):
-                yield int(to[part[0]]), part
+            if s is None:
+                continue
+            low, high = np.searchsorted(shard, [i, i + 1])
+            rank = s.words.find(kind[low:high])
+            known = np.flatnonzero(rank >= 0)
+            count[low + known], back[low + known] = s.counts[rank[known]], QUANTA[s.back[rank[known]]]
+            p, q = np.searchsorted(first, [low, high])
+            pair = s.pairs.find(rank[first[p:q] - low], pair_hash(kind[then[p:q]]))
+            known = np.flatnonzero(pair >= 0)
+            pair_share[p + known], pair_back[p + known] = QUANTA[s.pairs.share[pair[known]]], QUANTA[s.pair_back[pair[known]]]
+            t, u = np.searchsorted(before, [p, q])
+            triple = s.triples.find(pair[before[t:u] - p], triple_hash(kind[last[t:u]]))
+            known = np.flatnonzero(triple >= 0)
+            triple_share[t + known] = QUANTA[s.triples.share[triple[known]]]
+        base = self.base(count)
+        two = pair_share + back[first] * base[then]
+        three = triple_share + pair_back[before] * two[shorter]
+        told = base[place]
+        told[turn == 1] = two[pair_of[turn == 1]]
+        told[at] = three[triple_of]
+        return count[place], base[place], told
 
 
 def shard_of(words: np.ndarray, shards: int) -> np.ndarray:
@@ -241,21 +359,28 @@ def tokens_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _block(keys: np.ndarray, counts: np.ndarray) -> bytes:
-    """Sorted keys (one or two columns) and counts, as a compressed block: differences of the first, bytes by significance."""
+    """Sorted keys and counts as a compressed block: differences to the key before, bytes by significance."""
     first = np.diff(keys[:, 0], prepend=U64(0))
-    planes = [np.ascontiguousarray(x).view(np.uint8).reshape(len(keys), -1).T for x in (first, *keys[:, 1:].T, counts.astype(np.uint32))]
-    return zstandard.compress(np.array([len(keys), keys.shape[1]], np.int64).tobytes() + b"".join(p.tobytes() for p in planes), 1)
+    second = keys[:, 1].copy()
+    second[1:] -= np.where(first[1:] == 0, keys[:-1, 1], U64(0))
+    planes = [np.ascontiguousarray(x).view(np.uint8).reshape(len(keys), -1).T for x in (first, second, counts.astype(np.uint32))]
+    return zstandard.compress(np.array([len(keys)], np.int64).tobytes() + b"".join(p.tobytes() for p in planes), 1)
 
 
 def _unblock(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     raw = zstandard.decompress(raw)
-    n, width = np.frombuffer(raw, np.int64, 2)
-    at, out = 16, []
-    for kind in [U64] * int(width) + [np.uint32]:
+    n, at, out = int(np.frombuffer(raw, np.int64, 1)[0]), 8, []
+    for kind in (U64, U64, np.uint32):
         size = np.dtype(kind).itemsize
         out.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * size, at).reshape(size, n).T).view(kind).reshape(n))
         at += n * size
-    return np.stack([np.cumsum(out[0], dtype=U64), *out[1:-1]], 1), out[-1].astype(np.int64)
+    keys = np.stack([np.cumsum(out[0], dtype=U64), out[1]], 1)
+    fresh = np.flatnonzero(out[0] != 0)
+    fresh = fresh if len(fresh) and fresh[0] == 0 else np.concatenate([[0], fresh]).astype(np.int64)
+    total = np.cumsum(out[1], dtype=U64)  # sums of differences, less what stood before each first word's run
+    before = np.where(fresh > 0, total[np.maximum(fresh - 1, 0)], U64(0))
+    keys[:, 1] = total - np.repeat(before, np.diff(np.append(fresh, n)))
+    return keys, out[2].astype(np.int64)
 
 
 def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -269,46 +394,50 @@ def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
     return keys[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
-def train(df: DataFrame, text_col: str = "text", shards: int | None = None, flush: int = 1 << 20, alpha: float = 0.1, discount: float = 0.75, min_count: int = 2) -> tuple[Model, Scratch]:
-    """A model of all rows of df. A shard's tokens and pairs are merged in memory, so unless `shards` is given there is
-    one for each 16 MB of text, and 64 at least."""
+def _triples(tokens: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The triple that begins at each token; what lies beyond a text's end is 0."""
+    then, last = np.zeros(len(tokens), U64), np.zeros(len(tokens), U64)
+    then[:-1], last[:-2] = pair_hash(tokens[1:]), triple_hash(tokens[2:])
+    end = starts[1:] - 1
+    then[end], last[end], last[np.maximum(end - 1, 0)] = 0, 0, 0
+    return np.stack([tokens, then << U64(TRIPLE_BITS) | last], 1)
+
+
+def train(df: DataFrame, text_col: str = "text", shards: int | None = None, flush: int = 1 << 20, hold: int = 64 << 20, alpha: float = 0.1, discount: float = 0.75) -> tuple[Model, Scratch]:
+    """A model of all rows of df. A shard's triples are merged in memory, so unless `shards` is given there is one for each
+    16 MB of text, and 64 at least. A task sorts `flush` tokens at a time and holds `hold` bytes of sorted runs."""
     scratch = Scratch(df.sparkSession, "lm")
     if shards is None:
         shards = max(64, -(-(df.agg(F.sum(F.octet_length(text_col).cast("long"))).first()[0] or 0) // (16 << 20)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with returned_memory():
-            yield from counted(batches)
+        held, size, runs, bytes_ = [], 0, [], 0
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_w, held_p, size = [], [], 0
+        def run() -> list[bytes | None]:
+            keys, n = _merged(held, [np.ones(size, np.int64)])
+            cuts = np.searchsorted(shard_of(keys[:, 0], shards), np.arange(shards + 1))
+            return [_block(keys[s:e], n[s:e]) if e > s else None for s, e in zip(cuts[:-1], cuts[1:])]
 
         def out() -> Iterator[pa.RecordBatch]:
-            w, nw = _merged([np.concatenate(held_w)[:, None]], [np.ones(size, np.int64)])
-            both = np.concatenate(held_p)
-            pair, n_pairs = _merged([both], [np.ones(len(both), np.int64)])
-            rows = []
-            for kind, keys, counts in ((0, w, nw), (1, pair, n_pairs)):
-                to = shard_of(keys[:, 0], shards)
-                cuts = np.searchsorted(to, np.arange(shards + 1))
-                rows += [(i, kind, _block(keys[s:e], counts[s:e])) for i, (s, e) in enumerate(zip(cuts[:-1], cuts[1:])) if e > s]
-            a, b, c = zip(*rows)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(c, pa.binary())], ["shard", "kind", "block"])
+            for i in range(shards):
+                parts = [r[i] for r in runs if r[i] is not None]
+                if parts:
+                    block = parts[0] if len(parts) == 1 else _block(*_merged(*(list(x) for x in zip(*map(_unblock, parts)))))
+                    yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([block], pa.binary())], ["shard", "block"])
 
         for b in text_slices(batches, 0):
-            tokens, starts = tokens_of(b.column(0))
-            held_w.append(tokens)
-            inner = np.ones(len(tokens), bool)
-            inner[starts[1:] - 1] = False  # a text's end token has no successor
-            at = np.flatnonzero(inner)
-            # the next word by its upper 32 bits
-            held_p.append(np.stack([tokens[at], tokens[at + 1] >> U64(32)], 1) if len(at) else np.zeros((0, 2), U64))
-            size += len(tokens)
+            held.append(_triples(*tokens_of(b.column(0))))
+            size += len(held[-1])
             if size > flush:
-                yield from out()
-                held_w, held_p, size = [], [], 0
+                runs.append(run())
+                bytes_ += sum(len(x) for x in runs[-1] if x is not None)
+                held, size = [], 0
+                if bytes_ > hold:
+                    yield from out()
+                    runs, bytes_ = [], 0
         if size:
-            yield from out()
+            runs.append(run())
+        yield from out()
 
     folder = scratch.path("shards")
     if re.match(r"[a-z0-9+.-]{2,}:", folder) and not folder.startswith("file:"):
@@ -317,64 +446,50 @@ def train(df: DataFrame, text_col: str = "text", shards: int | None = None, flus
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(shard: int, held: list) -> pa.RecordBatch:
-            words, counts = _merged(*(list(x) for x in zip(*held[0])))
-            pairs, n = _merged(*(list(x) for x in zip(*held[1]))) if held[1] else (np.zeros((0, 2), U64), np.zeros(0, np.int64))
-            raw = build_shard(words[:, 0], counts, pairs[:, 0], pairs[:, 1], n, discount, min_count)
+            raw, tokens, kinds = build_shard(*_merged(*(list(x) for x in zip(*map(_unblock, held)))), discount)
             os.makedirs(local, exist_ok=True)
             handle, path = tempfile.mkstemp(dir=local)
             with os.fdopen(handle, "wb") as f:
                 f.write(raw)
             os.replace(path, os.path.join(local, f"{shard}.trie"))
-            return pa.RecordBatch.from_arrays([pa.array([int(counts.sum())]), pa.array([len(words)]), pa.array([len(raw)])], ["tokens", "kinds", "bytes"])
+            return pa.RecordBatch.from_arrays([pa.array([tokens]), pa.array([kinds]), pa.array([len(raw)])], ["tokens", "kinds", "bytes"])
 
-        now, held = None, [[], []]
+        now, held = None, []
         for b in batches:
-            for shard, kind, block in zip(*(b.column(i).to_pylist() for i in range(3))):
+            for shard, block in zip(b.column(0).to_pylist(), b.column(1)):
                 if shard != now:
                     if now is not None:
                         yield out(now, held)
-                    now, held = shard, [[], []]
-                held[kind].append(_unblock(block))
+                    now, held = shard, []
+                held.append(block.as_py())
         if now is not None:
             yield out(now, held)
 
-    blocks = df.select(F.col(text_col).alias("text")).mapInArrow(count, "shard int, kind int, block binary")
-    sums = blocks.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(merge, "tokens long, kinds long, bytes long")
+    blocks = df.select(F.col(text_col).alias("text")).mapInArrow(returning(count), "shard int, block binary")
+    sums = blocks.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(returning(merge), "tokens long, kinds long, bytes long")
     tokens, kinds = sums.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
     return Model(local, shards, tokens, kinds, alpha), scratch
 
 
+ADDED = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
+
+
 def score(df: DataFrame, model: Model, keep: list[str], text_col: str = "text") -> DataFrame:
-    """The columns `keep` with n_tokens, n_known, train_tokens, base_score and score (both log10) added."""
-    added = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
-    kinds = dict(df.dtypes)
+    """The columns `keep` with n_tokens, n_known, train_tokens, base_score and score (both log10) added; any of those names are replaced."""
+    keep = [c for c in keep if c not in ADDED]
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "n_tokens long, n_known long, train_tokens long, base_score double, score double"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        floor = model.alpha
-        over = model.tokens + model.alpha * (model.kinds + 1)
-        for b in text_slices(batches, len(keep), 8 << 20):
+        for b in text_slices(batches, len(keep), 4 << 20):
             tokens, starts = tokens_of(b.column(len(keep)))
-            kind, place = np.unique(tokens, return_inverse=True)
-            count, back, rank = model.lookup(kind)
-            base = (count + floor) / over
-            known, log_base = count[place] > 0, np.log10(base)[place]
-            # a text's first token stands alone; each other one follows the one before
-            inner = np.ones(len(tokens), bool)
-            inner[starts[:-1]] = False
-            at = np.flatnonzero(inner)
-            c, w = place[at - 1].astype(np.int64), place[at].astype(np.int64)
-            both, where = np.unique(c * len(kind) + w, return_inverse=True)
-            c, w = both // len(kind), both % len(kind)
-            p = model.share(kind[c], rank[c], kind[w]) + back[c] * base[w]
-            log_p = log_base.copy()
-            log_p[at] = np.log10(p)[where]
+            count, base, told = model.probabilities(tokens, starts)
             cuts = starts[:-1]
-            sums = [np.add.reduceat(x, cuts) for x in (known.astype(np.int64), log_base, log_p)]
+            sums = [np.add.reduceat(x, cuts) for x in ((count > 0).astype(np.int64), np.log10(base), np.log10(told))]
             n = np.diff(starts)
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), pa.array(n), pa.array(sums[0]), pa.array(np.full(len(n), model.tokens, np.int64)), pa.array(sums[1]), pa.array(sums[2])], [*keep, *added])
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), pa.array(n), pa.array(sums[0]), pa.array(np.full(len(n), model.tokens, np.int64)), pa.array(sums[1]), pa.array(sums[2])], [*keep, *ADDED])
 
-    return df.select(*[F.col(f"`{c}`") for c in keep], F.col(text_col).alias("__text")).mapInArrow(run, schema)
+    return df.select(*[F.col(f"`{c}`") for c in keep], F.col(text_col).alias("__text")).mapInArrow(returning(run), schema)
 
 
 def held_out(id_col: str = "doc_id", folds: int = 10, fold: int = 0):

@@ -1,6 +1,7 @@
 """Each operator against a brute-force version on small tables with nulls, empty and long texts, ties and repeats."""
 
 import hashlib
+import math
 import os
 import random
 import re
@@ -10,6 +11,7 @@ from html.parser import HTMLParser
 from math import log10
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -517,11 +519,59 @@ def test_elias_fano():
     g = np.random.default_rng(1)
     for bits, n in ((64, 1000), (20, 5000), (40, 1), (33, 0)):
         values = np.unique(g.integers(0, 1 << min(bits, 63), n).astype(np.uint64))
-        e = lm_score.EliasFano.build(values, bits)
+        e = lm_score.EliasFano.build(values)
         e = lm_score.EliasFano.read(lm_score._unpack(lm_score._pack(e.parts())))
         asked = np.concatenate([values, g.integers(0, 1 << min(bits, 63), 500).astype(np.uint64)])
         place = {int(v): i for i, v in enumerate(values)}
         assert e.find(asked).tolist() == [place.get(int(v), -1) for v in asked]
+        assert e.values(np.arange(len(values))).tolist() == values.tolist()
+    context = np.sort(g.integers(0, 50, 400))
+    assert lm_score.EliasFano.build(context, 0).ends(np.arange(context.max() + 1)).tolist() == np.searchsorted(context, np.arange(context.max() + 1), "right").tolist()
+
+
+def test_levels():
+    g = np.random.default_rng(2)
+    pairs = sorted({(int(c), int(h)) for c, h in zip(g.choice([0, 3, 4, 90], 300), g.integers(1, 40, 300))} | {(91, 1), (91, (1 << 32) - 1)})
+    level = lm_score.Level.build(np.array([c for c, _ in pairs]), np.array([h for _, h in pairs], np.uint64), np.zeros(len(pairs), np.uint8))
+    level = lm_score.Level.read(lm_score._unpack(lm_score._pack(level.parts())))
+    asked = [(c, h) for c in (-1, 0, 1, 3, 4, 89, 90, 91, 92, 200) for h in (*range(1, 45), (1 << 32) - 1)]
+    place = {x: i for i, x in enumerate(pairs)}
+    assert level.find(np.array([c for c, _ in asked]), np.array([h for _, h in asked], np.uint64)).tolist() == [place.get(x, -1) for x in asked]
+
+
+def test_blocks():
+    g = np.random.default_rng(3)
+    keys = np.unique(np.stack([g.integers(0, 30, 500), g.integers(0, 1 << 56, 500)], 1).astype(np.uint64), axis=0)
+    for k in (keys, keys[keys[:, 0] > 0], keys[:1], keys[-1:]):
+        n = g.integers(1, 9, len(k))
+        back = lm_score._unblock(lm_score._block(k, n))
+        assert back[0].tolist() == k.tolist() and back[1].tolist() == n.tolist()
+
+
+def brute_scores(texts, train, alpha=0.1, discount=0.75):
+    """log10 probabilities of texts by plain counting: probabilities and weights rounded down to steps of 1/24, as stated."""
+    tok = lambda t: [*(t or "").encode().lower().split(), None]
+    one, two, three = Counter(), Counter(), Counter()
+    for t in train:
+        w = tok(t)
+        one.update(w), two.update(zip(w, w[1:])), three.update(zip(w, w[1:], w[2:]))
+    step = lambda p: 10 ** (-min(math.ceil(-log10(p) * 24 - 1e-9), 255) / 24) if -log10(p) * 24 < 255 else 0.0
+    after: dict = {}
+    for g, n in [*two.items(), *three.items()]:
+        after.setdefault(g[:-1], {})[g[-1]] = n
+    share, back = {}, {}
+    for c, found in after.items():
+        total = sum(found.values())
+        share[c] = {w: step((n - discount) / total) for w, n in found.items()}
+        back[c] = step(min(1, max(1e-9, 1 - sum(share[c].values()))))
+    n, v = sum(one.values()), len(one)
+
+    def p(w, before):
+        if not before:
+            return (one[w] + alpha) / (n + alpha * (v + 1))
+        return share.get(before, {}).get(w, 0.0) + back.get(before, 1.0) * p(w, before[1:])
+
+    return [sum(log10(p(w, tuple(t[max(0, i - 2) : i]))) for i, w in enumerate(t)) for t in map(tok, texts)]
 
 
 def test_scores(spark, docs):
@@ -530,27 +580,37 @@ def test_scores(spark, docs):
     tok = lambda t: [*(t or "").encode().lower().split(), None]
     c = Counter(w for i, t, *_ in rows if not held(i) for w in tok(t))
     n = sum(c.values())
-    df = df.select("doc_id", "text", lm_score.held_out().alias("held_out"))
-    model, _ = lm_score.train(df.where(~F.col("held_out")), shards=5, flush=500)
-    got = {r.doc_id: r for r in lm_score.score(df, model, ["doc_id", "held_out"]).collect()}
+    df = df.select("doc_id", "text", lm_score.held_out().alias("held_out"), F.lit("x").alias("score"))
     base = lambda w: (c[w] + 0.1) / (n + 0.1 * (len(c) + 1))
-    for i, t, *_ in rows:
-        r = got[i]
-        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held(i), len(tok(t)), sum(c[w] > 0 for w in tok(t)), n)
-        assert r.base_score == pytest.approx(sum(log10(base(w)) for w in tok(t)))
-        assert r.score <= 0
+    want = dict(zip([r[0] for r in rows], brute_scores([r[1] for r in rows], [r[1] for r in rows if not held(r[0])])))
+    for options in ({"shards": 5, "flush": 500}, {"shards": 3, "flush": 300, "hold": 2000}, {}):
+        model, _ = lm_score.train(df.where(~F.col("held_out")), **options)
+        made = lm_score.score(df, model, ["doc_id", "held_out", "score"])
+        assert made.columns == ["doc_id", "held_out", *lm_score.ADDED]
+        got = {r.doc_id: r for r in made.collect()}
+        for i, t, *_ in rows:
+            r = got[i]
+            assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held(i), len(tok(t)), sum(c[w] > 0 for w in tok(t)), n)
+            assert r.base_score == pytest.approx(sum(log10(base(w)) for w in tok(t))) and r.score == pytest.approx(want[i], rel=1e-6)
     assert sum(r.score for r in got.values()) > sum(r.base_score for r in got.values())
-    # probabilities after a word add up to no more than one
-    seen = [r[1] for r in rows if not held(r[0]) and r[1]]
-    word = Counter(w for t in seen for w in t.encode().lower().split()).most_common(1)[0][0].decode()
-    words = [w.decode() for w in c if w is not None]
-    pairs = spark.createDataFrame([(i, f"{word} {w}") for i, w in enumerate(words)], "doc_id long, text string")
-    both = lm_score.score(pairs, model, ["doc_id"]).collect()
-    ends = lm_score.score(spark.createDataFrame([(i, w) for i, w in enumerate(words)], "doc_id long, text string"), model, ["doc_id"]).collect()
-    first = log10(base(word.encode()))
-    last = {r.doc_id: r.score - log10(base(words[r.doc_id].encode())) for r in ends}  # log p(end | w)
-    total = sum(10 ** (r.score - first - last[r.doc_id]) for r in both)
-    assert total <= 1.0001
+    lm_score.Model.OPEN, most = 2, lm_score.Model.OPEN
+    try:  # few shards at a time
+        tokens, starts = lm_score.tokens_of(pa.array([r[1] for r in rows]))
+        told = np.add.reduceat(np.log10(model.probabilities(tokens, starts)[2]), starts[:-1])
+        assert told == pytest.approx([want[r[0]] for r in rows], rel=1e-6) and len(model._open) <= 2
+    finally:
+        lm_score.Model.OPEN = most
+    # probabilities after a context add up to no more than one
+    seen = [tok(r[1]) for r in rows if not held(r[0])]
+    for size in (1, 2):
+        before = Counter(tuple(w[i : i + size]) for w in seen for i in range(len(w) - size)).most_common(1)[0][0]
+        each = [b" ".join([*before, w]).decode() for w in c if w is not None]
+        tokens, starts = lm_score.tokens_of(pa.array([*each, b" ".join(before).decode()]))
+        p = model.probabilities(tokens, starts)[2]
+        total = p[starts[:-2] + size].sum() + p[starts[-2] + size]
+        assert 0.5 < total <= 1.0001
     empty, _ = lm_score.train(df.limit(0))
     assert lm_score.score(df, empty, ["doc_id"]).agg(F.sum("train_tokens")).first()[0] == 0
     assert lm_score.score(df.limit(0), model, ["doc_id"]).count() == 0
+    ids = df.select(F.lit(None).cast("long").alias("doc_id"), "text")
+    assert lm_score.train(ids.where(~lm_score.held_out()))[0].tokens == sum(len(tok(r[1])) for r in rows)
