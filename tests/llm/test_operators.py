@@ -514,6 +514,60 @@ def test_language(spark):
     assert language_id.predict(df, none).where("lang_pred <> 'und'").count() == 0
 
 
+def brute_languages(texts, train, longest=5):
+    """(language, share) of texts by plain counting: known words by log frequency, others by their longest known n-grams."""
+    find = lambda t: re.findall(r"[^\W\d_]+", (t or "").lower())
+    words, grams = {}, {}
+    for t, lang in train:
+        words.setdefault(lang, Counter()).update(find(t))
+    for lang, c in words.items():
+        for w, n in c.items():
+            m = f"^{w}$"
+            for k in range(1, longest + 1):
+                for i in range(len(m) - k + 1):
+                    grams.setdefault((lang, k), Counter())[m[i : i + k]] += n
+    langs = sorted(words)
+    log = lambda c, w: math.log((c[w] + 0.1) / (sum(c.values()) + 1.0))
+
+    def scores(w):
+        if any(w in words[x] for x in langs):
+            return [log(words[x], w) for x in langs]
+        m = f"^{w}$"
+        for k in range(min(longest, len(m)), 0, -1):
+            known = [m[i : i + k] for i in range(len(m) - k + 1) if any(m[i : i + k] in grams.get((x, k), {}) for x in langs)]
+            if known:
+                return [sum(log(grams.get((x, k), Counter()), g) for g in known) / len(known) for x in langs]
+        return [0.0] * len(langs)
+
+    out = []
+    for t in texts:
+        each = [scores(w) for w in find(t)]
+        if not each or not langs:
+            out.append(("und", 0.0))
+            continue
+        mean = [sum(s[i] - sum(s) / len(s) for s in each) / len(each) for i in range(len(langs))]
+        best = max(range(len(langs)), key=lambda i: (mean[i], -i))
+        out.append((langs[best], 1 / sum(math.exp(x - mean[best]) for x in mean)))
+    return out
+
+
+def test_languages_by_plain_counting(spark):
+    r = random.Random(6)
+    parts = {"en": ["the", "ing", "sh", "on"], "fr": ["eau", "é", "ch", "on"], "de": ["ß", "sch", "ung", "on"]}
+    say = lambda k, n: " ".join("".join(r.choices(parts[k], k=r.randint(1, 3))) for _ in range(n))
+    rows = [(i, say(k, r.randint(1, 12)), k) for i in range(90) for k in [("en", "fr", "de")[i % 3]]]
+    rows += [(200, "on", None), (201, "on " * 20_000 + "sch", None), (202, "xyzzy 1", None), (203, "Ünıcode ŒUVRE", None), rows[0], (None, "eau", "de"), (None, None, None)]
+    df = spark.createDataFrame([(*x, "w", 1, 2.0) for x in rows], "doc_id long, text string, lang string, l string, limit int, lang_pred double").repartition(3)
+    model = language_id.train(df.where(language_id.learnable()))
+    learned = [(t, k) for i, t, k in rows if i is not None and k is not None and zlib.crc32(str(i).encode()) % 4 != 2]
+    want = Counter((i, t, p, round(s, 4)) for (i, t, _), (p, s) in zip(rows, brute_languages([x[1] for x in rows], learned)))
+    got = Counter((x.doc_id, x.text, x.lang_pred, round(x.score, 4)) for x in language_id.predict(df, model).collect())
+    assert got == want
+    # a rare label is learned however common the others are
+    many = spark.createDataFrame([(i, say("en" if i else "fr", 8), "en" if i else "fr") for i in range(400)], "doc_id long, text string, lang string")
+    assert language_id.train(many, label_rows=20).languages == ["en", "fr"]
+
+
 # 10
 def test_elias_fano():
     g = np.random.default_rng(1)
