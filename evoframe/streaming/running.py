@@ -1,15 +1,15 @@
 """Running statistics over streams: per micro-batch partial states, merged into a small state table.
 
 A batch's partial state is written under its batch id, replacing any earlier try, so a replayed batch counts once.
-Reading merges the partials; compact() folds those of finished batches into one.
+Reading merges the partials; compact() folds those of finished batches into one folder, `upto=<batch>`. A reader takes the
+last whole such folder and the batches after it, so a compaction that is broken off changes nothing.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -21,13 +21,12 @@ def partial(df: DataFrame, by: Sequence[str], value: str, sketch_k: int = 3072)
 
 
 def merge(states: DataFrame, by: Sequence[str]) -> DataFrame:
-    """The state of all rows behind the given states."""
-    live = states.where("n > 0")
-    total = F.sum("n")
-    mean = F.sum(F.col("n") * F.col("mean")) / total
-    # sum of n (mean_i - mean)^2, as a population variance of the means weighted by n
-    between = F.sum(F.col("n") * F.col("mean") * F.col("mean")) - total * mean * mean
-    return live.groupBy(*by).agg(total.alias("n"), mean.alias("mean"), (F.sum("m2") + F.greatest(between, F.lit(0.0))).alias("m2"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.expr("kll_merge_agg_double(sketch)").alias("sketch"))
+    """The state of all rows behind the given states. Spreads between states are taken around the common mean, not as a
+    difference of large sums."""
+    own = Window.partitionBy(*by)
+    live = states.where("n > 0").withColumn("whole", F.sum(F.col("n") * F.col("mean")).over(own) / F.sum("n").over(own))
+    off = F.col("mean") - F.col("whole")
+    return live.groupBy(*by).agg(F.sum("n").alias("n"), F.first("whole").alias("mean"), F.sum(F.col("m2") + F.col("n") * off * off).alias("m2"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.expr("kll_merge_agg_double(sketch)").alias("sketch"))
 
 
 def read_out(states: DataFrame, by: Sequence[str], quantiles: Sequence[float] = (0.5,)) -> DataFrame:
@@ -44,16 +43,42 @@ class RunningStats:
         self.spark, self.path, self.by, self.value = spark, path.rstrip("/"), list(by), value
 
     def add(self, batch: DataFrame, batch_id: int) -> None:
-        partial(batch, self.by, self.value).write.mode("overwrite").parquet(f"{self.path}/batch_id={batch_id}")
+        if batch_id > self._compacted():  # an older one is in the compacted state
+            partial(batch, self.by, self.value).write.mode("overwrite").parquet(f"{self.path}/batch_id={batch_id}")
+
+    def _folders(self, name: str) -> dict[int, str]:
+        """The whole folders `name=<number>`."""
+        jvm = self.spark._jvm
+        root = jvm.org.apache.hadoop.fs.Path(self.path)
+        files = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not files.exists(root):
+            return {}
+        found = [x.getPath() for x in files.listStatus(root) if x.getPath().getName().startswith(f"{name}=")]
+        return {int(x.getName().split("=")[1]): x.toString() for x in found if files.exists(jvm.org.apache.hadoop.fs.Path(x, "_SUCCESS"))}
+
+    def _compacted(self) -> int:
+        return max(self._folders("upto"), default=-1)
+
+    def compact(self, upto: int | None = None) -> None:
+        """Fold the batches up to `upto` (default: all) into one state. Only batches that will not be replayed may be folded."""
+        last, batches = self._compacted(), self._folders("batch_id")
+        upto = max(batches, default=last) if upto is None else upto
+        fold = [path for i, path in batches.items() if last < i <= upto]
+        if not fold:
+            return
+        old = self._folders("upto")
+        merge(self.spark.read.parquet(*fold, *([old[last]] if old else [])), self.by).write.mode("overwrite").parquet(f"{self.path}/upto={upto}")
+        for path in [*(p for i, p in batches.items() if i <= upto), *(p for i, p in old.items() if i < upto)]:
+            gone = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            gone.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(gone, True)
 
     def start(self, stream: DataFrame, checkpoint: str, **trigger) -> StreamingQuery:
         return stream.writeStream.foreachBatch(self.add).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
     def states(self) -> DataFrame | None:
-        try:
-            return self.spark.read.parquet(self.path)
-        except AnalysisException:
-            return None
+        last, old = self._compacted(), self._folders("upto")
+        paths = [p for i, p in self._folders("batch_id").items() if i > last] + ([old[last]] if old else [])
+        return self.spark.read.parquet(*paths) if paths else None
 
     def result(self, quantiles: Sequence[float] = (0.5,)) -> DataFrame:
         states = self.states()
