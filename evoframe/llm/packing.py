@@ -2,8 +2,8 @@
 
 A document of n tokens is cut into full pieces of `max_length` and then into the binary digits of the rest, largest
 first. Equal lengths share a bucket and each piece is a sequence of its own, so no sequence crosses documents and none
-is padded. Sequence ids are dense, bucket after bucket: a count per (length, slice of documents), a running sum over
-that small table and a row number inside each slice, so no bucket is ever sorted in one task.
+is padded. Sequence ids are dense, bucket after bucket: each task numbers its pieces of each length as it makes them, and
+running sums over the counts per (length, task) place them, so no piece is sorted or shuffled for its number.
 
 Cases: null text is empty and has only the end token; very long texts are tokenised in pieces that end where the
 tokeniser's own pre-tokens end; repeated rows are separate documents; an empty table gives an empty result; other
@@ -21,14 +21,15 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, returned_memory
+from .common import Scratch, returned_memory, sized
 
 #: The pre-token pattern of byte-level BPE vocabularies of this family (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long"
+PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, task long, row long"
 _SPACED = re.compile(r"\s ")
 _CUT = re.compile(r"(?<=\S)(?= )")
 CACHE = 500_000
@@ -130,7 +131,8 @@ def _rows(path: str | Callable[[], str], end_id: int, max_length: int, crc: bool
             yield from cut(batches)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = CachedEncoder(path if isinstance(path, str) else path())
+        encoder, task = CachedEncoder(path if isinstance(path, str) else path()), TaskContext.get().partitionId()
+        made: dict[int, int] = {}  # pieces of each length so far
         for b in batches:
             for s in range(0, b.num_rows, 256):
                 part = b.slice(s, 256)
@@ -139,27 +141,28 @@ def _rows(path: str | Callable[[], str], end_id: int, max_length: int, crc: bool
                     ids = np.append(encoder.ids(text or ""), np.array(end_id, "<u4"))
                     for start, length in binary_pieces(len(ids), max_length):
                         raw = ids[start : start + length].tobytes()
-                        rows.append((doc, start, length, zlib.crc32(raw) if crc else raw, len(ids)))
+                        rows.append((doc, start, length, zlib.crc32(raw) if crc else raw, len(ids), task, made.setdefault(length, 0)))
+                        made[length] += 1
                 if rows:
                     columns = list(zip(*rows))
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if i == 3 and not crc else pa.int64()) for i, c in enumerate(columns)], ["doc_id", "start", "length", "ids_crc32" if crc else "ids", "doc_tokens"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if i == 3 and not crc else pa.int64()) for i, c in enumerate(columns)], ["doc_id", "start", "length", "ids_crc32" if crc else "ids", "doc_tokens", "task", "row"])
 
     return run
 
 
-def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_length: int = 2048, end_id: int = 1, tokenizer: str | Callable[[], str] = tokenizer_path, digest: bool = False, slices: int = 256) -> DataFrame:
+def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_length: int = 2048, end_id: int = 1, tokenizer: str | Callable[[], str] = tokenizer_path, digest: bool = False) -> DataFrame:
     """doc_id, start, length, ids (little-endian 32-bit; with digest=True ids_crc32 instead), doc_tokens, sequence_id, offset."""
     if max_length & (max_length - 1):
         raise ValueError("max_length has to be a power of two")
     scratch = Scratch(df.sparkSession, "packing")
     schema = PIECES.replace("ids binary", "ids_crc32 long") if digest else PIECES
     pieces = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_rows(tokenizer, end_id, max_length, digest), schema)
-    pieces = scratch.save(pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "start"), F.lit(slices)).cast("int")), "pieces")
-    # lengths x slices rows: 12 * 256 with the defaults, whatever the input
-    sizes = pieces.groupBy("length", "part").agg(F.count("*").alias("n"))
-    order = Window.orderBy(F.desc("length"), "part").rowsBetween(Window.unboundedPreceding, -1)
-    first = sizes.withColumn("first", F.coalesce(F.sum("n").over(order), F.lit(0))).select("length", "part", "first")
-    within = Window.partitionBy("length", "part").orderBy("doc_id", "start", *(["ids_crc32"] if digest else ["ids"]))
-    numbered = pieces.withColumn("row", F.row_number().over(within)).join(F.broadcast(first), ["length", "part"])
+    pieces = scratch.save(pieces, "pieces")
+    sizes = pieces.groupBy("length", "task").agg(F.max("row").alias("n"))  # a row for each length and task
+    before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.withColumn("n", F.col("n") + 1)
+    longer = sizes.groupBy("length").agg(F.sum("n").alias("n")).select("length", before(Window.orderBy(F.desc("length"))).alias("longer"))  # a row for each length
+    first = sizes.select("length", "task", before(Window.partitionBy("length").orderBy("task")).alias("first")).join(F.broadcast(longer), "length")
+    numbered = pieces.join(sized(scratch.save(first.select("length", "task", (F.col("first") + F.col("longer")).alias("first")), "first", 0)), ["length", "task"])
     value = "ids_crc32" if digest else "ids"
-    return numbered.select("doc_id", "start", "length", value, "doc_tokens", (F.col("first") + F.col("row") - 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    return numbered.select("doc_id", "start", "length", value, "doc_tokens", (F.col("first") + F.col("row")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
