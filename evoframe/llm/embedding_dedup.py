@@ -2,9 +2,13 @@
 
 Unit vectors lie in a metric space (chord length); cosine >= t is chord <= r = sqrt(2 - 2t). Each vector's home is the
 cell of its nearest pivot. By the triangle inequality a vector y linked to a member of pivot p's cell has
-d(y, p) <= d(y, home(y)) + 2r and d(y, p) <= radius(p) + r, so y is replicated to the cells where both hold and whose
-number is below its home's; each cell then joins alone, and each pair meets exactly once. Cells of many vectors are
-split by a salt into chunks of `cell_rows`, which is how a hot direction is spread.
+d(y, p) <= d(y, home(y)) + 2r and d(y, p) <= radius(p) + r, so y is replicated to the cells where both hold; each cell
+then joins alone. Of two cells that reach into one another, a hash of both says which one takes the other's vectors, so
+each pair meets exactly once and no cell takes them all. Cells of many vectors are split by a salt into chunks of
+`cell_rows`, which is how a hot direction is spread.
+
+Cosines are taken in single precision first; the error of such a sum over `dim` products of unit vectors is under
+(dim + 4) * 2 ** -24, and pairs nearer than twice that to the threshold are decided in double precision.
 
 Cases: a null, empty, zero or non-finite vector, or one with a null component, links with nothing and is its own
 component. A shorter vector counts as padded with zeros. Rows that repeat an id count once. A null id is dropped.
@@ -21,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, connected_components
+from .common import Scratch, connected_components, mix, returning
 
 
 def _vectors(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -76,13 +80,14 @@ def choose_pivots(sample: np.ndarray, most: int) -> np.ndarray:
 class _Cell:
     """The home chunk of one cell, and what its visitors link to."""
 
-    def __init__(self, threshold: float):
+    def __init__(self, threshold: float, dim: int):
         self.t, self.ids, self.rows, self.ready = threshold, [], [], False
+        self.band = 2 * (dim + 4) * 2.0**-24
 
     def links(self, a: np.ndarray, b: np.ndarray, a32: np.ndarray, b32: np.ndarray) -> np.ndarray:
         near = a32 @ b32.T
         hit = near >= self.t
-        i, j = np.nonzero(np.abs(near - self.t) < 3e-5)
+        i, j = np.nonzero(np.abs(near - self.t) < self.band)
         if len(i):
             for s in range(0, len(i), 1 << 16):
                 p, q = i[s : s + (1 << 16)], j[s : s + (1 << 16)]
@@ -125,6 +130,12 @@ class _Cell:
         return ids[rows], found[rows].astype(np.int64), self.id[first]
 
 
+def _takes(cell: int, others: np.ndarray) -> np.ndarray:
+    """Whether a cell takes the vectors of each of the others, and not the other way round."""
+    low, high = np.minimum(others, cell).astype(np.uint64), np.maximum(others, cell).astype(np.uint64)
+    return (others != cell) & (((mix(low << np.uint64(32) | high) & np.uint64(1)) == 0) == (others > cell))
+
+
 def near_duplicate_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.95, cell_rows: int = 4096, max_pivots: int = 256, pivot_sample: int = 4096) -> DataFrame:
     """One row per vector: id_col, n_links, component_id, kept. See the module's text for the cases.
 
@@ -151,15 +162,13 @@ def near_duplicate_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: st
                 d = _chords(_unit(x[ok]), pivots)
                 yield pa.RecordBatch.from_arrays([pa.array(d.argmin(1).astype(np.int32)), pa.array(d.min(1))], ["p", "d"])
 
-    met = {r.p: r for r in table.mapInArrow(homes, "p int, d double").groupBy("p").agg(F.count("*").alias("n"), F.max("d").alias("r")).collect()}
+    met = {r.p: r for r in table.mapInArrow(returning(homes), "p int, d double").groupBy("p").agg(F.count("*").alias("n"), F.max("d").alias("r")).collect()}
     used = sorted(met)
     chunks = np.array([math.ceil(met[p].n / cell_rows) for p in used])
     base = np.concatenate([[0], np.cumsum(chunks)])  # chunk s of used[i] is cell base[i] + s
     kept, reach = pivots[used], np.array([met[p].r for p in used]) + radius
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from .common import mix
-
         for b in batches:
             for s in range(0, b.num_rows, 1024):
                 part = b.slice(s, 1024)
@@ -173,9 +182,9 @@ def near_duplicate_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: st
                 open_ = (d <= d.min(1)[:, None] + 2 * radius) & (d <= reach[None, :] + 1e-9)
                 at, to, role = [np.arange(len(ids))], [cell], [np.zeros(len(ids), np.int32)]
                 for i in range(len(kept)):
-                    who = np.flatnonzero(open_[:, i] & (base[i] < cell))
+                    who = np.flatnonzero(open_[:, i])
                     for c in range(base[i], base[i + 1]):
-                        go = who[cell[who] > c]
+                        go = who[_takes(c, cell[who])]
                         if len(go):
                             at.append(go), to.append(np.full(len(go), c)), role.append(np.ones(len(go), np.int32))
                 at = np.concatenate(at)
@@ -201,7 +210,7 @@ def near_duplicate_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: st
                 if to[s] != now:
                     if cell is not None:
                         yield end(cell)
-                    cell, now = _Cell(threshold), to[s]
+                    cell, now = _Cell(threshold, dim), to[s]
                 if role[s] == 0:
                     cell.ids.append(ids[s:e]), cell.rows.append(x[s:e])
                     continue
@@ -214,9 +223,9 @@ def near_duplicate_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: st
         if cell is not None:
             yield end(cell)
 
-    dealt = table.mapInArrow(deal, "cell long, role int, id long, v binary").repartition("cell").sortWithinPartitions("cell", "role")
-    found = scratch.save(dealt.mapInArrow(join, "id long, n long, to long").where("n > 0 or id <> to"), "found")
-    parts = connected_components(found.select(F.col("id").alias("a"), F.col("to").alias("b")), scratch)
+    dealt = table.mapInArrow(returning(deal), "cell long, role int, id long, v binary").repartition("cell").sortWithinPartitions("cell", "role")
+    found = scratch.save(dealt.mapInArrow(returning(join), "id long, n long, to long").where("n > 0 or id <> to"), "found")
+    parts = connected_components(found.select(F.col("id").alias("a"), F.col("to").alias("b")), scratch, rows=total)
     counts = counts.unionByName(found.select(F.col("id").alias(id_col), "n")).groupBy(id_col).agg(F.sum("n").alias("n_links"))
     joined = counts.join(parts.select(F.col("id").alias(id_col), "component"), id_col, "left")
     component = F.coalesce("component", id_col)
