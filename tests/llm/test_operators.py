@@ -494,6 +494,14 @@ def test_packing(spark, docs):
     every = [r.sequence_id for p in got.values() for r in p]
     assert sorted(every) == list(range(len(every)))
     digests = {(r.doc_id, r.start): r.ids_crc32 for r in packing.pack(df, digest=True).collect()}
+    odd = ["漢字かな" * 3000, "x" * 30_000, "\t\n " * 5000, "a\u0301\u200d" * 2000, "<|endoftext|>" * 50, "  lead and  double  spaces ", "don't'll 12345678 ½ ﬁ\x00\x7f", "é" * 9 + "\r\n" * 9, None]
+    unspaced = spark.createDataFrame([(i if i else None, t, "x", 1) for i, t in enumerate([*odd, odd[0]])], "doc_id long, text string, task string, row int")
+    whole: dict = {}
+    for r in sorted(packing.pack(unspaced).collect(), key=lambda r: r.start):
+        whole.setdefault(r.doc_id, []).append(r)
+    for i, t in enumerate([*odd, odd[0]]):
+        ids = np.frombuffer(b"".join(r.ids for r in whole[i if i else None]), "<u4").tolist()
+        assert ids == [*own.encode(t or "", add_special_tokens=False).ids, 1] and whole[i if i else None][0].doc_tokens == len(ids)
     assert digests[(60, 0)] == zlib.crc32(b"\1\0\0\0")
     assert packing.pack(df.limit(0)).count() == 0
 
