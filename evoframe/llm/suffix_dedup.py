@@ -17,7 +17,7 @@ text) is removed. Strings never cross texts and are judged on the input.
 
 Cases: a null text is empty; a text shorter than `length` loses nothing; a row with a null id loses nothing and removes
 nothing; ids are taken to be unique (rows that share one lose the same ranges); an empty table gives an empty result; a
-character of which a byte is removed leaves the string output; other columns pass through.
+character of which a byte is removed leaves the string output; other columns, of whatever names, pass through.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, Scratch, mix, returned_memory, text_slices, utf8
+from .common import Rolling, Scratch, mix, returned_memory, returning, text_slices, utf8
 from .induced_sort import SuffixSort
 
 U64 = np.uint64
@@ -304,14 +304,20 @@ def repeated_ranges(df: DataFrame, scratch: Scratch, id_col: str, text_col: str,
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, gram: int = 24, shard_bytes: int = 4 << 20, digest: bool = False) -> DataFrame:
-    """df with text_col shortened and n_bytes, n_removed, n_spans added; with digest=True the id, those and kept_sha256."""
+    """df with text_col shortened and n_bytes, n_removed, n_spans added; with digest=True the id, those and kept_sha256.
+
+    `length` is 255 at most, as common prefixes are counted in bytes, and over `gram`.
+    """
+    if not gram < length <= 255:
+        raise ValueError("length has to be over gram and at most 255")
     scratch = Scratch(df.sparkSession, "suffixes")
     ranges = repeated_ranges(df, scratch, id_col, text_col, length, gram, shard_bytes)
     added = ["n_bytes", "n_removed", "n_spans"]
     keep = [id_col] if digest else [c for c in df.columns if c not in added]
     last = "kept_sha256" if digest else None
-    rows = df.select(*[F.col(f"`{c}`") for c in keep], F.col(id_col).cast("long").alias("__doc"), F.col(text_col).alias("__text"))
-    rows = rows.join(ranges.withColumnRenamed("doc", "__doc"), "__doc", "left").select(*[F.col(f"`{c}`") for c in keep], "__text", "ranges")
+    # the columns that pass through travel in one struct, so their names meet no others
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("kept"), F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
+    rows = rows.join(ranges, "doc", "left").select("kept", "text", "ranges")
     base = [f for f in df.schema.fields if f.name in keep]
     from pyspark.sql import types as T
 
@@ -320,7 +326,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, ranges = b.column(b.num_columns - 2), b.column(b.num_columns - 1)
+            texts, ranges = b.column(1), b.column(2)
             found, kept = [], []
             for i in range(b.num_rows):
                 text = texts[i].as_py()
@@ -336,9 +342,9 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 found.append((len(raw), n_removed, n_spans))
                 kept.append(hashlib.sha256(left).hexdigest() if digest else None if text is None else text if not n_removed else left.decode("utf-8", "ignore"))
             numbers = [pa.array(x, pa.int64()) for x in (zip(*found) if found else ([], [], []))]
-            columns = [b.column(i) for i in range(len(keep))]
+            columns = b.column(0).flatten()
             if not digest:
                 columns[where] = pa.array(kept, pa.string())
             yield pa.RecordBatch.from_arrays([*columns, *numbers, *([pa.array(kept, pa.string())] if digest else [])], [f.name for f in schema.fields])
 
-    return rows.mapInArrow(cut, schema)
+    return rows.mapInArrow(returning(cut), schema)

@@ -83,7 +83,8 @@ def test_vectors(spark):
     rows = [(i, v.tolist(), 1) for i, v in rows]
     rows += [(1000, None, 1), (1001, [0.0] * 8, 1), (1002, [float("nan")] + [1.0] * 7, 1), (1003, [None] + [1.0] * 7, 1), (1004, [], 2), (1005, rows[0][1], 2), (1006, [x * 1e200 for x in rows[0][1]], 2)]
     rows.append(rows[3])  # a repeated row
-    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    named = [(*r, r[0], "v", 1) for r in rows] + [(None, rows[0][1], 1, None, "v", 1)]  # a null id, and names of the operator's own
+    table = spark.createDataFrame(named, "vec_id long, embedding array<double>, label int, id long, v string, n int")
     x = {i: np.array(v) for i, v, _ in rows if i < 1000 or i == 1005}
     x[1006] = x[0]
     unit = {i: v / np.sqrt(v @ v) for i, v in x.items()}
@@ -141,6 +142,12 @@ def test_repeats(spark, docs, length, gram, shard):
     assert full.columns == [c for c in df.columns if c != "n_bytes"] + ["n_bytes", "n_removed", "n_spans"]
     assert full.where("doc_id = 60").first().text is None
     assert suffix_dedup.remove_repeats(df.limit(0), digest=True).count() == 0
+    odd = df.select("doc_id", "text", F.lit(1).alias("ranges"), F.lit("a").alias("doc"), F.lit("b").alias("kept"), F.lit(2).alias("__doc"), F.lit(3).alias("__text"))
+    got = suffix_dedup.remove_repeats(odd, length=length, gram=gram)
+    assert got.columns == [*odd.columns, "n_bytes", "n_removed", "n_spans"]
+    assert {(r.doc_id, r.n_removed, r.ranges, r.doc, r.kept, r["__doc"]) for r in got.collect()} == {(i, w[1], 1, "a", "b", 2) for i, w in want.items()}
+    with pytest.raises(ValueError):
+        suffix_dedup.remove_repeats(df, length=256)
 
 
 def test_an_anchor_beyond_a_shard():
