@@ -5,17 +5,20 @@ the rest by hash. Any order gives exact results; this one puts rare shingles at
 looks, so common passages make no candidates. Documents of equal word sequences are joined first and stand for one.
 
 1. The n - ceil(t n) + 1 rarest shingles of each set are its prefix; sets that link share one of them at least.
-2. In each prefix shingle's cell the rows are ordered by size; each is paired with its neighbour and the cell's first.
+2. In each prefix shingle's cell the rows are ordered by the number of rarer shingles before it; each is paired with its
+   neighbour and the cell's first, which of copies with edits is the one that is edited least.
 3. Pairs are verified in prefix trees: the partners of a set, in the order of their token sequences, are a depth-first
    walk of their trie. Overlaps of shared path starts are kept, and a subtree is left where the overlap so far plus what
    can follow is below what the sizes ask for.
-4. Connected components of the links. Cells whose members are in one component need nothing more; in the others, all
-   pairs of different components that pass the bounds on length, position and number of shared cells are verified too. So every two sets that link
-   are in one component in the end, without all pairs of a group of copies ever being made.
+4. Connected components of the links. Cells whose members are in one component need nothing more; in the others, pairs of
+   different components are made where both sets have room left for the overlap that a link needs, if both are in as many
+   such cells as a link needs, and are verified too. So every two sets that link are in one component in the end, without
+   all pairs of a group of copies ever being made.
 
 Cases: null, empty or blank texts have no shingle and link with nothing; fewer than k words make one shingle, the whole
-sequence; a null id gets its set size and a null component; repeated ids are one node; an empty table gives an empty
-result; other columns are ignored. Hashes have 64 bits.
+sequence; a null id gets its set size and a null component; repeated ids are one node; very long texts are one set each,
+cut out of the batch that they come in; an empty table gives an empty result; other columns, of whatever names, are
+ignored. Hashes have 64 bits.
 """
 
 from __future__ import annotations
@@ -146,7 +149,8 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     copies = scratch.save(real.select("doc", "key1", "key2").join(first, ["key1", "key2"]).where("doc <> rep").select("doc").distinct(), "copies", rows)
     kept = real.select("doc", "n", "prefix").join(sized(copies), "doc", "left_anti")
     cells = kept.select("doc", "n", F.posexplode("prefix").alias("pos", "token")).selectExpr("token", "doc", "shiftleft(n, 32) | pos as np")
-    window = "over (partition by token order by shiftright(np, 32), doc)"  # neighbours are the same in all cells of a group
+    # the first of a cell has the fewest rarer shingles, so of copies with edits it is the one that is edited least
+    window = "over (partition by token order by np & 4294967295L, shiftright(np, 32), doc)"
     cells = cells.selectExpr("token", "doc", "np", f"lag(struct(doc, np)) {window} as prev", f"lead(doc) {window} as next", f"first(struct(doc, np)) {window} as head").where("prev is not null or next is not null")
     whole = lambda x: f"named_struct('doc', {x}.doc, 'n', shiftright({x}.np, 32), 'pos', cast({x}.np & 4294967295L as int))"
     cells = cells.selectExpr("token", "doc", "shiftright(np, 32) as n", "cast(np & 4294967295L as int) as pos", f"if(prev is null, null, {whole('prev')}) as prev", f"{whole('head')} as head")
@@ -154,10 +158,6 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     def sized_alike(an: str, bn: str) -> str:
         return f"100 * least({an}, {bn}) >= {percent} * greatest({an}, {bn})"
 
-    def room(an: str, bn: str, ap: str, bp: str) -> str:
-        """The overlap that is left from the first shared shingle on allows a link."""
-        return f"{100 + percent} * least({an} - {ap}, {bn} - {bp}) >= {percent} * ({an} + {bn})"
-
     def least_shared(an: str, bn: str) -> str:
         """Two sets that link share this many prefix shingles at least: all those common to both within the prefix that
         ends first, which lacks at most what its set has alone."""
@@ -168,7 +168,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     near = near.where(sized_alike("o.n", "n")).where("o.doc <> doc").selectExpr("struct(o.n as n, o.doc as doc) as x", "struct(n, doc) as y").selectExpr("least(x, y) as x", "greatest(x, y) as y")
     # neighbours in few cells for their size are left to the pairs across components below
     near = near.groupBy("x", "y").agg(F.count(F.lit(1)).alias("met")).where(f"4 * met >= {least_shared('x.n', 'y.n')}").selectExpr("x.doc as a", "y.doc as b")
-    pairs = scratch.save(near, "pairs", rows)
+    pairs = scratch.save(near, "pairs")
 
     def sets(who: DataFrame, name: str, have: DataFrame | None = None) -> DataFrame:
         """(doc, set) of all documents of the pairs; those in `have` are not made again."""
@@ -195,14 +195,16 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     placed = shared.select("token", "doc", "n", "pos").join(sized(label.withColumnRenamed("id", "doc")), "doc", "left").withColumn("c", F.coalesce("component", "doc")).drop("component")
     several = placed.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("token")
     mixed = scratch.save(placed.join(several, "token", "left_semi"), "mixed")
-    most = scratch.save(mixed.groupBy("doc").agg(F.count(F.lit(1)).alias("s")), "most", rows)
+    most = scratch.save(mixed.groupBy("doc").agg(F.count(F.lit(1)).alias("s")), "most")
     mixed = mixed.join(sized(most), "doc")
     x, y = mixed.alias("x"), mixed.alias("y")
-    across = x.join(y, F.expr(f"x.token = y.token and x.doc < y.doc and x.c <> y.c and {sized_alike('x.n', 'y.n')} and least(x.s, y.s) >= {least_shared('x.n', 'y.n')}"))
-    across = across.groupBy(F.expr("x.doc").alias("a"), F.expr("y.doc").alias("b")).agg(F.count(F.lit(1)).alias("met"), F.max("x.n").alias("an"), F.max("y.n").alias("bn"), F.min("x.pos").alias("ap"), F.min("y.pos").alias("bp"))
-    across = across.where(f"met >= {least_shared('an', 'bn')} and {room('an', 'bn', 'ap', 'bp')}").select("a", "b")
+    # the first shingle that a linking pair has in common leaves both sets room for the overlap: only there a pair is made
+    overlap = f"(({percent} * (x.n + y.n) + {99 + percent}) div {100 + percent})"
+    first_in_common = f"x.pos <= x.n - {overlap} and y.pos <= y.n - {overlap}"
+    across = x.join(y, F.expr(f"x.token = y.token and x.doc < y.doc and x.c <> y.c and {sized_alike('x.n', 'y.n')} and {first_in_common} and least(x.s, y.s) >= {least_shared('x.n', 'y.n')}"))
+    across = across.select(F.expr("x.doc").alias("a"), F.expr("y.doc").alias("b")).distinct()
     tried = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = scratch.save(across.join(tried, ["a", "b"], "left_anti"), "pairs-2", rows)
+    more = scratch.save(across.join(tried, ["a", "b"], "left_anti"), "pairs-2")
     if not more.isEmpty():
         links = links.unionByName(verify(more, sets(more, "sets-2", made), percent))
         label = connected_components(links, scratch, "cc-2", rows)
