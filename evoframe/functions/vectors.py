@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -85,3 +87,28 @@ def restored(flat: Column, width: int) -> Column:
 def dereference(samples: DataFrame, chosen: DataFrame, index: str = "idx") -> DataFrame:
     """The rows of samples whose index is among the chosen places."""
     return samples.join(chosen.select(index).distinct(), index, "left_semi")
+
+
+def span_mean(vectors: Column, start: Column, end: Column) -> Column:
+    """The mean of the vectors at places start to end - 1; null where there is none."""
+    part = F.slice(vectors, start + 1, F.greatest(end - start, F.lit(0)))
+    total = F.aggregate(part, F.transform(F.element_at(part, 1), lambda x: F.lit(0.0)), lambda s, v: F.zip_with(s, v, lambda a, b: a + b))
+    return F.when(F.size(part) > 0, scaled(total, 1 / F.size(part)))
+
+
+def encoder(first: np.ndarray, first_bias: np.ndarray, second: np.ndarray, second_bias: np.ndarray, slope: float = 0.5) -> Callable[[Column], Column]:
+    """A column function: linear, leaky rectifier, linear, with given weights (rows are outputs)."""
+
+    @F.pandas_udf("array<double>")
+    def encode(vectors: pd.Series) -> pd.Series:
+        x = np.stack(vectors.to_numpy()) @ first.T + first_bias if len(vectors) else np.zeros((0, len(first_bias)))
+        return pd.Series(list(np.where(x > 0, x, slope * x) @ second.T + second_bias))
+
+    return encode
+
+
+def improvements(losses: DataFrame, by: Sequence[str], step: str, loss: str, least: float = 0.0) -> DataFrame:
+    """losses with `best`, the least loss so far, and `improved`: whether a step is lower than all before it by over `least`."""
+    before = Window.partitionBy(*by).orderBy(step).rowsBetween(Window.unboundedPreceding, -1)
+    low = F.min(loss).over(before)
+    return losses.withColumns({"best": F.least(F.coalesce(low, F.col(loss)), F.col(loss)), "improved": low.isNull() | (F.col(loss) < low - least)})

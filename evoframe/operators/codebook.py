@@ -29,16 +29,16 @@ class Book:
         if expand not in ("coverage", "moving_average"):
             raise ValueError(expand)
         self.eps0, self.expand = eps, expand
-        self.keys: list[np.ndarray] = []
+        self._rows = np.zeros((0, 0))  # grows by doubling; the first len(eps) rows are keys
         self.eps: list[float] = []
         self.labels: list[float] = []
         self.ids: list = []
 
     def add(self, key: np.ndarray, label: float, edit_id) -> str:
         """Insert, split or expand; what was done."""
-        if not self.keys:
+        if not self.eps:
             return self._insert(key, label, edit_id, self.eps0)
-        dist = np.sqrt(((np.stack(self.keys) - key) ** 2).sum(1))
+        dist = np.sqrt(((self.keys - key) ** 2).sum(1))
         i = int(dist.argmin())
         d = float(dist[i])
         if d > self.eps0 + self.eps[i]:
@@ -54,8 +54,18 @@ class Book:
             return "expand"
         return "keep"
 
+    @property
+    def keys(self) -> np.ndarray:
+        return self._rows[: len(self.eps)]
+
     def _insert(self, key: np.ndarray, label: float, edit_id, eps: float) -> str:
-        self.keys.append(key), self.eps.append(eps), self.labels.append(label), self.ids.append(edit_id)
+        n = len(self.eps)
+        if n >= len(self._rows):
+            rows = np.zeros((max(16, 2 * n), len(key)))
+            rows[:n] = self._rows[:n] if n else 0
+            self._rows = rows
+        self._rows[n] = key
+        self.eps.append(eps), self.labels.append(label), self.ids.append(edit_id)
         return "insert"
 
 

@@ -141,3 +141,17 @@ def most_frequent(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
     best = F.min(F.struct((-F.col("n")).alias("m"), F.col(value).alias("v"))).alias("x")
     return counts.groupBy(*by).agg(best).select(*by, F.col("x.v").alias(value), (-F.col("x.m")).alias("n"))
+
+
+def docs_report(df: DataFrame, top: int = 10) -> dict[str, DataFrame]:
+    """The tables of a report on API documents: by type, by top-level module (the `top` largest), and what is missing."""
+    n = F.count(F.lit(1)).alias("n")
+    missing = lambda c: F.count_if(F.coalesce(F.col(c), F.lit("")) == "").alias(f"no_{c}")
+    head = F.element_at(F.split(F.coalesce("module", F.lit("")), "::"), 1).alias("module")
+    return {"by_type": df.groupBy("type").agg(n), "by_module": df.groupBy(head).agg(n).orderBy(F.desc("n"), "module").limit(top), "missing": df.agg(n, missing("documentation"), missing("source_code"))}
+
+
+def with_evolution(records: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(change_type, n, with_evolution): records, and those whose graph has a node of a change."""
+    changed = nodes.where(F.col("node_id").startswith("evo_")).select("graph_id").distinct().withColumn("evo", F.lit(True))
+    return records.join(changed, "graph_id", "left").groupBy("change_type").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.coalesce("evo", F.lit(False))).alias("with_evolution"))

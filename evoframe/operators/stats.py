@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evoframe.sources.stored import stored
+
 
 def summary(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """count, mean, unbiased variance and deviation, min and max of each column: many statistics, one pass."""
@@ -83,39 +85,56 @@ def norm_mean(df: DataFrame, vector: str, by: Sequence[str] = ()) -> DataFrame:
     return df.groupBy(*by).agg(F.avg(norm).alias("norm_mean"))
 
 
+def _met(a: DataFrame, b: DataFrame, by: Sequence[str]) -> DataFrame:
+    """An inner join on `by` in which null is a group like others."""
+    same = {c: f"__{c}" for c in by}
+    on = F.lit(True)
+    for c in by:
+        on = on & F.col(c).eqNullSafe(F.col(same[c]))
+    return a.join(b.withColumnsRenamed(same), on).drop(*same.values())
+
+
 def ranked(df: DataFrame, column: str, by: Sequence[str] = (), buckets: int = 64) -> DataFrame:
-    """(by..., x, n, last, total): distinct values with their count, last rank and the group's size.
+    """(by..., x, n, last, total, bucket): distinct values with their count, last rank and the group's size.
 
     Ranks are global without sorting a group in one task: values are counted first, so a frequent one is one row;
     approximate cut points deal the values to buckets; ranks inside a bucket are offset by the buckets before.
     """
     by = list(by)
-    values = df.where(F.col(column).isNotNull()).groupBy(*by, _d(column).alias("x")).agg(F.count(F.lit(1)).alias("n"))
+    values = stored(df.where(F.col(column).isNotNull()).groupBy(*by, _d(column).alias("x")).agg(F.count(F.lit(1)).alias("n")), "values")
     cuts = values.groupBy(*by).agg(F.percentile_approx("x", [i / buckets for i in range(1, buckets)], 1000).alias("cuts"), F.sum("n").alias("total"))
-    placed = values.join(cuts, [*by], "inner") if by else values.crossJoin(F.broadcast(cuts))  # without groups: one row
+    placed = _met(values, cuts, by) if by else values.crossJoin(F.broadcast(cuts))  # without groups: one row
     placed = placed.withColumn("bucket", F.size(F.filter("cuts", lambda c: c < F.col("x")))).drop("cuts")
     sizes = placed.groupBy(*by, "bucket").agg(F.sum("n").alias("in_bucket"))
     before = sizes.withColumn("before", F.coalesce(F.sum("in_bucket").over(Window.partitionBy(*by).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("in_bucket")
     inside = Window.partitionBy(*by, "bucket").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    return placed.withColumn("run", F.sum("n").over(inside)).join(before, [*by, "bucket"]).select(*by, "x", "n", (F.col("before") + F.col("run")).alias("last"), "total")
+    return _met(placed.withColumn("run", F.sum("n").over(inside)), before, [*by, "bucket"]).select(*by, "x", "n", (F.col("before") + F.col("run")).alias("last"), "total", "bucket")
+
+
+def _values_at(r: DataFrame, places: DataFrame, by: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    """(by..., keys..., value): the values at fractional `place`s of stored ranks, linear between neighbours.
+
+    A place's bucket is found among the few buckets of its group; then place and values meet by bucket.
+    """
+    by = list(by)
+    whole = places.select(*by, *keys, F.floor("place").alias("low"), (F.col("place") - F.floor("place")).alias("part"))
+    whole = whole.withColumn("k", F.explode(F.array(F.lit(0), F.lit(1)))).where("k = 0 or part > 0").withColumn("rank", F.col("low") + F.col("k"))
+    ends = r.groupBy(*by, "bucket").agg(F.max("last").alias("end"), F.sum("n").alias("size"))
+    held = _met(whole, ends, by) if by else whole.crossJoin(F.broadcast(ends))  # without groups: one row for each bucket
+    held = held.where("rank <= end and rank > end - size").drop("end", "size")
+    met = _met(r.select(*by, "bucket", "x", "n", "last"), held, [*by, "bucket"]).where("rank <= last and rank > last - n")
+    weight = F.when(F.col("k") == 0, 1 - F.col("part")).otherwise(F.col("part"))
+    return met.groupBy(*by, *keys).agg(F.sum(weight * F.col("x")).alias("value"))
 
 
 def hazen_quantile(df: DataFrame, column: str, at: Sequence[float] | Column, by: Sequence[str] = ()) -> DataFrame:
     """(by..., q, value): knots (r - 0.5) / n, linear between them, min and max outside."""
     by = list(by)
     points = at if isinstance(at, Column) else F.array(*[F.lit(float(q)) for q in at])
-    r = ranked(df, column, by)
+    r = stored(ranked(df, column, by), "ranks")
     groups = r.groupBy(*by).agg(F.max("total").alias("total")).select(*by, "total", F.explode(points).alias("q"))
     place = F.least(F.greatest(F.col("q") * F.col("total") + 0.5, F.lit(1.0)), F.col("total").cast("double"))
-    groups = groups.withColumn("low", F.floor(place)).withColumn("part", place - F.floor(place))
-    groups = groups.withColumn("k", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("rank", F.least(F.col("low") + F.col("k"), F.col("total")))
-    g, v = groups.alias("g"), r.alias("v")
-    same = F.lit(True)
-    for c in by:
-        same = same & F.col(f"g.{c}").eqNullSafe(F.col(f"v.{c}"))
-    met = g.join(v, same & (F.col("g.rank") <= F.col("v.last")) & (F.col("g.rank") > F.col("v.last") - F.col("v.n")))
-    weight = F.when(F.col("k") == 0, 1 - F.col("part")).otherwise(F.col("part"))
-    return met.groupBy(*[F.col(f"g.{c}").alias(c) for c in by], F.col("g.q").alias("q")).agg(F.sum(weight * F.col("v.x")).alias("value"))
+    return _values_at(r, groups.withColumn("place", place), by, ["q"])
 
 
 def hazen_rank(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
@@ -146,8 +165,13 @@ def history(df: DataFrame, value: str, order: Sequence[str], by: Sequence[str])
 
 def iqr_scaled(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
     """(by..., iqr, spread): type-7 interquartile range, and the mean over iqr + 1e-8."""
-    iqr = F.percentile(_d(column), F.lit(0.75)) - F.percentile(_d(column), F.lit(0.25))
-    return df.groupBy(*by).agg(iqr.alias("iqr"), (F.avg(_d(column)) / (iqr + 1e-8)).alias("spread"))
+    by = list(by)
+    r = stored(ranked(df, column, by), "ranks")
+    groups = r.groupBy(*by).agg((F.sum(F.col("x") * F.col("n")) / F.sum("n")).alias("mean"), F.max("total").alias("total"))
+    places = groups.select(*by, "mean", F.explode(F.array(F.lit(0.25), F.lit(0.75))).alias("q"), "total").withColumn("place", (F.col("total") - 1) * F.col("q") + 1)
+    found = _values_at(r, places, by, ["q", "mean"])
+    iqr = F.sum(F.when(F.col("q") == 0.75, F.col("value")).otherwise(-F.col("value")))
+    return found.groupBy(*by).agg(iqr.alias("iqr"), (F.first("mean") / (iqr + 1e-8)).alias("spread"))
 
 
 def integrate(df: DataFrame, expression: Column, by: Sequence[str] = ()) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from evoframe.functions import code, similarity, vectors
 from evoframe.operators import graph, graph_build, node_text, retrieval, rollup
 from evoframe.plans import fixtures
-from evoframe.sources import projections
+from evoframe.sources import graphs, projections, readers
 
 
 def column(spark, values, schema, *made):
@@ -250,3 +250,52 @@ def test_valid_nodes(spark):
 def test_perplexity(spark):
     r = spark.createDataFrame([(math.log(0.5),)] * 3, "p double").agg(similarity.perplexity(F.col("p")).alias("x")).first()
     assert r.x == pytest.approx(math.exp(3 * math.log(2) / 4))
+
+
+def test_graph_files(spark, tmp_path):
+    import json
+
+    graphs_ = [{"nodes": [{"id": "api", "type": "api_updated", "name": "f", "params": [{"name": "a"}], "ok": True}, {"id": "c", "type": "change"}, {"type": "lost"}], "edges": [{"from": "api", "to": "c", "relation": "has"}, {"from": "c", "to": "api"}], "api": {"change_type": "x"}}, None]
+    (tmp_path / "g.json").write_text(json.dumps(graphs_, ensure_ascii=False))
+    tables, nodes, edges = graphs.read_graphs(spark, str(tmp_path / "g.json"))
+    assert [(r.graph_id, r.valid, r.api) for r in tables.orderBy("graph_id").collect()] == [(0, True, {"change_type": "x"}), (1, False, None)]
+    assert [(r.node_id, r.name, r.attrs) for r in nodes.orderBy("pos").collect()] == [("api", "f", {"params": '[{"name":"a"}]', "ok": "true"}), ("c", None, {})]
+    assert {(r.src, r.dst, r.type) for r in edges.collect()} == {("api", "c", "has"), ("c", "api", "relates")}
+    graphs.write_graphs(nodes, edges, str(tmp_path / "out"))
+    assert tuple(spark.read.parquet(str(tmp_path / "out/stats")).first()) == (1, 2, 2, 2.0, 2.0)
+    assert [r.has_graph for r in graphs.with_graph(spark.range(3).withColumnRenamed("id", "idx"), tables).orderBy("idx").collect()] == [True, False, False]
+    assert graphs.read_graphs(spark, str(tmp_path / "none.json")) is None
+
+
+def test_sources(spark, tmp_path):
+    docs = spark.createDataFrame([(i, "ab"[i % 2] * i) for i in range(5)], "idx long, t string")
+    store = graphs.VectorStore(spark, str(tmp_path / "v"))
+    for _ in range(2):  # made, then read
+        got = store.open_or_build(docs, "t", lambda texts: [[len(t), t.count("a")] for t in texts], 2)
+        assert {r.idx: r.vector for r in got.collect()} == {i: [float(i), float(i if i % 2 == 0 else 0)] for i in range(5)}
+    assert graphs.resolve(spark, str(tmp_path / "v")).count() == 5 and graphs.resolve(spark, str(tmp_path / "w")) is None and graphs.resolve(spark, docs) is docs
+    assert graphs.source(spark, lambda: docs, 2).count() == 2 and graphs.source(spark, docs, 3, seed=4).count() == 3 and graphs.source(spark, docs.toPandas()).count() == 5
+    assert graphs.subset(docs, lambda d: d.t.startswith("a")).count() == 2
+    assert graphs.map_rows(docs, lambda f: f.assign(n=f.t.str.len())[["idx", "n"]], "idx long, n long").agg(F.sum("n")).first()[0] == 10
+    state = readers.StateStore(spark, str(tmp_path / "s"))
+    assert graphs.corpus_stat(state, docs, lambda d: d.agg(F.count("t").alias("n")), 3, layer="x").first().n == 3
+
+
+def test_reports(spark):
+    docs = spark.createDataFrame([("fn", "std::io", "d", ""), ("fn", "std::fs", "", None), ("struct", None, "d", "s")], "type string, module string, documentation string, source_code string")
+    tables = {k: [tuple(r) for r in t.collect()] for k, t in rollup.docs_report(docs).items()}
+    assert sorted(tables["by_type"]) == [("fn", 2), ("struct", 1)] and tables["by_module"] == [("std", 2), ("", 1)] and tables["missing"] == [(3, 1, 2)]
+    records = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], "graph_id long, change_type string")
+    nodes = spark.createDataFrame([(1, "evo_x"), (1, "evo_y"), (3, "api")], "graph_id long, node_id string")
+    assert sorted(tuple(r) for r in rollup.with_evolution(records, nodes).collect()) == [("a", 2, 1), ("b", 1, 0)]
+
+
+def test_encoder_and_spans(spark):
+    import numpy as np
+
+    rows = spark.createDataFrame([([[1.0, 2.0], [3.0, 6.0], [5.0, 1.0]], 0, 2), ([[1.0, 2.0]], 0, 0)], "v array<array<double>>, s int, e int")
+    assert [r.m for r in rows.select(vectors.span_mean(F.col("v"), F.col("s"), F.col("e")).alias("m")).collect()] == [[2.0, 4.0], None]
+    f = vectors.encoder(np.array([[1.0, -1.0]]), np.array([0.5]), np.array([[2.0], [3.0]]), np.array([0.0, 1.0]))
+    assert [r.x for r in spark.createDataFrame([([1.0, 3.0],), ([3.0, 1.0],)], "v array<double>").select(f("v").alias("x")).collect()] == [[-1.5, -1.25], [5.0, 8.5]]
+    log = spark.createDataFrame([(1, s, x) for s, x in enumerate((5.0, 4.9, 4.0, 4.5))], "g int, s int, x double")
+    assert [(r.best, r.improved) for r in vectors.improvements(log, ["g"], "s", "x", 0.5).orderBy("s").collect()] == [(5.0, True), (4.9, False), (4.0, True), (4.0, False)]
