@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from evoframe.plans import fixtures, queries
+from evoframe.plans import fixtures, literals, queries
 
-QUERIES: dict = queries.QUERIES | fixtures.QUERIES
-ORACLE: dict[str, str] = queries.ORACLE | fixtures.ORACLE
+QUERIES: dict = queries.QUERIES | fixtures.QUERIES | literals.QUERIES
+ORACLE: dict[str, str] = queries.ORACLE | fixtures.ORACLE | literals.ORACLE
