@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evoframe.functions import code, similarity, vectors
-from evoframe.operators import graph, node_text, retrieval, rollup
+from evoframe.operators import evolution, graph, node_text, retrieval, rollup
 from evoframe.sources import projections
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -206,3 +206,46 @@ def top_renormalised(spark: SparkSession, d: str) -> DataFrame:
 def linked_signatures(spark: SparkSession, d: str) -> DataFrame:
     nodes = spark.createDataFrame([(g, n, t) for g in (1, 2) for n, t in (("o", "old_signature"), ("n", "new_signature"))] + [(3, "o", "old_signature")], "graph_id long, node_id string, type string")
     return node_text.linked_signatures(nodes, spark.createDataFrame([(1, "a", "b", "x"), (2, "n", "o", "x")], "graph_id long, src string, dst string, type string"))
+
+
+_CHANGED = [
+    (1, "chown", "stabilized", "1.70", "1.73", "use a::b;", None, None, None, None, None), (2, "old_fn", "deprecated", None, None, "x.run()", "pub fn fresh(a: u8) -> u8 {}", "pub fn old_fn(a: u8) -> u8 {}", None, "This was replaced by `fresh`.", ""),
+    (3, "get", "implicit", None, None, "", "unsafe { self.b() }", "self.a()", None, None, None), (4, "g", "signature", None, None, "", "pub fn g(y: u8) -> u8 { }", "pub fn g(x: u8) -> u8 { }", None, None, None),
+]
+_CHANGE = "graph_id long, name string, change_type string, from_version string, to_version string, code string, source_code string, old_source_code string, signature string, documentation string, replacement_api string"
+
+
+@answers(
+    "graph_id bigint, node_id varchar, text varchar",
+    [
+        (1, "v0", "api chown (unstable) @v1.70 【OLD】"), (1, "v1", "api chown (stable) @v1.73 【NEW】"), (1, "stab", "CHANGE: stabilization (unstable→stable) v1.70→v1.73"), (1, "code_imports", "deps: a::b"),
+        (2, "old", "api old_fn (deprecated) 【OLD】"), (2, "new", "api fresh (active) 【NEW】"), (2, "deprecation", "deprecation: reason: functionality_replaced, migration: signature_changed"),
+        (3, "old", "impl get [old]"), (3, "new", "impl get [new]"), (3, "c0", "CHANGE: behavior_changed"), (3, "c1", "CHANGE: unsafe_changed [false→true]"),
+        (4, "old", "sig pub fn g(x: u8) -> u8 【OLD】"), (4, "new", "sig pub fn g(y: u8) -> u8 【NEW】"), (4, "c0", 'CHANGE: param_added [param: [{"name":"y","type":"u8"}]]'), (4, "c1", 'CHANGE: param_removed [param: [{"name":"x","type":"u8"}]]'), (4, "c2", "CHANGE: rename [x→y]"),
+    ],
+)
+def evolution_nodes(spark: SparkSession, d: str) -> DataFrame:
+    return evolution.evolution(spark.createDataFrame(_CHANGED, _CHANGE))[0].select("graph_id", "node_id", node_text.rust_text().alias("text"))
+
+
+@answers(
+    "graph_id bigint, src varchar, dst varchar, type varchar",
+    [
+        (1, "v0", "v1", "stabilizes"), (1, "v0", "stab", "stabilizes_via"), (1, "stab", "v1", "produces"), (1, "v1", "code_imports", "requires"), (2, "old", "deprecation", "deprecated_via"), (2, "deprecation", "new", "recommends"), (2, "old", "new", "replaced_by"),
+        (3, "old", "new", "refactors"), (3, "old", "c0", "has_change"), (3, "c0", "new", "modifies"), (3, "old", "c1", "has_change"), (3, "c1", "new", "modifies"),
+        (4, "old", "new", "evolves"), (4, "old", "new", "evolves_to"), (4, "old", "c0", "has_change"), (4, "c0", "new", "modifies"), (4, "old", "c1", "has_change"), (4, "c1", "new", "modifies"), (4, "old", "c2", "has_change"), (4, "c2", "new", "modifies"),
+    ],
+)
+def evolution_edges(spark: SparkSession, d: str) -> DataFrame:
+    return evolution.evolution(spark.createDataFrame(_CHANGED, _CHANGE))[1]
+
+
+_ATTRS = "graph_id long, node_id string, type string, name string, attrs map<string,string>"
+
+
+@answers("graph_id bigint, src varchar, dst varchar, type varchar", [(1, "old_f", "new_f", "evolves_to"), (1, "old_f", "new_f", "return_type_changed"), (1, "old_s", "new_e", "type_evolves"), (1, "old_p", "new_p", "param_preserved"), (1, "old_q", "new_q", "param_type_changed")])
+def structure_edges(spark: SparkSession, d: str) -> DataFrame:
+    of = lambda **x: {"function": "f", **x}
+    old = spark.createDataFrame([(1, "f", "function_def", "f", {"return_type": "u8"}), (1, "s", "struct_def", "S", {}), (1, "p", "param", "a", of(param_type="u8")), (1, "q", "param", "b", of(param_type="u8")), (2, "f", "function_def", "f", {})], _ATTRS)
+    new = spark.createDataFrame([(1, "f", "function_def", "f", {"return_type": "u9"}), (1, "e", "enum_def", "S", {}), (1, "p", "param", "a", of(param_type="u8")), (1, "q", "param", "b", of(param_type="i8"))], _ATTRS)
+    return evolution.structure_edges(old, new)
