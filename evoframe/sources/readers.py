@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import textwrap
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
@@ -60,10 +61,13 @@ def page(df: DataFrame, start: int, limit: int | None = None) -> DataFrame:
 
 
 def write_json_array(df: DataFrame, path: str, order: str = "idx") -> None:
-    """One pretty-printed UTF-8 file, for exports that fit the driver; tables are written as Parquet or JSON lines."""
+    """One pretty-printed UTF-8 file, row by row; tables are written as Parquet or JSON lines."""
     with open(path, "w", encoding="utf-8") as f:
-        rows = (json.loads(r[0]) for r in df.orderBy(order).select(F.to_json(F.struct("*"))).toLocalIterator())
-        json.dump(list(rows), f, ensure_ascii=False, indent=2)
+        mark = "["
+        for row in df.orderBy(order).select(F.to_json(F.struct("*"))).toLocalIterator():
+            f.write(f"{mark}\n" + textwrap.indent(json.dumps(json.loads(row[0]), ensure_ascii=False, indent=2), "  "))
+            mark = ","
+        f.write("[]" if mark == "[" else "\n]")
 
 
 def metadata(df: DataFrame, columns: list[str]) -> DataFrame:
