@@ -36,4 +36,15 @@ OP7 = f"""with w as (select doc_id, regexp_extract_all({_LOW.format(t='text')},
  h as (select doc_id, item, m, p from d join k using (m, g)), c as (select doc_id, count(distinct q) as n from (select doc_id, unnest(range(p, p + m)) as q from h) group by 1), t as (select doc_id, count(distinct item) as n, string_agg(distinct item, ',' order by item) as items from h group by 1)
  select w.doc_id, len(w)::bigint as n_words, coalesce(c.n, 0) as n_hit, coalesce(t.n, 0) as n_items, sha256(coalesce(items, '')) as items_sha256, coalesce(c.n, 0) > 0 as contaminated from w left join c on c.doc_id = w.doc_id left join t on t.doc_id = w.doc_id"""
 
-ORACLE = {"op1_embedding_dedup": OP1, "op2_suffix_dedup": OP2, "op3_chat_format": OP3, "op6_ngram_jaccard": OP6, "op7_decontamination": OP7}
+_TERM = "[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
+_SHARE = "(1 + (1000000000::hugeint * ({c} + 5)) // ({n} + 5 * v))"
+
+OP11 = f"""with d as (select row_number() over () as r, coalesce(lang, '') as lang, coalesce(source, '') as source, regexp_extract_all({_LOW.format(t='text')}, '{_TERM}') as w from documents),
+ c as (select lang, source, term, count(*) as n, count(distinct r) as d from (select r, lang, source, unnest(w) as term from d) group by 1, 2, 3), k as (select lang, term, sum(n) as n from c group by 1, 2 having sum(d) >= 30),
+ g as (select distinct lang, source from d), v as (select lang, count(*) as v, sum(n) as whole from k group by 1), x as (select g.lang, g.source, k.term, k.n as kn, coalesce(c.n, 0) as n from g join k on k.lang = g.lang left join c on c.lang = g.lang and c.source = g.source and c.term = k.term),
+ p as (select x.lang, x.source, x.term, x.n, {_SHARE.format(c='x.n', n='s.n')} as p, {_SHARE.format(c='kn', n='whole')} as q from x join v on v.lang = x.lang join (select lang, source, sum(n) as n from x group by 1, 2) s on s.lang = x.lang and s.source = x.source),
+ o as (select a.lang, a.source, 'pair' as part, b.source as item, coalesce(sum(abs(pa.p - pb.p)), 0)::bigint as value from g a join g b on a.lang = b.lang and a.source <> b.source left join p pa on pa.lang = a.lang and pa.source = a.source left join p pb on pb.lang = b.lang and pb.source = b.source and pb.term = pa.term group by 1, 2, 3, 4
+ union all select lang, source, 'term', term, (p - q)::bigint from p where n > 0 and p > q)
+ select *, (row_number() over (partition by lang, source, part order by value desc, item))::int as rank from o qualify part = 'pair' or rank <= 50"""
+
+ORACLE = {"op1_embedding_dedup": OP1, "op2_suffix_dedup": OP2, "op3_chat_format": OP3, "op6_ngram_jaccard": OP6, "op7_decontamination": OP7, "op11_source_divergence": OP11}
