@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, divergence, embedding_dedup, html_extract, language_id, lm_score, ngram_join, packing, sharding, suffix_dedup
+from . import chat_format, decontaminate, divergence, embedding_dedup, html_extract, language_id, lm_score, ngram_join, packing, sharding, structure_repair, suffix_dedup
 from .common import Scratch
 from .oracles import ORACLE as ORACLE
 
@@ -80,4 +80,9 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergence(_table(spark, sf_dir, "documents"), least=30, top=50)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_embedding_dedup, op2_suffix_dedup, op3_chat_format, op4_html_extract, op5_sharding, op6_ngram_jaccard, op7_decontamination, op8_packing, op9_language_id, op10_lm_score, op11_source_divergence)}
+def op13_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = structure_repair.damaged(_table(spark, sf_dir, "conversations"))
+    return structure_repair.report(structure_repair.repair_conversations(rows, copies="copies"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_embedding_dedup, op2_suffix_dedup, op3_chat_format, op4_html_extract, op5_sharding, op6_ngram_jaccard, op7_decontamination, op8_packing, op9_language_id, op10_lm_score, op11_source_divergence, op13_structure_repair)}
