@@ -47,4 +47,13 @@ OP11 = f"""with d as (select row_number() over () as r, coalesce(lang, '') as la
  union all select lang, source, 'term', term, (p - q)::bigint from p where n > 0 and p > q)
  select *, (row_number() over (partition by lang, source, part order by value desc, item))::int as rank from o qualify part = 'pair' or rank <= 50"""
 
-ORACLE = {"op1_embedding_dedup": OP1, "op2_suffix_dedup": OP2, "op3_chat_format": OP3, "op6_ngram_jaccard": OP6, "op7_decontamination": OP7, "op11_source_divergence": OP11}
+_LE = "printf('%02X%02X%02X%02X', {x} & 255, ({x} >> 8) & 255, ({x} >> 16) & 255, ({x} >> 24) & 255)"
+
+OP12 = f"""with t as (select list_transform(range(0, 256), lambda i: list_reduce(list_concat([i], range(0, 8)), lambda a, x: case when a & 1 = 1 then xor(a >> 1, 3988292384) else a >> 1 end)) as t),
+ d as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents), p as (select doc_id, (len(h) // 2)::bigint as n_bytes, h || repeat('00', case when h = '' then 64 else ((64 - (len(h) // 2) % 64) % 64)::int end) as h from d),
+ b as (select doc_id, n_bytes, h, (len(h) // 2)::bigint as n, list_transform(range(0, (len(h) // 2)::bigint), lambda i: ('0x' || substr(h, 2 * i::bigint + 1, 2))::bigint) as b from p),
+ w as (select *, unhex('52494646' || {_LE.format(x='(n + 36)')} || '57415645666D7420' || '10000000' || '01000100' || '401F0000' || '401F0000' || '01000800' || '64617461' || {_LE.format(x='n')} || h) as w from b)
+ select doc_id, n_bytes, n as payload_bytes, sha256(unhex(h)) as payload_sha256, xor(list_reduce(list_concat([4294967295], b[n - 63 : n]), lambda a, x: xor(a >> 8, t[xor(a & 255, x) + 1])), 4294967295)::bigint as tail_crc32, octet_length(w)::bigint as media_bytes, sha256(w) as media_sha256,
+ 'sum=' || list_sum(b)::bigint || ';squares=' || list_sum(list_transform(b, lambda x: x * x))::bigint || ';crossings=' || list_sum(list_transform(range(1, n), lambda i: ((b[i] >= 128) <> (b[i + 1] >= 128))::bigint))::bigint as feature from w, t"""
+
+ORACLE = {"op1_embedding_dedup": OP1, "op2_suffix_dedup": OP2, "op3_chat_format": OP3, "op6_ngram_jaccard": OP6, "op7_decontamination": OP7, "op11_source_divergence": OP11, "op12_media_chunks": OP12}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, divergence, embedding_dedup, html_extract, language_id, lm_score, ngram_join, packing, sharding, structure_repair, suffix_dedup
+from . import chat_format, decontaminate, divergence, embedding_dedup, html_extract, language_id, lm_score, media_chunks, ngram_join, packing, sharding, structure_repair, suffix_dedup
 from .common import Scratch
 from .oracles import ORACLE as ORACLE
 
@@ -80,9 +80,17 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergence(_table(spark, sf_dir, "documents"), least=30, top=50)
 
 
+def op12_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), media_chunks.padded(F.col("text")).alias("payload"))
+    root = Scratch(spark, "media").root
+    media_chunks.write_media(docs, root)
+    found = Scratch(spark, "features").save(media_chunks.describe(media_chunks.read_media(spark, root)), "found")
+    return docs.select("doc_id", "n_bytes", F.sha2("payload", 256).alias("media")).join(found, "media", "left").drop("media")
+
+
 def op13_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = structure_repair.damaged(_table(spark, sf_dir, "conversations"))
     return structure_repair.report(structure_repair.repair_conversations(rows, copies="copies"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_embedding_dedup, op2_suffix_dedup, op3_chat_format, op4_html_extract, op5_sharding, op6_ngram_jaccard, op7_decontamination, op8_packing, op9_language_id, op10_lm_score, op11_source_divergence, op13_structure_repair)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_embedding_dedup, op2_suffix_dedup, op3_chat_format, op4_html_extract, op5_sharding, op6_ngram_jaccard, op7_decontamination, op8_packing, op9_language_id, op10_lm_score, op11_source_divergence, op12_media_chunks, op13_structure_repair)}
