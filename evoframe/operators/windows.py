@@ -30,11 +30,6 @@ def focus(hits: Column) -> Column:
     return F.when(hits == 0, "skip").otherwise("focus")
 
 
-def overlap_weight(tokens: Column, spans_: Column, default: float = 1.0) -> Column:
-    """For tokens array<struct<start, end>>: the largest weight of the spans (start, end, weight) each overlaps."""
-    return F.transform(tokens, lambda t: F.coalesce(F.array_max(F.transform(F.filter(spans_, lambda s: (t["start"] < s["end"]) & (t["end"] > s["start"])), lambda s: s["weight"])), F.lit(default)))
-
-
 def normalised(weights: Column) -> Column:
     """Weights over their mean."""
     mean = F.aggregate(weights, F.lit(0.0), lambda s, x: s + x) / F.size(weights)
