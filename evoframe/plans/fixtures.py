@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evoframe.functions import code, similarity
-from evoframe.operators import graph, graph_build, node_text, rollup
+from evoframe.operators import rollup
 
 from .queries import ORACLE as _ALL
 from .queries import QUERIES as _OTHERS
@@ -32,7 +32,6 @@ RECORDS = [
     (4, "sum", "math", "implicit", "sum(x) — now skips null values", None, "broken(:\n  sum(1)"),
     (5, "x", None, None, None, None, None),
 ]
-RUST_CODE = [(1, "use std::os::fd::AsFd;\n\npub fn run<T: AsFd>(x: &T, n: usize) -> i32 {\n    let y = x.as_fd();\n    println!(\"{}\", n);\n    helper::<u8>(n as u8)\n}\n")]
 VERSIONS = ["1.60.0", "1.84.3", "1.99.0", "0.3.1", "", "1.x.0", "1.71"]
 OUTPUTS = ["2 passed, 1 failed in 0.1s", "test result: FAILED. 3 passed; 1 failed; 0 ignored", "", "4 passed, 2 errors in 1s", "no tests ran"]
 
@@ -114,24 +113,6 @@ def code_similarity(spark: SparkSession, d: str) -> DataFrame:
     return made.select("i", *[F.round(c, 4).alias(c) for c in ("bleu", "ngram", "syntax", "flow", "code_bleu")])
 
 
-@query()
-def graph_build_nodes(spark: SparkSession, d: str) -> DataFrame:
-    nodes, edges = graph_build.build(records(spark))
-    return node_text.with_parameters(nodes, edges).select("graph_id", "node_id", "type", "name", node_text.python_text().alias("text"))
-
-
-@query()
-def graph_build_edges(spark: SparkSession, d: str) -> DataFrame:
-    _, edges = graph_build.build(records(spark))
-    return graph.reversed_edges(edges, ["uses"])
-
-
-@query()
-def graph_build_rust(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.createDataFrame(RUST_CODE, "graph_id long, code string")
-    return graph_build.code_rows(rows, "rust").select("graph_id", "row_kind", "id", "dst", "type", "name")
-
-
 @query()
 def sample_project(spark: SparkSession, d: str) -> DataFrame:
     rows = records(spark)

@@ -39,7 +39,7 @@ def test_matches_sql(spark, duck, name):
     assert a == b
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLE) - {"graph_build_edges", "graph_build_nodes"}))
+@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLE)))
 def test_runs(spark, name):
     assert registry.QUERIES[name](spark, DATA).count() > 0
 
