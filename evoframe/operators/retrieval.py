@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import re
+import uuid
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -11,38 +12,28 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evoframe.sources.stored import stored
+from evoframe.sources.stored import shared_folder, stored
+
+from . import vector_index
+from .text_index import TextIndex, tokens as tokens
 
 # Words that keyword lookup leaves out.
 STOP_WORDS = ("a", "an", "the", "is", "are", "was", "were", "in", "on", "at", "to", "for", "of", "with", "by", "from", "how", "can", "you", "i", "we", "they", "that", "this", "what", "when")
 
 
-def tokens(text: Column) -> Column:
-    """ASCII letters, digits and underscores of the lower-cased text."""
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9_]+"), F.lit(0))
-
-
 def bm25(docs: DataFrame, queries: DataFrame, doc_id: str, doc_text: Column, query_id: str, query_text: Column, k: int = 3, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """(query_id, doc_id, score, place): the k best documents of each query; ties and empty scores by document id.
 
-    Documents are exploded once; a semi-join with the queries' distinct terms prunes their postings before any shuffle
-    by term. Repeated query tokens count repeatedly; documents of no score fill up a query's places.
+    The documents are indexed once (see TextIndex, which can be kept and searched again). Repeated query tokens count
+    repeatedly; documents of no score fill up a query's places.
     """
-    seen = Observation()
-    asked = stored(queries.select(F.col(query_id).alias("q"), F.explode(tokens(query_text)).alias("t")).groupBy("q", "t").agg(F.count(F.lit(1)).alias("times")), "asked")
-    words = docs.select(F.col(doc_id).alias("d"), tokens(doc_text).alias("w")).withColumn("len", F.size("w"))
-    words = words.observe(seen, F.count(F.lit(1)).alias("docs"), F.sum("len").alias("total"))
-    posts = words.select("d", "len", F.explode("w").alias("t")).join(asked.select("t").distinct(), "t", "left_semi")
-    posts = stored(posts.groupBy("t", "d", "len").agg(F.count(F.lit(1)).alias("tf")), "posts")  # the one pass over the texts
-    docs_n, mean_len = seen.get["docs"], (seen.get["total"] or 0) / max(1, seen.get["docs"])
-    weight = posts.groupBy("t").agg(F.count(F.lit(1)).alias("df")).select("t", F.ln((docs_n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1).alias("idf"))
-    part = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.lit(mean_len)))
-    scored = posts.join(asked.join(weight, "t"), "t").groupBy("q", "d").agg(F.sum(part).alias("score"))
+    index = TextIndex(docs.sparkSession, f"{shared_folder(docs.sparkSession)}/index-{uuid.uuid4().hex}")
+    index.add(docs, doc_id, doc_text)
     place = F.row_number().over(Window.partitionBy("q").orderBy(F.desc(F.round("score", 9)), "d")).cast("long")
-    best = stored(scored.withColumn("place", place).where(F.col("place") <= k), "best")
+    best = stored(index.search(queries, query_id, query_text, k, k1, b).withColumn("place", place), "best")
     # where fewer than k documents score, all that do are among the best, and the first k documents can fill up
     first = docs.select(F.col(doc_id).alias("d")).orderBy("d").limit(k)
     open_ = queries.select(F.col(query_id).alias("q")).join(best.where(F.col("place") == k).select("q"), "q", "left_anti")
@@ -82,46 +73,60 @@ def keyword_top(docs: DataFrame, queries: DataFrame, doc_id: str, text: str, que
     return scored.withColumn("place", place.cast("long")).where(F.col("place") <= k).select(F.col("q").alias(query_id), F.col("d").alias(doc_id), "hits", "place")
 
 
-def _scan(asked: Broadcast, k: int, slice_rows: int = 256):
-    """A task's function from (d, low) to the k best documents (q, d, hits) of each query."""
+def _scan(asked: Broadcast, k: int, held_rows: int = 1 << 18):
+    """A task's function from (d, low) to the k best documents (q, d, hits) of each query. A document adds a row for each
+    query that it has a keyword of; what cannot be among a query's best any more is left out at once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import ahocorasick
 
         table = asked.value
+        if not table.num_rows:
+            return
         names = table.column("q").unique()
         at = np.asarray(pc.index_in(table.column("q"), names).combine_chunks())
         times = np.asarray(table.column("times").combine_chunks())
-        held: dict[str, list[int]] = {}
-        for i, w in enumerate(table.column("w").to_pylist()):
-            held.setdefault(w, []).append(i)
-        find, posts = ahocorasick.Automaton(), [np.array(rows) for rows in held.values()]
-        for i, w in enumerate(held):
+        words = pc.dictionary_encode(table.column("w").combine_chunks())
+        order = np.argsort(np.asarray(words.indices), kind="stable")
+        cuts = np.searchsorted(np.asarray(words.indices)[order], np.arange(1, len(words.dictionary)))
+        posts, find = np.split(order, cuts), ahocorasick.Automaton()
+        for i, w in enumerate(words.dictionary.to_pylist()):
             find.add_word(w, i)
-        if not held:
-            return
         find.make_automaton()
-        n = len(names)
-        best_hits, best_ids = np.zeros((n, 0), np.int64), np.zeros((n, 0), object)
-        kind = pa.int64()
+        least, best, held, size = np.zeros(len(names), np.int64), None, [], 0
+
+        def settle() -> pa.Table:
+            """The k best of what is held, and each query's bound."""
+            rows = pa.concat_tables(([best] if best is not None else []) + held)
+            rows = rows.take(pc.sort_indices(rows, [("q", "ascending"), ("hits", "descending"), ("d", "ascending")]))
+            q = np.asarray(rows.column("q"))
+            place = np.arange(len(q)) - np.searchsorted(q, q)
+            last = np.flatnonzero(place == k - 1)
+            least[q[last]] = np.asarray(rows.column("hits"))[last]
+            return rows.filter(pa.array(place < k))
+
         for b in batches:
-            kind = b.column(0).type
-            for s in range(0, b.num_rows, slice_rows):
-                part = b.slice(s, slice_rows)
-                hits = np.zeros((n, part.num_rows), np.int64)
-                for j, low in enumerate(part.column(1)):
-                    if met := {w for _, w in find.iter(low.as_py())}:
-                        rows = np.concatenate([posts[w] for w in met])
-                        hits[:, j] = np.bincount(at[rows], times[rows], n)
-                own = np.empty(part.num_rows, object)
-                own[:] = part.column(0).to_pylist()
-                order = {v: i for i, v in enumerate(sorted({*own, *best_ids.ravel()}))}
-                hits, ids = np.concatenate([best_hits, hits], 1), np.concatenate([best_ids, np.broadcast_to(own, (n, len(own)))], 1)
-                seat = np.array([order[v] for v in ids.ravel()]).reshape(ids.shape)
-                best = np.lexsort((seat, -hits), axis=1)[:, :k]
-                best_hits, best_ids = np.take_along_axis(hits, best, 1), np.take_along_axis(ids, best, 1)
-        q, place = np.nonzero(best_hits)
-        yield pa.RecordBatch.from_arrays([names.take(pa.array(q)), pa.array(best_ids[q, place].tolist(), kind), pa.array(best_hits[q, place])], ["q", "d", "hits"])
+            found_q, found_d, found_hits = [], [], []
+            for j, low in enumerate(b.column(1)):
+                if met := {w for _, w in find.iter(low.as_py())}:
+                    rows = np.concatenate([posts[w] for w in met])
+                    q, inverse = np.unique(at[rows], return_inverse=True)
+                    hits = np.bincount(inverse, times[rows]).astype(np.int64)
+                    live = hits >= least[q]
+                    found_q.append(q[live])
+                    found_hits.append(hits[live])
+                    found_d.append(np.full(int(live.sum()), j))
+            if found_q:
+                ids = b.column(0).take(pa.array(np.concatenate(found_d)))
+                held.append(pa.table({"q": np.concatenate(found_q), "d": ids, "hits": np.concatenate(found_hits)}))
+                size += held[-1].num_rows
+            if size >= held_rows:
+                best, held, size = settle(), [], 0
+        if held:
+            best = settle()
+        if best is not None:
+            done = best.combine_chunks()
+            yield pa.RecordBatch.from_arrays([names.take(done.column("q").combine_chunks()), done.column("d").combine_chunks(), done.column("hits").combine_chunks()], ["q", "d", "hits"])
 
     return run
 
@@ -278,19 +283,8 @@ def distance(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x))
 
 
-def nearest(points: DataFrame, keys: DataFrame, k: int, point_id: str, key_id: str, vector: str, key_vector: str, bound: int = 10_000) -> DataFrame:
-    """(point_id, key_id, dist, place): the k nearest keys of each point, ties by key id.
-
-    The keys travel to the points while there are at most `bound`; more are dealt out by hash blocks of that many, and
-    each point keeps its k best of each block before they meet.
-    """
-    n = keys.count()
-    blocks = max(1, -(-n // bound))
-    keyed = keys.select(F.col(key_id).alias("kid"), F.col(key_vector).alias("kv"), F.pmod(F.xxhash64(key_id), F.lit(blocks)).alias("blk"))
-    packed = keyed.groupBy("blk").agg(F.collect_list(F.struct("kid", "kv")).alias("ks"))
-    near = F.slice(F.array_sort(F.transform("ks", lambda x: F.struct(distance(F.col("v"), x.kv).alias("dist"), x.kid.alias("kid")))), 1, k)
-    met = points.select(F.col(point_id).alias("pid"), F.col(vector).alias("v"))
-    met = met.crossJoin(F.broadcast(packed)) if blocks == 1 else met.withColumn("blk", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(packed, "blk")
-    best = met.select("pid", F.inline(near))
-    place = F.row_number().over(Window.partitionBy("pid").orderBy("dist", "kid"))
-    return best.withColumn("place", place.cast("long")).where(F.col("place") <= k).select(F.col("pid").alias(point_id), F.col("kid").alias(key_id), "dist", "place")
+def nearest(points: DataFrame, keys: DataFrame, k: int, point_id: str, key_id: str, vector: str, key_vector: str) -> DataFrame:
+    """(point_id, key_id, dist, place): the k nearest keys of each point, ties by key id. The index of the keys can be kept
+    and searched again (see vector_index)."""
+    found = vector_index.search(points, vector_index.build(keys, key_id, key_vector), k, point_id, vector)
+    return found.select(F.col("pid").alias(point_id), F.col("kid").alias(key_id), "dist", "place")

@@ -9,8 +9,11 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: The graphs of a file (fixed values of its format); whatever a node or an edge has is text.
-GRAPHS = "array<struct<nodes: array<map<string,string>>, edges: array<map<string,string>>, api: map<string,string>>>"
+from .folders import Numbered, whole
+from .json_arrays import elements
+
+#: A graph of a file (fixed values of its format); whatever a node or an edge has is text.
+GRAPH = "struct<nodes: array<map<string,string>>, edges: array<map<string,string>>, api: map<string,string>>"
 
 
 def read_graphs(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame] | None:
@@ -20,10 +23,10 @@ def read_graphs(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, D
     Nodes have their id, type and name beside the map of the rest; edges have src, dst and type.
     """
     try:
-        whole = spark.read.text(path, wholetext=True)
+        found = elements(spark, path)
     except AnalysisException:
         return None
-    rows = whole.select(F.posexplode(F.from_json("value", GRAPHS)).alias("at", "g")).select(F.col("at").cast("long").alias("graph_id"), "g")
+    rows = found.select(F.col("idx").alias("graph_id"), F.when(F.col("value") != "null", F.from_json("value", GRAPH)).alias("g"))
     graphs = rows.select("graph_id", F.col("g").isNotNull().alias("valid"), "g.api")
     nodes = rows.select("graph_id", F.posexplode("g.nodes").alias("pos", "x")).select("graph_id", F.col("x")["id"].alias("node_id"), F.coalesce(F.col("x")["type"], F.lit("")).alias("type"), F.col("x")["name"].alias("name"), F.col("pos").cast("long").alias("pos"), F.map_filter("x", lambda k, v: ~k.isin("id", "type", "name")).alias("attrs"))
     edges = rows.select("graph_id", F.explode("g.edges").alias("x")).select("graph_id", F.col("x")["from"].alias("src"), F.col("x")["to"].alias("dst"), F.coalesce(F.nullif(F.col("x")["type"], F.lit("")), F.nullif(F.col("x")["relation"], F.lit("")), F.lit("relates")).alias("type"))
@@ -52,35 +55,34 @@ def with_graph(samples: DataFrame, graphs: DataFrame, key: str = "idx") -> DataF
 
 
 class VectorStore:
-    """Embedded texts in a Parquet folder, made on first use."""
+    """Embedded texts in a folder, in versions: documents that are not there yet are embedded and added."""
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+        self.spark, self.versions = spark, Numbered(spark, path, "version")
 
     def open_or_build(self, docs: DataFrame, text: str, embed: Callable[[Sequence[str]], Sequence[Sequence[float]]], batch: int = 100) -> DataFrame:
-        """docs with `vector`: read, or embedded by `embed`, `batch` texts at a time."""
-        try:
-            return self.spark.read.parquet(self.path)
-        except AnalysisException:
-            pass
+        """docs with `vector`: read for the rows that are stored, embedded by `embed`, `batch` texts at a time, and stored for
+        the others. Rows are told apart by a digest of all their columns."""
 
         @F.pandas_udf("array<double>")
         def vectors(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
             for part in parts:
                 yield pd.Series([[float(x) for x in v] for s in range(0, len(part), batch) for v in embed(part.iloc[s : s + batch].fillna("").tolist())], index=part.index)
 
-        docs.withColumn("vector", vectors(F.col(text))).write.parquet(self.path)
-        return self.spark.read.parquet(self.path)
+        known = self.versions.folders()
+        keyed = docs.withColumn("row_key", F.sha2(F.to_json(F.struct(*docs.columns), {"ignoreNullFields": "false"}), 256))
+        new = keyed.join(self.versions.read().select("row_key").distinct(), "row_key", "left_anti") if known else keyed
+        if not (known and new.isEmpty()):
+            fresh = new.dropDuplicates(["row_key"]).select("row_key", vectors(F.col(text)).alias("vector"))
+            self.versions.write(fresh, max(known, default=-1) + 1)
+        return keyed.join(self.versions.read(), "row_key").select(*docs.columns, "vector")
 
 
 def resolve(spark: SparkSession, state: str | DataFrame | None) -> DataFrame | None:
-    """A saved state by its path, or the state itself; None without one."""
+    """A saved state by its path, or the state itself; None without one, or if it was not written to its end."""
     if state is None or isinstance(state, DataFrame):
         return state
-    try:
-        return spark.read.parquet(state)
-    except AnalysisException:
-        return None
+    return spark.read.parquet(state) if whole(spark, state) else None
 
 
 def source(spark: SparkSession, rows: DataFrame | Callable[[], DataFrame] | pd.DataFrame, size: int | None = None, seed: int | None = None, order: str = "idx") -> DataFrame:

@@ -12,6 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .folders import Numbered, whole
+from .json_arrays import elements
+
 _STR = T.StringType()
 
 
@@ -27,13 +30,12 @@ RESULTS = T.StructType([T.StructField("id", _STR), T.StructField("passed", T.Boo
 
 
 def json_array(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """The objects of a JSON array file, with idx, their place in it; a missing file gives no rows."""
+    """The objects of a JSON array file, read in parallel, with idx, their place in it; a missing file gives no rows."""
     try:
-        whole = spark.read.text(path, wholetext=True)
+        found = elements(spark, path)
     except AnalysisException:
         return spark.createDataFrame([], T.StructType([T.StructField("idx", T.LongType()), *schema.fields]))
-    rows = whole.select(F.posexplode(F.from_json("value", T.ArrayType(schema))).alias("idx", "row"))
-    return rows.select(F.col("idx").cast("long").alias("idx"), "row.*")
+    return found.select("idx", F.from_json("value", schema).alias("row")).select("idx", "row.*")
 
 
 READERS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -89,29 +91,45 @@ class StateStore:
     def get(self, compute: Callable[[], DataFrame], **parameters) -> DataFrame:
         """The stored state of these parameters, or the computed one, which is stored."""
         path = self.path(**parameters)
-        if self.use_cache:
-            try:
-                return self.spark.read.parquet(path)
-            except AnalysisException:
-                pass
-        compute().write.mode("overwrite").parquet(path)
+        if not (self.use_cache and whole(self.spark, path)):
+            compute().write.mode("overwrite").parquet(path)
         return self.spark.read.parquet(path)
 
 
 class ResultStore:
-    """Appended evaluation results; a run goes on with the samples that have none."""
+    """Evaluation results in numbered batches; each id counts once, whatever is run again, and a run goes on with the
+    samples that have no result."""
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+        self.spark, self.batches = spark, Numbered(spark, path, "batch")
+
+    def _read(self, without: int | None = None) -> DataFrame:
+        paths = [p for i, p in self.batches.folders().items() if i != without]
+        return self.spark.read.schema(RESULTS).parquet(*paths) if paths else self.spark.createDataFrame([], RESULTS)
 
     def read(self) -> DataFrame:
-        try:
-            return self.spark.read.schema(RESULTS).parquet(self.path)
-        except AnalysisException:
-            return self.spark.createDataFrame([], RESULTS)
+        return self._read()
 
     def remaining(self, samples: DataFrame, key: str = "id") -> DataFrame:
         return samples.join(self.read().select(F.col("id").alias(key)).distinct(), key, "left_anti")
 
+    def commit(self, results: DataFrame, batch: int) -> None:
+        """Store a batch, in place of an earlier try of it: of its rows those whose id no other batch has, the least of each
+        id. A write that breaks off leaves a folder that is not read."""
+        rows = results.select(*[F.col(f.name).cast(f.dataType) if f.name in results.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in RESULTS.fields])
+        least = rows.groupBy("id").agg(F.min(F.struct(*rows.columns)).alias("row")).select("row.*")
+        known = self._read(batch).select("id").distinct()
+        self.batches.write(least.join(known, "id", "left_anti"), batch)
+
     def append(self, results: DataFrame) -> None:
-        results.select(*[F.col(f.name).cast(f.dataType) if f.name in results.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in RESULTS.fields]).write.mode("append").parquet(self.path)
+        """Store results as the next batch."""
+        self.commit(results, max(self.batches.folders(), default=-1) + 1)
+
+    def run(self, samples: DataFrame, evaluate: Callable[[DataFrame], DataFrame], batches: int = 10) -> DataFrame:
+        """All results: the samples that have none are evaluated and stored in some batches, so a run that is broken off
+        loses one of them at most."""
+        for i in range(batches):
+            part = self.remaining(samples.where(F.pmod(F.xxhash64("id"), F.lit(batches)) == i))
+            if not part.isEmpty():
+                self.append(evaluate(part))
+        return self.read()
