@@ -269,7 +269,7 @@ def test_sources(spark, tmp_path):
     for _ in range(2):  # made, then read
         got = store.open_or_build(docs, "t", lambda texts: [[len(t), t.count("a")] for t in texts], 2)
         assert {r.idx: r.vector for r in got.collect()} == {i: [float(i), float(i if i % 2 == 0 else 0)] for i in range(5)}
-    assert graphs.resolve(spark, str(tmp_path / "v")).count() == 5 and graphs.resolve(spark, str(tmp_path / "w")) is None and graphs.resolve(spark, docs) is docs
+    assert graphs.resolve(spark, store.versions.folders()[0]).count() == 5 and graphs.resolve(spark, str(tmp_path / "w")) is None and graphs.resolve(spark, docs) is docs
     assert graphs.source(spark, lambda: docs, 2).count() == 2 and graphs.source(spark, docs, 3, seed=4).count() == 3 and graphs.source(spark, docs.toPandas()).count() == 5
     assert graphs.subset(docs, lambda d: d.t.startswith("a")).count() == 2
     assert graphs.map_rows(docs, lambda f: f.assign(n=f.t.str.len())[["idx", "n"]], "idx long, n long").agg(F.sum("n")).first()[0] == 10
