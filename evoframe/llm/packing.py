@@ -3,7 +3,8 @@
 A document of n tokens is cut into full pieces of `max_length` and then into the binary digits of the rest, largest
 first. Equal lengths share a bucket and each piece is a sequence of its own, so no sequence crosses documents and none
 is padded. Sequence ids are dense, bucket after bucket: each task numbers its pieces of each length as it makes them, and
-running sums over the counts per (length, task) place them, so no piece is sorted or shuffled for its number.
+running sums over the counts per (length, task) place them, so no piece is sorted or shuffled for its number. Pieces are
+stored before they are counted, so a task that is run again cannot number them anew.
 
 Cases: null text is empty and has only the end token; very long texts are tokenised in pieces that end where the
 tokeniser's own pre-tokens end; repeated rows are separate documents; an empty table gives an empty result; other
@@ -55,14 +56,16 @@ class CachedEncoder:
 
     A pre-token never spans the place before a space that follows a non-space, so ids of the chunks cut there are the
     ids of the text. Chunks are cached; new ones go through the vocabulary's merges. The fast encoder is built from
-    the same vocabulary file and is used only if it agrees with the file's own tokenizer on a probe.
+    the same vocabulary file and is used only if it agrees with the file's own tokenizer on a probe. A text that holds an
+    added token of the file, as its end mark, goes through the file's own tokenizer as a whole, which gives that token's id.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.own = Tokenizer.from_file(path)
-        self.own.encode_special_tokens = True
+        added = sorted((t.content for t in self.own.get_added_tokens_decoder().values()), key=len, reverse=True)
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
         self.encode = self._slow
         try:
             import tiktoken
@@ -85,6 +88,8 @@ class CachedEncoder:
     def ids(self, text: str) -> np.ndarray:
         if not text:
             return np.zeros(0, "<u4")
+        if self.added and self.added.search(text):
+            return np.array(self._slow(text), "<u4")
         if _SPACED.search(text) or text[0] == " ":
             first, *chunks = _CUT.split(text)
             chunks = [c[1:] for c in chunks]
