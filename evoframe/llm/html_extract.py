@@ -5,13 +5,15 @@ runs of equal siblings fold into one repeated node. The trees of a host's pages
 merged into a wrapper that counts, per node, the pages that have it and those that have each text in it. Tasks merge all
 pages they hold first, so a host of a third of all pages sends one wrapper per task; copies of a page weigh one page
 together. Then each page is aligned to its host's wrapper: a text that nearly all pages have in the same slot is template,
-whatever its element; what varies is content. A page of which next to nothing would be left is a near copy of the host's
-other pages and keeps its texts. With one or two different pages a host has no template.
+whatever its element; what varies is content. A page most of whose texts, by number as well as by length, would go is a near
+copy of the host's other pages and keeps them. With one or two different pages a host has no template.
 
 The content region is each page's own: its `article` or `main` elements that have text, or else its nodes that align to
 the host's node of most varying text outside links, or else the page's own part that holds most such text; so pages of one
 host may have different layouts. Subtrees that say themselves what they are by element, role, hidden attribute or a whole
-class or id (menus, forms, adverts, comments, ...) are left out too, as a hosts' pages may each have menus of their own.
+class or id (menus, forms, adverts, comments, ...) are left out too, as a hosts' pages may each have menus of their own. A
+form around the page is no such part: one that holds a main heading or an article, or without which the page has no text. Nor
+is a label that belongs to no control.
 
 Text blocks: character references are decoded, white space inside a block becomes one space, blocks are trimmed, empty
 ones dropped, and the rest joined in page order by one newline.
@@ -47,6 +49,7 @@ RAW = frozenset("script style textarea title iframe noembed noframes xmp templat
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
 CLOSES_P = BLOCK - frozenset("body html caption td th tr tbody thead tfoot option optgroup legend".split())
 SKIP = frozenset("head nav footer aside form menu dialog script style title template noscript iframe textarea select button input object svg math canvas audio video noembed noframes xmp label datalist".split())
+CONTROLS = frozenset("input select textarea button".split())
 # What sites call the parts that are not the article, as a whole class or id. Words that articles use of
 # themselves (side, share, search, related, notice, alert, header, skip, hidden, login, promo, ...) are not among them.
 SKIP_NAMES = frozenset("ad ads advert adverts advertisement advertising ad-slot ad-container ad-banner sponsored menu nav navbar navigation main-nav site-nav nav-menu main-menu breadcrumb breadcrumbs pagination pager masthead site-header footer site-footer page-footer sidebar comments comment-list comments-area disqus_thread cookie-notice cookie-banner cookie-consent share-buttons social-share related-posts newsletter-signup".split())
@@ -59,7 +62,9 @@ DEEPEST = 512
 SHARE, LEAST_PAGES = 0.8, 3
 #: Texts that a slot counts; rarer ones are summed out, which errs by 1 / MOST_TEXTS of the pages at most.
 MOST_TEXTS = 64
-#: A page that would lose more than this share of its content to the template is a near copy and loses nothing.
+#: Children of a block from which those of one label are one repeated node, wherever they stand.
+MANY = 200
+#: A page that would lose more than this share both of its texts and of their characters is a near copy and loses nothing.
 COPY = 0.9
 #: Characters of html that a task folds before it sends its hosts' wrappers.
 FLUSH = 64 << 20
@@ -76,6 +81,9 @@ class Node:
     def __init__(self, tag: str, label: str, skip: bool):
         self.tag, self.label, self.skip, self.children = tag, label, skip, []
 
+    def holds(self, tags: frozenset[str]) -> bool:
+        return any(isinstance(c, Node) and (c.tag in tags or c.holds(tags)) for c in self.children)
+
 
 class Block:
     """A block element of a page: its texts and inner blocks in page order, and how many of its characters are in links."""
@@ -93,7 +101,7 @@ def _label(tag: str, attrs: str) -> tuple[str, bool]:
     """The label of an element and whether it is marked as not content."""
     got = _labels.get((tag, attrs))
     if got is None:
-        label, skip = tag, tag in SKIP
+        label, skip = tag, tag in SKIP and tag != "label"
         for name, value in ATTR.findall(attrs):
             name, value = name.lower(), value.strip("\"'").lower()
             if name == "class" or name == "id":
@@ -101,6 +109,8 @@ def _label(tag: str, attrs: str) -> tuple[str, bool]:
                 skip |= tag not in ("body", "html", "article", "main") and any(n in SKIP_NAMES for n in value.split())
             elif name == "role":
                 skip |= value in SKIP_ROLES
+            elif name == "for":
+                skip |= tag == "label"
             elif name == "style":
                 skip |= bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value))
             elif name == "hidden" or name == "aria-hidden" and value == "true":
@@ -166,8 +176,12 @@ def parse(page: str) -> Node:
             stack.append(node)
 
 
-def blocks(root: Node) -> Block:
-    """The blocks of a page. Inline elements belong to the text around them; of a header only the headings count."""
+WHOLE = frozenset(("h1", "article", "main"))
+
+
+def blocks(root: Node, forms: bool = False) -> Block:
+    """The blocks of a page. Inline elements belong to the text around them; of a header only the headings count. With
+    `forms` no form is left out, else those that are not around the page; if nothing is left so, forms are read."""
     top = Block(root.tag, root.label)
     part: list[str] = []
     linked = 0
@@ -187,7 +201,7 @@ def blocks(root: Node) -> Block:
             if isinstance(c, str):
                 part.append(c)
                 linked += len(c.strip()) if link else 0
-            elif c.skip:
+            elif c.tag == "label" and (c.skip or c.holds(CONTROLS)) or c.tag != "label" and c.skip and not (c.tag == "form" and (forms or c.holds(WHOLE))):
                 if c.tag in BLOCK:
                     flush(into)
             elif c.tag == "br":
@@ -209,7 +223,15 @@ def blocks(root: Node) -> Block:
 
     walk(root, top, False)
     flush(top)
-    return top
+    return top if top.items and any(_texts(top)) or forms or not root.holds(frozenset(["form"])) else blocks(root, True)
+
+
+def _texts(block: Block) -> Iterator[str]:
+    for x in block.items:
+        if isinstance(x, str):
+            yield x
+        else:
+            yield from _texts(x)
 
 
 def headings(node: Node) -> list[Node]:
@@ -243,9 +265,23 @@ def fold(block: Block, weight: float = 1.0, known: bool = False) -> Slot:
                 merge(made.kids[-1], new, True)
             else:
                 made.kids.append(new)
+    made.kids = _gathered(made.kids)
     return made
 
 
+def _gathered(kids: list[Slot]) -> list[Slot]:
+    """Long lists of children with those of one label made one, so that a list has MANY children or no label twice."""
+    if len(kids) <= MANY:
+        return kids
+    first: dict[str, Slot] = {}
+    for k in kids:
+        if k.label in first:
+            merge(first[k.label], k, True)
+        else:
+            first[k.label] = k
+    return list(first.values())
+
+
 def _deep() -> None:
     """Room for walks over trees of DEEPEST levels."""
     sys.setrecursionlimit(max(sys.getrecursionlimit(), 16 * DEEPEST))
@@ -268,19 +304,29 @@ def align(a: list[Slot], b: list[Slot]) -> list[tuple[int, int]]:
     x, y = a[low : n - tail], b[low : m - tail]
     if not x or not y:
         return [(i, i) for i in range(low)] + ends
-    best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+    # the heaviest chain of pairs of one label: by place in x, with a tree of the best chains that end before each place in y
+    places: dict[str, list[int]] = {}
+    for j, q in enumerate(y):
+        places.setdefault(q.label, []).append(j)
+    chains: list[tuple[int, int, int, int]] = [(0, -1, -1, -1)]  # weight, pair, the chain before
+    tree = [0] * (len(y) + 1)
     for i, p in enumerate(x):
-        for j, q in enumerate(y):
-            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + matched(p, q))
-    pairs, i, j = [], len(x), len(y)
-    while i and j:
-        if best[i][j] == best[i - 1][j]:
-            i -= 1
-        elif best[i][j] == best[i][j - 1]:
-            j -= 1
-        else:
-            i, j = i - 1, j - 1
-            pairs.append((low + i, low + j))
+        for j in reversed(places.get(p.label, ())):
+            before, at = 0, j
+            while at:
+                if chains[tree[at]][0] > chains[before][0]:
+                    before = tree[at]
+                at &= at - 1
+            chains.append((chains[before][0] + matched(p, y[j]), i, j, before))
+            at = j + 1
+            while at <= len(y):
+                if chains[-1][0] > chains[tree[at]][0]:
+                    tree[at] = len(chains) - 1
+                at += at & -at
+    now, pairs = max(range(len(chains)), key=lambda c: chains[c][0]), []
+    while now:
+        _, i, j, now = chains[now]
+        pairs.append((low + i, low + j))
     return [(i, i) for i in range(low)] + pairs[::-1] + ends
 
 
@@ -308,7 +354,7 @@ def merge(a: Slot, b: Slot, same_page: bool = False) -> Slot:
         cut = sorted(a.texts.values(), reverse=True)[MOST_TEXTS]
         a.texts = {t: w - cut for t, w in a.texts.items() if w > cut}
     a.pages = max(a.pages, b.pages) if same_page else a.pages + b.pages
-    a.chars, a.linked, a.kids = a.chars + b.chars, a.linked + b.linked, kids
+    a.chars, a.linked, a.kids = a.chars + b.chars, a.linked + b.linked, _gathered(kids)
     if same_page and a.members is not None:
         a.members += b.members
     return a
@@ -412,10 +458,11 @@ def extract(root: Block, wrapper: Slot, best: Slot | None = None) -> str:
 
     for block in _chosen(root, to, wrapper, best if best is not None else region(wrapper)):
         walk(block)
-    fixed = sum([len(t) for t, template in told if template])
-    if fixed > COPY * sum([len(t) for t, _ in told]):  # next to nothing of its own: a near copy of the host's other pages
+    own = [t for t, template in told if not template]
+    lost = (len(told) - len(own), sum([len(t) for t, template in told if template]))
+    if lost[0] > COPY * len(told) and lost[1] > COPY * sum([len(t) for t, _ in told]):
         return "\n".join([t for t, _ in told])
-    return "\n".join([t for t, template in told if not template])
+    return "\n".join(own)
 
 
 def host_of(url: str = "url"):

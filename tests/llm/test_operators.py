@@ -5,6 +5,7 @@ import math
 import os
 import random
 import re
+import time
 import zlib
 from collections import Counter
 from html.parser import HTMLParser
@@ -296,6 +297,64 @@ def test_what_all_pages_of_a_host_say_is_template(spark):
     assert all(t.count("\n") == 14 and f"edit {i}" in t for i, t in texts_of(spark, rows))
 
 
+def test_forms_around_pages_and_labels(spark):
+    """A form around the page is no form of the page; a label in a sentence is text, one of a control is not."""
+    prose = "<p>A <label>kept word</label> b</p><p><label for=q>Your name</label> <input id=q> after</p><p><label>Mail <input></label> end</p>"
+    want = "A kept word b\nafter\nend"
+    shells = ["<body><form id=aspnetForm><input type=hidden><div><h1>Head {i}</h1>PROSE<p>Own words {i}</p></div></form></body>", "<body><form><article><h2>Head {i}</h2>PROSE<p>Own words {i}</p></article></form></body>"]
+    for shell in shells:
+        got = dict(texts_of(spark, [(i, "http://f.example.com/", shell.replace("PROSE", prose).format(i=i)) for i in range(2)]))
+        assert got == {i: f"Head {i}\n{want}\nOwn words {i}" for i in range(2)}
+    only = "<body><div class=menu><a href=x>Home</a></div><form>" + prose + "<p>Nothing else</p><button>Send</button></form></body>"
+    assert dict(texts_of(spark, [(1, "http://g.example.com/", only)])) == {1: want + "\nNothing else"}
+    search = "<body><div><h1>Title</h1><p>Text of the page</p><form><h3>Subscribe</h3><p>to our letter</p><label>Mail</label><input></form></div></body>"
+    assert dict(texts_of(spark, [(1, "http://h.example.com/", search)])) == {1: "Title\nText of the page"}
+
+
+def test_boilerplate_of_short_pages_goes(spark):
+    block = "<div><p>" + "boilerplate words of the site " * 28 + "</p></div>"
+    for own in ("short own text {i}", "a much longer text of its own, number {i}, " * 40):
+        got = dict(texts_of(spark, [(i, "http://s.example.com/", f"<body><div>{block}<p>{own.format(i=i)}</p></div></body>") for i in range(10)]))
+        assert got == {i: own.format(i=i).strip() for i in range(10)}
+
+
+def test_long_lists_of_unlike_siblings(spark):
+    r = random.Random(6)
+    began = time.perf_counter()
+    for kinds in (26, 10**9):  # few classes in any order, or a class of its own for nearly every row
+        name = lambda: "".join(chr(97 + int(c)) for c in str(r.randrange(kinds)))  # noqa: B023, E731
+        rows = [(i, "http://u.example.com/", "<body><div id=list>" + "".join(f"<div class=k{name()}><p>{i} {k}</p></div>" for k in range(20_000)) + "</div></body>") for i in range(3)]
+        got = dict(texts_of(spark, rows))
+        assert got == {i: "\n".join(f"{i} {k}" for k in range(20_000)) for i in range(3)}
+    assert time.perf_counter() - began < 120
+
+
+def plain_align(a, b):
+    """The weight of the best order-keeping matching, by the table of all pairs."""
+    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, p in enumerate(a):
+        for j, q in enumerate(b):
+            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + html_extract.matched(p, q))
+    return best[-1][-1]
+
+
+def test_alignment_is_the_heaviest():
+    r = random.Random(9)
+    leaf = lambda depth=0: html_extract.Slot(r.choice("abcd"), 1.0, {}, 0, 0, [leaf(depth + 1) for _ in range(r.randint(0, 3 - depth))])
+    for _ in range(200):
+        a, b = [leaf() for _ in range(r.randint(0, 9))], [leaf() for _ in range(r.randint(0, 9))]
+        pairs = html_extract.align(a, b)
+        assert pairs == sorted(pairs) and len({i for i, _ in pairs}) == len({j for _, j in pairs}) == len(pairs)
+        low = 0
+        while low < min(len(a), len(b)) and a[low].label == b[low].label:
+            low += 1
+        tail = 0
+        while tail < min(len(a), len(b)) - low and a[-1 - tail].label == b[-1 - tail].label:
+            tail += 1
+        inner = [(i, j) for i, j in pairs if low <= i < len(a) - tail]
+        assert sum(html_extract.matched(a[i], b[j]) for i, j in inner) == plain_align(a[low : len(a) - tail], b[low : len(b) - tail])
+
+
 def test_deep_and_long_pages(spark):
     r = random.Random(4)
     deep = lambda i: "".join(f"<div class={r.choice('abc')}>" for _ in range(3000)) + f"<p>deep {i}</p>" + "</div>" * 2500 + f"<p>after {i}"
@@ -489,7 +548,7 @@ def test_packing(spark, docs):
 
     rows, df = docs
     own = Tokenizer.from_file(packing.tokenizer_path())
-    own.encode_special_tokens = True
+    assert packing.CachedEncoder(packing.tokenizer_path()).ids("x <|endoftext|> y").tolist() == [87, 220, 50256, 331] == own.encode("x <|endoftext|> y", add_special_tokens=False).ids
     got: dict[int, list] = {}
     for r in packing.pack(df, max_length=256).collect():
         got.setdefault(r.doc_id, []).append(r)
@@ -501,7 +560,7 @@ def test_packing(spark, docs):
     every = [r.sequence_id for p in got.values() for r in p]
     assert sorted(every) == list(range(len(every)))
     digests = {(r.doc_id, r.start): r.ids_crc32 for r in packing.pack(df, digest=True).collect()}
-    odd = ["漢字かな" * 3000, "x" * 30_000, "\t\n " * 5000, "a\u0301\u200d" * 2000, "<|endoftext|>" * 50, "  lead and  double  spaces ", "don't'll 12345678 ½ ﬁ\x00\x7f", "é" * 9 + "\r\n" * 9, None]
+    odd = ["漢字かな" * 3000, "x" * 30_000, "\t\n " * 5000, "a\u0301\u200d" * 2000, "<|endoftext|>" * 50, "a <|endoftext|>" * 9 + "<|endoftext|", "  lead and  double  spaces ", "don't'll 12345678 ½ ﬁ\x00\x7f", "é" * 9 + "\r\n" * 9, None]
     unspaced = spark.createDataFrame([(i if i else None, t, "x", 1) for i, t in enumerate([*odd, odd[0]])], "doc_id long, text string, task string, row int")
     whole: dict = {}
     for r in sorted(packing.pack(unspaced).collect(), key=lambda r: r.start):

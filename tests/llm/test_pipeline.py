@@ -54,7 +54,6 @@ def test_stages(spark):
     want = {i: t for i, t in want.items() if not hit[i][3]}
     assert {r.doc_id: r.text for r in now.collect()} == want and now.columns == corpus_pipeline.COLUMNS
     own = Tokenizer.from_file(packing.tokenizer_path())
-    own.encode_special_tokens = True
     got: dict[int, list] = {}
     for r in corpus_pipeline.run(spark, DATA).collect():
         got.setdefault(r.doc_id, []).append(r)
