@@ -160,6 +160,13 @@ def meta_counts(nodes: DataFrame) -> DataFrame:
     )
 
 
+def with_invocations(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """The edges, and each call of the API to the graph's API as `invokes`."""
+    known = nodes.where("node_id = 'api'").select(G).distinct()
+    calls = nodes.where("type = 'code_api_call'").join(known, G, "left_semi")
+    return edges.select(G, "src", "dst", "type").unionByName(calls.select(G, F.col("node_id").alias("src"), F.lit("api").alias("dst"), F.lit("invokes").alias("type")))
+
+
 def linked_signatures(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """The edges, and old signature to new signature as evolved_to in graphs that have both and no edge between them."""
     one = lambda kind, name: nodes.where(F.col("type") == kind).groupBy(G).agg(F.min("node_id").alias(name))

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evoframe.functions.code import pytest_counts
+
 
 def pass_at_k(n: Column, c: Column, k: Column) -> Column:
     """1 - prod over i in n-c+1..n of (1 - k / i): 0 without samples or passes, 1 if fewer than k samples failed."""
@@ -65,19 +67,59 @@ def remaining(samples: DataFrame, results: DataFrame, key: str) -> DataFrame:
     return samples.join(results.select(key).distinct(), key, "left_anti")
 
 
-def snapshots(df: DataFrame, order: str, passed: Column, every: int = 10, span: int = 10_000) -> DataFrame:
-    """(done, passes) after each `every` rows in order and after the last one; orders may have gaps.
+def running(df: DataFrame, order: str, measures: dict[str, Column], every: int = 10, span: int = 10_000) -> DataFrame:
+    """(done, measures...) after each `every` rows in order and after the last one: how many rows there are by then, and the
+    sums of the measures over them. Orders may have gaps.
 
-    Rows are counted in ranges of `span` orders first, and the few ranges' running sums are joined back, so rows are only
+    Rows are summed up in ranges of `span` orders first, and the ranges' running sums are joined back, so rows are only
     numbered inside their range.
     """
-    rows = df.select(F.col(order).alias("o"), F.when(passed, 1).otherwise(0).alias("p")).withColumn("r", F.floor(F.col("o") / span))
-    sums = rows.groupBy("r").agg(F.count(F.lit(1)).alias("n"), F.sum("p").alias("s"))
+    names = ["done", *measures]
+    rows = df.select(F.col(order).alias("o"), F.lit(1).alias("done"), *[F.coalesce(c, F.lit(0)).alias(n) for n, c in measures.items()]).withColumn("r", F.floor(F.col("o") / span))
+    sums = rows.groupBy("r").agg(*[F.sum(n).alias(n) for n in names])
     before = Window.orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("r", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"), F.coalesce(F.sum("s").over(before), F.lit(0)).alias("s0"), F.sum("n").over(Window.orderBy("r").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("all"))
+    whole = Window.orderBy("r").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    sums = sums.select("r", *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"{n}_0") for n in names], F.sum("done").over(whole).alias("all"))
     inside = Window.partitionBy("r").orderBy("o").rowsBetween(Window.unboundedPreceding, 0)
-    numbered = rows.select("r", F.count(F.lit(1)).over(inside).alias("n"), F.sum("p").over(inside).alias("s")).join(sums, "r")
-    return numbered.select((F.col("n0") + F.col("n")).alias("done"), (F.col("s0") + F.col("s")).alias("passes"), "all").where((F.col("done") % every == 0) | (F.col("done") == F.col("all"))).drop("all")
+    numbered = rows.select("r", *[F.sum(n).over(inside).alias(n) for n in names]).join(sums, "r")
+    found = numbered.select("all", *[(F.col(n) + F.col(f"{n}_0")).alias(n) for n in names])
+    return found.where((F.col("done") % every == 0) | (F.col("done") == F.col("all"))).drop("all")
+
+
+def snapshots(df: DataFrame, order: str, passed: Column, every: int = 10, span: int = 10_000) -> DataFrame:
+    """(done, passes) after each `every` rows in order and after the last one."""
+    return running(df, order, {"passes": F.when(passed, 1).otherwise(0)}, every, span)
+
+
+def progress(df: DataFrame, order: str, bucket_col: str = "bucket", cases_passed: str = "cases_passed", cases_total: str = "cases_total", every: int = 10, span: int = 10_000) -> DataFrame:
+    """(done, tested, passed, pass_rate, usage_accuracy, coverage) by then, after each `every` rows in order and the last."""
+    b = F.coalesce(F.col(bucket_col), F.lit(""))
+    tested = b != "no_test"
+    one = lambda c: F.when(c, 1).otherwise(0)
+    measures = {"tested": one(tested), "passed": one(b == "passed"), "misused": one(b.isin("signature_error", "api_error")), "cp": F.when(tested, F.col(cases_passed)), "ct": F.when(tested, F.col(cases_total))}
+    n = F.col("tested")
+    return running(df, order, measures, every, span).select("done", "tested", "passed", rate(F.col("passed"), n).alias("pass_rate"), rate(n - F.col("misused"), n).alias("usage_accuracy"), rate(F.col("cp"), F.col("ct")).alias("coverage"))
+
+
+# How an error says that a signature is wrong or an API is not used.
+WRONG_SIGNATURE, UNUSED = "Incorrect function signature", "API not used"
+
+
+def baseline_summary(df: DataFrame, by: Sequence[str] = (), ks: Sequence[int] = (1, 2, 5), passed: str = "passed", error: str = "error", output: str = "test_output", cases_passed: str = "test_cases_passed", cases_total: str = "test_cases_total") -> DataFrame:
+    """total, passed, pass rate, usage accuracy by the errors' words and coverage, all of all results, and pass@k where there
+    are k. Where no result has counted test cases, they are counted from the outputs."""
+    said = F.coalesce(F.col(error), F.lit(""))
+    told = pytest_counts(F.col(output))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    counts = df.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("total"), F.count_if(F.col(passed)).alias("passed"), (F.count_if(said.contains(WRONG_SIGNATURE)) + F.count_if(said.startswith(UNUSED))).alias("misused"),
+        total(F.col(cases_passed)).alias("cp"), total(F.col(cases_total)).alias("ct"), total(told["passed"]).alias("told_p"), total(told["total"]).alias("told_t"),
+    )
+    n, ok = F.col("total"), F.col("passed")
+    none = F.col("ct") == 0
+    covered, cases = F.col("cp") + F.when(none, F.col("told_p")).otherwise(0), F.when(none, F.col("told_t")).otherwise(F.col("ct"))
+    found = [F.when(n >= k, pass_at_k(n, ok, F.lit(k))).alias(f"pass_at_{k}") for k in ks]
+    return counts.select(*by, "total", "passed", rate(ok, n).alias("pass_rate"), rate(n - F.col("misused"), n).alias("usage_accuracy"), covered.alias("cases_passed"), cases.alias("cases_total"), rate(covered, cases).alias("coverage"), *found)
 
 
 def top_values(df: DataFrame, value: str, order: str, k: int = 10) -> DataFrame:

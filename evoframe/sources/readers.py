@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from evoframe.functions.code import chat, ended
+
 from .folders import Numbered, whole
 from .json_arrays import elements
 
@@ -48,6 +50,20 @@ READERS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 
+#: Models whose questions are asked in their own template (fixed values).
+TEMPLATED = ("Llama3-8B-Instruct", "Llama3.1-8B-Instruct", "Qwen2.5-7B-Instruct")
+
+
+def questions(spark: SparkSession, path: str, model: str, size: int | None = None) -> DataFrame:
+    """Questions, their paraphrases and parts in the chat template of the model, and answers with its end mark; as they stand
+    for other models."""
+    df = prefix(READERS["questions"](spark, path), size)
+    if model not in TEMPLATED:
+        return df
+    ask = lambda c: chat(F.lit(model), c)
+    return df.withColumns({"question": ask(F.col("question")), "para_question": ask(F.col("para_question")), "answer": ended(F.lit(model), F.col("answer")), "sub_question": F.transform("sub_question", ask)})
+
+
 def prefix(df: DataFrame, size: int | None) -> DataFrame:
     """The first `size` samples; all if it is not given or 0."""
     return df.where(F.col("idx") < size) if size else df
