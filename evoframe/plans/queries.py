@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evoframe.functions import vectors
 from evoframe.operators import codebook, graph, retrieval, rollup, stats, windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -511,3 +512,25 @@ def unigram_f1(spark: SparkSession, d: str) -> DataFrame:
     after = said.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("n").alias("m"))
     both = said.join(after, ["conv_id", "turn"]).where("size(n) + size(m) > 0")
     return _rounded(gram_f1(both, ["conv_id", "turn"], "n", "m", 1), "f1")
+
+
+# ---- rollups and vectors ----
+
+
+@query("""select o_orderpriority as change_type, count(*) as total, count(*) filter (o_orderstatus <> 'P') as built, count(*) filter (o_orderstatus = 'P') as failed, round(avg(o_custkey % 100) filter (o_orderstatus <> 'P'), 6) as mean_nodes, round(avg(o_orderkey % 1000) filter (o_orderstatus <> 'P'), 6) as mean_edges from orders group by 1""")
+def built_graphs(spark: SparkSession, d: str) -> DataFrame:
+    """Orders read as graphs that were built or not."""
+    rows = _t(spark, d, "orders").selectExpr("o_orderpriority as change_type", "o_orderstatus <> 'P' as built", "o_custkey % 100 as nodes", "o_orderkey % 1000 as edges")
+    return _rounded(rollup.built(rows), "mean_nodes", "mean_edges")
+
+
+@query("select g, m, n from (select *, row_number() over (partition by g order by n desc, m) as r from (select user_id as g, event_type as m, count(*) as n from events where event_type is not null group by 1, 2)) where r = 1")
+def most_frequent(spark: SparkSession, d: str) -> DataFrame:
+    return rollup.most_frequent(_t(spark, d, "events").selectExpr("user_id as g", "event_type as m"), ["g"], "m")
+
+
+@query("""with r as (select l_orderkey as g, l_linenumber as t, l_quantity as p, row_number() over (partition by l_orderkey order by l_quantity desc, l_linenumber) as place from lineitem)
+ select g, t, round(p / sum(p) over (partition by g), 6) as p, place from r where place <= 2""")
+def top_renormalised(spark: SparkSession, d: str) -> DataFrame:
+    rows = _t(spark, d, "lineitem").selectExpr("l_orderkey as g", "l_linenumber as t", "l_quantity as p")
+    return _rounded(vectors.top_k(rows, ["g"], "p", 2, "t", True).select("g", "t", "p", "place"), "p")

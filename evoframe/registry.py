@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from evoframe.plans import derived, fixtures, literals, queries
+from evoframe.plans import derived, fixtures, queries
 
-QUERIES: dict = queries.QUERIES | fixtures.QUERIES | literals.QUERIES | derived.QUERIES
-ORACLE: dict[str, str] = queries.ORACLE | fixtures.ORACLE | literals.ORACLE | derived.ORACLE
+QUERIES: dict = queries.QUERIES | fixtures.QUERIES | derived.QUERIES
+ORACLE: dict[str, str] = queries.ORACLE | fixtures.ORACLE | derived.ORACLE
