@@ -75,7 +75,7 @@ class CachedEncoder:
                 vocab = json.load(f)["model"]["vocab"]
             ranks = {bytes(stand_in[c] for c in token): i for token, i in vocab.items() if all(c in stand_in for c in token) and i < 50256}
             fast = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-            probe = "Les élèves n'ont pas  vu\n\n the 123rd Straße; ¿qué?\t <|endoftext|> 漢字  x ½ don't"
+            probe = "Les élèves n'ont pas  vu\n\n the 123rd Straße; ¿qué?\t <|end|> 漢字  x ½ don't"
             if fast.encode_ordinary(probe) == self._slow(probe):
                 self.encode = fast.encode_ordinary
         except (ImportError, KeyError, ValueError):
