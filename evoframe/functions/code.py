@@ -85,16 +85,11 @@ def main_crate(module: Column, code: Column, known: Sequence[str]) -> Column:
 
 
 def use_imports(code: Column, most: int = 5) -> Column:
-    """Paths of `use` statements, groups in braces written out, the first `most`."""
-    found = F.regexp_extract_all(_text(code), F.lit(r"\buse\s+([^;]+);"), F.lit(1))
-
-    def paths(u: Column) -> Column:
-        group = F.regexp_extract(u, r"\{(.*)\}", 1)
-        head = F.trim(F.element_at(F.split(u, r"\{"), 1))
-        each = F.transform(F.split(group, ","), lambda x: F.concat(head, F.trim(x)))
-        return F.when(u.contains("{"), F.filter(each, lambda x: x != head)).otherwise(F.array(F.trim(u)))
-
-    return F.slice(F.array_distinct(F.flatten(F.transform(found, paths))), 1, most)
+    """Paths of `use` lines, groups in braces written out, the first `most`."""
+    found = F.regexp_extract_all(_text(code), F.lit(r"use\s+([\w:]+(?:::\{[^}]+\})?)\s*;"), F.lit(1))
+    members = lambda u: F.regexp_extract_all(F.substring_index(u, "{", -1), F.lit(r"\w+"), F.lit(0))
+    each = lambda u: F.when(u.contains("{"), F.transform(members(u), lambda x: F.concat(F.substring_index(u, "::{", 1), F.lit("::"), x))).otherwise(F.array(u))
+    return F.slice(F.flatten(F.transform(found, each)), 1, most)
 
 
 def _longest(blocks: Column) -> Column:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,9 +20,14 @@ def spans(n: Column, size: int, overlap: int = 0, tail: bool = False) -> Column:
     return F.transform(starts, lambda s: F.struct(s.alias("start"), F.least(s + size, n).alias("end")))
 
 
-def window_hits(windows: Column, marked: Column) -> Column:
-    """array<struct<start, end, hits>>: how many of the marked positions each window holds."""
-    return F.transform(windows, lambda w: F.struct(w["start"].alias("start"), w["end"].alias("end"), F.size(F.filter(marked, lambda p: (p >= w["start"]) & (p < w["end"]))).alias("hits")))
+def window_hits(df: DataFrame, key: Sequence[str], n: Column, marked: Column, size: int, overlap: int = 0, tail: bool = False) -> DataFrame:
+    """(key..., start, end, hits): the windows over n tokens, and how many of the marked positions each holds. A position goes
+    to the few windows that hold it by its number; no window looks at the others' positions."""
+    step = size - overlap
+    made = df.select(*key, F.posexplode(spans(n, size, overlap, tail)).alias("w", "s")).select(*key, F.col("w").cast("long").alias("w"), "s.start", "s.end")
+    first, last = F.greatest(F.floor((F.col("p") - size) / step) + 1, F.lit(0).cast("long")), F.floor(F.col("p") / step)
+    hit = df.select(*key, F.explode(marked).alias("p")).where("p >= 0").select(*key, F.explode(F.sequence(first, last)).alias("w")).groupBy(*key, "w").agg(F.count(F.lit(1)).alias("hits"))
+    return made.join(hit, [*key, "w"], "left").select(*key, "start", "end", F.coalesce("hits", F.lit(0)).cast("long").alias("hits"))
 
 
 def focus(hits: Column) -> Column:
@@ -85,9 +89,3 @@ def length_batches(df: DataFrame, id_col: str, length: str, budget: int, groups:
     rows = live.select(id_col, F.col(length).cast("long").alias("len")).withColumn("r", place)
     met = rows.join(plan, "len").where("r >= at and r < at + n")
     return met.select(id_col, (F.col("batch") + F.floor((F.col("r") - F.col("at")) / F.col("each"))).alias("batch"), "width")
-
-
-def mean_pool(vectors: np.ndarray, mask: np.ndarray) -> np.ndarray:
-    """Masked mean over tokens, scaled to unit length."""
-    pooled = (vectors * mask[..., None]).sum(-2) / np.maximum(mask.sum(-1, keepdims=True), 1)
-    return pooled / np.maximum(np.linalg.norm(pooled, axis=-1, keepdims=True), 1e-12)

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from evoframe.functions import vectors
 from evoframe.operators import codebook, graph, retrieval, rollup, stats, windows
+from evoframe.sources import readers
+from evoframe.streaming import states
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -55,7 +57,8 @@ def stats_summary(spark: SparkSession, d: str) -> DataFrame:
 
 @query("select l_returnflag, round(avg(l_tax), 6) as mean_tax, count(*) as n from lineitem group by 1")
 def stats_mean(spark: SparkSession, d: str) -> DataFrame:
-    return _t(spark, d, "lineitem").groupBy("l_returnflag").agg(F.round(F.avg("l_tax"), 6).alias("mean_tax"), F.count(F.lit(1)).alias("n"))
+    found = stats.summary(_t(spark, d, "lineitem").select("l_returnflag", F.col("l_tax").alias("tax")), ["tax"], ["l_returnflag"])
+    return _rounded(found.select("l_returnflag", F.col("tax_mean").alias("mean_tax"), F.col("tax_n").alias("n")), "mean_tax")
 
 
 @query(_union([f"select '{a}' as i, '{b}' as j, round(covar_samp({a}, {b}), 4) + 0.0 as cov, round(covar_pop({a}, {b}), 4) + 0.0 as cov_pop, round(corr({a}, {b}), 6) as corr from lineitem" for a, b in _PAIRS]))
@@ -161,8 +164,10 @@ def stats_weighted_mean(spark: SparkSession, d: str) -> DataFrame:
 
 @query("select l_returnflag, round(sum(sqrt(l_quantity)) / count(*), 6) as integral from lineitem group by 1")
 def stats_integrate(spark: SparkSession, d: str) -> DataFrame:
-    rows = _t(spark, d, "lineitem").groupBy("l_returnflag").agg(F.sum(F.sqrt("l_quantity")).alias("s"), F.count(F.lit(1)).alias("n"))
-    return rows.select("l_returnflag", F.round(F.col("s") / F.col("n"), 6).alias("integral"))
+    rows = _t(spark, d, "lineitem")
+    size = stats.integrate(rows, F.lit(1), ["l_returnflag"]).withColumnRenamed("integral", "n")
+    found = stats.integrate(rows, F.sqrt("l_quantity"), ["l_returnflag"]).join(size, "l_returnflag")
+    return _rounded(found.select("l_returnflag", (F.col("integral") / F.col("n")).alias("integral")), "integral")
 
 
 @query("""with e as (select vec_id, unnest(embedding::double[]) as v, generate_subscripts(embedding, 1) - 1 as i from embeddings)
@@ -189,7 +194,7 @@ def sample_index_range(spark: SparkSession, d: str) -> DataFrame:
     """Places come from counts below each of a fixed set of ranges, so the order is never built in one task."""
     rows = _t(spark, d, "orders").select("o_orderkey", "o_totalprice")
     r = stats.ranked(rows, "o_orderkey").select(F.col("x").cast("long").alias("o_orderkey"), (F.col("last") - 1).alias("idx"))
-    return rows.join(r, "o_orderkey").where("idx between 10 and 59").select("o_orderkey", "o_totalprice")
+    return readers.index_range(rows.join(r, "o_orderkey"), 10, 59).select("o_orderkey", "o_totalprice")
 
 
 # ---- ordered clean-up, rollups ----
@@ -481,8 +486,8 @@ def token_windows_tail(spark: SparkSession, d: str) -> DataFrame:
 def window_hits(spark: SparkSession, d: str) -> DataFrame:
     rows = _t(spark, d, "documents").select("doc_id", retrieval.tokens(F.col("text")).alias("w"))
     rows = rows.withColumn("marked", F.filter(F.transform("w", lambda x, i: F.when(F.length(x) > 8, i)), lambda i: i.isNotNull()))
-    made = rows.select("doc_id", F.inline(windows.window_hits(windows.spans(F.size("w"), 40), F.col("marked"))))
-    return made.select("doc_id", F.col("start").cast("long").alias("start"), F.col("hits").cast("long").alias("hits"), windows.focus(F.col("hits")).alias("action"))
+    made = windows.window_hits(rows, ["doc_id"], F.size("w"), F.col("marked"), 40)
+    return made.select("doc_id", F.col("start").cast("long").alias("start"), "hits", windows.focus(F.col("hits")).alias("action"))
 
 
 @query(f"""with t as (select item_id, unnest({_WORDS.format(t='text')}) as w, generate_subscripts({_WORDS.format(t='text')}, 1) as i from benchmark) select item_id, i::bigint as i, round(length(w) / avg(length(w)) over (partition by item_id), 6) as weight from t""")
@@ -534,3 +539,32 @@ def most_frequent(spark: SparkSession, d: str) -> DataFrame:
 def top_renormalised(spark: SparkSession, d: str) -> DataFrame:
     rows = _t(spark, d, "lineitem").selectExpr("l_orderkey as g", "l_linenumber as t", "l_quantity as p")
     return _rounded(vectors.top_k(rows, ["g"], "p", 2, "t", True).select("g", "t", "p", "place"), "p")
+
+
+# ---- mergeable states: folded over whole tables, they say what one aggregation says ----
+
+_BY_FLAG = [f"select l_returnflag, '{a}' as i, '{b}' as j, round(covar_samp({a}, {b}), 4) + 0.0 as cov, round(covar_pop({a}, {b}), 4) + 0.0 as cov_pop, round(coalesce(corr({a}, {b}), 0), 6) as corr from lineitem group by 1" for a in ("l_quantity", "l_tax") for b in ("l_discount",)]
+
+
+@query(_union(_BY_FLAG))
+def state_covariance(spark: SparkSession, d: str) -> DataFrame:
+    found = states.fold(_t(spark, d, "lineitem"), states.CrossCovariance(["l_quantity", "l_tax"], ["l_discount"]), ["l_returnflag"])
+    return _rounded(_rounded(found, "cov", "cov_pop", digits=4), "corr")
+
+
+@query("select user_id, place, value, tie from (select user_id, row_number() over (partition by user_id order by value desc, event_id) as place, value, event_id as tie from events where value is not null) where place <= 3")
+def state_best(spark: SparkSession, d: str) -> DataFrame:
+    return states.fold(_t(spark, d, "events"), states.Best("value", "event_id", 3), ["user_id"])
+
+
+@query("with c as (select l_returnflag, l_linenumber - 1 as bin, count(*) as n from lineitem group by 1, 2), m as (select l_returnflag, max(bin) as m from c group by 1), b as (select l_returnflag, unnest(range(0, m + 1)) as bin from m) select b.l_returnflag, b.bin::bigint as bin, coalesce(n, 0) as n from b left join c on b.l_returnflag = c.l_returnflag and b.bin = c.bin")
+def state_tally(spark: SparkSession, d: str) -> DataFrame:
+    return states.fold(_t(spark, d, "lineitem").selectExpr("l_returnflag", "l_linenumber - 1 as bin"), states.Tally("bin"), ["l_returnflag"])
+
+
+_ABOVE = {"big": "l_quantity - 25", "cheap": "0.05 - l_discount", "taxed": "l_tax"}
+
+
+@query(_union([f"select '{a}' as i, '{b}' as j, sum(({x} > 0 and {y} > 0)::int)::bigint as shared, round(sum(({x} > 0 and {y} > 0)::int) / (sum(({x} > 0 or {y} > 0)::int) + 1e-20), 6) as iou from lineitem" for a, x in _ABOVE.items() for b, y in _ABOVE.items()]))
+def state_overlap(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(states.fold(_t(spark, d, "lineitem").selectExpr(*[f"{x} as {a}" for a, x in _ABOVE.items()]), states.Overlap(list(_ABOVE))), "iou")
