@@ -11,8 +11,8 @@ Cosines are taken in single precision first; the error of such a sum over `dim`
 (dim + 4) * 2 ** -24, and pairs nearer than twice that to the threshold are decided in double precision.
 
 Cases: a null, empty, zero or non-finite vector, or one with a null component, links with nothing and is its own
-component. A shorter vector counts as padded with zeros. Rows that repeat an id count once. A null id is dropped.
-An empty table gives an empty result. Other columns are ignored.
+component. A shorter vector counts as padded with zeros. Rows that repeat an id are one vector, the least of theirs. A vector
+without id links with nothing and has no component; each such row is kept. An empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -143,7 +143,9 @@ def near_duplicate_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: st
     """
     spark = df.sparkSession
     scratch = Scratch(spark, "vectors")
-    table = scratch.save(df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).where("id is not null").dropDuplicates(["id"]), "table")
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"))
+    table = scratch.save(rows.where("id is not null").groupBy("id").agg(F.min("v").alias("v")), "table")
+    result = lambda found: found.unionByName(rows.where("id is null").select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept")))
     total, dim = table.agg(F.count("*"), F.max(F.size("v"))).first()
     dim = max(1, dim or 1)
     radius = math.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-9
@@ -152,7 +154,7 @@ def near_duplicate_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: st
     x, ok = _vectors(first, dim)
     counts = table.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n"))
     if not ok.any():
-        return counts.select(id_col, F.col("n").alias("n_links"), F.col(id_col).alias("component_id"), F.lit(True).alias("kept"))
+        return result(counts.select(id_col, F.col("n").alias("n_links"), F.col(id_col).alias("component_id"), F.lit(True).alias("kept")))
     pivots = choose_pivots(_unit(x[ok]), min(max_pivots, max(1, math.ceil(total / cell_rows))))
 
     def homes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,4 +231,4 @@ def near_duplicate_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: st
     counts = counts.unionByName(found.select(F.col("id").alias(id_col), "n")).groupBy(id_col).agg(F.sum("n").alias("n_links"))
     joined = counts.join(parts.select(F.col("id").alias(id_col), "component"), id_col, "left")
     component = F.coalesce("component", id_col)
-    return joined.select(id_col, "n_links", component.alias("component_id"), (component == F.col(id_col)).alias("kept"))
+    return result(joined.select(id_col, "n_links", component.alias("component_id"), (component == F.col(id_col)).alias("kept")))
