@@ -1,6 +1,7 @@
 """Language identification by words first, then character n-grams.
 
-A known word scores its log frequency per language. An unseen word backs off: its longest character n-grams (with word
+Words are runs of letters with their combining marks, in Python's lower case, in training and prediction alike. A known word
+scores its log frequency per language. An unseen word backs off: its longest character n-grams (with word
 ends marked) that the model knows are averaged; if none of that length is known, the next shorter length is tried.
 The model is fitted on a bounded sample of labelled rows: about `label_rows` of each label, those of smallest id hash, so
 a rare language is learned as well as a common one. All words and n-grams of the sample are held.
@@ -13,6 +14,8 @@ result; an empty table gives an empty result. Whole texts are read, whatever the
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +26,8 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, returning, sized
 
-WORD = re.compile(r"[^\W\d_]+")
+_MARKS = "".join(chr(c) for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c)).startswith("M"))
+WORD = re.compile(rf"[^\W\d_]+(?:[{_MARKS}]+[^\W\d_]*)*")
 CACHE = 150_000
 
 
@@ -59,13 +63,15 @@ def _logs(table: pa.Table, languages: list[str], sums: dict) -> tuple[list[str],
     texts = names.to_pylist()
     size = np.array([len(t) if ("", 0) not in sums else 0 for t in texts], np.int64)
     total = np.array([[sums.get((x, k), 0) for x in languages] for k in range(int(size.max(initial=0)) + 1)])
-    logs = np.log((counts + 0.1) / (total[size] + 1.0)) if len(texts) else counts
+    if not len(texts):
+        return texts, counts.astype(np.float32)
+    logs = np.log((counts + 0.1) / (total[size] + 1.0))
     return texts, (logs - logs.mean(1, keepdims=True)).astype(np.float32)
 
 
 def train(df: DataFrame, text_col: str = "text", label_col: str = "lang", id_col: str = "doc_id", label_rows: int = 1_000, longest: int = 5) -> LanguageModel:
     rows = df.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
-    rows = rows.select(F.col(label_col).cast("string").alias("l"), F.lower(text_col).alias("t"), F.xxhash64(F.col(id_col)).alias("h"))
+    rows = rows.select(F.col(label_col).cast("string").alias("l"), F.col(text_col).alias("t"), F.xxhash64(F.col(id_col)).alias("h"))
     # of each label the rows whose hash is under the share of all hashes that `label_rows` are of its rows
     labels = rows.groupBy("l").agg(F.count(F.lit(1)).alias("n"))
     limits = labels.select("l", F.when(F.col("n") > label_rows, (F.lit(-(2.0**63)) + F.lit(2.0**64) * label_rows / F.col("n")).cast("long")).otherwise((1 << 63) - 1).alias("limit"))
@@ -77,7 +83,7 @@ def train(df: DataFrame, text_col: str = "text", label_col: str = "lang", id_col
         found: dict[str, Counter] = {}
         for b in batches:
             for lang, text in zip(b.column(0), b.column(1)):
-                found.setdefault(lang.as_py(), Counter()).update(WORD.findall(text.as_py()))
+                found.setdefault(lang.as_py(), Counter()).update(WORD.findall(text.as_py().lower()))
         for lang, c in found.items():
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(c), pa.string()), pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], ["l", "w", "n"])
 
