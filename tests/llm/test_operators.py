@@ -94,13 +94,20 @@ def test_vectors(spark):
         for j in unit:
             if i < j and unit[i] @ unit[j] >= 0.95:
                 n.update((i, j)), s.join(i, j)
-    want = {i: (n[i], s.find(i), s.find(i) == i) for i in s.up}
+    want = {i: (n[i], s.find(i), s.find(i) == i) for i in s.up} | {None: (0, None, True)}
     assert sum(n.values()) > 500
     for options in ({}, {"cell_rows": 16}, {"cell_rows": 50, "max_pivots": 2}):
         got = embedding_dedup.near_duplicate_vectors(table, **options).collect()
         assert len(got) == len(want) and {r.vec_id: (r.n_links, r.component_id, r.kept) for r in got} == want
     assert embedding_dedup.near_duplicate_vectors(table.limit(0)).count() == 0
     assert embedding_dedup.near_duplicate_vectors(table.where("vec_id = 1000")).first().n_links == 0
+    # of rows that repeat an id the least vector counts, wherever they stand; rows without an id all stay
+    twice = [(1, [0.0, 1.0]), (1, [1.0, 0.0]), (2, [0.0, 2.0]), (3, [3.0, 0.0]), (4, None), (4, [2.0, 0.0]), (None, None), (None, [1.0, 0.0])]
+    for order in (twice, twice[::-1]):
+        got = embedding_dedup.near_duplicate_vectors(spark.createDataFrame(order, "vec_id long, embedding array<double>").repartition(3)).collect()
+        assert sorted((r.vec_id or 0, r.n_links, r.component_id or 0, r.kept) for r in got) == [(0, 0, 0, True), (0, 0, 0, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 3, True), (4, 1, 3, False)]
+    alone = embedding_dedup.near_duplicate_vectors(spark.createDataFrame([(None, None), (5, None)], "vec_id long, embedding array<double>"))
+    assert sorted((r.vec_id or 0, r.kept) for r in alone.collect()) == [(0, True), (5, True)]
 
 
 # 2
@@ -584,6 +591,12 @@ def test_language(spark):
     got = {x.doc_id: x for x in language_id.predict(df, model).collect()}
     assert all(got[i].lang_pred == k for i, _, k in rows if i < 900) and all(0 <= x.score <= 1 for x in got.values())
     assert [got[i].lang_pred for i in (900, 901, 902, 903)] == ["und", "und", "und", "fr"]
+    assert language_id.WORD.findall("हिन्दी ภาษาไทย é e\u0301x a1b_c \u0301 தமிழ்") == ["हिन्दी", "ภาษาไทย", "é", "e\u0301x", "a", "b", "c", "தமிழ்"]
+    hindi = [(i, t, k) for i, (t, k) in enumerate([("यह हिन्दी भाषा है", "hi"), ("मैं किताब पढ़ता हूँ", "hi"), ("İSTANBUL ve İZMİR", "tr"), ("çok güzel İŞ", "tr")] * 9)]
+    told = spark.createDataFrame(hindi, "doc_id long, text string, lang string")
+    learned = language_id.train(told)
+    assert {"हिन्दी", "किताब"} <= set(learned.words) and {x.lower() for x in learned.words} == set(learned.words)
+    assert all(x.lang_pred == x.lang for x in language_id.predict(told, learned).collect())
     none = language_id.train(df.limit(0))
     assert language_id.predict(df, none).where("lang_pred <> 'und'").count() == 0
 
