@@ -420,6 +420,20 @@ def test_pages_of_the_table(spark):
     assert len(plain) > 0.8 * len(rows) and same >= 0.98 * len(plain), (same, len(plain))
 
 
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+def test_pages_of_the_table_without_names(spark):
+    """Pages without their article and main elements, classes, ids and roles: what is left to go by is how pages align."""
+    larger = DATA.replace("0.001", "0.01")
+    rows = [r for r in spark.read.parquet(f"{larger}/pages.parquet").collect() if r.html and r.html.count("<article") == 1 and "<article>" in r.html]
+    bare = lambda page: re.sub(r"\s(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", "", re.sub(r"<(/?)(article|main)\b", r"<\1div", page))
+    got = {r.page_id: r.text for r in html_extract.extract_main_text(spark.createDataFrame([(r.page_id, r.url, bare(r.html)) for r in rows], "page_id long, url string, html string")).collect()}
+    both = found = wanted = 0
+    for r in rows:
+        a, b = Counter(Article(r.html).text.split()), Counter(got[r.page_id].split())
+        both, found, wanted = both + sum((a & b).values()), found + sum(b.values()), wanted + sum(a.values())
+    assert len(rows) > 100 and both >= 0.95 * found and both >= 0.95 * wanted, (both, found, wanted)
+
+
 # 5
 ODD = ["a b", "x%y", "c", "é", "", None, "p/q", "1+1", "z=1"]
 
