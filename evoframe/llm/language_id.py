@@ -13,21 +13,18 @@ result; an empty table gives an empty result. Whole texts are read, whatever the
 
 from __future__ import annotations
 
-import re
-import sys
-import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, returning, sized
 
-_MARKS = "".join(chr(c) for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c)).startswith("M"))
-WORD = re.compile(rf"[^\W\d_]+(?:[{_MARKS}]+[^\W\d_]*)*")
+WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 CACHE = 150_000
 
 
@@ -119,8 +116,21 @@ def predict(df: DataFrame, model: LanguageModel, text_col: str = "text", keep: l
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         n = len(model.languages)
-        index: dict[str, int] = {}
-        rows = np.zeros((1 << 12, n), np.float32)
+        known, logs = model.words.get, model.word_logs
+        # words that back off, in two generations: those met since the younger one began, and those met in the one before
+        now: dict[str, np.ndarray] = {}
+        before: dict[str, np.ndarray] = {}
+
+        def unseen(w: str) -> np.ndarray:
+            nonlocal now, before
+            got = now.get(w)
+            if got is None:
+                got = before.get(w)
+                now[w] = got = model.word(w) if got is None else got
+                if len(now) > CACHE // 2:
+                    now, before = {}, now
+            return got
+
         for b in batches:
             texts, langs, scores = b.column(b.num_columns - 1), [], []
             for i in range(b.num_rows):
@@ -129,20 +139,14 @@ def predict(df: DataFrame, model: LanguageModel, text_col: str = "text", keep: l
                 if not n or not any(any(map(str.isalpha, w)) for w in words):
                     langs.append("und"), scores.append(0.0)
                     continue
-                if len(index) > CACHE:
-                    index.clear()
-                at = list(map(index.get, words))
+                at = list(map(known, words))
                 if None in at:
-                    for j, x in enumerate(at):
-                        if x is None:
-                            w = words[j]
-                            if (x := index.get(w)) is None:
-                                x = index[w] = len(index)
-                                if x >= len(rows):
-                                    rows = np.concatenate([rows, np.zeros_like(rows)])
-                                rows[x] = model.word(w)
-                            at[j] = x
-                mean = rows[at].sum(0, dtype=np.float64) / len(at)
+                    rare = [unseen(w) for w, x in zip(words, at) if x is None]
+                    at = [x for x in at if x is not None]
+                    total = np.sum(rare, 0, np.float64) + logs[at].sum(0, dtype=np.float64)
+                else:
+                    total = logs[at].sum(0, dtype=np.float64)
+                mean = total / len(words)
                 best = int(mean.argmax())
                 langs.append(model.languages[best])
                 scores.append(float(1 / np.exp(mean - mean[best]).sum()))
