@@ -158,7 +158,7 @@ def top_k(df: DataFrame, column: str, k: int, tie: str, by: Sequence[str] = (),
 
 
 def history(df: DataFrame, value: str, order: Sequence[str], by: Sequence[str]) -> DataFrame:
-    """(by..., values): the values of each group in arrival order."""
+    """(by..., values): the values of each group in arrival order, in one row; a group has to fit into a row."""
     held = F.array_sort(F.collect_list(F.struct(*order, F.col(value).alias("__v"))))
     return df.groupBy(*by).agg(F.transform(held, lambda s: s["__v"]).alias("values"))
 

@@ -79,7 +79,7 @@ def build(keys: DataFrame, key_id: str, vector: str) -> Balls:
     for r in sizes:
         radius[r.ball], count[r.ball] = r.radius, r.n
     parts = F.element_at(F.array(*[F.lit(max(1, -(-int(c) // KEYS))) for c in count]), (F.col("ball") + 1).cast("int"))
-    return Balls(centres, radius, count, stored(placed.withColumn("part", F.pmod(F.xxhash64("kid"), parts)), "balls"))
+    return Balls(centres, radius, count, placed.withColumn("part", F.pmod(F.xxhash64("kid"), parts)))
 
 
 def search(points: DataFrame, index: Balls, k: int, point_id: str, vector: str, compared=None) -> DataFrame:

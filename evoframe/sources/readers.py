@@ -8,7 +8,7 @@ import textwrap
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -50,6 +50,22 @@ READERS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 
+def corpus(spark: SparkSession, path: str, text: str = "text", kind: str | None = None) -> DataFrame:
+    """(idx, text) of a corpus: Parquet, JSON lines or plain lines by `kind`, else by the path's ending. idx follows the order
+    of files and of rows in them; null and empty texts are left out."""
+    kind = kind or ("json" if path.rstrip("/").endswith((".json", ".jsonl")) else "text" if path.rstrip("/").endswith(".txt") else "parquet")
+    rows = spark.read.text(path) if kind == "text" else spark.read.format(kind).load(path)
+    column = "value" if kind == "text" else text
+    found = rows.select(F.col(column).cast("string").alias("text"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    found = found.where("text <> ''")
+    # a file's blocks in order, and rows in order inside a block, which one task reads
+    blocks = found.groupBy("file", "block").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
+    at = blocks.select("file", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))  # a row for each block
+    place = F.row_number().over(Window.partitionBy("file", "block").orderBy("row")) - 1
+    return found.withColumn("place", place).join(at, ["file", "block"]).select((F.col("before") + F.col("place")).alias("idx"), "text")
+
+
 #: Models whose questions are asked in their own template (fixed values).
 TEMPLATED = ("Llama3-8B-Instruct", "Llama3.1-8B-Instruct", "Qwen2.5-7B-Instruct")
 

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from evoframe.sources.folders import Numbered
+
 
 def partial(df: DataFrame, by: Sequence[str], value: str, sketch_k: int = 3072) -> DataFrame:
     """(by..., n, mean, m2, lo, hi, sketch): a state that merges with others."""
@@ -48,13 +50,7 @@ class RunningStats:
 
     def _folders(self, name: str) -> dict[int, str]:
         """The whole folders `name=<number>`."""
-        jvm = self.spark._jvm
-        root = jvm.org.apache.hadoop.fs.Path(self.path)
-        files = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not files.exists(root):
-            return {}
-        found = [x.getPath() for x in files.listStatus(root) if x.getPath().getName().startswith(f"{name}=")]
-        return {int(x.getName().split("=")[1]): x.toString() for x in found if files.exists(jvm.org.apache.hadoop.fs.Path(x, "_SUCCESS"))}
+        return Numbered(self.spark, self.path, name).folders()
 
     def _compacted(self) -> int:
         return max(self._folders("upto"), default=-1)

@@ -70,6 +70,24 @@ def test_reports_are_written(spark, tmp_path):
     assert read("total") == [(3, 1, pytest.approx(1 / 3))] and read("by_kind") == [("stdlib", 1, 0, 0.0), ("third_party", 2, 1, 0.5)]
 
 
+def test_corpora(spark, tmp_path):
+    texts = [f"line {i}" if i % 7 else "" for i in range(200)]
+    want = [t for t in texts if t]
+    (tmp_path / "a.txt").write_text("\n".join(texts[:120]))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "300")  # several blocks of a file
+        got = readers.corpus(spark, str(tmp_path / "a.txt")).orderBy("idx").collect()
+        assert [r.text for r in got] == [t for t in texts[:120] if t] and [r.idx for r in got] == list(range(len(got)))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    rows = spark.createDataFrame([(i, t or None) for i, t in enumerate(texts)], "n long, said string").coalesce(1)
+    rows.write.parquet(str(tmp_path / "p"))
+    rows.write.json(str(tmp_path / "j.json"))
+    for path in ("p", "j.json"):
+        assert [r.text for r in readers.corpus(spark, str(tmp_path / path), "said").orderBy("idx").collect()] == want
+
+
 def test_pages_of_samples(spark):
     df = spark.range(10).withColumnRenamed("id", "idx")
     ids = lambda x: sorted(r.idx for r in x.collect())
