@@ -303,7 +303,7 @@ def repeated_ranges(df: DataFrame, scratch: Scratch, id_col: str, text_col: str,
     return sorted_.unionByName(same).groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
 
 
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, gram: int = 24, shard_bytes: int = 4 << 20, digest: bool = False) -> DataFrame:
+def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, gram: int = 24, shard_bytes: int = 2 << 20, digest: bool = False) -> DataFrame:
     """df with text_col shortened and n_bytes, n_removed, n_spans added; with digest=True the id, those and kept_sha256.
 
     `length` is 255 at most, as common prefixes are counted in bytes, and over `gram`.
