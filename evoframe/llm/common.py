@@ -47,6 +47,7 @@ def returned_memory() -> Iterator[None]:
     finally:
         _powers.clear()
         gc.collect()
+        pa.default_memory_pool().release_unused()
         with contextlib.suppress(OSError, AttributeError):
             ctypes.CDLL("libc.so.6").malloc_trim(0)
 
