@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, returning, sized
 
 WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
-CACHE = 150_000
+CACHE = 60_000
 
 
 class LanguageModel:
