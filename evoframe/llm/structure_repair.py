@@ -17,10 +17,11 @@ pass over these from the last segment back gives the backward costs at the end o
 a conversation are walked in order, one at a time. Identical rows are counted before the shuffle, and earlier occurrences
 come from the least turn of (conversation, digest of role and text), joined only where a text is in several turns.
 
-Cases: rows go by turn (nulls first), then role, then text, by bytes; null roles and texts read as one space; a null
-conversation is one of its own; an empty table gives an empty result; other columns are ignored. `copies`, if named, is a
-column that says how often a row is there; a row with 0 only says that there is such a conversation. The digest of a repaired
-conversation reads its turns one after another, which no machine can share; it takes a segment at a time.
+Cases: rows go by turn (nulls first), then role, then text, by bytes; null roles and texts read as one space; an empty role
+has no initial and cannot be kept; a null conversation is one of its own; an empty table gives an empty result; other columns
+are ignored. `copies`, if named, is a column that says how often a row is there; a row with 0 only says that there is such a
+conversation. The digest of a repaired conversation reads its turns one after another, which no machine can share; it takes
+a segment at a time.
 """
 
 from __future__ import annotations
@@ -46,8 +47,7 @@ INITIALS = "sua"
 START, SYSTEM, USER, ASSISTANT = range(4)
 KEPT = ({START: SYSTEM}, {START: USER, SYSTEM: USER, ASSISTANT: USER}, {USER: ASSISTANT}, {})
 NEXT = {START: USER, SYSTEM: USER, USER: ASSISTANT, ASSISTANT: USER}
-LEGAL = np.zeros((4, 4), bool)
-LEGAL[[0, 1, 2], [1, 2, 1]] = True  # su ua au
+LEGAL = [[pair in ("su", "ua", "au") for pair in (x + y for y in "sua ")] for x in "sua "]
 RE_ROLE, DELETE, INSERT, CUT = 3, 4, 3, 3
 NEVER = 64  #: states differ by less than this where they matter: a delete and two inserts reach whatever the others do
 END = (0, 2 * INSERT, INSERT, 0)
@@ -167,7 +167,9 @@ def _segments(most: int):
             lists = [pa.ListArray.from_arrays(pa.array(bounds), pa.concat_arrays([b.column(k)])) for k in ("n", "r", "t", "m")]
             places = pa.array(place + np.arange(len(first)))
             place += len(first)
-            yield pa.RecordBatch.from_arrays([b.column("c").take(pa.array(first)), places, pa.array(held, pa.binary()), pa.array([between(x) for x in held], pa.list_(pa.int32())), *lists], ["conv_id", "place", "codes", "ways", "turns", "roles", "texts", "copies"])
+            # a conversation that goes on in other segments is the first or the last here
+            ways = [between(x) if i in (0, len(held) - 1) else [] for i, x in enumerate(held)]
+            yield pa.RecordBatch.from_arrays([b.column("c").take(pa.array(first)), places, pa.array(held, pa.binary()), pa.array(ways, pa.list_(pa.int32())), *lists], ["conv_id", "place", "codes", "ways", "turns", "roles", "texts", "copies"])
 
     return run
 
@@ -189,54 +191,84 @@ def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array([list(x) for x in columns[2]], pa.list_(pa.int32()))], ["at", "parts", "after"])
 
 
-REPAIRED = "conv_id long, part long, parts long, edits string, repaired array<struct<role: string, text: string>>, cost long, gaps long, blank long, duplicate long, truncated long, illegal long"
-_TURN = pa.struct([("role", pa.string()), ("text", pa.string())])
-_TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(_TURN), *[pa.int64()] * 6]
+NUMBERS = ["cost", "gaps", "blank", "duplicate", "truncated", "illegal"]
+REPAIRED = f"conv_id long, part long, parts long, edits string, repaired array<struct<role: string, text: string>>, {', '.join(f'{k} long' for k in NUMBERS)}"
+
+
+class _Rows:
+    """Repaired segments that are still to be given out."""
+
+    def __init__(self):
+        self.ids, self.numbers, self.edits, self.ends, self.roles, self.texts, self.size = [], [], [], [0], [], [], 0
+
+    def add(self, conv: int | None, part: int, parts: int, edits: str, made: list[tuple[str, str]], numbers: tuple[int, ...]) -> None:
+        self.ids.append((conv, part, parts))
+        self.numbers.append(numbers)
+        self.edits.append(edits)
+        self.roles += [r for r, _ in made]
+        self.texts += [t for _, t in made]
+        self.ends.append(len(self.roles))
+        self.size += 100 + sum(len(t) for _, t in made)
+
+    def batch(self) -> pa.RecordBatch:
+        turns = pa.StructArray.from_arrays([pa.array(self.roles, pa.string()), pa.array(self.texts, pa.string())], ["role", "text"])
+        repaired = pa.ListArray.from_arrays(pa.array(self.ends, pa.int32()), turns)
+        columns = [pa.array(c, pa.int64()) for c in (*zip(*self.ids), *zip(*self.numbers))]
+        return pa.RecordBatch.from_arrays([*columns[:3], pa.array(self.edits, pa.string()), repaired, *columns[3:]], ["conv_id", "part", "parts", "edits", "repaired", *NUMBERS])
 
 
 @returning
 def _repair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Segments in order, those of a conversation next to one another; one row for each."""
     conv, part, last, f, frontier, role, turn = object(), 0, 0, FIRST, frozenset([START]), None, None
+    rows = _Rows()
+    name = {USER: "user", ASSISTANT: "assistant"}
+    paid = {"D": DELETE, "K": 0, "R": RE_ROLE}
     for b in batches:
-        for c, codes, turns, roles, texts, copies, parts, after in zip(*(b.column(k) for k in ("conv_id", "codes", "turns", "roles", "texts", "copies", "parts", "after"))):
-            if (c := c.as_py()) != conv or part == last:
+        for c, codes, turns, roles, texts, copies, parts, after in zip(*(b.column(k).to_pylist() for k in ("conv_id", "codes", "turns", "roles", "texts", "copies", "parts", "after"))):
+            if c != conv or part == last:
                 conv, part, f, frontier, role, turn = c, 0, FIRST, frozenset([START]), None, None
-            codes, last, roles, texts = codes.as_py(), parts.as_py(), roles.as_py(), texts.as_py()
-            costs = [tuple(after.as_py())]
+            last = parts
+            costs = [tuple(after)]
             for q in reversed(codes):
                 costs.append(backward(costs[-1], q)[0])
             costs.reverse()
-            kind = np.frombuffer(codes, np.uint8)
-            counts = np.bincount(kind >> 2, minlength=4)
-            read = np.concatenate([[] if role is None else [role], kind & 3]).astype(np.int64)
-            illegal = int((~LEGAL[read[:-1], read[1:]]).sum())
-            role = int(read[-1]) if len(read) else None
-            seen = [t for t, m in zip(turns.as_py(), copies.as_py()) if m and t is not None]
-            gaps = sum(y - x - 1 for x, y in zip(([] if turn is None else [turn]) + seen, seen if turn is not None else seen[1:]) if y > x)
-            turn = seen[-1] if seen else turn
-            letters, made, cost = [], [], 0
-            for row, q, b_ in zip(np.repeat(np.arange(len(roles)), copies.as_py()).tolist(), codes, costs[1:]):
-                edits, states, frontier = walk(f, q, b_, frontier)
-                f = forward(f, q)[0]
-                letters.append(edits)
-                for s in states[:-1]:
-                    made.append((("user" if s == USER else "assistant"), ""))
-                cost += INSERT * (len(edits) - 1) + {"D": DELETE, "K": 0, "R": RE_ROLE}[edits[-1]] + (CUT if q >> 2 == TRUNCATED and edits[-1] != "D" else 0)
-                if edits[-1] == "K":
-                    made.append((roles[row], texts[row]))
-                elif edits[-1] == "R":
-                    made.append((("user" if states[-1] == USER else "assistant"), texts[row]))
+            counts, illegal = [0] * 4, 0
+            for q in codes:
+                counts[q >> 2] += 1
+                illegal += role is not None and not LEGAL[role][q & 3]
+                role = q & 3
+            gaps = 0
+            for t, m in zip(turns, copies):
+                if m and t is not None:
+                    gaps += t - turn - 1 if turn is not None and t > turn else 0
+                    turn = t
+            letters, made, cost, at = [], [], 0, 0
+            for row, m in enumerate(copies):
+                for _ in range(m):
+                    q = codes[at]
+                    edits, states, frontier = walk(f, q, costs[at + 1], frontier)
+                    f, at = forward(f, q)[0], at + 1
+                    letters.append(edits)
+                    made += [(name[s], "") for s in states[:-1]]
+                    how = edits[-1]
+                    cost += INSERT * (len(edits) - 1) + paid[how] + (CUT if q >> 2 == TRUNCATED and how != "D" else 0)
+                    if how != "D":
+                        made.append((roles[row] if how == "K" else name[states[-1]], texts[row]))
             part += 1
             if part == last:  # what is still to be inserted at the end of the conversation
                 state = min(frontier)
                 while END[state]:
                     state = NEXT[state]
                     letters.append("I")
-                    made.append((("user" if state == USER else "assistant"), ""))
+                    made.append((name[state], ""))
                     cost += INSERT
-            row = (c, part - 1, last, "".join(letters), [dict(zip(("role", "text"), x)) for x in made], cost, gaps, int(counts[BLANK]), int(counts[DUPLICATE]), int(counts[TRUNCATED]), illegal)
-            yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, _TYPES)], [k.split()[0] for k in REPAIRED.replace("struct<role: string, text: string>", "x").split(", ")])
+            rows.add(c, part - 1, last, "".join(letters), made, (cost, gaps, counts[BLANK], counts[DUPLICATE], counts[TRUNCATED], illegal))
+            if rows.size > SEGMENT:
+                yield rows.batch()
+                rows = _Rows()
+    if rows.ids:
+        yield rows.batch()
 
 
 def repair_conversations(df: DataFrame, copies: str | None = None, segment: int = SEGMENT) -> DataFrame:
@@ -280,15 +312,19 @@ def report(repaired: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, edits, digest, before = [0] * len(sums), [], hashlib.sha256(), False
         for b in batches:
-            rows = []
-            for conv, part, parts, letters, turns, *counts in zip(*(b.column(k) for k in ("conv_id", "part", "parts", "edits", "repaired", *sums))):
-                total = [x + y.as_py() for x, y in zip(total, counts)]
-                edits.append(letters.as_py())
-                for t in turns.as_py():
-                    digest.update(f"{chr(10) if before else ''}{t['role']}:{t['text']}".encode())
+            rows, turns = [], b.column("repaired")
+            ends = np.asarray(turns.offsets)
+            said = turns.values
+            lines = [f"{r}:{t}" for r, t in zip(said.field("role").to_pylist(), said.field("text").to_pylist())]
+            for i, (conv, part, parts, letters, *counts) in enumerate(zip(*(b.column(k).to_pylist() for k in ("conv_id", "part", "parts", "edits", *sums)))):
+                total = [x + y for x, y in zip(total, counts)]
+                edits.append(letters)
+                own = lines[ends[i] : ends[i + 1]]
+                if own:
+                    digest.update(("\n" * before + "\n".join(own)).encode())
                     before = True
-                if part.as_py() + 1 == parts.as_py():
-                    rows.append((conv.as_py(), *total, "".join(edits), digest.hexdigest()))
+                if part + 1 == parts:
+                    rows.append((conv, *total, "".join(edits), digest.hexdigest()))
                     total, edits, digest, before = [0] * len(sums), [], hashlib.sha256(), False
             columns = list(zip(*rows)) or [[]] * (len(sums) + 3)
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, [pa.int64()] * (len(sums) + 1) + [pa.string()] * 2)], ["conv_id", *sums, "audit", "repaired_sha256"])
