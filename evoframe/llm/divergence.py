@@ -35,7 +35,7 @@ from .common import Scratch
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 UNIT, PRIOR = 1_000_000_000, 5
 #: Sources and terms that one task of the tally gets, about.
-BLOCK, TERMS = 64, 4096
+BLOCK, TERMS = 64, 512
 CELLS = "lang string, a string, b string, ca long, cb long, m long"
 
 
