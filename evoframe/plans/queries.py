@@ -443,8 +443,10 @@ def ordinal_zip(spark: SparkSession, d: str) -> DataFrame:
 @query("""with l as (select l_orderkey, l_partkey, l_linenumber, row_number() over (partition by l_orderkey order by l_linenumber) as r from lineitem)
  select o_orderkey, l_partkey, l_linenumber from orders join l on o_orderkey = l_orderkey where r = 1""")
 def first_match(spark: SparkSession, d: str) -> DataFrame:
-    lines = _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_partkey", "l_linenumber")
-    return graph.first_match(_t(spark, d, "orders").select("o_orderkey"), lines, ["o_orderkey"], ["l_linenumber"], ["o_orderkey"])
+    # lines of one number go by their place in the table, as they do in the SQL
+    lines = _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_partkey", "l_linenumber", F.struct("_metadata.file_path", "_metadata.row_index").alias("at"))
+    found = graph.first_match(_t(spark, d, "orders").select("o_orderkey"), lines, ["o_orderkey"], ["l_linenumber", "at"], ["o_orderkey"])
+    return found.select("o_orderkey", "l_partkey", "l_linenumber")
 
 
 @query("select c_custkey as node, case when r = 0 then c_mktsegment else c_mktsegment || '_' || r end as unique_id from (select *, row_number() over (partition by c_nationkey, c_mktsegment order by c_custkey) - 1 as r from customer)")

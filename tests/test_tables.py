@@ -1,6 +1,10 @@
 """Queries on tables made for one rule, where the smallest tables do not show it."""
 
-from evoframe.plans import derived
+import os
+
+from pyspark.sql import functions as F
+
+from evoframe.plans import derived, queries
 
 
 def test_skipped_words_mark_nothing_in_the_python_query(spark, tmp_path):
@@ -10,3 +14,17 @@ def test_skipped_words_mark_nothing_in_the_python_query(spark, tmp_path):
     for i, text in texts.items():
         for pos, word in enumerate(text.split(" ")):
             assert got[i, pos] == (1.0 if word == "int" or "quickly" in word else 4.0), (i, pos, word)
+
+
+def test_lines_of_one_number_go_by_their_place(spark, tmp_path):
+    """Of the smaller file, which comes first by name but is read last."""
+    lines = "l_orderkey long, l_partkey long, l_linenumber int"
+    for name, rows in (("a", [(i, 1, 1) for i in range(50)]), ("b", [(i, 2 + j, 1) for j in range(400) for i in range(50)])):
+        spark.createDataFrame(rows, lines).coalesce(1).write.parquet(f"{tmp_path}/{name}")
+        os.makedirs(f"{tmp_path}/lineitem.parquet", exist_ok=True)
+        for f in os.listdir(f"{tmp_path}/{name}"):
+            if f.endswith(".parquet"):
+                os.rename(f"{tmp_path}/{name}/{f}", f"{tmp_path}/lineitem.parquet/{name}.parquet")
+    spark.range(60).withColumnRenamed("id", "o_orderkey").write.parquet(f"{tmp_path}/orders.parquet")
+    got = queries.first_match(spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == [(i, 1, 1) for i in range(50)]
