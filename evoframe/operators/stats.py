@@ -98,11 +98,12 @@ def ranked(df: DataFrame, column: str, by: Sequence[str] = (), buckets: int = 64
     """(by..., x, n, last, total, bucket): distinct values with their count, last rank and the group's size.
 
     Ranks are global without sorting a group in one task: values are counted first, so a frequent one is one row;
-    approximate cut points deal the values to buckets; ranks inside a bucket are offset by the buckets before.
+    approximate cut points deal the values to buckets; ranks inside a bucket are offset by the buckets before. The cut
+    points depend on the order in which sketches meet, so they are stored: sizes and ranks have to be of the same buckets.
     """
     by = list(by)
     values = stored(df.where(F.col(column).isNotNull()).groupBy(*by, _d(column).alias("x")).agg(F.count(F.lit(1)).alias("n")), "values")
-    cuts = values.groupBy(*by).agg(F.percentile_approx("x", [i / buckets for i in range(1, buckets)], 1000).alias("cuts"), F.sum("n").alias("total"))
+    cuts = stored(values.groupBy(*by).agg(F.percentile_approx("x", [i / buckets for i in range(1, buckets)], 1000).alias("cuts"), F.sum("n").alias("total")), "cuts")
     placed = _met(values, cuts, by) if by else values.crossJoin(F.broadcast(cuts))  # without groups: one row
     placed = placed.withColumn("bucket", F.size(F.filter("cuts", lambda c: c < F.col("x")))).drop("cuts")
     sizes = placed.groupBy(*by, "bucket").agg(F.sum("n").alias("in_bucket"))

@@ -4,6 +4,7 @@ import os
 
 from pyspark.sql import functions as F
 
+from evoframe.operators import stats
 from evoframe.plans import derived, queries
 
 
@@ -28,3 +29,13 @@ def test_lines_of_one_number_go_by_their_place(spark, tmp_path):
     spark.range(60).withColumnRenamed("id", "o_orderkey").write.parquet(f"{tmp_path}/orders.parquet")
     got = queries.first_match(spark, str(tmp_path)).collect()
     assert sorted(map(tuple, got)) == [(i, 1, 1) for i in range(50)]
+
+
+def test_cut_points_are_taken_once(spark, monkeypatch):
+    """Ranks are exact though the cut points come out otherwise each time that they are asked for."""
+    plain = F.percentile_approx
+    drift = lambda c: c + F.expr("pmod(hash(java_method('java.util.UUID', 'randomUUID')), 1000)")
+    monkeypatch.setattr(F, "percentile_approx", lambda *a: F.transform(plain(*a), drift))
+    df = spark.range(20_000).select((F.col("id") % 2).alias("g"), (F.col("id") * 7919 % 20_000).cast("double").alias("v"))
+    got = stats.hazen_quantile(df, "v", [0.1, 0.5, 0.9], ["g"]).collect()
+    assert sorted((r.g, r.q, r.value) for r in got) == [(g, q, 2 * (q * 10_000 - 0.5) + g) for g in (0, 1) for q in (0.1, 0.5, 0.9)]
