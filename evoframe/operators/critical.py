@@ -3,13 +3,16 @@
 The words to look for come from several sources, in an order of precedence: the API's name and module, the code's function
 with its parameters, what changed, what replaces it, and the signatures. All are Columns over one row; every word is then
 found in its answer, as rows (key, start, end, weight, source), and tokens with offsets take the largest weight that they
-overlap by a range join over bins of offsets.
+overlap by a range join over bins of offsets. Tokens that are parts of the answer itself are weighted where the answer is.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -179,3 +182,46 @@ def tokens_of(df: DataFrame, key: Sequence[str], text: str, pattern: str = r"\s"
     rows = df.select(*key, parts)
     end = F.sum("size").over(Window.partitionBy(*key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)) + F.col("pos")
     return rows.select(*key, "pos", (end - F.col("size")).alias("start"), end.alias("end")).where("end > start")
+
+
+def weighted_parts(df: DataFrame, key: Sequence[str], text: str, words: Column, pattern: str = r"[\t\n\x0b\f\r ]", weight: float = WEIGHT, default: float = 1.0, held_rows: int = 1 << 17) -> DataFrame:
+    """(key..., pos, start, end, weight): the rows of `tokens_of` with the weights that `token_weights` gives them by `spans`.
+
+    Text and words stand in one row, so a text's parts are marked where it is read, and nothing but the result leaves the
+    task: no row is shuffled. A task gives its rows out in batches of about `held_rows`."""
+    kinds = {f.name: f.dataType.simpleString() for f in df.select(*key).schema.fields}
+    between = re.compile(pattern)
+
+    def marked(answer: str, terms: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        sizes = np.fromiter(map(len, between.split(answer)), np.int64)
+        end = np.cumsum(sizes) + np.arange(len(sizes))
+        start, change = end - sizes, np.zeros(len(sizes) + 1, np.int64)
+        for term in terms:
+            found = np.array([m.start() for m in re.finditer(re.escape(term), answer)], np.int64)
+            first, stop = np.searchsorted(end, found, "right"), np.searchsorted(start, found + len(term), "left")
+            np.add.at(change, first[first < stop], 1)
+            np.add.at(change, stop[first < stop], -1)
+        return start, end, np.cumsum(change[:-1]) > 0
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            parts, held = [], 0
+
+            def out() -> pa.RecordBatch:
+                at, pos, start, end, hit = (np.concatenate(x) for x in zip(*parts))
+                keys = [b.column(i).take(pa.array(at)) for i in range(len(key))]
+                return pa.RecordBatch.from_arrays([*keys, pa.array(pos), pa.array(start), pa.array(end), pa.array(np.where(hit, weight, default))], [*key, "pos", "start", "end", "weight"])
+
+            for j, (answer, terms) in enumerate(zip(b.column(len(key)), b.column(len(key) + 1))):
+                start, end, hit = marked(answer.as_py(), terms.as_py() or [])
+                pos = np.flatnonzero(end > start)
+                parts.append((np.full(len(pos), j), pos.astype(np.int32), start[pos], end[pos], hit[pos]))
+                held += len(pos)
+                if held >= held_rows:
+                    yield out()
+                    parts, held = [], 0
+            if held:
+                yield out()
+
+    rows = df.select(*key, _text(F.col(text)).alias("__text"), F.transform(words, lambda w: w["text"]).alias("__words"))
+    return rows.mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in key), "pos int, start long, end long, weight double"]))

@@ -111,3 +111,15 @@ def test_overlaps_of_odd_ranges(spark):
     got = sorted((x.i, x.j) for x in critical.overlaps(a, b, ["k"], width=8).collect())
     want = sorted((i, j) for i, (k, s, n) in enumerate(left) for j, (l, t, m) in enumerate(right) if k == l and s < t + m and s + n > t)
     assert got == want and len(set(want)) == len(want) > 100
+
+
+def test_parts_weighted_in_place(spark):
+    r = random.Random(7)
+    texts = ["", None, " ", "a b", "x\x0by\tab  ab\r\nabab aab ", "ﬁ😀ab ab😀", *["".join(r.choice("ab \n😀") for _ in range(r.randint(1, 60))) for _ in range(40)]]
+    df = spark.createDataFrame([(i, t, r.sample(["ab", "aba", "b a", "😀a", "  ", "ba\n", "zz"], r.randint(0, 4))) for i, t in enumerate(texts)], "i int, text string, said array<string>")
+    words = F.transform("said", lambda w: F.struct(w.alias("text"), F.lit("name").alias("source"), F.lit(0).alias("rank")))
+    want = critical.token_weights(critical.tokens_of(df, ["i"], "text"), critical.spans(df, ["i"], "text", words), ["i"]).select("i", "pos", "start", "end", "weight")
+    got = critical.weighted_parts(df, ["i"], "text", words, held_rows=7)
+    assert got.dtypes == want.dtypes
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert "Exchange" not in got._jdf.queryExecution().toString()
