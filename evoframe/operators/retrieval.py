@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 import re
 import uuid
+from collections import Counter
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -57,10 +58,14 @@ def keyword_top(docs: DataFrame, queries: DataFrame, doc_id: str, text: str, que
     """(query_id, doc_id, hits, place): documents that contain most keywords, zero ones left out, ties by document id.
 
     The distinct keywords make one automaton that passes over each text once; a task keeps k documents for each query. The
-    queries go to the tasks in blocks of about `block` (query, keyword) rows. Rows with a null id are left out.
+    queries go to the tasks in blocks of about `block` (query, keyword) rows. Queries of the same keywords are one, which
+    their least id stands for until the end. Rows with a null id are left out.
     """
-    asked = queries.select(F.col(query_id).alias("q"), F.explode(keywords(F.col(query))).alias("w")).where("q is not null")
-    asked = stored(asked.groupBy("q", "w").agg(F.count(F.lit(1)).alias("times")), "asked")
+    every = queries.select(F.col(query_id).alias("id"), keywords(F.col(query)).alias("words")).where("id is not null")
+    every = every.groupBy("id").agg(F.array_sort(F.flatten(F.collect_list("words"))).alias("words")).where("size(words) > 0")
+    every = stored(every, "every")
+    alike = stored(every.groupBy("words").agg(F.min("id").alias("q")), "alike")
+    asked = stored(alike.select("q", F.explode("words").alias("w")).groupBy("q", "w").agg(F.count(F.lit(1)).alias("times")), "asked")
     rows = docs.select(F.col(doc_id).alias("d"), F.lower(F.coalesce(text, F.lit(""))).alias("low")).where("d is not null")
     kinds = {f.name: f.dataType.simpleString() for f in [*asked.schema.fields, *rows.schema.fields]}
     blocks = max(1, -(-asked.count() // block))
@@ -70,12 +75,15 @@ def keyword_top(docs: DataFrame, queries: DataFrame, doc_id: str, text: str, que
         parts.append(rows.mapInArrow(_scan(docs.sparkSession.sparkContext.broadcast(own), k), f"q {kinds['q']}, d {kinds['d']}, hits long"))
     scored = functools.reduce(DataFrame.unionByName, parts)
     place = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("hits"), "d"))
-    return scored.withColumn("place", place.cast("long")).where(F.col("place") <= k).select(F.col("q").alias(query_id), F.col("d").alias(doc_id), "hits", "place")
+    best = scored.withColumn("place", place.cast("long")).where(F.col("place") <= k)
+    told = best.join(alike, "q").join(every, "words")
+    return told.select(F.col("id").alias(query_id), F.col("d").alias(doc_id), "hits", "place")
 
 
 def _scan(asked: Broadcast, k: int, held_rows: int = 1 << 18):
     """A task's function from (d, low) to the k best documents (q, d, hits) of each query. A document adds a row for each
-    query that it has a keyword of; what cannot be among a query's best any more is left out at once."""
+    query that it has a keyword of; what cannot be among a query's best any more is left out at once, and so is a document
+    after k of its batch that have the same keywords and smaller ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import ahocorasick
@@ -107,8 +115,11 @@ def _scan(asked: Broadcast, k: int, held_rows: int = 1 << 18):
 
         for b in batches:
             found_q, found_d, found_hits = [], [], []
-            for j, low in enumerate(b.column(1)):
-                if met := {w for _, w in find.iter(low.as_py())}:
+            alike: Counter[frozenset] = Counter()
+            for j in np.asarray(pc.sort_indices(b.column(0))).tolist():
+                met = frozenset(w for _, w in find.iter(b.column(1)[j].as_py()))
+                alike[met] += 1
+                if met and alike[met] <= k:
                     rows = np.concatenate([posts[w] for w in met])
                     q, inverse = np.unique(at[rows], return_inverse=True)
                     hits = np.bincount(inverse, times[rows]).astype(np.int64)
@@ -136,19 +147,28 @@ def tiered(docs: DataFrame, queries: DataFrame, k: int = 3, text: str | None = N
 
     Tiers: 1 name and module, 2 name, 3 modules that start with the first segment of the asked one, 4 most keywords of the
     column `query` in the documents' column `text`, if both are named. The best k of a tier in the order of idx, in tier 4
-    by keywords first. Empty names and modules ask nothing. Each tier is an equi-join: the third meets the documents'
-    modules cut to the lengths that are asked, so no pair is compared by nested loop.
+    by keywords first. Empty names and modules ask nothing. Of all documents that a tier gives to one question, only the
+    first k are joined with those who ask it, so neither a frequent name nor a frequent question makes pairs of all. The
+    third tier meets the documents' modules cut to the lengths that are asked.
     """
     d = docs.select("idx", "name", F.coalesce("module", F.lit("")).alias("module"))
     q = queries.select("query_id", F.col("name").alias("qn"), F.col("module").alias("qm")).where("query_id is not null")
-    named = q.where("qn <> ''").join(d, F.col("qn") == F.col("name")).select("query_id", "idx", F.when((F.col("qm") != "") & (F.col("qm") == F.col("module")), 1).otherwise(2).alias("tier"))
+    tier = lambda n: F.lit(n).alias("tier")
+
+    def first(rows: DataFrame, *key: str) -> DataFrame:
+        return rows.withColumn("__r", F.row_number().over(Window.partitionBy(*key).orderBy("idx"))).where(F.col("__r") <= k).drop("__r")
+
+    both = first(d.where("module <> ''"), "name", "module").select(F.col("name").alias("qn"), F.col("module").alias("qm"), "idx")
+    named = q.where("qn <> ''").join(both, ["qn", "qm"]).select("query_id", "idx", tier(1))
+    named = named.unionByName(q.where("qn <> ''").join(first(d, "name").select(F.col("name").alias("qn"), "idx"), "qn").select("query_id", "idx", tier(2)))
     asked = q.where("qm <> ''").select("query_id", F.element_at(F.split("qm", "::"), 1).alias("head"))
     sizes = sorted(r.n for r in asked.select(F.length("head").alias("n")).distinct().collect())  # at most the longest name's length
     heads = d.select("idx", "module", F.explode(F.array(*[F.lit(n) for n in sizes]) if sizes else F.array().cast("array<int>")).alias("n")).where("length(module) >= n")
     heads = heads.select("idx", F.substring("module", F.lit(1), F.col("n")).alias("head"))
-    found = named.unionByName(heads.where("head <> ''").join(asked.where("head <> ''"), "head").select("query_id", "idx", F.lit(3).alias("tier")))
+    heads = first(heads.where("head <> ''").join(asked.select("head").distinct(), "head", "left_semi"), "head")
+    found = named.unionByName(heads.join(asked.where("head <> ''"), "head").select("query_id", "idx", tier(3)))
     if 0 in sizes:  # a module that begins with :: has an empty first segment, with which every module starts
-        found = found.unionByName(asked.where("head = ''").select("query_id").crossJoin(F.broadcast(d.select("idx").orderBy("idx").limit(k))).select("query_id", "idx", F.lit(3).alias("tier")))
+        found = found.unionByName(asked.where("head = ''").select("query_id").crossJoin(F.broadcast(d.select("idx").orderBy("idx").limit(k))).select("query_id", "idx", tier(3)))
     over = Window.partitionBy("query_id")
     best = found.withColumn("best", F.min("tier").over(over)).where("tier = best")
     best = best.withColumn("place", F.row_number().over(over.orderBy("idx")).cast("long")).where(F.col("place") <= k).select("query_id", "idx", F.col("tier").cast("long").alias("tier"), "place")

@@ -4,7 +4,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from evoframe.operators import stats
+from evoframe.operators import retrieval, stats
 from evoframe.plans import derived, queries
 
 
@@ -39,3 +39,31 @@ def test_cut_points_are_taken_once(spark, monkeypatch):
     df = spark.range(20_000).select((F.col("id") % 2).alias("g"), (F.col("id") * 7919 % 20_000).cast("double").alias("v"))
     got = stats.hazen_quantile(df, "v", [0.1, 0.5, 0.9], ["g"]).collect()
     assert sorted((r.g, r.q, r.value) for r in got) == [(g, q, 2 * (q * 10_000 - 0.5) + g) for g in (0, 1) for q in (0.1, 0.5, 0.9)]
+
+
+def _most_rows(df):
+    """The largest number of rows that a step of the plan gave out."""
+    df.collect()
+
+    def walk(p):
+        yield p
+        for name in ("executedPlan", "plan"):
+            if p.getClass().getSimpleName() in ("AdaptiveSparkPlanExec", "ShuffleQueryStageExec", "BroadcastQueryStageExec", "ResultQueryStageExec") and any(m.getName() == name for m in p.getClass().getMethods()):
+                yield from walk(getattr(p, name)())
+        for i in range(p.children().size()):
+            yield from walk(p.children().apply(i))
+
+    plans = walk(df._jdf.queryExecution().executedPlan())
+    return max(p.metrics().apply("numOutputRows").value() for p in plans if p.metrics().contains("numOutputRows"))
+
+
+def test_frequent_names_and_questions_make_no_pairs_of_all(spark):
+    docs = spark.range(2_000).selectExpr("id as idx", "'f' as name", "if(id % 2 = 0, 'a::b', 'a::c') as module", "'red ring' as said")
+    asked = spark.range(2_000).selectExpr("id as query_id", "if(id % 3 = 0, 'f', 'none') as name", "if(id % 2 = 0, 'a::c', 'a::z') as module")
+    found = retrieval.tiered(docs, asked)
+    assert _most_rows(found) < 20_000
+    tier = lambda q: (1 if q % 2 == 0 else 2) if q % 3 == 0 else 3
+    assert sorted(map(tuple, found.collect())) == [(q, i, tier(q), p) for q in range(2_000) for p, i in enumerate((1, 3, 5) if tier(q) == 1 else (0, 1, 2), 1)]
+    words = retrieval.keyword_top(docs, asked.withColumn("ask", F.lit("Ring RED")), "idx", "said", "query_id", "ask")
+    assert _most_rows(words) < 20_000
+    assert sorted(map(tuple, words.collect())) == [(q, i, 2, i + 1) for q in range(2_000) for i in range(3)]
