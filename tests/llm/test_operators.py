@@ -769,3 +769,12 @@ def test_scores(spark, docs):
     assert lm_score.score(df.limit(0), model, ["doc_id"]).count() == 0
     ids = df.select(F.lit(None).cast("long").alias("doc_id"), "text")
     assert lm_score.train(ids.where(~lm_score.held_out()))[0].tokens == sum(len(tok(r[1])) for r in rows)
+
+
+def test_set_bits_are_found_by_table():
+    """Every set bit of words with one, some and all bits."""
+    r = np.random.default_rng(5)
+    words = np.concatenate([np.uint64(1) << np.arange(64, dtype=np.uint64), [~np.uint64(0)], r.integers(1, 1 << 63, 300, dtype=np.uint64)])
+    places = [[j for j in range(64) if int(w) >> j & 1] for w in words]
+    x, left = np.repeat(words, [len(p) for p in places]), np.concatenate([np.arange(len(p)) for p in places])
+    assert lm_score.EliasFano._inside(x, left).tolist() == [j for p in places for j in p]
